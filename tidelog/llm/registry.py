@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidelog.llm import mixing, pii, quality
+from tidelog.llm import mixing, pieces, pii, quality, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op4_quality": quality.OP4_SQL,
 }

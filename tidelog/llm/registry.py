@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tidelog.llm import mixing, pieces, pii, quality, warc
+from tidelog.llm import chat, mixing, pieces, pii, quality, urls, warc
 
 QUERIES = {
+    "op1_url_filters": urls.op1_url_filters,
     "op2_warc": warc.op2_warc,
     "op4_quality": quality.op4_quality,
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op10_chat": chat.op10_chat,
 }
 ORACLES = {
+    "op1_url_filters": urls.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op4_quality": quality.OP4_SQL,
 }

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidelog.llm import ann, chat, mixing, pieces, pii, quality, urls, warc
+from tidelog.llm import ann, chat, mixing, ngrams, pieces, pii, quality, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
     "op2_warc": warc.op2_warc,
+    "op3_ngram_join": ngrams.op3_ngram_join,
     "op4_quality": quality.op4_quality,
     "op5_ann": ann.op5_ann,
     "op6_mixing": mixing.op6_mixing,

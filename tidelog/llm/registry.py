@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import ann, chat, mixing, ngrams, pieces, pii, quality, urls, warc
+from tidelog.llm import ann, chat, mixing, ngrams, pieces, pii, quality, repeats, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op8_sentencepiece": pieces.op8_sentencepiece,
+    "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_chat": chat.op10_chat,
 }
 ORACLES = {

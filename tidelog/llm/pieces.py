@@ -9,8 +9,8 @@ literally, become byte pieces: decoding gives back every byte.
 
 The models at hand give merge ranks, not probabilities; a piece of rank r weighs 1 / (r + 2) ** theta.
 
-Null and empty texts have no pieces. A null key counts as 0. Lattices of distinct strings are kept by each worker up to
-a bound of EDGES; nothing is kept about texts.
+Null and empty texts have no pieces. A null key counts as 0. Lattices are built for the distinct strings of a few
+megabytes of text at a time, all of them at once.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from tidelog.llm.common import mix, prefix_hashes, range_hashes, table, text_buf
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20240
 THETA = 1.0
-EDGES = 2_000_000
 SYMBOL = "▁"
 
 
@@ -48,124 +47,144 @@ def load(path: str = MODEL) -> dict:
         else:
             pieces.append(name.replace(SYMBOL, " ").encode())
             plain[name.replace(SYMBOL, " ")] = (i, max(0.0, -sp.get_score(i)))
-    return {"bytes": pieces, "plain": plain, "byte_ids": byte_ids, "longest": max(map(len, plain), default=1)}
+    return {"bytes": pieces, "plain": plain, "byte_ids": byte_ids}
 
 
 class Lattices:
-    """Grown tables over the lattices of distinct strings: states in order, each with its incoming edges in order."""
+    """The model as sorted hashes of its pieces by length, and the lattices of many strings at once."""
 
     def __init__(self, model: dict, theta: float = THETA):
-        self.plain = {p: (i, -theta * math.log(r + 2)) for p, (i, r) in model["plain"].items()}
-        self.byte_ids, self.longest = model["byte_ids"], model["longest"]
         self.n_pieces = len(model["bytes"])
         self.fallback = -theta * math.log(self.n_pieces + 2)
-        self.extra: dict[str, int] = {}
-        self.expand: list[list[int]] = []
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.final = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.n_states, self.n_edges = 0, 0
-        self.reach, self.prev, self.piece = np.zeros(1024), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.start = np.zeros(1024, bool)
-
-    def _char(self, c: str) -> int:
-        """The pseudo-piece of a character that has none: its bytes' pieces."""
-        if c not in self.extra:
-            self.extra[c] = self.n_pieces + len(self.expand)
-            self.expand.append([self.byte_ids[b] for b in c.encode("utf-8", "surrogateescape")])
-        return self.extra[c]
-
-    def build(self, s: str) -> tuple[list[float], list[int], list[int], int]:
-        """Edges of one string in order of their end: cumulative share at the end, the state they come from, the piece."""
-        base, n = self.n_states, len(s)
-        log_alpha = [0.0] * (n + 1)
-        reach: list[float] = [base + 1.0]  # the start's own edge, never drawn
-        prev, piece = [base], [-1]
-        for e in range(1, n + 1):
-            found = []
-            for a in range(max(0, e - self.longest), e):
-                hit = self.plain.get(s[a:e])
-                if hit is not None:
-                    found.append((log_alpha[a] + hit[1], a, hit[0]))
-            if s[e - 1] not in self.plain:
-                found.append((log_alpha[e - 1] + self.fallback, e - 1, self._char(s[e - 1])))
-            top = max(x[0] for x in found)
-            weights = [math.exp(x[0] - top) for x in found]
-            total = sum(weights)
-            log_alpha[e] = top + math.log(total)
-            run = 0.0
-            for w, (_, a, p) in zip(weights, found, strict=True):
-                run += w
-                reach.append(base + e + min(run / total, 1.0))
-                prev.append(base + a)
-                piece.append(p)
-            reach[-1] = base + e + 1.0
-        return reach, prev, piece, n
-
-    def finals(self, hashes: np.ndarray, strings: list[str]) -> np.ndarray:
-        """The last state of each distinct string; hashes sorted."""
-        if self.n_edges > EDGES:
-            self.clear()
-        at = np.searchsorted(self.known, hashes)
-        there = at < len(self.known)
-        there[there] = self.known[at[there]] == hashes[there]
-        new = np.flatnonzero(~there)
-        if len(new):
-            reach, prev, piece, starts, finals = [], [], [], [], []
-            for k in new.tolist():
-                r, p, q, n = self.build(strings[k])
-                reach += r
-                prev += p
-                piece += q
-                starts.append(self.n_states)
-                self.n_states += n + 1
-                finals.append(self.n_states - 1)
-            have, need = self.n_edges, self.n_edges + len(reach)
-            for name, values in (("reach", reach), ("prev", prev), ("piece", piece)):
-                old = getattr(self, name)
-                if need > len(old):
-                    grown = np.zeros(max(need, 2 * len(old)), old.dtype)
-                    grown[:have] = old[:have]
-                    setattr(self, name, grown)
-                    old = grown
-                old[have:need] = values
-            self.n_edges = need
-            if self.n_states > len(self.start):
-                grown = np.zeros(max(self.n_states, 2 * len(self.start)), bool)
-                grown[: len(self.start)] = self.start
-                self.start = grown
-            self.start[starts] = True
-            known = np.concatenate([self.known, hashes[new]])
-            final = np.concatenate([self.final, np.array(finals, np.int64)])
-            order = np.argsort(known)
-            self.known, self.final = known[order], final[order]
-            at = np.searchsorted(self.known, hashes)
-        return self.final[at]
-
-    def sample(self, state: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward sampling for many lattices at once: (pieces in order, number of pieces of each)."""
-        active = np.arange(len(state))
-        state, seeds = state.copy(), seeds.copy()
+        self.byte_ids = np.zeros(256, np.int64)
+        for byte, i in model["byte_ids"].items():
+            self.byte_ids[byte] = i
+        by_length: dict[int, list] = {}
+        for p, (i, r) in model["plain"].items():
+            by_length.setdefault(len(p.encode()), []).append((p.encode(), i, -theta * math.log(r + 2)))
+        self.tables = {}
+        for n, found in sorted(by_length.items()):
+            joined = np.frombuffer(b"".join(x[0] for x in found), np.uint8)
+            at = np.arange(len(found)) * n
+            h = mix(range_hashes(prefix_hashes(joined), at, at + n))
+            order = np.argsort(h)
+            often = np.zeros(1 << 18, bool)
+            often[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+            self.tables[n] = (h[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order], often)
+
+    def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Edges of the strings' lattices: start, end (places in data), piece, log weight."""
+        n = len(data)
+        border = np.ones(n + 1, bool)
+        border[:n] = (data & 0xC0) != 0x80
+        border[offsets] = True
+        chars = np.flatnonzero(border)
+        for k in np.flatnonzero(np.diff(chars) > 4):  # no UTF-8: every byte is its own character
+            border[chars[k] : chars[k + 1]] = True
+        chars = np.flatnonzero(border)[:-1]
+        width = np.diff(np.append(chars, n))
+        stop = np.repeat(offsets[1:], np.diff(offsets))[chars] if n else chars
+        prefix = prefix_hashes(data)
+        single = np.zeros(len(chars), bool)
+        parts = []
+        live = np.arange(len(chars))
+        for length, (hashes, ids, weight, often) in self.tables.items():
+            live = live[chars[live] + length <= stop[live]]
+            who = live[border[chars[live] + length]]
+            at = chars[who]
+            h = mix(range_hashes(prefix, at, at + length))
+            hit = often[(h & np.uint64((1 << 18) - 1)).astype(np.int64)]
+            who, at, h = who[hit], at[hit], h[hit]
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[place] == h
+            who, at, place = who[hit], at[hit], place[hit]
+            single[who[width[who] == length]] = True
+            parts.append((at, at + length, ids[place], weight[place]))
+        rest = np.flatnonzero(~single)
+        if len(rest):
+            at, w = chars[rest], width[rest]
+            packed = np.zeros(len(rest), np.int64)
+            for k in range(4):
+                packed |= np.where(w > k, data[np.minimum(at + k, n - 1)].astype(np.int64) << (8 * k), 0)
+            parts.append((at, at + w, self.n_pieces + packed * 8 + w, np.full(len(rest), self.fallback)))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def forward(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        """Forward filtering of all strings, one distance from their start at a time.
+
+        States are the places that an edge ends at, numbered by (distance, place); `reach` holds for each edge its state
+        plus the cumulative share of the state's weight, so that one binary search draws an edge.
+        """
+        start, end, piece, weight = self.edges(data, offsets)
+        first = np.repeat(offsets[:-1], np.diff(offsets))
+        far = end - first[start]
+        order = np.lexsort((end, far))
+        start, end, piece, weight, far = start[order], end[order], piece[order], weight[order], far[order]
+        new = np.ones(len(end), bool)
+        new[1:] = end[1:] != end[:-1]
+        new[1:] |= far[1:] != far[:-1]
+        group = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        alpha = np.zeros(len(data) + 1)
+        share = np.empty(len(end))
+        steps = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]])) if len(far) else np.zeros(0, np.int64)
+        # alpha of a string's start is 0; the place is also the end of the string before it, whose value is kept apart
+        is_start = np.zeros(len(data) + 1, bool)
+        is_start[offsets[:-1]] = True
+        for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(far)], strict=True):
+            g = heads[group[a] : group[b - 1] + 1] - a
+            v = weight[a:b] + np.where(is_start[start[a:b]], 0.0, alpha[start[a:b]])
+            size = np.diff(np.append(g, b - a))
+            top = np.maximum.reduceat(v, g)
+            w = np.exp(v - np.repeat(top, size))
+            total = np.add.reduceat(w, g)
+            run = np.cumsum(w)
+            before = np.concatenate([[0.0], run[g[1:] - 1]])
+            share[a:b] = np.minimum((run - np.repeat(before, size)) / np.repeat(total, size), 1.0)
+            alpha[end[a:b][g]] = top + np.log(total)
+        self.reach = group + share
+        self.reach[np.append(heads[1:], len(end)) - 1] = np.arange(len(heads)) + 1.0
+        state = np.full(len(data) + 1, -1)
+        state[end[heads]] = np.arange(len(heads))
+        self.prev = np.where(is_start[start], -1, state[start])
+        self.piece = piece
+        self.final = state[offsets[1:]]
+
+    def sample(self, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backward sampling for many occurrences of the strings: (pieces in order, number of pieces of each)."""
+        active = np.argsort(which, kind="stable")  # neighbours in memory are drawn one after the other
+        state, seeds = self.final[which[active]], seeds[active]
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        count = np.zeros(len(state), np.int64)
-        reach = self.reach[: self.n_edges]
+        count = np.zeros(len(which), np.int64)
         t = 0
         while len(active):
             u = (mix(seeds + np.uint64(t * 0xD1342543DE82EF95 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(reach, state + u, side="right")
+            edge = np.searchsorted(self.reach, state + u, side="right")
             steps.append((active, self.piece[edge]))
             count[active] += 1
             state = self.prev[edge]
-            go = ~self.start[state]
+            go = state >= 0
             active, state, seeds = active[go], state[go], seeds[go]
             t += 1
         ends = np.cumsum(count)
-        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         for k, (who, what) in enumerate(steps):
             out[ends[who] - 1 - k] = what
         return out, count
 
+    def as_ids(self, found: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces with characters that have none written as byte pieces."""
+        odd = found >= self.n_pieces
+        if not odd.any():
+            return found.astype(np.int32), per_text
+        times = np.where(odd, (found - self.n_pieces) % 8, 1)
+        wide = np.repeat(found, times)
+        k = np.arange(len(wide)) - np.repeat(np.cumsum(times) - times, times)
+        byte = ((wide - self.n_pieces) // 8 >> (8 * k)) & 255
+        text = np.repeat(np.repeat(np.arange(len(per_text)), per_text), times)
+        ids = np.where(wide >= self.n_pieces, self.byte_ids[np.where(wide >= self.n_pieces, byte, 0)], wide)
+        return ids.astype(np.int32), np.bincount(text, minlength=len(per_text))[: len(per_text)].astype(np.int64)
+
 
 def encode_chunk(lat: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets of each text's ids) of a few texts."""
@@ -186,29 +205,17 @@ def encode_chunk(lat: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.
     last = np.append(first[1:], len(raw))
     h = mix(range_hashes(prefix_hashes(raw), first, last) + (last - first).astype(np.uint64))
     distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-    blob = raw.tobytes()
-    strings = [blob[a:b].decode("utf-8", "surrogateescape") for a, b in zip(first[where].tolist(), last[where].tolist(), strict=True)]
-    final = lat.finals(distinct, strings)
+    size = (last - first)[where]
+    word = np.concatenate([[0], np.cumsum(size)])
+    take = np.repeat(first[where] - word[:-1], size) + np.arange(word[-1])
+    lat.forward(raw[take], word)
     text_first = np.searchsorted(first, off)
     owner = np.repeat(np.arange(n), np.diff(text_first))
     place = (np.arange(len(first)) - text_first[owner]).astype(np.uint64)
     row = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    ids, count = lat.sample(final[inverse], mix(row[owner] + place * np.uint64(0x2545F4914F6CDD1D)))
+    found, count = lat.sample(inverse, mix(row[owner] + place * np.uint64(0x2545F4914F6CDD1D)))
     per_text = np.bincount(owner, weights=count, minlength=n)[:n].astype(np.int64) if len(owner) else np.zeros(n, np.int64)
-    if len(ids) and ids.max() >= lat.n_pieces:
-        times = np.ones(lat.n_pieces + len(lat.expand), np.int64)
-        times[lat.n_pieces :] = [len(x) for x in lat.expand]
-        reps = times[ids]
-        text_of = np.repeat(np.repeat(np.arange(n), per_text), reps)
-        wide = np.repeat(ids, reps)
-        ends = np.cumsum(reps)
-        k = np.arange(len(wide)) - np.repeat(ends - reps, reps)
-        table_ = np.zeros((len(times), 4), np.int32)
-        table_[: lat.n_pieces, 0] = np.arange(lat.n_pieces)
-        for j, x in enumerate(lat.expand):
-            table_[lat.n_pieces + j, : len(x)] = x
-        ids = table_[wide, k]
-        per_text = np.bincount(text_of, minlength=n)[:n].astype(np.int64)
+    ids, per_text = lat.as_ids(found, per_text)
     return ids, np.concatenate([[0], np.cumsum(per_text)])
 
 

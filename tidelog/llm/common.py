@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,12 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver find plans that nothing refers to any more, so that their shuffle files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,11 +5,13 @@ sets is at least SIMILAR per cent. Links are exact; what is spread over the clus
 
 1. Documents with equal sets are one class (grouped by the set's size and two 64-bit sums over it); its smallest doc_id
    stands for it from here on.
-2. Inverted lists. Sets are ordered by (frequent, hash); two sets that link share an element among their first
-   n - ceil(SIMILAR n / 100) + 1. Any common order is exact; `frequent` (in more than FREQUENT prefixes by hash alone, at
-   most MOST_FREQUENT of them, the most frequent ones) only keeps passages that many documents share out of prefixes.
-3. Sets that share such an element, directly or by way of others, are one candidate group. Groups of more than BLOCK
-   sets are searched block against block.
+2. Inverted lists of the first elements by hash. Sets that link share at least k elements among their first
+   n - ceil(SIMILAR n / 100) + k, whatever the order; k is 1 + n / EXTRA. A set with fewer elements on lists of two or
+   more there links with nothing and leaves; the lists are counted once more among those that stay.
+3. DivideSkip over those lists: lists of more than SHORT sets are set apart. A pair is a candidate if the short lists
+   that it shares, and the long ones that it can share at most, reach its k; where long lists alone reach k for both,
+   the two are candidates if they share one. Candidates, directly or by way of others, are one group; groups of more
+   than BLOCK sets are searched block against block.
 4. T-occurrence search in a block pair: elements on long lists are set apart as bitmaps; short lists are merged, counting
    occurrences; where these can still reach the overlap T that a pair needs, the long lists are probed for the rest.
    Only links leave the task, and of these only a spanning tree, with each document's number of links.
@@ -26,13 +28,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import LOWER, components, drop, materialise, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks, word_spans
+from tidelog.llm.common import LOWER, components, materialise, mix, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, word_spans
 
 WORDS, SIMILAR = 4, 85
-FREQUENT, MOST_FREQUENT = 48, 1_000_000
+EXTRA = 12
+SHORT = 64
 BLOCK = 512
 PAIRS_AT_ONCE = 1_000_000
 
@@ -73,17 +76,11 @@ def needed(n: np.ndarray, similar: int) -> np.ndarray:
     return -(-similar * n // 100)
 
 
-def _prefixes(key: np.ndarray, off: np.ndarray, frequent: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each set's first elements in the order (frequent, hash), and their offsets."""
+def _prefixes(key: np.ndarray, off: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's first n - needed + k elements by hash, and their offsets."""
     n = np.diff(off)
     who = np.repeat(np.arange(len(n)), n)
-    often = np.zeros(len(key), bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-        often = frequent[at] == key
-        order = np.lexsort((key, often, who))
-        key = key[order]
-    length = np.where(n > 0, n - needed(n, similar) + 1, 0)
+    length = np.where(n > 0, np.minimum(n - needed(n, similar) + 1 + n // EXTRA, n), 0)
     place = np.arange(len(key)) - off[:-1][who]
     return key[place < length[who]], np.concatenate([[0], np.cumsum(length)])
 
@@ -98,7 +95,6 @@ def _lists(x: np.ndarray, off: np.ndarray) -> pa.Array:
 
 def _sketch(words: int, similar: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
         for batch in batches:
             offsets, data = text_buffers(batch.column("text"))
             for a, b in text_chunks(offsets):
@@ -107,25 +103,12 @@ def _sketch(words: int, similar: int):
                 for salt in (0x1B873593, 0xCC9E2D51F):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key ^ np.uint64(salt)), dtype=np.uint64)])
                     sums.append(_longs(total[off[1:]] - total[off[:-1]]))
-                pre, pre_off = _prefixes(key, off, none, similar)
+                pre, pre_off = _prefixes(key, off, similar)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(off)), *sums, _lists(pre, pre_off)], names=["doc_id", "n", "d1", "d2", "prefix"])
 
     return run
 
 
-def _ordered_prefix(frequent_var, words: int, similar: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = frequent_var.value
-        for batch in batches:
-            offsets, data = text_buffers(batch.column("text"))
-            for a, b in text_chunks(offsets):
-                key, off = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                pre, pre_off = _prefixes(key, off, frequent, similar)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), _lists(pre, pre_off)], names=["doc_id", "prefix"])
-
-    return run
-
-
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,14 +239,29 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = materialise(d.mapInArrow(_sketch(words, similar), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "ngram-sketch")
     classes = materialise(sketch.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "ngram-classes")
-    often = sketch.select(F.explode("prefix").alias("element")).groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") > FREQUENT)
-    found = often.orderBy(F.desc("n"), "element").limit(MOST_FREQUENT).select("element").toPandas()["element"].to_numpy(np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "copies")
-    lists = d.mapInArrow(_ordered_prefix(frequent, words, similar), "doc_id long, prefix array<long>").join(reps.select("doc_id"), "doc_id", "left_semi")
-    by_element = Window.partitionBy("element")
-    posts = lists.select("doc_id", F.explode("prefix").alias("element")).withColumn("low", F.min("doc_id").over(by_element)).withColumn("high", F.max("doc_id").over(by_element))
-    groups = components(posts.where("low < high").select(F.col("doc_id").alias("a"), F.col("low").alias("b")), "ngram-groups")
+    # elements on lists of two or more; copies of a set count here, and no more from the next step on
+    rows = sketch.select("doc_id", F.explode("prefix").alias("element"))
+    shared = rows.groupBy("element").agg(F.count("*").alias("docs")).where("docs > 1")
+    posts = materialise(rows.join(shared, "element").select("doc_id", "element"), "ngram-posts")
+    # of a partner's k at least: it has no fewer than `similar` per cent of the elements
+    least = (1 + F.floor(F.ceil(F.col("n") * similar / 100) / EXTRA)).cast("long")
+    for _ in range(2):
+        stay = posts.groupBy("doc_id").agg(F.count("*").alias("found")).join(reps, "doc_id").where(F.col("found") >= least).select("doc_id", "n", least.alias("least"))
+        posts = posts.select("doc_id", "element").join(stay, "doc_id")
+        shared = posts.groupBy("element").agg(F.count("*").alias("docs")).where("docs > 1")
+        posts = materialise(posts.join(shared, "element").select("doc_id", "n", "least", "element", (F.col("docs") > SHORT).alias("long")), "ngram-posts")
+    release(spark)
+    on_long = posts.groupBy("doc_id").agg(F.sum(F.col("long").cast("long")).alias("n_long"))
+    posts = materialise(posts.join(on_long, "doc_id"), "ngram-posts")
+    a = posts.where("not long").select("element", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("n_long").alias("la"))
+    b = posts.where("not long").select("element", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("n_long").alias("lb"))
+    near = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
+    k = 1 + F.floor(F.least("na", "nb") / EXTRA)
+    pairs = a.join(b, "element").where(F.col("a") < F.col("b")).where(near).groupBy("a", "b").agg(F.count("*").alias("c"), F.first(k - F.least("la", "lb")).alias("need")).where("c >= need").select("a", "b")
+    longs = posts.where("long and n_long >= least").select("doc_id", "element")
+    star = longs.join(longs.groupBy("element").agg(F.min("doc_id").alias("b")), "element").where("b < doc_id").select(F.col("doc_id").alias("a"), "b").distinct()
+    groups = components(pairs.union(star), "ngram-groups")
     groups = materialise(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp")), "ngram-groups")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     member = groups.join(sizes, "grp").join(reps.select("doc_id", "copies"), "doc_id")
@@ -272,6 +270,8 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
     other = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     paired = sets.withColumn("other", F.explode(other)).select("doc_id", "grp", "block", "copies", "elements", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = materialise(paired.groupBy("grp", "i", "j").applyInPandas(_search(similar), _LINK), "ngram-links")
+    del sets, paired
+    release(spark)
     comp = components(links.where("a <> b").select("a", "b"), "ngram-components")
     comp = comp.select(F.col("id").alias("rep"), F.col("component"))
     counts = links.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))

@@ -14,12 +14,10 @@ Repeated rows are judged alike; a page_id may repeat or be null.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import table
+from tidelog.llm.common import materialise, table
 
 LEVELS = 3
 MAX_CHILDREN = 32
@@ -70,6 +68,7 @@ def templates(urls: DataFrame) -> DataFrame:
     for i in range(LEVELS):
         t = t.withColumn(f"g{i}", F.col(f"s{i}"))
     t = t.withColumn(f"g{LEVELS}", F.col(f"s{LEVELS}"))
+    t = materialise(t, "url-tree")  # each level reads the tree more than once
     for d in range(LEVELS):
         node = ["host", *[f"g{i}" for i in range(d)]]
         # children by name; their count per node is a grouped sum, so that a node with many never meets in one task
@@ -88,7 +87,7 @@ def templates(urls: DataFrame) -> DataFrame:
         members = Window.partitionBy(*node, F.col(f"g{d}") == "", "branch")
         named = lagged.withColumn("branch", branch).withColumn("label", F.min(f"g{d}").over(members)).withColumn("many", F.count("*").over(members))
         named = named.select(*node, f"g{d}", F.when(F.col("many") > 1, F.concat(F.lit("{"), "label", F.lit(" +"), F.col("many") - 1, F.lit("}"))).otherwise(F.col("label")).alias("name"))
-        t = t.join(named, [*node, f"g{d}"], "left").withColumn(f"g{d}", F.coalesce("name", F.lit("*"))).drop("name")
+        t = materialise(t.join(named, [*node, f"g{d}"], "left").withColumn(f"g{d}", F.coalesce("name", F.lit("*"))).drop("name"), "url-tree")
     g = [f"g{i}" for i in range(LEVELS + 1)]
     leaf = t.groupBy("host", *g).agg(F.sum("lab").alias("n_labelled"), F.sum("bad").alias("n_bad"))
     hosts = t.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"), F.lit(0).alias("one"))
@@ -136,6 +135,7 @@ def _sql() -> str:
         "lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
         f"t0 AS (SELECT host, {', '.join(s)}, {', '.join(f'{a} AS {b}' for a, b in zip(s, g, strict=True))}, count(lab.bad) AS lab, coalesce(sum(lab.bad), 0)::BIGINT AS bad FROM own LEFT JOIN lab ON try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) = lab.doc_id GROUP BY ALL)",
     ]
+    t = materialise(t, "url-tree")  # each level reads the tree more than once
     for d in range(LEVELS):
         node = ", ".join(["host", *g[:d]])
         on = " AND ".join(f"t{d}.{c} = n{d}.{c}" for c in ["host", *g[: d + 1]])

@@ -135,7 +135,6 @@ def _sql() -> str:
         "lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
         f"t0 AS (SELECT host, {', '.join(s)}, {', '.join(f'{a} AS {b}' for a, b in zip(s, g, strict=True))}, count(lab.bad) AS lab, coalesce(sum(lab.bad), 0)::BIGINT AS bad FROM own LEFT JOIN lab ON try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) = lab.doc_id GROUP BY ALL)",
     ]
-    t = materialise(t, "url-tree")  # each level reads the tree more than once
     for d in range(LEVELS):
         node = ", ".join(["host", *g[:d]])
         on = " AND ".join(f"t{d}.{c} = n{d}.{c}" for c in ["host", *g[: d + 1]])

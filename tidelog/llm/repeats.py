@@ -236,7 +236,13 @@ def _ranges(d, x, a, b) -> pa.RecordBatch:
 
 
 def _resolve(rows: pa.Table) -> pa.RecordBatch:
-    """Removed ranges of whole groups of spans."""
+    """Removed ranges of whole groups of spans. Repeated rows of the input bring a span more than once: one stays."""
+    keys = [rows.column(c).to_numpy() for c in ("h", "d", "x", "q")]
+    order = np.lexsort(keys[::-1])
+    once = np.ones(len(order), bool)
+    once[order[1:]] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    if not once.all():
+        rows = rows.filter(pa.array(once)).combine_chunks()
     h, d, x, q = (rows.column(c).to_numpy() for c in ("h", "d", "x", "q"))
     lead, more = (rows.column(c).to_numpy().astype(np.int64) for c in ("lead", "more"))
     offsets, data = text_buffers(rows.column("body"))

@@ -182,7 +182,7 @@ def test_suffix_sort_and_collisions(monkeypatch):
 
 def test_base_counts(spark, odd):
     texts = odd + ["a b c a b c", "x\nx\n x\nx\n\n\n", "#a *b\n$%&|<>", "a b c d a b c\n"]
-    got = {r["doc_id"]: tuple(r)[1:] for r in quality.base_table(frame(spark, texts, extra=True), ["doc_id"]).drop("_h").collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in quality.verdicts(frame(spark, texts, extra=True)).select("doc_id", *quality._BASE).collect()}
     assert got == {i: quality.base_counts((t or "").encode()) for i, t in enumerate(texts)}
 
 
@@ -312,7 +312,7 @@ def test_span_report(spark):
 
 
 def test_pieces_round_trip(spark, odd):
-    texts = odd + ["a▁b ▁", "\U0001f600 é", "  two  spaces ", "\x00\x7f", "日本語テキスト", "ab" * 40_000]
+    texts = ["several reasonable segmentations " * 30] * 2 + odd + ["a▁b ▁", "\U0001f600 é", "  two  spaces ", "\x00\x7f", "日本語テキスト", "ab" * 40_000]
     df = frame(spark, texts, extra=True)
     back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.encoded(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
@@ -434,7 +434,7 @@ def test_templates(spark):
     rows += [(1000 + i, f"http://b.net/p{chr(97 + i % 26)}{chr(97 + i // 26)}x/{1000 + i}") for i in range(100)]
     rows += [(2000, "http://a.net/spam/deep/er/2000.html"), (2001, "http://a.net/spam/9999.html"), (2002, "http://a.net/news/9998.html")]
     got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "url_id long, bad int")).collect()}
-    assert got[2001]["verdict"] == "block" and got[2002]["verdict"] == "allow" and got[1]["template"] == "/spam/{n}.html//" and got[1000]["template"].startswith("/*/{n}")
+    assert got[2001]["verdict"] == "block" and got[2002]["verdict"] == "allow" and got[1]["template"] == got[2001]["template"] and got[1000]["template"].startswith("/*/{n}")
 
 
 # --- chat ------------------------------------------------------------------------------------------------------------

@@ -155,13 +155,14 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mix as documents: each taken as often as the mix says, copies told apart by nothing but their number."""
-    m = mixed(docs, weights).select(F.col("doc_id").alias("d"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times"))
+    """The mix as documents: each as often as the mix takes it, copies told apart by nothing but their number."""
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    m = mixed(docs, weights).select(F.col("doc_id").alias("__mix_id"), times.alias("__mix_times"))
     # repeated ids: the k-th row of an id takes the k-th count, whichever way the rows are ordered
-    byid = Window.partitionBy("doc_id").orderBy("text", "source")
-    d = docs.withColumn("__k", F.row_number().over(byid))
-    m = m.withColumn("__k2", F.row_number().over(Window.partitionBy("d").orderBy("times")))
-    return d.join(m, d.doc_id.eqNullSafe(m.d) & (F.col("__k") == F.col("__k2"))).where("times > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    m = m.withColumn("__mix_k", F.row_number().over(Window.partitionBy("__mix_id").orderBy("__mix_times")))
+    d = docs.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source")))
+    both = d.join(m, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_n") == F.col("__mix_k")))
+    return both.where("__mix_times > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,8 +289,8 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
 def one_of_each(docs: DataFrame, words: int, similar: int) -> DataFrame:
     """The documents with the smallest doc_id of each component; a row that repeats a doc_id goes, one without stays."""
     found = joined(docs, words, similar)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    once = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__near_keep")).distinct()
+    once = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__near_keep"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(docs.where("doc_id is null"))
 
 

@@ -116,5 +116,6 @@ def needs_walk(rest: Column) -> Column:
 
 
 def by_name(name: Column, formats: tuple[LogFormat, ...], value) -> Column:
-    """value(format) of the format with that name, evaluated for that format alone."""
-    return reduce(lambda rest, f: F.when(name == f.name, value(f)).otherwise(rest), reversed(formats), F.lit(None))
+    """value(format) of the format with that name, evaluated for that format alone: one flat CASE."""
+    first, *rest = formats
+    return reduce(lambda case, f: case.when(name == f.name, value(f)), rest, F.when(name == first.name, value(first)))

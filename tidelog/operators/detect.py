@@ -48,8 +48,10 @@ def verdicts(scored: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) -> Dat
     format if it explains half of the lines, else only the closest.
     """
     options = F.array(*[F.struct(F.col(f"exp{i}").alias("explained"), F.lit(f.priority).alias("priority"), F.lit(-i).alias("place"), F.lit(f.name).alias("name"), F.col(f"rec{i}").alias("records")) for i, f in enumerate(formats)])
-    best = F.array_max(F.filter(options, lambda x: x["records"] > 0))
-    b = scored.withColumn("best", best)
+    # a grouped maximum over the file's own rows: no new exchange, and the choice is made once however often it is read
+    b = scored.select("path", "scanned", "ansi_lines", F.explode(options).alias("o")).groupBy("path").agg(
+        F.first("scanned").alias("scanned"), F.first("ansi_lines").alias("ansi_lines"), F.max(F.when(F.col("o.records") > 0, F.col("o"))).alias("best")
+    )
     hit = F.col("best").isNotNull() & (F.col("best.explained") * 2 >= F.col("scanned")) & (F.col("scanned") > 0)
     share = percent_text(F.col("best.explained"), F.col("scanned"))
     return b.select(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on, so that temporaries stay small however large the batch is.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,24 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def frugal(fn):
+    """fn over batches; when a task ends, its worker gives memory that it no longer uses back to the machine."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                try:
+                    ctypes.CDLL(None).malloc_trim(0)
+                except (AttributeError, OSError):  # another C library
+                    pass
+
+    return run
+
+
 def words_of(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

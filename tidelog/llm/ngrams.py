@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import LOWER, components, materialise, mix, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, word_spans
+from tidelog.llm.common import LOWER, components, frugal, materialise, mix, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, word_spans
 
 WORDS, SIMILAR = 4, 85
 EXTRA = 12
@@ -237,7 +237,7 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
     """doc_id, n_shingles, component_id, n_links: one row per row of docs."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = materialise(d.mapInArrow(_sketch(words, similar), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "ngram-sketch")
+    sketch = materialise(d.mapInArrow(frugal(_sketch(words, similar)), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "ngram-sketch")
     classes = materialise(sketch.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "ngram-classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "copies")
     # elements on lists of two or more; copies of a set count here, and no more from the next step on
@@ -266,7 +266,7 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     member = groups.join(sizes, "grp").join(reps.select("doc_id", "copies"), "doc_id")
     member = member.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    sets = member.join(d, "doc_id").select("doc_id", "grp", "block", "n_blocks", "copies", "text").mapInArrow(_sets(words), "doc_id long, grp long, block int, n_blocks int, copies long, elements array<long>")
+    sets = member.join(d, "doc_id").select("doc_id", "grp", "block", "n_blocks", "copies", "text").mapInArrow(frugal(_sets(words)), "doc_id long, grp long, block int, n_blocks int, copies long, elements array<long>")
     other = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     paired = sets.withColumn("other", F.explode(other)).select("doc_id", "grp", "block", "copies", "elements", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = materialise(paired.groupBy("grp", "i", "j").applyInPandas(_search(similar), _LINK), "ngram-links")

@@ -23,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks
+from tidelog.llm.common import frugal, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20240
 THETA = 1.0
+#: Bytes of text whose distinct strings are held as lattices at a time.
+LATTICE_BYTES = 600_000
 SYMBOL = "▁"
 
 
@@ -232,7 +234,7 @@ def _batches(model_var, seed: int, theta: float, emit):
         for batch in batches:
             offsets, data = text_buffers(batch.column("text"))
             keys = np.array([0 if k is None else int(k) for k in batch.column("doc_id").to_pylist()], np.int64)
-            for a, b in text_chunks(offsets):
+            for a, b in text_chunks(offsets, LATTICE_BYTES):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 ids, id_off = encode_chunk(lat, part, off, keys[a:b], seed)
                 yield emit(model, batch.slice(a, b - a), part, off, ids, id_off)
@@ -260,7 +262,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, theta: f
     """doc_id, n_pieces, ids: a sampled segmentation of every whole text."""
     var = docs.sparkSession.sparkContext.broadcast(load(model_path))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_batches(var, seed, theta, _ids), f"doc_id {kind}, n_pieces long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(frugal(_batches(var, seed, theta, _ids)), f"doc_id {kind}, n_pieces long, ids array<int>")
 
 
 def decoded(ids: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -281,7 +283,7 @@ def encoding_report(docs: DataFrame, model_path: str = MODEL, seed: int = SEED,
     """doc_id, n_bytes, n_pieces, ids_sha256 (of the ids as little-endian int32), lossless (decoding gave the text)."""
     var = docs.sparkSession.sparkContext.broadcast(load(model_path))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_batches(var, seed, theta, _digest), f"doc_id {kind}, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal(_batches(var, seed, theta, _digest)), f"doc_id {kind}, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

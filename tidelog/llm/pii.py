@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import table
+from tidelog.llm.common import frugal, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 #: Evidence from 0 to 1: what the pattern alone is worth, what a good checksum adds, what a context word adds or takes.
@@ -163,7 +163,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def span_report(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, the digest of the base spans, and all spans."""
-    return docs.select("doc_id", "text").mapInArrow(_report, _SPANS)
+    return docs.select("doc_id", "text").mapInArrow(frugal(_report), _SPANS)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

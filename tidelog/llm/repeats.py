@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import materialise, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks
+from tidelog.llm.common import frugal, materialise, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks
 
 LENGTH = 100
 ANCHOR = 32
@@ -306,7 +306,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed_ranges(docs: DataFrame) -> DataFrame:
     """d, x, a, b: byte ranges to remove, overlapping ones not yet merged. docs: d, x, text."""
-    raw = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(_spans, _SPAN)
+    raw = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(frugal(_spans), _SPAN)
     by_h, by_hs = Window.partitionBy("h"), Window.partitionBy("h", "s")
     seen = raw.withColumn("n", F.count("*").over(by_h)).withColumn("first", F.min(F.struct("d", "m", "p")).over(by_hs)).where("h is null or n > 1")
     seen = seen.withColumn("is_first", (F.col("first.d") == F.col("d")) & (F.col("first.m") == F.col("m")) & (F.col("first.p") == F.col("p")))
@@ -319,8 +319,8 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     whole = met.where("h is not null and not is_first").select("d", x.alias("x"), F.col("p").alias("a"), (F.col("p") + more + LENGTH).alias("b"))
     wants = met.where("h is not null and is_first and classes > 1").groupBy("d", x.alias("x")).agg(F.collect_set(F.struct("h", "p", F.col("m").bitwiseAND(65535).alias("m"), "classes")).alias("wants"))
     once = docs.join(wants, ["d", "x"]).select("text", "d", "x", "wants")
-    bodies = materialise(once.mapInArrow(_fetch, _BYTES), "repeats-bodies")
-    few = bodies.where(F.col("classes") <= MOST_SPANS).repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_groups, _RANGE)
+    bodies = materialise(once.mapInArrow(frugal(_fetch), _BYTES), "repeats-bodies")
+    few = bodies.where(F.col("classes") <= MOST_SPANS).repartition("h").sortWithinPartitions("h").mapInArrow(frugal(_sorted_groups), _RANGE)
     many = materialise(bodies.where(F.col("classes") > MOST_SPANS).mapInArrow(_windows, "w1 long, w2 long, d long, x long, a long"), "repeats-windows")
     lowest = many.groupBy("w1", "w2").agg(F.min(F.struct("d", "a", "x")).alias("low"), F.count("*").alias("n")).where("n > 1")
     late = many.join(lowest, ["w1", "w2"]).where((F.col("low.d") != F.col("d")) | (F.col("low.a") != F.col("a")) | (F.col("low.x") != F.col("x")))
@@ -359,7 +359,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d")
     ).withColumn("x", F.hash("text").cast("long"))
     gone = removed_ranges(own.select("d", "x", "text")).groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    return own.join(gone, ["d", "x"], "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return own.join(gone, ["d", "x"], "left").select("doc_id", "text", "gone").mapInArrow(frugal(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

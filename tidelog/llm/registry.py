@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": urls.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
+    "op3_ngram_join": ngrams.OP3_SQL,
     "op4_quality": quality.OP4_SQL,
 }

@@ -202,6 +202,20 @@ def test_common_lines_go(spark):
     assert quality.cleaned(df).columns == df.columns and quality.verdicts(df.limit(0)).count() == 0
 
 
+def test_lines_count_by_document(spark):
+    rng = random.Random(7)
+    clean = [babble(rng, 80) for _ in range(40)]
+    frames = ["Home News About Contact", "All rights reserved, nobody at all", "Share this page now"]
+    texts = ["\n".join([frames[0], c, *frames[1:]]) for c in clean]
+    other = [babble(rng, 80) for _ in range(10)]
+    rare = ["Seen on few pages\n" + babble(rng, 80) for _ in range(25)]
+    copies = [babble(rng, 120)] * 1500  # once each in the lines' counts and in their host's
+    df = frame(spark, texts + other + rare + copies, sources=["a"] * 50 + ["b"] * (25 + 1500))
+    got = {r["doc_id"]: r["n_removed"] for r in quality.verdicts(df).collect()}
+    assert [got[i] for i in range(50)] == [sum(len(x.split()) for x in frames)] * 40 + [0] * 10
+    assert [got[i] for i in range(50, 75)] == [4] * 25 and got[75] == 0
+
+
 def test_quality_odd_rows(spark):
     text = babble(random.Random(1), 80)
     df = spark.createDataFrame([(5, text, None), (5, text, None), (None, text, "a"), (3, None, "a"), (4, "", None)], "doc_id long, text string, source string")

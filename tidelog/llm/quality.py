@@ -1,10 +1,10 @@
 """Quality rules: lines that many documents of a host share are removed, and documents with too little left are rejected.
 
 A line is normalised (lower case, digits to 0, white space to single blanks, trimmed) and hashed. Per host (the source
-column, null being a host of its own) distinct documents are counted for every line; documents whose smallest other
-line hash agrees count once, so that copies of one document do not make its own lines look like boilerplate. Lines
-above both limits are removed from the text; a document is rejected when it fails the base rules, or when fewer than
-MIN_LEFT of its words are left.
+column, null being a host of its own) distinct documents are counted for every line, and in all; exact copies count once
+in both, so that copies of one document do not make its own lines look like boilerplate. Lines above both limits are
+removed from the text; a document is rejected when it fails the base rules, or when fewer than MIN_LEFT of its words are
+left.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. Blank lines are never
 counted or removed. Counts cover the whole table; grouped sums are pre-aggregated before each shuffle, so a host with a
@@ -142,23 +142,27 @@ def base_failed(words: Column, repeated: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, x, host, pos, key, words, other): lines that hold a word; x: the text's hash; other: its smallest other line."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("x"), F.col("source").alias("host"), F.split(F.col("text"), "\n", -1).alias("lines"))
-    keyed = split.select("doc_id", "x", "host", F.transform("lines", lambda x: F.struct(F.md5(normalised(x)).alias("key"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))).alias("l"))
-    keyed = keyed.select("doc_id", "x", "host", F.filter("l", lambda x: x.words > 0).alias("l"))
-    low = F.array_sort(F.array_distinct(F.transform("l", lambda x: x.key)))
-    keyed = keyed.withColumn("low", F.slice(low, 1, 2))
-    return keyed.select("doc_id", "x", "host", "low", F.posexplode("l").alias("pos", "l")).select(
-        "doc_id", "x", "host", "pos", F.col("l.key").alias("key"), F.col("l.words").alias("words"),
-        F.coalesce(F.when(F.col("low")[0] != F.col("l.key"), F.col("low")[0]).otherwise(F.get("low", F.lit(1))), F.lit("")).alias("other"),
-    )
+    """Rows (doc_id, x, whole, host, pos, key, words): lines that hold a word; x, whole: 64 and 128 bits of the text's hash."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("x"), _whole().alias("whole"), F.col("source").alias("host"), F.split(F.col("text"), "\n", -1).alias("lines"))
+    keyed = split.select("doc_id", "x", "whole", "host", F.transform("lines", lambda x: F.struct(F.md5(normalised(x)).alias("key"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))).alias("l"))
+    keyed = keyed.select("doc_id", "x", "whole", "host", F.filter("l", lambda x: x.words > 0).alias("l"))
+    return keyed.select("doc_id", "x", "whole", "host", F.posexplode("l").alias("pos", "l")).select("doc_id", "x", "whole", "host", "pos", F.col("l.key").alias("key"), F.col("l.words").alias("words"))
+
+
+def _whole() -> Column:
+    """What tells documents apart: copies share it. A null text is an empty one."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def _distinct(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows (*key, n): distinct documents of each key, in two steps, so that no key's rows meet in one task."""
+    return rows.groupBy(*key, "whole").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n"))
 
 
 def common_lines(docs: DataFrame) -> DataFrame:
     """Rows (host, key): lines above both limits among the host's distinct documents."""
-    lines = _lines(docs)
-    per_line = lines.groupBy("host", "key", "other").agg(F.lit(1).alias("one")).groupBy("host", "key").agg(F.count("*").alias("n_docs"))
-    hosts = docs.groupBy(F.col("source").alias("h")).agg(F.count("*").alias("host_docs"))
+    per_line = _distinct(_lines(docs), "host", "key").withColumnRenamed("n", "n_docs")
+    hosts = _distinct(docs.select(F.col("source").alias("h"), _whole().alias("whole")), "h").withColumnRenamed("n", "host_docs")
     return per_line.where(F.col("n_docs") > MIN_DOCS).join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n_docs") > MAX_SHARE * F.col("host_docs")).select("host", "key")
 
 

@@ -451,6 +451,24 @@ def test_templates(spark):
     assert got[2001]["verdict"] == "block" and got[2002]["verdict"] == "allow" and got[1]["template"] == got[2001]["template"] and got[1000]["template"].startswith("/*/{n}")
 
 
+def labelled_urls(spark, sections):
+    """Pages of urls {section: (pages, bad)} and their labels."""
+    rows, bad = [], []
+    for section, (n, n_bad) in sections.items():
+        for i in range(n):
+            bad.append((len(rows), int(i < n_bad)))
+            rows.append((len(rows), f"http://c.net/{section}/{len(rows)}"))
+    return spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "url_id long, bad int")
+
+
+def test_wide_nodes_keep_labelled_children(spark):
+    many = {"good" + chr(97 + i // 26) + chr(97 + i % 26): (12, 0) for i in range(40)}
+    pages, bad = labelled_urls(spark, many | {"spam": (100, 100)} | {"one" + chr(97 + i): (1, 1) for i in range(20)})
+    got = [(r["path"].split("/")[1], r["verdict"], r["template"]) for r in urls.judged(pages, bad).collect()]
+    assert all(v == ("block" if s == "spam" else "allow") for s, v, _ in got if not s.startswith("one"))
+    assert all(t.startswith("/*/") == s.startswith("one") for s, _, t in got)
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 CALLS = "conv_id long, turn long, role string, text string, calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, call_id string"

@@ -2,8 +2,8 @@
 
 Only DataFrame functions. A url's path is cut at '/'; the first LEVELS segments make its template, deeper ones become
 '**'. Within a segment, runs of digits become '{n}' and long hexadecimal strings '{h}'. Then, level by level from the
-root: where a node of the tree has more than MAX_CHILDREN different children they become one wildcard '*'; the other
-children are sorted by their rate of bad labels and neighbours whose rates don't differ (two-proportion z below MAX_Z)
+root: where a node of the tree has more than MAX_CHILDREN different children, those of fewer than MIN_LABELS labels become
+one wildcard '*' (what ends the path there does not); all other children, however many, are sorted by their rate of bad labels and neighbours whose rates don't differ (two-proportion z below MAX_Z)
 merge into one branch. A template is blocked where its share of bad labels, smoothed by its host's and that by the
 corpus's, reaches BLOCK_AT. Explicit rules come first: the longest that fits a host and path decides.
 
@@ -21,6 +21,8 @@ from tidelog.llm.common import materialise, table
 
 LEVELS = 3
 MAX_CHILDREN = 32
+#: Labels that a child needs to be kept in a node of more children; as many as its host's rate counts for.
+MIN_LABELS = 10
 MAX_Z = 2.0
 #: How many labels the host's rate (and for a host, the corpus's) counts for.
 SMOOTHING = 10.0
@@ -74,7 +76,7 @@ def templates(urls: DataFrame) -> DataFrame:
         # children by name; their count per node is a grouped sum, so that a node with many never meets in one task
         child = t.groupBy(*node, f"g{d}").agg(F.sum("lab").alias("c_lab"), F.sum("bad").alias("c_bad"))
         fan = child.groupBy(*node).agg(F.count("*").alias("fan"))
-        small = child.join(fan, node).where(F.col("fan") <= MAX_CHILDREN)
+        kept = child.join(fan, node).where((F.col("fan") <= MAX_CHILDREN) | (F.col("c_lab") >= MIN_LABELS) | (F.col(f"g{d}") == ""))
         by_rate = Window.partitionBy(*node).orderBy(F.col("c_bad") / F.greatest("c_lab", F.lit(1)), "c_lab", f"g{d}")
         pooled = (F.col("c_bad") + F.lag("c_bad").over(by_rate)) / F.greatest(F.col("c_lab") + F.lag("c_lab").over(by_rate), F.lit(1))
         gap = F.col("c_bad") / F.greatest("c_lab", F.lit(1)) - F.lag("c_bad").over(by_rate) / F.greatest(F.lag("c_lab").over(by_rate), F.lit(1))
@@ -82,7 +84,7 @@ def templates(urls: DataFrame) -> DataFrame:
         apart = F.coalesce((F.col("c_lab") > 0) & (F.lag("c_lab").over(by_rate) > 0) & (gap > MAX_Z * width), F.lit(False))
         # an empty segment ends the path here: never one branch with those that go on
         kinds = Window.partitionBy(*node, F.col(f"g{d}") == "").orderBy(*[F.col("c_bad") / F.greatest("c_lab", F.lit(1)), F.col("c_lab"), F.col(f"g{d}")])
-        lagged = small.withColumn("apart", apart.cast("int"))
+        lagged = kept.withColumn("apart", apart.cast("int"))
         branch = F.sum("apart").over(kinds.rowsBetween(Window.unboundedPreceding, 0))
         members = Window.partitionBy(*node, F.col(f"g{d}") == "", "branch")
         named = lagged.withColumn("branch", branch).withColumn("label", F.min(f"g{d}").over(members)).withColumn("many", F.count("*").over(members))

@@ -469,6 +469,19 @@ def test_wide_nodes_keep_labelled_children(spark):
     assert all(t.startswith("/*/") == s.startswith("one") for s, _, t in got)
 
 
+def test_branches_hold_no_differing_children(spark):
+    sections = {"s" + chr(97 + i): (100, 5 * i) for i in range(20)}
+    pages, bad = labelled_urls(spark, sections)
+    branch: dict = {}
+    for r in urls.judged(pages, bad).collect():
+        branch.setdefault(r["template"].split("/")[1], set()).add((sections[r["path"].split("/")[1]][1], r["verdict"]))
+    for rates in branch.values():
+        low, high = min(rates)[0], max(rates)[0]
+        p = (low + high) / 200
+        assert high - low <= 100 * urls.MAX_Z * (p * (1 - p) / 50) ** 0.5
+    assert {x for b in branch.values() for x in b if x[0] >= 65} == {(5 * i, "block") for i in range(13, 20)}
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 CALLS = "conv_id long, turn long, role string, text string, calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, call_id string"

@@ -3,18 +3,20 @@
 Only DataFrame functions. A url's path is cut at '/'; the first LEVELS segments make its template, deeper ones become
 '**'. Within a segment, runs of digits become '{n}' and long hexadecimal strings '{h}'. Then, level by level from the
 root: where a node of the tree has more than MAX_CHILDREN different children, those of fewer than MIN_LABELS labels become
-one wildcard '*' (what ends the path there does not); all other children, however many, are sorted by their rate of bad labels and neighbours whose rates don't differ (two-proportion z below MAX_Z)
-merge into one branch. A template is blocked where its share of bad labels, smoothed by its host's and that by the
-corpus's, reaches BLOCK_AT. Explicit rules come first: the longest that fits a host and path decides.
-
-Counts are grouped sums over all urls; tables of templates, not of urls, are windowed, MAX_CHILDREN rows at most to a
-node. Null urls and urls without '://' have empty host and path and are judged as the template of that empty path.
+one wildcard '*' (what ends the path there does not); all other children, however many, are sorted by their rate of bad
+labels, and each joins the branch of those before it unless its rate differs (two-proportion z over MAX_Z) from that of
+the whole branch or of any rate in it. A template is blocked where its share of bad labels, smoothed by its host's and
+that by the corpus's, reaches BLOCK_AT. Explicit rules come first: the longest that fits a host and path decides.
+
+Counts are grouped sums over all urls. What is walked in order is a node's different rates, children of one rate being
+one item: far fewer than its children.
+Null urls and urls without '://' have empty host and path and are judged as the template of that empty path.
 Repeated rows are judged alike; a page_id may repeat or be null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialise, table
@@ -60,6 +62,27 @@ def segments(path: Column) -> list[Column]:
     return [*out, F.when(F.size(parts) > LEVELS, "**").otherwise("")]
 
 
+def _apart(low: Column, high: Column) -> Column:
+    """Whether labels differ: two-proportion z over MAX_Z, of structs with lab and bad."""
+    n, m = F.greatest(low["lab"], F.lit(1)), F.greatest(high["lab"], F.lit(1))
+    pooled = (low["bad"] + high["bad"]) / (n + m)
+    width = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.0)) * (1 / n + 1 / m))
+    return (low["lab"] > 0) & (high["lab"] > 0) & (high["bad"] / m - low["bad"] / n > MAX_Z * width)
+
+
+def _cuts(rates: Column) -> Column:
+    """The rates at which a branch begins, of structs (rate, lab, bad) in order: where one differs from the whole of the branch before it, or from any of its parts."""
+
+    def step(branch: Column, x: Column) -> Column:
+        apart = _apart(branch, x) | F.exists(branch["parts"], lambda y: _apart(y, x))
+        return F.when(apart, F.struct(x["lab"].alias("lab"), x["bad"].alias("bad"), F.array(x).alias("parts"), F.concat(branch["cuts"], F.array(x["rate"])).alias("cuts"))).otherwise(
+            F.struct((branch["lab"] + x["lab"]).alias("lab"), (branch["bad"] + x["bad"]).alias("bad"), F.concat(branch["parts"], F.array(x)).alias("parts"), branch["cuts"].alias("cuts"))
+        )
+
+    none = F.struct(F.lit(0).cast("long").alias("lab"), F.lit(0).cast("long").alias("bad"), F.filter(rates, lambda x: F.lit(False)).alias("parts"), F.array().cast("array<double>").alias("cuts"))
+    return F.aggregate(rates, none, step, lambda branch: branch["cuts"])
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """The tree's leaves: host, s0.. (as in the urls), g0.. (generalised), n_labelled, n_bad, share, blocked.
 
@@ -77,17 +100,13 @@ def templates(urls: DataFrame) -> DataFrame:
         child = t.groupBy(*node, f"g{d}").agg(F.sum("lab").alias("c_lab"), F.sum("bad").alias("c_bad"))
         fan = child.groupBy(*node).agg(F.count("*").alias("fan"))
         kept = child.join(fan, node).where((F.col("fan") <= MAX_CHILDREN) | (F.col("c_lab") >= MIN_LABELS) | (F.col(f"g{d}") == ""))
-        by_rate = Window.partitionBy(*node).orderBy(F.col("c_bad") / F.greatest("c_lab", F.lit(1)), "c_lab", f"g{d}")
-        pooled = (F.col("c_bad") + F.lag("c_bad").over(by_rate)) / F.greatest(F.col("c_lab") + F.lag("c_lab").over(by_rate), F.lit(1))
-        gap = F.col("c_bad") / F.greatest("c_lab", F.lit(1)) - F.lag("c_bad").over(by_rate) / F.greatest(F.lag("c_lab").over(by_rate), F.lit(1))
-        width = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest("c_lab", F.lit(1)) + 1 / F.greatest(F.lag("c_lab").over(by_rate), F.lit(1))))
-        apart = F.coalesce((F.col("c_lab") > 0) & (F.lag("c_lab").over(by_rate) > 0) & (gap > MAX_Z * width), F.lit(False))
-        # an empty segment ends the path here: never one branch with those that go on
-        kinds = Window.partitionBy(*node, F.col(f"g{d}") == "").orderBy(*[F.col("c_bad") / F.greatest("c_lab", F.lit(1)), F.col("c_lab"), F.col(f"g{d}")])
-        lagged = kept.withColumn("apart", apart.cast("int"))
-        branch = F.sum("apart").over(kinds.rowsBetween(Window.unboundedPreceding, 0))
-        members = Window.partitionBy(*node, F.col(f"g{d}") == "", "branch")
-        named = lagged.withColumn("branch", branch).withColumn("label", F.min(f"g{d}").over(members)).withColumn("many", F.count("*").over(members))
+        # an empty segment ends the path here: never one branch with those that go on; children of one rate never differ
+        kept = kept.withColumn("ends", F.col(f"g{d}") == "").withColumn("rate", F.col("c_bad") / F.greatest("c_lab", F.lit(1)))
+        rates = kept.groupBy(*node, "ends", "rate").agg(F.sum("c_lab").alias("lab"), F.sum("c_bad").alias("bad"))
+        cut = rates.groupBy(*node, "ends").agg(_cuts(F.array_sort(F.collect_list(F.struct("rate", "lab", "bad")))).alias("cuts"))
+        named = kept.join(cut, [*node, "ends"]).withColumn("branch", F.size(F.filter("cuts", lambda x: x <= F.col("rate"))))
+        members = named.groupBy(*node, "ends", "branch").agg(F.min(f"g{d}").alias("label"), F.count("*").alias("many"))
+        named = named.join(members, [*node, "ends", "branch"])
         named = named.select(*node, f"g{d}", F.when(F.col("many") > 1, F.concat(F.lit("{"), "label", F.lit(" +"), F.col("many") - 1, F.lit("}"))).otherwise(F.col("label")).alias("name"))
         t = materialise(t.join(named, [*node, f"g{d}"], "left").withColumn(f"g{d}", F.coalesce("name", F.lit("*"))).drop("name"), "url-tree")
     g = [f"g{i}" for i in range(LEVELS + 1)]

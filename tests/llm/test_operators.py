@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +398,17 @@ def test_recall_and_odd_vectors(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id < 3")).count() == 2
 
 
+@pytest.mark.parametrize("n", [399, 1203, 3990])
+def test_copies_tie_exactly(n):
+    rng = np.random.default_rng(n)
+    ids = rng.permutation(n)
+    for dim in (33, 64):
+        rows = pd.DataFrame({"uid": np.arange(n), "vec_id": ids, "vec": [rng.normal(size=dim)] * n})
+        asks = pd.DataFrame({"uid": n + np.arange(500), "vec_id": n + np.arange(500), "vec": list(rng.normal(size=(500, dim)))})
+        got = ann._nearest(5)(asks, rows)
+        assert all(list(g["vec_id"]) == list(range(10)) and g["score"].nunique() == 1 for _, g in got.groupby("query_uid")) and got["query_uid"].nunique() == 500
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 A unit vector is padded to a power of two and turned by a pseudo-rotation (three rounds of random signs and a fast
 Hadamard transform) per table; its bucket is the nearest signed axis. Every row is indexed in TABLES tables. A query
 probes in each table the PROBES axes nearest to its rotated self (multiprobe), and every candidate met is reranked by
-its exact cosine in double precision; nothing is cut before the reranking.
+its exact cosine in double precision, summed in one fixed order so that copies tie exactly; nothing is cut before.
 
 Buckets of any size are split: rows of a bucket are dealt over as many parts as its count asks for (PART rows each) and
 its queries go to each part, themselves in parts of QUERY_PART. A task holds one such part. A query that meets fewer
@@ -30,6 +30,8 @@ PROBES = 12
 SEED = 11
 PART = 4_000
 QUERY_PART = 500
+#: Pairs that are scored at once.
+PAIRS = 20_000
 NEAREST = 5
 EVERY = 50
 
@@ -98,21 +100,45 @@ def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :]
 
 
+def paired(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of q with those of v, one to one, summed in one fixed order: equal rows have equal scores, unlike in a matrix product."""
+    q = q / np.abs(q).max(axis=1)[:, None]
+    v = v / np.abs(v).max(axis=1)[:, None]
+    dot, qq, vv = np.zeros(len(q)), np.zeros(len(q)), np.zeros(len(q))
+    for a, b in zip(q.T, v.T, strict=True):
+        dot += a * b
+        qq += a * a
+        vv += b * b
+    return dot / np.sqrt(qq) / np.sqrt(vv)
+
+
 def _nearest(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_uid": [], "query_id": [], "uid": [], "vec_id": [], "score": []}).astype({"query_uid": "int64", "query_id": "int64", "uid": "int64", "vec_id": "int64", "score": "float64"})
-        score = cosine(np.stack(queries["vec"].to_list()), np.stack(rows["vec"].to_list()))
-        ids, uids, qids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy(), queries["vec_id"].to_numpy()
+        asked, held = np.stack(queries["vec"].to_list()), np.stack(rows["vec"].to_list())
+        score = cosine(asked, held)
+        ids, uids, qids, quids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy(), queries["vec_id"].to_numpy(), queries["uid"].to_numpy()
         score[qids[:, None] == ids[None, :]] = -np.inf
-        out = []
-        for i, quid in enumerate(queries["uid"].to_numpy()):
-            s = score[i]
+        out, picks = [], []
+
+        def ranked() -> None:
+            own = np.repeat([i for i, _ in picks], [len(pick) for _, pick in picks])
+            at = np.concatenate([pick for _, pick in picks])
+            s = np.concatenate([paired(asked[own[a : a + PAIRS]], held[at[a : a + PAIRS]]) for a in range(0, max(len(at), 1), PAIRS)])
+            order = np.lexsort((uids[at], ids[at], -s, own))
+            own, at, s = own[order], at[order], s[order]
+            best = np.arange(len(own)) - np.searchsorted(own, own) < 2 * k
+            own, at, s = own[best], at[best], s[best]
+            out.append(pd.DataFrame({"query_uid": quids[own], "query_id": qids[own], "uid": uids[at], "vec_id": ids[at], "score": s}))
+            picks.clear()
+
+        for i, s in enumerate(score):
             # all that tie with the k-th stay in the choice, so that ties end with the smaller id
             pick = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12)
-            pick = pick[s[pick] > -np.inf]
-            pick = pick[np.lexsort((uids[pick], ids[pick], -s[pick]))][: 2 * k]
-            out.append(pd.DataFrame({"query_uid": quid, "query_id": qids[i], "uid": uids[pick], "vec_id": ids[pick], "score": s[pick]}))
+            picks.append((i, pick[s[pick] > -np.inf]))
+            if sum(len(pick) for _, pick in picks[-64:]) > PAIRS or i == len(score) - 1 or len(picks) == 64:
+                ranked()
         return pd.concat(out, ignore_index=True)
 
     return run

@@ -93,7 +93,7 @@ def known_facts(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
 @query("scan_lines", f"WITH l AS ({lines_sql('prose')}) SELECT path, line_no, length(raw)::BIGINT AS n_chars FROM l")
 def scan_lines(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return reader.split_lines(docs).select("path", "line_no", F.length("raw").cast("long").alias("n_chars"))
+    return reader.split_lines(docs, whole=True).select("path", "line_no", F.length("raw").cast("long").alias("n_chars"))
 
 
 _CAP_L, _CAP_B = 5, 600

@@ -51,12 +51,12 @@ def files(spark: SparkSession, path: str | list[str], max_size: int | None = Non
     return f.select("path", F.col("length").alias("size"), outcome.alias("outcome"), F.when(outcome == "ok", F.col("content")).alias("content"))
 
 
-def split_lines(docs: DataFrame, text: str = "text", final_empty: bool = True) -> DataFrame:
-    """path, line_no, raw of whole texts. With final_empty a text that ends in a newline has an empty last line."""
+def split_lines(docs: DataFrame, text: str = "text", final_empty: bool = True, whole: bool = False) -> DataFrame:
+    """path, line_no, raw of whole texts, lines cut to MAX_LINE unless whole. With final_empty a text that ends in a newline has an empty last line."""
     parts = F.split(F.col(text), "\n", -1)
     if not final_empty:
         parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return docs.select("path", F.posexplode(parts).alias("line_no", "raw")).select("path", F.col("line_no").cast("long").alias("line_no"), F.substring("raw", 1, MAX_LINE).alias("raw"))
+    return docs.select("path", F.posexplode(parts).alias("line_no", "raw")).select("path", F.col("line_no").cast("long").alias("line_no"), F.col("raw") if whole else F.substring("raw", 1, MAX_LINE).alias("raw"))
 
 
 def read_documents(spark: SparkSession, path: str | list[str], fallback: str = "UTF-8") -> DataFrame:

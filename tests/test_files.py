@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from tidelog.functions.formats import BY_NAME, LogFormat
-from tidelog.operators import detect, facts, frames, index, status
+from tidelog.operators import carry, detect, facts, frames, index, status
 from tidelog.sources import corpora, reader
 from tidelog.streaming import tail
 
@@ -123,7 +123,7 @@ def test_document_lines_and_offsets(log):
 
 def test_blocks_do_not_change_offsets(spark):
     l = corpora.big_log(spark, 3000)
-    a, b = (sorted(map(tuple, index.line_starts(l, block=k).collect())) for k in (None, 64))
+    a, b = (sorted(map(tuple, index.line_starts(l, block=k).collect())) for k in (65_536, 64))
     assert a == b and [r[1] for r in a] == list(range(len(a)))
 
 
@@ -195,7 +195,7 @@ def test_tail_counts(log):
 
 
 def test_growth():
-    before = {"offset": 18, "marked": 4, "mark": __import__("hashlib").sha256(b"abcd").hexdigest()}
+    before = {"seen": 18, "marked": 4, "mark": __import__("hashlib").sha256(b"abcd").hexdigest()}
     assert [tail.growth(*x) for x in ((None, 3, b"a"), (before, 18, b"abcdX"), (before, 29, b"abcdX"), (before, 10, b"abcdX"), (before, 29, b"xbcdX"))] == ["new", "same", "appended", "rewritten", "rewritten"]
 
 
@@ -206,7 +206,7 @@ def test_tail_stream(spark, tmp_path, log):
     path = logs / "a.log"
     path.write_text(R.format("INFO", "1") + "\n" + R.format("ERROR", "2"))
     v = spark.createDataFrame([(str(path), "matched", "Logback / Log4j 2")], "path string, outcome string, format string")
-    stream = spark.readStream.format("tail").load(str(logs))
+    stream = tail.lines_of(spark.readStream.format("tail").load(str(logs)))
     q = stream.writeStream.foreachBatch(tail.facts_batch(store, v)).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
 
     def settled(n):
@@ -230,5 +230,86 @@ def test_tail_stream(spark, tmp_path, log):
         q.stop()
 
 
+def test_chunks_hold_whole_lines(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail, "CHUNK", 64)
+    for k, (charset, mark) in enumerate((("utf-8", b"\xef\xbb\xbf"), ("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"))):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        text = "".join(f"line é {i} " + "x" * (i * 37 % 200) + "\n" for i in range(60))
+        path = folder / "a.log"
+        path.write_bytes(mark + (text + "open").encode(charset))
+        reader_, offset, rows = tail._Reader(str(folder), 500), {}, []
+        for _ in range(60):
+            chunks, after = reader_.read(offset)
+            chunks = list(chunks)
+            assert list(reader_.readBetweenOffsets(offset, after))[-1:] == chunks[-1:]
+            rows += chunks
+            if after == offset:
+                break
+            offset = after
+        raw = path.read_bytes()
+        got = [x for c in rows for x in raw[c[3] : c[4]].decode(charset).split("\n")[:-1]]
+        assert got == text.split("\n")[:-1] and [c[2] for c in rows] == [sum(raw[d[3] : d[4]].decode(charset).count("\n") for d in rows[:i]) for i in range(len(rows))]
+
+
+def test_lines_by_charset_and_heads(spark, tmp_path):
+    text = "one é\ntwo " + "y" * 70_000 + "\nthree"
+    (tmp_path / "u8.log").write_bytes(b"\xef\xbb\xbf" + text.encode())
+    (tmp_path / "le.log").write_bytes(text.encode("utf-16"))
+    (tmp_path / "be.log").write_bytes(b"\xfe\xff" + text.encode("utf-16-be"))
+    (tmp_path / "l1.log").write_bytes("caf\xe9".encode("latin-1"))
+    by: dict = {}
+    for r in reader.read_lines(spark, str(tmp_path), fallback="ISO-8859-1").orderBy("line_no").collect():
+        by.setdefault(os.path.basename(r["path"]), []).append(r["raw"])
+    assert by == {"u8.log": text.split("\n"), "le.log": text.split("\n"), "be.log": text.split("\n"), "l1.log": ["caf\xe9"]}
+    heads = {os.path.basename(r["path"]): r for r in reader.read_heads(spark, str(tmp_path / "u8.log"), 9, 40).collect()}
+    assert (heads["u8.log"]["raw"], heads["u8.log"]["hit_bytes"], heads["u8.log"]["has_more_lines"]) == ("one é", True, False)
+    assert [r["has_more_lines"] for r in reader.read_heads(spark, str(tmp_path / "le.log"), 2, 10**7).collect()] == [True, True]
+
+
+def test_long_lines_stay_whole(log):
+    l = log({"a": "2026-10-01 09:14:02 INFO x\n2026-10-01 09:14:02 INFO " + "x" * 70_000 + " needle\nlast"})
+    assert [r["start_offset"] for r in index.line_starts(l).orderBy("line_no").collect()][2] == 27 + 70_033
+    assert one(detect.detect(l))["matched"] == 2 and l.where(F.contains("raw", F.lit("needle"))).count() == 1
+
+
+def test_blocks_agree_with_one_window(spark):
+    rng = random.Random(5)
+    f = marks(spark, "".join(rng.choice("EI-.....") for _ in range(300))).unionByName(marks(spark, "".join(rng.choice("I.") for _ in range(97))).withColumn("path", F.lit("q")))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for block in (1, 7, 64):
+        assert rows(facts.hidden(f, {"ERROR"}, block=block)) == rows(facts.hidden(f, {"ERROR"}))
+        assert rows(facts.fold_runs(f, {"ERROR"}, block=block)) == rows(facts.fold_runs(f, {"ERROR"}))
+        assert rows(facts.record_ids(f, block)) == rows(facts.record_ids(f))
+        for forward in (True, False):
+            assert rows(facts.error_walk(f, forward, block)) == rows(facts.error_walk(f, forward))
+        assert rows(carry.with_next(f, block, _n=F.col("raw"))) == rows(carry.with_next(f, _n=F.col("raw")))
+        assert rows(reader.bounded(f, 50, 90, block=block)) == rows(reader.bounded(f, 50, 90))
+    s = index.line_starts(f)
+    probes = spark.range(-3, 900, 7).select(F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("path"), F.col("id").alias("offset"))
+    assert rows(index.line_of(probes, s, 16)) == rows(index.line_of(probes, s))
+
+
+def test_many_files_without_broadcast(log, monkeypatch):
+    monkeypatch.setattr(facts, "FEW_FILES", 1)
+    l = log({f"f{k}": R.format("INFO", "x") + "\nmore\n" + R.format("ERROR", "y") for k in range(4)})
+    f = facts.line_facts(l, detect.detect(l))
+    assert sorted(r["level"] for r in f.where("is_record").collect()) == ["ERROR"] * 4 + ["INFO"] * 4 and f.count() == 12
+
+
+def test_index_grows(log):
+    text = "one\ntwo\n\nfour\n" * 5
+    l = log({"a": text})
+    head = index.line_starts(l.where("line_no < 7"))
+    more = index.extended(index.totals(head), l.where("line_no >= 7"))
+    whole = {r["line_no"]: r["start_offset"] for r in index.line_starts(l).collect()}
+    assert {r["line_no"]: r["start_offset"] for r in more.collect()} == {k: v for k, v in whole.items() if k >= 7}
+
+
+def test_notes_of_files_not_followed(spark):
+    f = spark.createDataFrame([("a", False, None), ("b", True, None), ("c", None, "too_large"), ("d", None, "failed")], "path string, capped boolean, outcome string")
+    assert [(r["follows"], r["note"] is not None) for r in tail.followable(f).orderBy("path").collect()] == [(True, False), (False, True), (False, True), (False, True)]
+
+
 def test_format_names():
     assert BY_NAME["Plain timestamp"].priority == 10

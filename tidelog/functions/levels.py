@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidelog.functions.formats import LogFormat, quoted
-from tidelog.functions.text import ansi_strip
+from tidelog.functions.text import ansi_strip, let
 
 LEVELS = ("DEBUG", "INFO", "WARN", "ERROR")
 
@@ -54,6 +54,11 @@ def ramp(w: Column) -> Column:
     return F.when(w.isin(*ERROR_WORDS), "ERROR").when(w.isin(*WARN_WORDS), "WARN").when(w.isin(*DEBUG_WORDS), "DEBUG").otherwise("INFO")
 
 
+def ramp_of(word: Column) -> Column:
+    """The level of a word; null without one."""
+    return let(word, lambda w: F.when(w.isNotNull(), ramp(w)))
+
+
 def sql_ramp(w: str) -> str:
     def among(words):
         return f"{w} IN ({', '.join(map(quoted, words))})"
@@ -62,7 +67,7 @@ def sql_ramp(w: str) -> str:
 
 
 def _found(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    return let(F.regexp_extract(c, pattern, group), lambda w: F.when(w != "", w))
 
 
 FIND = rf"(?:\A|[^A-Za-z])({SEARCH_WORDS})(?:[^A-Za-z]|\z)"
@@ -93,8 +98,10 @@ def level_without_format(raw: Column) -> Column:
 SKIP = r'(?:[^\["]|\[[^\]]*\])*?'
 GUARD = r'(?:[^A-Za-z\["]|\[[^\]]*\])'
 RECORD_LEVEL = rf"\A{SKIP}(?:\[(?:[^\]]*:)?\s*({ALL_WORDS})\s*\]|(?:\A|{GUARD})({SEARCH_WORDS})(?:[^A-Za-z]|\z))"
-#: Text in which quotes come before any level, or a bracket stays open: the regular form does not describe it.
-NEEDS_WALK = r'\A[^\[]*(?:\[[^\]]*\][^\[]*)*\[[^\]]*\z|"'
+# What a record line is searched for instead, in steps that never nest: brackets are marked (left, right), those that are a
+# severity word are marked once more, the others go, and the first word is found. The marks are code points of no character.
+_LEFT, _RIGHT, _WORD = "\ufdd0", "\ufdd1", "\ufdd2"
+_FIRST_WORD = rf"{_WORD}[A-Za-z]+|(?<![A-Za-z])(?:{SEARCH_WORDS})(?![A-Za-z])"
 
 
 def after_timestamp(text: Column, fmt: LogFormat) -> Column:
@@ -102,17 +109,23 @@ def after_timestamp(text: Column, fmt: LogFormat) -> Column:
 
 
 def record_word(rest: Column) -> Column:
-    """The level word of a record line, given what follows its timestamp; where needs_walk() the segmenter knows better."""
-    return F.coalesce(_found(rest, RECORD_LEVEL, 1), _found(rest, RECORD_LEVEL, 2))
+    """(word, hard) of a record line, given what follows its timestamp: its level word, and whether quotes or an open bracket
+    come in, in which case the segmenter knows better."""
+    marked = F.regexp_replace(rest, r"\[([^\]]*)\]", f"{_LEFT}$1{_RIGHT}")
+    worded = F.regexp_replace(marked, rf"{_LEFT}(?:[^{_RIGHT}]*:)?\s*({ALL_WORDS})\s*{_RIGHT}", f"{_WORD}$1 ")
+    open_only = F.when(F.contains(rest, F.lit("[")), F.regexp_replace(worded, rf"{_LEFT}[^{_RIGHT}]*{_RIGHT}", " ")).otherwise(rest)
 
+    def read(s: Column) -> Column:
+        quoted = F.contains(rest, F.lit('"'))
+        found = F.regexp_extract(F.when(quoted, F.substring_index(s, '"', 1)).otherwise(s), _FIRST_WORD, 0)
+        word = let(found, lambda w: F.when(w != "", F.ltrim(w, F.lit(_WORD))))
+        return F.struct(word.alias("word"), (quoted | F.contains(s, F.lit("["))).alias("hard"))
 
-def record_level(text: Column, fmt: LogFormat) -> Column:
-    word = record_word(after_timestamp(text, fmt))
-    return F.when(word.isNotNull(), ramp(word))
+    return let(open_only, read)
 
 
-def needs_walk(rest: Column) -> Column:
-    return rest.rlike(NEEDS_WALK)
+def record_level(text: Column, fmt: LogFormat) -> Column:
+    return ramp_of(let(after_timestamp(text, fmt), record_word)["word"])
 
 
 def by_name(name: Column, formats: tuple[LogFormat, ...], value) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,16 @@ ESC = "\x1b"
 #: One escape sequence: CSI, a string up to its terminator, a charset designator, two characters, or the lone byte.
 ESCAPE = r"\x1b(?:\[[0-?]*[ -/]*[@-~]?|[\]P^_][^\x07\x1b\n]*(?:\x07|\x1b\\)?|[()*+][\s\S]?|[^\n])?"
 _BLANK = r"\A[\t-\r\x1c-\x1f\p{Z}]*\z"
-#: The longest line that is read or segmented, in characters.
+#: The longest line that is segmented, and what is read of a line to tell formats, in characters. Readers keep whole lines.
 MAX_LINE = 65_536
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being evaluated once however often use mentions it. What stands in it is kept out of the stage's
+    generated method, which a few dozen patterns would make too long for the JVM to compile."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contains_escape(c: Column) -> Column:
     return F.contains(c, F.lit(ESC))
 
@@ -29,17 +37,17 @@ def is_blank(c: Column) -> Column:
 
 def trim_crs(c: Column) -> Column:
     """Detection drops all carriage returns at a line's end."""
-    return F.regexp_replace(c, r"\r+\z", "")
+    return F.when(F.endswith(c, F.lit("\r")), F.regexp_replace(c, r"\r+\z", "")).otherwise(c)
 
 
 def drop_cr(c: Column) -> Column:
     """Facts drop one carriage return at a line's end."""
-    return F.regexp_replace(c, r"\r\z", "")
+    return F.when(F.endswith(c, F.lit("\r")), F.regexp_replace(c, r"\r\z", "")).otherwise(c)
 
 
 def clean(raw: Column) -> Column:
-    """What detection reads of a line."""
-    return ansi_strip(trim_crs(raw))
+    """What detection reads of a line: its first MAX_LINE characters, without escapes and carriage returns at its end."""
+    return ansi_strip(trim_crs(F.substring(raw, 1, MAX_LINE)))
 
 
 SQL_CLEAN = r"regexp_replace(regexp_replace({c}, '\r+$', ''), '\x1b(?:\[[0-?]*[ -/]*[@-~]?|[\]P^_][^\x07\x1b\n]*(?:\x07|\x1b\\)?|[()*+][\s\S]?|[^\n])?', '', 'g')"

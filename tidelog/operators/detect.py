@@ -2,36 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.formats import FORMATS, LogFormat
-from tidelog.functions.text import clean, contains_escape, is_blank, trim_crs
+from tidelog.functions.text import clean, contains_escape, is_blank, let, trim_crs
 
 THRESHOLD = 0.5
 
 
+#: Formats whose answers fit one number, two bits each.
+PACK = 31
+
+
 def normalised(lines: DataFrame) -> DataFrame:
     """lines with text (escapes and carriage returns gone), has_ansi, is_blank."""
     text = clean(F.col("raw"))
     return lines.withColumn("text", text).withColumn("has_ansi", contains_escape(trim_crs(F.col("raw")))).withColumn("is_blank", is_blank(F.col("text")))
 
 
+def _bits(text: Column, formats: tuple[LogFormat, ...]) -> Column:
+    """Two bits a format: 1 where a line is explained (record or continuation), 1 more where it is a record."""
+    answers = [F.when(f.record_test(text), F.lit(3 << 2 * i)).when(f.continuation_test(text), F.lit(1 << 2 * i)).otherwise(F.lit(0)).cast("long") for i, f in enumerate(formats)]
+    return reduce(Column.bitwiseOR, answers)
+
+
+def answered(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, *more: str) -> DataFrame:
+    """path, the columns `more`, text, has_ansi, bits (an array of numbers; null for blank lines): all patterns in one pass."""
+    groups = [formats[i : i + PACK] for i in range(0, len(formats), PACK)]
+    text = let(clean(F.col("raw")), lambda t: F.struct(t.alias("text"), F.when(~is_blank(t), F.array(*[_bits(t, g) for g in groups])).alias("bits")))
+    return lines.select("path", *more, contains_escape(trim_crs(F.col("raw"))).alias("has_ansi"), text.alias("_t")).select("path", *more, "_t.text", "has_ansi", "_t.bits")
+
+
+def _said(i: int, bit: int) -> Column:
+    return F.get("bits", F.lit(i // PACK)).bitwiseAND(F.lit(bit << 2 * (i % PACK)).cast("long")) != 0
+
+
 def match_matrix(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
     """Non-blank lines with r0.. (is a record of format i) and e0.. (record or continuation)."""
-    n = normalised(lines).where(~F.col("is_blank"))
-    records = n.select("path", "line_no", "text", "has_ansi", *[f.record_test(F.col("text")).alias(f"r{i}") for i, f in enumerate(formats)])
-    return records.select("*", *[F.when(F.col(f"r{i}"), True).otherwise(f.continuation_test(F.col("text"))).alias(f"e{i}") for i, f in enumerate(formats)])
+    a = answered(lines, formats, "line_no").where("bits is not null")
+    return a.select("path", "line_no", "text", "has_ansi", *[_said(i, 2).alias(f"r{i}") for i in range(len(formats))], *[_said(i, 1).alias(f"e{i}") for i in range(len(formats))])
 
 
 def scores(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
-    """path, scanned, ansi_lines, rec0.., exp0..: partial sums per task, one exchange of a row per file and task."""
-    m = match_matrix(lines, formats)
-    sums = [F.count_if(F.col(f"{c}{i}")).alias(f"{n}{i}") for i in range(len(formats)) for c, n in (("r", "rec"), ("e", "exp"))]
-    counted = m.groupBy("path").agg(F.count("*").alias("scanned"), F.count_if("has_ansi").alias("ansi_lines"), *sums)
-    every = lines.select("path").distinct()
-    zero = {c: 0 for c in counted.columns if c != "path"}
-    return every.join(counted, "path", "left").fillna(zero)
+    """path, scanned, ansi_lines, rec0.., exp0..: lines are counted by their answers first, of which a file has a few dozen at
+    most, and only these counts are exchanged and taken apart."""
+    alike = answered(lines, formats).groupBy("path", "has_ansi", "bits").agg(F.count("*").alias("n"))
+
+    def total(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+
+    some = F.col("bits").isNotNull()
+    return alike.groupBy("path").agg(
+        total(some).alias("scanned"), total(some & F.col("has_ansi")).alias("ansi_lines"), *[total(_said(i, bit)).alias(f"{name}{i}") for i in range(len(formats)) for bit, name in ((2, "rec"), (1, "exp"))]
+    )
 
 
 def percent_text(matched: Column, scanned: Column) -> Column:
@@ -72,9 +98,7 @@ def named_stats(lines: DataFrame, fmt: LogFormat) -> DataFrame:
 
 
 def unmatched(lines: DataFrame, verdict: DataFrame, first: int = 3, formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
-    """The first lines of each matched file that its format does not explain."""
-    from pyspark.sql import Window
-
+    """The first lines of each matched file that its format does not explain; tasks keep `first` of each file before any exchange."""
     m = match_matrix(lines, formats).join(verdict.where("outcome = 'matched'").select("path", "format"), "path")
     explained = F.coalesce(*[F.when(F.col("format") == f.name, F.col(f"e{i}")) for i, f in enumerate(formats)])
     w = Window.partitionBy("path").orderBy("line_no")

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions.formats import FORMATS, LogFormat
-from tidelog.functions.levels import LEVELS, after_timestamp, by_name, level_prefix, needs_walk, ramp, record_word, word_without_format
-from tidelog.functions.segment import walked_levels
-from tidelog.functions.text import ansi_strip, drop_cr
+from tidelog.functions.levels import LEVELS, after_timestamp, by_name, level_prefix, ramp_of, record_word, word_without_format
+from tidelog.functions.segment import walked_level
+from tidelog.functions.text import ansi_strip, drop_cr, let
+from tidelog.operators.carry import BLOCK, block_of, carried, in_block, with_next
 
 
-def in_order() -> WindowSpec:
-    return Window.partitionBy("path").orderBy("line_no")
+#: Files whose formats are sent to every task; of more, formats meet their lines in a join by file and block.
+FEW_FILES = 50_000
+SALT = 64
 
 
-def so_far() -> WindowSpec:
-    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+def with_formats(lines: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """lines with the format of their file, null where none matched.
+
+    Verdicts are a row per file and are looked at first: up to FEW_FILES are broadcast, and what found them isn't run again.
+    Beyond that both sides are dealt by file and block, so that one huge file isn't one task.
+    """
+    v = verdicts.select("path", F.when(F.col("outcome") == "matched", F.col("format")).alias("format"))
+    found = v.limit(FEW_FILES + 1).collect()
+    if len(found) <= FEW_FILES:
+        return lines.join(F.broadcast(lines.sparkSession.createDataFrame(found, v.schema)), "path", "left")
+    salted = v.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return lines.withColumn("_salt", F.pmod(block_of(F.col("line_no")), F.lit(SALT)).cast("int")).join(salted, ["path", "_salt"], "left").drop("_salt")
 
 
 def line_facts(lines: DataFrame, verdicts: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, walk: bool = True, pull_up: bool = True) -> DataFrame:
@@ -26,22 +38,27 @@ def line_facts(lines: DataFrame, verdicts: DataFrame, formats: tuple[LogFormat,
     (quotes or open brackets before it) go through the segmenter, and only those. A record without a level takes that of
     a line such as `SEVERE: ...` right after it.
     """
-    v = verdicts.select("path", F.when(F.col("outcome") == "matched", F.col("format")).alias("format"))
-    base = lines.join(v, "path", "left").withColumn("text", ansi_strip(drop_cr(F.col("raw"))))
+    base = with_formats(lines, verdicts)
     known = F.col("format").isNotNull()
-    # step by step, so that each regular expression is in the plan once
-    f = base.withColumn("rest", F.when(known, by_name(F.col("format"), formats, lambda x: after_timestamp(F.col("text"), x))))
-    record = F.coalesce(by_name(F.col("format"), formats, lambda x: x.record_test(F.col("text"))), F.lit(False)) & (F.col("text") != "")
-    f = f.withColumn("is_record", record).withColumn("word", F.when(known & F.col("is_record"), record_word(F.col("rest"))).when(~known, word_without_format(F.col("text"))))
-    f = f.withColumn("is_record", F.when(known, F.col("is_record")).otherwise(F.col("word").isNotNull())).withColumn("level", F.when(F.col("word").isNotNull(), ramp(F.col("word")))).drop("word")
+
+    def with_format(text: Column) -> Column:
+        record = F.coalesce(by_name(F.col("format"), formats, lambda x: x.record_test(text)), F.lit(False)) & (text != "")
+        rest = by_name(F.col("format"), formats, lambda x: after_timestamp(text, x))
+        read = let(let(rest, record_word), lambda w: F.struct(F.lit(True).alias("is_record"), ramp_of(w["word"]).alias("level"), w["hard"].alias("hard"), F.lit(None).cast("string").alias("more")))
+        other = F.struct(F.lit(False).alias("is_record"), F.lit(None).cast("string").alias("level"), F.lit(False).alias("hard"), ramp_of(level_prefix(text)).alias("more"))
+        return F.when(record, read).otherwise(other)
+
+    def without_format(text: Column) -> Column:
+        return let(word_without_format(text), lambda w: F.struct(w.isNotNull().alias("is_record"), ramp_of(w).alias("level"), F.lit(False).alias("hard"), F.lit(None).cast("string").alias("more")))
+
+    # each pattern is in the plan once and is tried once a line, for the line's own format alone
+    read = let(ansi_strip(drop_cr(F.col("raw"))), lambda text: F.when(known, with_format(text)).otherwise(without_format(text)))
+    f = base.withColumn("_f", read).select("path", "line_no", "raw", "format", "_f.is_record", "_f.level", F.col("_f.hard").alias("_hard"), F.col("_f.more").alias("_more"))
     if walk:
-        f = f.withColumn("_hard", F.coalesce(known & F.col("is_record") & needs_walk(F.col("rest")), F.lit(False)))
-        told = walked_levels(f.where("_hard").select("path", "line_no", "text", "format"), formats)
-        f = f.join(told, ["path", "line_no"], "left").withColumn("level", F.when(F.col("_hard"), F.col("walked")).otherwise(F.col("level"))).drop("_hard", "walked")
+        f = f.withColumn("level", F.coalesce(walked_level(F.col("raw"), F.col("format"), F.col("_hard"), formats), F.when(~F.col("_hard"), F.col("level"))))
     if pull_up:
-        f = f.withColumn("more", F.when(~F.col("is_record") & known, level_prefix(F.col("text")))).withColumn("more", F.when(F.col("more").isNotNull(), ramp(F.col("more"))))
-        after = F.lead("more").over(in_order())
-        f = f.withColumn("level", F.when(F.col("is_record") & F.col("level").isNull() & known, after).otherwise(F.col("level")))
+        alone = F.col("is_record") & F.col("level").isNull() & known
+        f = with_next(f, _after=F.col("_more")).withColumn("level", F.when(alone, F.col("_after")).otherwise(F.col("level")))
     return f.select("path", "line_no", "raw", "format", "is_record", "level")
 
 
@@ -62,9 +79,9 @@ def decoded(fact: Column) -> Column:
     return F.struct((fact.bitwiseAND(128) != 0).alias("is_record"), level.alias("level"), (fact == 132).alias("is_error"))
 
 
-def record_ids(facts: DataFrame) -> DataFrame:
+def record_ids(facts: DataFrame, block: int = BLOCK) -> DataFrame:
     """facts with record_id: the line that starts the record a line belongs to; null before the first record."""
-    return facts.withColumn("record_id", F.last(F.when(F.col("is_record"), F.col("line_no")), ignorenulls=True).over(so_far()))
+    return carried(facts, block, record_id=F.when(F.col("is_record"), F.col("line_no")))
 
 
 def records(facts: DataFrame) -> DataFrame:
@@ -74,6 +91,10 @@ def records(facts: DataFrame) -> DataFrame:
     )
 
 
+def hides_nothing(levels: set[str] | None, text: str) -> bool:
+    return (levels is None or set(levels) == set(LEVELS)) and not text.strip()
+
+
 def visible(levels: set[str] | None = None, text: str = "") -> Column:
     """Whether a record passes: its level is wanted (records without one always pass) and its raw line holds the text."""
     ok = F.lit(True)
@@ -84,18 +105,34 @@ def visible(levels: set[str] | None = None, text: str = "") -> Column:
     return ok
 
 
-def hidden(facts: DataFrame, levels: set[str] | None = None, text: str = "") -> DataFrame:
+def hidden(facts: DataFrame, levels: set[str] | None = None, text: str = "", block: int = BLOCK) -> DataFrame:
     """facts with is_hidden: lines follow the record they belong to; lines before the first record show."""
-    mark = F.last(F.when(F.col("is_record"), ~visible(levels, text)), ignorenulls=True).over(so_far())
-    return facts.withColumn("is_hidden", F.coalesce(mark, F.lit(False)))
+    if hides_nothing(levels, text):
+        return facts.withColumn("is_hidden", F.lit(False))
+    marked = carried(facts, block, _mark=F.when(F.col("is_record"), ~visible(levels, text)))
+    return marked.withColumn("is_hidden", F.coalesce("_mark", F.lit(False))).drop("_mark")
+
 
+def fold_runs(facts: DataFrame, levels: set[str] | None = None, text: str = "", block: int = BLOCK) -> DataFrame:
+    """path, first_line, last_line, line_count: maximal runs of hidden lines. The default filter hides nothing.
 
-def fold_runs(facts: DataFrame, levels: set[str] | None = None, text: str = "") -> DataFrame:
-    """path, first_line, last_line, line_count: maximal runs of hidden lines. The default filter hides nothing."""
-    h = hidden(facts, levels, text)
-    start = (F.col("is_hidden") & ~F.coalesce(F.lag("is_hidden").over(in_order()), F.lit(False))).cast("long")
-    runs = h.withColumn("run", F.sum(start).over(so_far())).where("is_hidden")
-    return runs.groupBy("path", "run").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("line_count")).drop("run")
+    Runs are found within blocks of lines; of a block's runs, those at its edges (two at most) are joined to their
+    neighbours in a second, small pass over the files.
+    """
+    h = hidden(facts, levels, text, block).select("path", "line_no", "is_hidden").withColumn("_block", block_of(F.col("line_no"), block))
+    starts = (F.col("is_hidden") & ~F.coalesce(F.lag("is_hidden").over(in_block()), F.lit(False))).cast("long")
+    whole = Window.partitionBy("path", "_block")
+    marked = h.select("path", "line_no", "_block", "is_hidden", F.sum(starts).over(in_block().rowsBetween(Window.unboundedPreceding, 0)).alias("_run"), F.min("line_no").over(whole).alias("_low"), F.max("line_no").over(whole).alias("_high"))
+    sums = [F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"), F.sum("line_count").alias("line_count")]
+    runs = marked.where("is_hidden").groupBy("path", "_block", "_run").agg(
+        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("line_count"), F.bool_or(F.col("line_no") == F.col("_low")).alias("_opens"), F.bool_or(F.col("line_no") == F.col("_high")).alias("_closes")
+    )
+    inner = runs.where("not _opens and not _closes").select("path", "first_line", "last_line", "line_count")
+    ahead = Window.partitionBy("path").orderBy("first_line")
+    # lines are numbered without gaps, so a run goes on where the one before it ended
+    edge = runs.where("_opens or _closes").withColumn("_new", F.coalesce((F.lag("last_line").over(ahead) + 1 != F.col("first_line")).cast("long"), F.lit(1)))
+    edge = edge.withColumn("_joined", F.sum("_new").over(ahead.rowsBetween(Window.unboundedPreceding, 0))).groupBy("path", "_joined").agg(*sums).drop("_joined")
+    return inner.unionByName(edge)
 
 
 def hidden_counts(facts: DataFrame, levels: set[str] | None = None, text: str = "") -> DataFrame:
@@ -108,14 +145,12 @@ def fold_text(count: Column) -> Column:
     return F.format_string("… %d hidden", count)
 
 
-def error_walk(facts: DataFrame, forward: bool = True) -> DataFrame:
+def error_walk(facts: DataFrame, forward: bool = True, block: int = BLOCK) -> DataFrame:
     """facts with target: the next (or the one before) ERROR record, round the file's end; null if the file has none."""
     line = F.when(F.col("is_record") & (F.col("level") == "ERROR"), F.col("line_no"))
-    if forward:
-        beside, around = F.min(line).over(in_order().rowsBetween(1, Window.unboundedFollowing)), F.min(line).over(Window.partitionBy("path"))
-    else:
-        beside, around = F.max(line).over(in_order().rowsBetween(Window.unboundedPreceding, -1)), F.max(line).over(Window.partitionBy("path"))
-    return facts.withColumn("target", F.coalesce(beside, around))
+    beside = carried(facts, block, backward=forward, strictly=True, _beside=line)
+    ends = facts.groupBy("path").agg((F.min if forward else F.max)(line).alias("_round"))
+    return beside.join(ends, "path").select(*facts.columns, F.coalesce("_beside", "_round").alias("target"))
 
 
 def next_error(facts: DataFrame, line: int, forward: bool = True) -> DataFrame:

@@ -5,50 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.carry import BLOCK, running_sum
+
+#: Characters to a span of line_of().
+SPAN = 16 * 1024**2
 MAX_LINES = 16_000_000
 MAX_CHARS = 1024**3
 BLOCK_LINES = 256
 
 
-def line_starts(lines: DataFrame, block: int | None = None) -> DataFrame:
+def line_starts(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     """path, line_no, start_offset, length, has_newline. Offsets count characters, a newline as one.
 
-    With `block`, sums are taken within blocks of that many lines first, so that one huge file is many tasks: block
-    lengths are summed up per file (a row per block), then lines within their block.
+    Sums are taken within blocks of lines, so that one huge file is many tasks, and over each file's blocks, a row each.
     """
-    size = F.length("raw").cast("long")
-    base = lines.withColumn("length", size)
-    last = F.max("line_no").over(Window.partitionBy("path")) if block is None else None
-    if block is None:
-        before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-        return base.select("path", "line_no", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)).alias("start_offset"), "length", (F.col("line_no") < last).alias("has_newline"))
-    base = base.withColumn("block", F.floor(F.col("line_no") / block).cast("long"))
-    sums = base.groupBy("path", "block").agg(F.sum(F.col("length") + 1).alias("chars"), F.max("line_no").alias("top"))
-    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("path", "block", F.coalesce(F.sum("chars").over(ahead), F.lit(0)).alias("first"), F.max("top").over(Window.partitionBy("path")).alias("last"))
-    within = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return base.join(starts, ["path", "block"]).select(
-        "path", "line_no", (F.col("first") + F.coalesce(F.sum(F.col("length") + 1).over(within), F.lit(0))).alias("start_offset"), "length", (F.col("line_no") < F.col("last")).alias("has_newline")
-    )
+    sized = lines.select("path", "line_no", F.length("raw").cast("long").alias("length"))
+    return running_sum(sized, F.col("length") + 1, "start_offset", block).select("path", "line_no", "start_offset", "length", (F.col("line_no") < F.col("last_line")).alias("has_newline"))
+
+
+def totals(starts: DataFrame) -> DataFrame:
+    """path, lines, chars: what an index of terminated lines has consumed, from which extended() goes on."""
+    return starts.groupBy("path").agg((F.max("line_no") + 1).alias("lines"), F.max(F.col("start_offset") + F.col("length") + 1).alias("chars"))
+
+
+def extended(so_far: DataFrame, appended: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Starts of appended lines alone (path, line_no, start_offset, length): the lines before them aren't read again."""
+    more = line_starts(appended, block).join(so_far.select("path", "chars"), "path", "left")
+    return more.select("path", "line_no", (F.col("start_offset") + F.coalesce("chars", F.lit(0))).alias("start_offset"), "length")
 
 
 def capped(starts: DataFrame, cap: int = MAX_LINES) -> DataFrame:
     """path, lines, capped, scanned: an index stops at the cap, and says where."""
     end = F.col("start_offset") + F.col("length") + F.col("has_newline").cast("long")
     return starts.groupBy("path").agg(
-        F.least(F.count("*"), F.lit(cap)).alias("lines"), (F.count("*") > cap).alias("capped"), F.max(F.when(F.col("line_no") < cap + 0, end)).alias("scanned")
+        F.least(F.count("*"), F.lit(cap)).alias("lines"), (F.count("*") > cap).alias("capped"), F.max(F.when(F.col("line_no") < cap, end)).alias("scanned")
     )
 
 
-def line_of(probes: DataFrame, starts: DataFrame) -> DataFrame:
+def line_of(probes: DataFrame, starts: DataFrame, span: int = SPAN) -> DataFrame:
     """probes (path, offset) with line_no: the last line that starts at or before the offset; line 0 below 0.
 
-    Starts and probes are put in one order and the last start carried on: one sort, no range join.
+    Starts and probes are put in one order and the last start carried on, within spans of `span` characters; a span's last
+    start, a row per span and file, is carried over the spans. No range join, and one huge file is many tasks.
     """
     s = starts.select("path", F.col("start_offset").alias("at"), F.lit(0).alias("kind"), "line_no", F.lit(None).cast("long").alias("offset"))
     p = probes.select("path", F.greatest("offset", F.lit(0)).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("line_no"), "offset")
-    w = Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return s.unionByName(p).withColumn("line_no", F.last("line_no", ignorenulls=True).over(w)).where("kind = 1").select("path", "offset", "line_no")
+    tops = starts.groupBy("path", F.floor(F.col("start_offset") / span).cast("long").alias("_span")).agg(F.max("line_no").alias("_top"))
+    # spans in which no line starts still answer probes: they take the last one before
+    spans = tops.unionByName(probes.select("path", F.floor(F.greatest("offset", F.lit(0)) / span).cast("long").alias("_span"), F.lit(None).cast("long").alias("_top")).distinct()).groupBy("path", "_span").agg(F.max("_top").alias("_top"))
+    ahead = Window.partitionBy("path").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("path", "_span", F.max("_top").over(ahead).alias("_before"))
+    w = Window.partitionBy("path", "_span").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = s.unionByName(p).withColumn("_span", F.floor(F.col("at") / span).cast("long")).withColumn("_own", F.last("line_no", ignorenulls=True).over(w)).where("kind = 1")
+    return both.join(spans, ["path", "_span"]).select("path", "offset", F.coalesce("_own", "_before").alias("line_no"))
 
 
 def start_of(wanted: DataFrame, starts: DataFrame) -> DataFrame:

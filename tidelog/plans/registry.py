@@ -93,7 +93,7 @@ def known_facts(spark: SparkSession, d: str, name: str, **options) -> DataFrame:
 @query("scan_lines", f"WITH l AS ({lines_sql('prose')}) SELECT path, line_no, length(raw)::BIGINT AS n_chars FROM l")
 def scan_lines(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return reader.split_lines(docs, whole=True).select("path", "line_no", F.length("raw").cast("long").alias("n_chars"))
+    return reader.split_lines(docs).select("path", "line_no", F.length("raw").cast("long").alias("n_chars"))
 
 
 _CAP_L, _CAP_B = 5, 600
@@ -323,7 +323,7 @@ def line_offsets(spark, d):
 
 @query("line_offsets_blocked", f"WITH l AS ({lines_sql('app')}), {_STARTS} SELECT * FROM st")
 def line_offsets_blocked(spark, d):
-    return index.line_starts(lines(spark, d, "app"), block=256)
+    return index.line_starts(lines(spark, d, "app"), 256)
 
 
 _PROBE = "p AS (SELECT '/logs/app/app-' || (event_id % 8)::VARCHAR || '.log' AS path, (event_id * 37 % 90000)::BIGINT AS \"offset\" FROM events)"
@@ -347,9 +347,9 @@ def index_capped(spark, d):
     return index.capped(index.line_starts(lines(spark, d, "app")), 300)
 
 
-@query("page_of_lines", f"WITH l AS ({lines_sql('app')}) SELECT path, line_no, raw FROM l WHERE line_no >= 256 AND line_no < 512")
+@query("page_of_lines", f"WITH l AS ({lines_sql('app')}) SELECT path, line_no, raw FROM l WHERE line_no >= 64 AND line_no < 128")
 def page_of_lines(spark, d):
-    return index.page(lines(spark, d, "app"), 1)
+    return index.page(lines(spark, d, "app"), 1, 64)
 
 
 @query("fold_offsets", f"WITH {hidden_ctes('app', _ERRORS_ONLY)}, {_RUNS}, {_STARTS} SELECT runs.*, a.start_offset AS from_offset, b.start_offset + b.length AS to_offset FROM runs JOIN st a ON a.path = runs.path AND a.line_no = first_line JOIN st b ON b.path = runs.path AND b.line_no = last_line")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import MAX_LINE
+from tidelog.operators.carry import BLOCK, running_sum
 
 LINES = "path string, line_no long, raw string"
 MB = 1024 * 1024
@@ -43,20 +45,31 @@ def decoded(content: Column, fallback: str = "UTF-8") -> Column:
     return F.when(head.startswith("EFBBBF"), F.substring(content, 4, 2**31 - 5).cast("string")).when(head.startswith("FFFE"), text("UTF-16LE", 2)).when(head.startswith("FEFF"), text("UTF-16BE", 2)).otherwise(plain)
 
 
-def files(spark: SparkSession, path: str | list[str], max_size: int | None = None) -> DataFrame:
-    """One row per file: path, size, outcome (ok, too_large, binary, not_a_log), content (null unless ok)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def gated(f: DataFrame, max_size: int | None = None) -> DataFrame:
+    """path, size, outcome (ok, too_large, binary, not_a_log), content (null unless ok) of files (path, length, content).
+
+    Names and sizes are looked at first, as filters on them reach the listing: content of files that are out is never read.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    outcome = F.when(~is_log_name(name), "not_a_log").when(F.lit(max_size is not None) & (F.col("length") > (max_size or 0)), "too_large").when(is_binary(F.col("content")), "binary").otherwise("ok")
-    return f.select("path", F.col("length").alias("size"), outcome.alias("outcome"), F.when(outcome == "ok", F.col("content")).alias("content"))
+    fits = F.lit(True) if max_size is None else F.col("length") <= max_size
+    size = F.col("length").alias("size")
+    no_content = F.lit(None).cast("binary").alias("content")
+    out = f.where(~(is_log_name(name) & fits)).select("path", size, F.when(~is_log_name(name), "not_a_log").otherwise("too_large").alias("outcome"), no_content)
+    inside = f.where(fits).where(is_log_name(name)).withColumn("outcome", F.when(is_binary(F.col("content")), "binary").otherwise("ok"))
+    return out.unionByName(inside.select("path", size, "outcome", F.when(F.col("outcome") == "ok", F.col("content")).alias("content")))
 
 
-def split_lines(docs: DataFrame, text: str = "text", final_empty: bool = True, whole: bool = False) -> DataFrame:
-    """path, line_no, raw of whole texts, lines cut to MAX_LINE unless whole. With final_empty a text that ends in a newline has an empty last line."""
+def files(spark: SparkSession, path: str | list[str], max_size: int | None = None) -> DataFrame:
+    """gated() of the files under path. Without max_size, files of more than 2 GB can't be read as one value: use read_lines()."""
+    return gated(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), max_size)
+
+
+def split_lines(docs: DataFrame, text: str = "text", final_empty: bool = True) -> DataFrame:
+    """path, line_no, raw of whole texts. With final_empty a text that ends in a newline has an empty last line."""
     parts = F.split(F.col(text), "\n", -1)
     if not final_empty:
         parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return docs.select("path", F.posexplode(parts).alias("line_no", "raw")).select("path", F.col("line_no").cast("long").alias("line_no"), F.col("raw") if whole else F.substring("raw", 1, MAX_LINE).alias("raw"))
+    return docs.select("path", F.posexplode(parts).alias("line_no", "raw")).select("path", F.col("line_no").cast("long").alias("line_no"), "raw")
 
 
 def read_documents(spark: SparkSession, path: str | list[str], fallback: str = "UTF-8") -> DataFrame:
@@ -65,41 +78,118 @@ def read_documents(spark: SparkSession, path: str | list[str], fallback: str = "
     return f.select("path", F.regexp_replace(decoded(F.col("content"), fallback), "\r\n?", "\n").alias("text"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of files of any size, numbered without gathering a file in one task.
+def _listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, length of the log files under path; their content is not read."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return f.where(is_log_name(F.element_at(F.split("path", "/"), -1)))
+
+
+def _open(path: str):
+    """A file by its URI, in any store that pyarrow knows."""
+    fs, where = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(where)
+
+
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+def _charsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            with _open(path) as f:
+                head = f.read(3)
+            found.append(next((name for mark, name in _MARKS if head.startswith(mark)), "none"))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], names=["path", "charset"])
+
+
+def _numbered(spark: SparkSession, path: str | list[str], charset: str, fallback: str) -> DataFrame:
+    """Lines of files of one charset, numbered without gathering a file in one task.
 
     The text source splits files into blocks; a first pass counts each block's lines, their running sum gives each
     block's first number, and a second pass adds it. Blocks are as many as splits, far fewer than lines.
     """
-    raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
+    wide, known = charset.startswith("utf-16"), charset.upper().replace("UTF-16-", "UTF-16")
+    source = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    raw = (source.option("encoding", known) if wide else source).text(path)
+    bytes_ = F.col("value").cast("binary")
+    if wide:
+        value = F.decode(bytes_, known)
+    else:
+        value = F.make_valid_utf8("value") if fallback.upper() == "UTF-8" else F.coalesce(F.try_validate_utf8("value"), F.decode(bytes_, fallback))
     base = raw.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"), F.substring("value", 1, MAX_LINE).alias("raw"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), value.alias("raw")
     ).withColumn("part", F.shiftright("id", 33)).withColumn("seq", F.col("id").bitwiseAND(F.lit(2**33 - 1)))
     blocks = base.groupBy("path", "block", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("path", "block", "part", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return base.join(offsets, ["path", "block", "part"]).select("path", (F.col("before") + F.col("seq") - F.col("first")).alias("line_no"), "raw")
+    lines = base.join(offsets, ["path", "block", "part"]).select("path", (F.col("before") + F.col("seq") - F.col("first")).alias("line_no"), "raw")
+    return lines.withColumn("raw", F.when((F.col("line_no") == 0) & F.startswith("raw", F.lit("\ufeff")), F.substring("raw", 2, 2**31 - 1)).otherwise(F.col("raw")))
+
+
+def read_lines(spark: SparkSession, path: str | list[str], fallback: str = "UTF-8") -> DataFrame:
+    """path, line_no, raw of files of any size and of the charset that their mark names, else of the fallback.
+
+    Tasks look at each file's first bytes; files in UTF-16 are read apart, by newlines of their own width. Their paths
+    are among those that the driver lists for reading anyway.
+    """
+    marked = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").mapInArrow(_charsets, "path string, charset string")
+    wide = marked.where("charset like 'utf-16%'").collect()
+    lines = _numbered(spark, path, "utf-8", fallback)
+    if not wide:
+        return lines
+    apart = spark.createDataFrame(wide, "path string, charset string")
+    out = lines.join(apart, "path", "left_anti")
+    for charset in sorted({r["charset"] for r in wide}):
+        out = out.unionByName(_numbered(spark, [r["path"] for r in wide if r["charset"] == charset], charset, fallback))
+    return out
 
 
-def bounded(lines: DataFrame, max_lines: int, max_bytes: int, sizes: DataFrame | None = None) -> DataFrame:
+_HEAD = "path string, line_no long, raw string, has_more_lines boolean, hit_bytes boolean"
+
+
+def read_heads(spark: SparkSession, path: str | list[str], max_lines: int, max_bytes: int, fallback: str = "UTF-8") -> DataFrame:
+    """The first lines of log files within both caps: reading stops at the byte cap, however long a file is.
+
+    A line that the byte cap cuts is dropped, as is one that the file's end leaves without newline behind it; a file that
+    fits as a whole keeps its last line. A mark's bytes count. Flags as in bounded().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with _open(path) as f:
+                    raw = f.read(max_bytes + 1)
+                cut = len(raw) > max_bytes
+                raw = raw[:max_bytes]
+                mark, charset = next(((m, c) for m, c in _MARKS if raw.startswith(m)), (b"", fallback))
+                lines = raw[len(mark) :].decode(charset, "replace").split("\n")
+                if cut or lines[-1] == "":
+                    lines.pop()
+                more = len(lines) > max_lines
+                kept = lines[:max_lines]
+                n = len(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(kept, pa.string()), pa.array([more] * n, pa.bool_()), pa.array([cut and not more] * n, pa.bool_())], names=["path", "line_no", "raw", "has_more_lines", "hit_bytes"])
+
+    return _listed(spark, path).mapInArrow(run, _HEAD)
+
+
+def bounded(lines: DataFrame, max_lines: int, max_bytes: int, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """lines within both caps, with has_more_lines and hit_bytes: whether a cap cut the file.
 
     A line counts only with its newline inside the byte cap; sizes (path, size) lets a file that fits as a whole keep
-    an unterminated last line.
+    an unterminated last line. For lines that are there already; read_heads() stops reading at the cap.
     """
-    ahead = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("path")
-    with_end = lines.withColumn("_end", F.sum(F.octet_length("raw") + 1).over(ahead)).withColumn("_last", F.max("line_no").over(whole))
+    size = F.octet_length("raw") + 1
+    ends = running_sum(lines, size, "_before", block).withColumn("_end", F.col("_before") + size)
+    whole = lines.groupBy("path").agg((F.sum(size) - 1).alias("_size"))
     if sizes is not None:
-        with_end = with_end.join(sizes.select("path", F.col("size").alias("_size")), "path", "left")
-    else:
-        with_end = with_end.withColumn("_size", F.max("_end").over(whole) - 1)
-    fits = F.col("_size") <= max_bytes
-    inside = fits | (F.col("_end") <= max_bytes)
-    byte_lines = F.count(F.when(inside, 1)).over(whole)
-    return with_end.withColumn("_inside", byte_lines).where(inside & (F.col("line_no") < max_lines)).select(
-        *lines.columns, (F.col("_inside") > max_lines).alias("has_more_lines"), (~fits & (F.col("_inside") <= max_lines)).alias("hit_bytes")
+        whole = whole.drop("_size").join(sizes.select("path", F.col("size").alias("_size")), "path", "left")
+    inside = (F.col("_size") <= max_bytes) | (F.col("_end") <= max_bytes)
+    ends = ends.join(whole, "path")
+    counted = ends.where(inside).groupBy("path").agg(F.count("*").alias("_inside"))
+    return ends.where(inside & (F.col("line_no") < max_lines)).join(counted, "path").select(
+        *lines.columns, (F.col("_inside") > max_lines).alias("has_more_lines"), ((F.col("_size") > max_bytes) & (F.col("_inside") <= max_lines)).alias("hit_bytes")
     )
 
 

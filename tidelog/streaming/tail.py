@@ -7,16 +7,21 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from tidelog.functions.formats import FORMATS, LogFormat
-from tidelog.functions.text import MAX_LINE
 from tidelog.operators import detect, facts
+from tidelog.operators.status import TAIL_UNAVAILABLE
 
 TAIL_SCHEMA = "path string, generation long, line_no long, raw string"
+CHUNK_SCHEMA = "path string, generation long, first_line long, from_byte long, to_byte long, charset string"
 FINGERPRINT = 4096
+#: Bytes that are looked at in one go, and that a task reads at most unless one line is longer.
+CHUNK = 8 * 1024**2
 
 
 def growth(before: dict | None, size: int, prefix: bytes) -> str:
@@ -24,13 +29,32 @@ def growth(before: dict | None, size: int, prefix: bytes) -> str:
     if before is None:
         return "new"
     n = before["marked"]
-    if size < before["offset"] or len(prefix) < n or hashlib.sha256(prefix[:n]).hexdigest() != before["mark"]:
+    if size < before["seen"] or len(prefix) < n or hashlib.sha256(prefix[:n]).hexdigest() != before["mark"]:
         return "rewritten"
-    return "appended" if size > before["offset"] else "same"
+    return "appended" if size > before["seen"] else "same"
+
+
+def charset_of(prefix: bytes) -> tuple[str, int, int]:
+    """Charset, length of its mark, bytes of a code unit."""
+    for mark, name, width in ((b"\xef\xbb\xbf", "utf-8", 1), (b"\xff\xfe", "utf-16-le", 2), (b"\xfe\xff", "utf-16-be", 2)):
+        if prefix.startswith(mark):
+            return name, len(mark), width
+    return "utf-8", 0, 1
+
+
+def newlines(block: bytes, charset: str) -> np.ndarray:
+    """The places just after each newline."""
+    if charset == "utf-8":
+        return np.flatnonzero(np.frombuffer(block, np.uint8) == 10) + 1
+    units = np.frombuffer(block[: len(block) // 2 * 2], "<u2" if charset == "utf-16-le" else ">u2")
+    return (np.flatnonzero(units == 10) + 1) * 2
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    """Offsets hold, per file, the byte after the last newline read; an unfinished line waits for its end."""
+    """Offsets hold, per file, the byte after the last newline, how far was looked, and the lines so far.
+
+    The driver looks for newlines, a block at a time, and hands out where chunks of whole lines lie; tasks read them.
+    """
 
     def __init__(self, folder: str, most: int):
         self.folder, self.most = folder, most
@@ -41,6 +65,26 @@ class _Reader(SimpleDataSourceStreamReader):
     def _paths(self) -> list[str]:
         return sorted(os.path.join(self.folder, f) for f in os.listdir(self.folder) if f.lower().endswith((".log", ".out")))
 
+    def _chunks(self, path: str, state: dict, stop: int, charset: str) -> list[tuple]:
+        """Chunks up to the last newline before `stop`, about `most` bytes of them; state moves on."""
+        out: list[tuple] = []
+        at, line = state["offset"], state["line"]
+        low, seen, first, count = at, max(state["seen"], at), line, 0
+        with open(path, "rb") as f:
+            f.seek(seen)
+            while seen < stop and (low - at < self.most or not out):
+                block = f.read(min(CHUNK, stop - seen))
+                if not block:
+                    break
+                ends = newlines(block, charset)
+                if len(ends):
+                    count += len(ends)
+                    out.append((path, state["generation"], first, low, seen + int(ends[-1]), charset))
+                    low, first = seen + int(ends[-1]), line + count
+                seen += len(block)
+        state |= {"offset": low, "line": line + count, "seen": seen - seen % (2 if charset != "utf-8" else 1)}
+        return out
+
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end, rows = dict(start), []
         for path in self._paths():
@@ -48,41 +92,35 @@ class _Reader(SimpleDataSourceStreamReader):
                 with open(path, "rb") as f:
                     prefix = f.read(FINGERPRINT)
                     size = os.fstat(f.fileno()).st_size
-                    had = json.loads(start[path]) if path in start else None
-                    what = growth(had, size, prefix)
-                    if what == "same":
-                        continue
-                    state = had if what == "appended" else {"offset": 0, "line": 0, "generation": had["generation"] + 1 if had else 0}
-                    f.seek(state["offset"])
-                    chunk = f.read(min(size - state["offset"], self.most))
+                had = json.loads(start[path]) if path in start else None
+                what = growth(had, size, prefix)
+                if what == "same":
+                    continue
+                charset, mark, _ = charset_of(prefix)
+                state = had if what == "appended" else {"offset": mark, "seen": mark, "line": 0, "generation": had["generation"] + 1 if had else 0}
+                rows += self._chunks(path, state, size, charset)
             except FileNotFoundError:
                 continue
-            cut = chunk.rfind(b"\n") + 1
-            if not cut and what != "rewritten":
-                continue
-            line = state["line"]
-            for raw in chunk[:cut].split(b"\n")[:-1]:
-                rows.append((path, state["generation"], line, raw.decode("utf-8", "replace")[:MAX_LINE]))
-                line += 1
-            done = state["offset"] + cut
-            marked = min(done, FINGERPRINT)
-            end[path] = json.dumps({"offset": done, "line": line, "generation": state["generation"], "marked": marked, "mark": hashlib.sha256(prefix[:marked]).hexdigest()})
+            marked = min(state["offset"], len(prefix))
+            end[path] = json.dumps(state | {"marked": marked, "mark": hashlib.sha256(prefix[:marked]).hexdigest()})
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """What a batch read, read again after a failure: the same bytes, unless the file was rewritten since."""
-        rows = []
+        """What a batch handed out, again after a failure: the same bytes, unless the file was rewritten since."""
+        rows: list[tuple] = []
         for path, now in end.items():
             if start.get(path) == now:
                 continue
             to, had = json.loads(now), json.loads(start[path]) if path in start else None
-            same = had is not None and had["generation"] == to["generation"]
-            at, line = (had["offset"], had["line"]) if same else (0, 0)
             with open(path, "rb") as f:
-                f.seek(at)
-                for raw in f.read(to["offset"] - at).split(b"\n")[:-1]:
-                    rows.append((path, to["generation"], line, raw.decode("utf-8", "replace")[:MAX_LINE]))
-                    line += 1
+                charset, mark, _ = charset_of(f.read(3))
+            same = had is not None and had["generation"] == to["generation"]
+            state = had if same else {"offset": mark, "seen": mark, "line": 0, "generation": to["generation"]}
+            while state["offset"] < to["offset"]:
+                found = self._chunks(path, state, to["offset"], charset)
+                if not found:
+                    break
+                rows += found
         return iter(rows)
 
     def commit(self, end: dict) -> None:
@@ -90,10 +128,12 @@ class _Reader(SimpleDataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """`spark.readStream.format("tail").load(folder)`: terminated lines of the .log and .out files of a folder, as they come.
+    """`lines_of(spark.readStream.format("tail").load(folder))`: terminated lines of a folder's .log and .out files, as they come.
 
-    A file that shrinks or whose beginning changes starts a new generation from its first line. The folder must be one
-    that the driver sees; lines of a batch are read there, `maxbytes` a file at most, and spread from there.
+    The source names chunks of whole lines (path, generation, first_line, from_byte, to_byte, charset), some CHUNK bytes
+    each and `maxbytes` a file and batch; lines_of() reads them in tasks. A file that shrinks or whose beginning changes
+    starts a new generation from its first line. An unfinished line waits for its end, however long it gets. The folder must
+    be one that the driver and the executors see.
     """
 
     @classmethod
@@ -101,12 +141,28 @@ class TailSource(DataSource):
         return "tail"
 
     def schema(self) -> str:
-        return TAIL_SCHEMA
+        return CHUNK_SCHEMA
 
     def simpleStreamReader(self, schema) -> _Reader:
         return _Reader(self.options["path"], int(self.options.get("maxbytes", 64 * 1024 * 1024)))
 
 
+def _chunk_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for c in batch.to_pylist():
+            with open(c["path"], "rb") as f:
+                f.seek(c["from_byte"])
+                block = f.read(c["to_byte"] - c["from_byte"])
+            lines = block.decode(c["charset"], "replace").split("\n")[:-1]
+            n = len(lines)
+            yield pa.RecordBatch.from_arrays([pa.array([c["path"]] * n, pa.string()), pa.array([c["generation"]] * n, pa.int64()), pa.array(range(c["first_line"], c["first_line"] + n), pa.int64()), pa.array(lines, pa.string())], names=["path", "generation", "line_no", "raw"])
+
+
+def lines_of(chunks: DataFrame) -> DataFrame:
+    """path, generation, line_no, raw of the chunks that a tail source names, read where they are dealt to."""
+    return chunks.repartition("path", "from_byte").mapInArrow(_chunk_lines, TAIL_SCHEMA)
+
+
 def counts(lines: DataFrame, verdicts: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """matched, scanned per file by the format already found; it is not found anew, so the ratio may fall."""
     n = detect.normalised(lines).where(~F.col("is_blank")).join(verdicts.where("outcome = 'matched'").select("path", "format"), "path")
@@ -131,34 +187,41 @@ def running_counts(stream: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def followable(indexed: DataFrame) -> DataFrame:
-    """path, follows, note: a file whose index stopped at a cap is not followed, and says so."""
-    from tidelog.operators.status import TAIL_UNAVAILABLE
+    """path, follows, note: a file that is too large, failed to be read, or whose index stopped at a cap is not followed, and
+    says so. indexed: path, and capped or outcome (too_large, failed) or both."""
+    cannot = F.lit(False)
+    if "capped" in indexed.columns:
+        cannot = cannot | F.coalesce("capped", F.lit(False))
+    if "outcome" in indexed.columns:
+        cannot = cannot | F.coalesce(F.col("outcome").isin("too_large", "failed"), F.lit(False))
+    return indexed.select("path", (~cannot).alias("follows"), F.when(cannot, TAIL_UNAVAILABLE).alias("note"))
+
 
-    return indexed.select("path", (~F.col("capped")).alias("follows"), F.when(F.col("capped"), TAIL_UNAVAILABLE).alias("note"))
+_ENDS = "path string, line_no long, raw string"
 
 
 def facts_batch(store: str, verdicts: DataFrame):
-    """A foreachBatch function that keeps facts up to date in parquet at `store`, a folder per batch.
+    """A foreachBatch function that keeps facts up to date in parquet at `store`: facts/batch=N and ends/batch=N.
 
     Each batch brings a file's new lines; its facts are classified with the file's last line before them, whose level
-    may come from the first new line. Readers take the latest batch of each line (latest_facts).
+    may come from the first new line. That line is all that is kept in ends, so that a batch reads no facts of others.
+    Readers take the latest batch of each line (latest_facts).
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        spark.createDataFrame([], _ENDS).withColumn("batch", F.lit(-1)).write.partitionBy("batch").mode("ignore").parquet(f"{store}/ends")
         lines = batch.select("path", "line_no", "raw")
-        try:
-            before = latest_facts(batch.sparkSession, store)
-            first = lines.groupBy("path").agg(F.min("line_no").alias("first"))
-            lines = lines.unionByName(before.join(first, "path").where(F.col("line_no") == F.col("first") - 1).select("path", "line_no", "raw"))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        facts.line_facts(lines, verdicts).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        tops = lines.groupBy("path").agg(F.max_by(F.struct("line_no", "raw"), "line_no").alias("top"), F.min("line_no").alias("first"))
+        ends = spark.read.schema(_ENDS).option("recursiveFileLookup", "true").parquet(f"{store}/ends")
+        before = ends.join(tops.select("path", "first"), "path").where(F.col("line_no") == F.col("first") - 1).select("path", "line_no", "raw").distinct()
+        facts.line_facts(lines.unionByName(before), verdicts).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{store}/facts/batch={batch_id}")
+        tops.select("path", "top.line_no", "top.raw").write.mode("overwrite").parquet(f"{store}/ends/batch={batch_id}")
 
     return run
 
 
 def latest_facts(spark, store: str) -> DataFrame:
-    f = spark.read.option("recursiveFileLookup", "true").parquet(store)
+    f = spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/facts")
     cols = ["raw", "format", "is_record", "level"]
     return f.groupBy("path", "line_no").agg(F.max_by(F.struct(*cols), "batch_id").alias("f")).select("path", "line_no", "f.*")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -370,7 +371,40 @@ def test_segmentations_follow_their_weights():
 def test_rotations_keep_lengths():
     x = np.random.default_rng(0).normal(size=(50, 48))
     assert np.allclose(np.linalg.norm(ann.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
-    assert (ann.axes(x, 0, 5)[:, 0] == ann.axes(x, 0)[:, 0]).all()
+    for widths in ([96], [128, 4], [128, 128, 2]):
+        first, code = ann.buckets(x, 0, widths)
+        near = ann.probed(x, 0, widths, 20)
+        assert [f[0] for f in near] == code.tolist() and all(len(set(f)) == min(20, math.prod(widths)) for f in near) and (code // math.prod(widths[1:]) == first).all()
+    assert ann.shape(3, 64) == [2] and ann.shape(2000, 64) == [128, 4] and ann.shape(10**5, 64) == [128, 128, 2]
+
+
+def test_finer_buckets_meet_few_rows():
+    """100,000 vectors without any structure, the hardest case: recall and the share of rows met."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100_000, 64)).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    widths, q = ann.shape(len(x), 64), x[:40]
+    score = q @ x.T
+    score[np.arange(40), np.arange(40)] = -9
+    best = np.argsort(-score, axis=1)[:, :5]
+    met = np.zeros((40, len(x)), bool)
+    probes = math.ceil(ann.FIRST_PROBES + ann.PROBES * math.prod(widths) ** ann.GROWTH)
+    for t in range(ann.TABLES):
+        code = ann.buckets(x, t, widths)[1]
+        for i, f in enumerate(ann.probed(q, t, widths, probes)):
+            met[i] |= np.isin(code, f)
+    assert np.take_along_axis(met, best, axis=1).mean() >= 0.9 and met.mean() < 0.1
+
+
+def test_exact_copies_of_vectors(spark):
+    rng = np.random.default_rng(7)
+    m = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 50, axis=0), rng.normal(size=(400, 16))])
+    rows = [(int(i), [float(v) for v in x], "n") for i, x in zip(rng.permutation(450) + 51, m, strict=True)] + [(50, [float(v) for v in m[0]], "n"), (50, [float(v) for v in m[0]], "n")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, uid string").where("vec_id <> 100 or vec_id is null")
+    copies = sorted(r[0] for r in rows[:50] if r[0] != 100)
+    got = [r["vec_id"] for r in ann.search(df).where("query_id = 50").orderBy("rank").collect()]
+    n = df.where("vec_id = 50").count()  # rows that repeat a query's id ask each for themselves
+    assert sorted(got) == sorted(copies[:5] * n)
 
 
 def test_recall_and_odd_vectors(spark, monkeypatch):

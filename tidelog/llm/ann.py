@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A unit vector is padded to a power of two and turned by a pseudo-rotation (three rounds of random signs and a fast
-Hadamard transform) per table; its bucket is the nearest signed axis. Every row is indexed in TABLES tables. A query
-probes in each table the PROBES axes nearest to its rotated self (multiprobe), and every candidate met is reranked by
-its exact cosine in double precision, summed in one fixed order so that copies tie exactly; nothing is cut before.
+Hadamard transform); its hash is the nearest signed axis. A table concatenates such hashes, each of its own rotation and
+the last one among fewer axes, until a bucket holds about ROWS rows, so buckets get finer as the table grows. Every row is
+indexed in TABLES tables. A query probes the buckets of each table whose axes lie nearest to its rotated selves
+(multiprobe; their number grows with that of the buckets to the power GROWTH), and every candidate met is scored by its
+exact cosine in double precision, summed in one fixed order so that copies tie exactly; nothing is cut before.
 
-Buckets of any size are split: rows of a bucket are dealt over as many parts as its count asks for (PART rows each) and
-its queries go to each part, themselves in parts of QUERY_PART. A task holds one such part. A query that meets fewer
-than k candidates probes all axes of one table, which is every row.
+Rows and queries meet by their first axis, where queries bring the buckets that they probe. A first axis of any number of
+rows is split: rows are dealt over as many parts as their count asks for (PART rows each) and queries go to each part,
+themselves in parts of QUERY_PART. A task holds one such part. A query that meets fewer than k candidates looks at all rows.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of other lengths than the most
 common one are compared with their own length only. Ties go to the smaller vec_id; rows that repeat a vec_id are
@@ -16,6 +18,7 @@ candidates of their own, and a query row is never its own candidate (rows with t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +28,18 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialise, table
 
-TABLES = 10
-PROBES = 12
+TABLES = 12
+#: Rows to a bucket, about.
+ROWS = 4
+#: Probes to a table of B buckets: FIRST_PROBES + PROBES * B ** GROWTH.
+FIRST_PROBES, PROBES, GROWTH = 14, 0.13, 0.7
+#: Axes of one hash that probes are put together from.
+AXES = 64
 SEED = 11
 PART = 4_000
 QUERY_PART = 500
 #: Pairs that are scored at once.
-PAIRS = 20_000
+PAIRS = 400_000
 NEAREST = 5
 EVERY = 50
 
@@ -58,87 +66,152 @@ def rotated(x: np.ndarray, t: int) -> np.ndarray:
     return y
 
 
-def axes(x: np.ndarray, t: int, probes: int = 1) -> np.ndarray:
-    """The `probes` nearest signed axes of each row, nearest first: 2 * i for +e_i, 2 * i + 1 for -e_i."""
-    y = rotated(x, t)
-    both = np.empty((len(y), 2 * y.shape[1]))
-    both[:, 0::2], both[:, 1::2] = y, -y
-    if probes == 1:
-        return np.argmax(both, axis=1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def shape(n: int, dim: int) -> list[int]:
+    """How many signed axes each hash of a table has, for n rows."""
+    full, left, out = 2 * (1 << max(0, dim - 1).bit_length()), n / ROWS, []
+    while left > 1 or not out:
+        out.append(min(full, max(2, 1 << math.ceil(math.log2(max(left, 2))))))
+        left /= out[-1]
+    return out
+
+
+def towards(x: np.ndarray, t: int, k: int, width: int) -> np.ndarray:
+    """How far each row points along the signed axes of hash k of table t: +e_0, +e_1, ... and then -e_0, -e_1, ..."""
+    y = rotated(x, 1000 * t + k)[:, : width // 2]
+    return np.concatenate([y, -y], axis=1)
+
+
+def buckets(x: np.ndarray, t: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first axis, number of the bucket) of each row in table t."""
+    first, code = None, np.zeros(len(x), np.int64)
+    for k, w in enumerate(widths):
+        a = np.argmax(towards(x, t, k, w), axis=1)
+        first = a if first is None else first
+        code = code * w + a
+    return first, code
+
+
+def probed(x: np.ndarray, t: int, widths: list[int], probes: int) -> list[np.ndarray]:
+    """The numbers of the `probes` buckets nearest to each row in table t, by the sum of its parts along their axes."""
+    far = [towards(x, t, k, w) for k, w in enumerate(widths)]
+    out = []
+    for i in range(len(x)):
+        score, code = np.zeros(1), np.zeros(1, np.int64)
+        for y, w in zip(far, widths, strict=True):
+            own = np.argsort(-y[i], kind="stable")[:AXES]
+            score, code = (score[:, None] + y[i][own][None, :]).ravel(), (code[:, None] * w + own[None, :]).ravel()
+            best = np.argsort(-score, kind="stable")[: 4 * probes]
+            score, code = score[best], code[best]
+        out.append(code[:probes])
+    return out
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, vec (doubles), dim: rows that take part."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    """vec_id, vec, dim: rows that take part."""
+    v = F.col("embedding") if rows.schema["embedding"].dataType.simpleString() == "array<float>" else F.transform("embedding", lambda x: x.cast("double"))
     good = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec")).where("vec_id is not null").where(good).withColumn("dim", F.size("vec"))
 
 
-def coded(rows: DataFrame, tables: int, probes: int) -> DataFrame:
-    """Rows with the buckets they are in (one probe) or look at (more), and their vectors: made in one pass, without a join."""
+def _units(own: pd.DataFrame) -> np.ndarray:
+    m = np.stack(own["vec"].to_list()).astype(float)
+    m = m / np.abs(m).max(axis=1)[:, None]
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
+def indexed(rows: DataFrame, counts: dict[int, int], tables: int) -> DataFrame:
+    """Rows with their first axis and bucket in each table, and their vectors: made in one pass, without a join."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            pdf = pdf.reset_index(drop=True)
-            for dim, own in pdf.groupby("dim"):
-                m = np.stack(own["vec"].to_list())
-                m = m / np.abs(m).max(axis=1)[:, None]
-                m = m / np.linalg.norm(m, axis=1)[:, None]
+            for dim, own in pdf.reset_index(drop=True).groupby("dim"):
+                m, widths = _units(own), shape(counts[int(dim)], int(dim))
                 for t in range(tables):
-                    a = axes(m, t, min(probes, 2 << max(0, int(dim) - 1).bit_length()))
-                    for j in range(a.shape[1]):
-                        yield pd.DataFrame({"uid": own["uid"], "vec_id": own["vec_id"], "vec": own["vec"], "dim": dim, "t": t, "axis": a[:, j]})
-
-    return rows.mapInPandas(run, "uid long, vec_id long, vec array<double>, dim int, t int, axis int")
+                    first, code = buckets(m, t, widths)
+                    yield own[["uid", "vec_id", "vec", "dim"]].assign(t=t, axis=first, code=code)
 
+    return rows.mapInPandas(run, f"uid long, vec_id long, vec {rows.schema['vec'].dataType.simpleString()}, dim int, t int, axis int, code long")
 
-def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosines of all rows of q with all rows of v; scaled by the largest component first, so that squares stay finite."""
-    q = q / np.abs(q).max(axis=1)[:, None]
-    v = v / np.abs(v).max(axis=1)[:, None]
-    return (q @ v.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)[None, :]
 
+def asked(queries: DataFrame, counts: dict[int, int], tables: int, everything: bool = False) -> DataFrame:
+    """Queries with each first axis that they probe in each table and the buckets there; null for all of them."""
 
-def paired(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Cosines of the rows of q with those of v, one to one, summed in one fixed order: equal rows have equal scores, unlike in a matrix product."""
-    q = q / np.abs(q).max(axis=1)[:, None]
-    v = v / np.abs(v).max(axis=1)[:, None]
-    dot, qq, vv = np.zeros(len(q)), np.zeros(len(q)), np.zeros(len(q))
-    for a, b in zip(q.T, v.T, strict=True):
-        dot += a * b
-        qq += a * a
-        vv += b * b
-    return dot / np.sqrt(qq) / np.sqrt(vv)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for dim, own in pdf.reset_index(drop=True).groupby("dim"):
+                m, widths = _units(own), shape(counts[int(dim)], int(dim))
+                size = math.prod(widths)
+                head = own[["uid", "vec_id", "vec", "dim"]]
+                for t in range(tables):
+                    if everything:
+                        for axis in range(widths[0]):
+                            yield head.assign(t=t, axis=axis, codes=None)
+                        continue
+                    found = probed(m, t, widths, min(size, math.ceil(FIRST_PROBES + PROBES * size**GROWTH)))
+                    rows, axes, codes = [], [], []
+                    for i, f in enumerate(found):
+                        of = f // (size // widths[0])
+                        for axis in np.unique(of):
+                            rows.append(i)
+                            axes.append(axis)
+                            codes.append(f[of == axis])
+                    yield head.iloc[rows].assign(t=t, axis=axes, codes=codes)
+
+    return queries.mapInPandas(run, f"uid long, vec_id long, vec {queries.schema['vec'].dataType.simpleString()}, dim int, t int, axis int, codes array<long>")
+
+
+def _scaled(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as columns, scaled by their largest component so that squares stay finite, and their lengths."""
+    m = np.stack(rows["vec"].to_list()).astype(float)
+    m = np.ascontiguousarray((m / np.abs(m).max(axis=1)[:, None]).T)
+    square = np.zeros(m.shape[1])
+    for c in m:
+        square += c * c
+    return m, np.sqrt(square)
+
+
+def _candidates(queries: pd.DataFrame, rows: pd.DataFrame) -> list[np.ndarray]:
+    """Of each query the places of the rows in the buckets that it probes."""
+    if "code" not in rows.columns:
+        return [np.arange(len(rows))] * len(queries)
+    order = np.argsort(rows["code"].to_numpy(), kind="stable")
+    code = rows["code"].to_numpy()[order]
+    out = []
+    for wanted in queries["codes"]:
+        if wanted is None:
+            out.append(order)
+            continue
+        low, high = np.searchsorted(code, wanted), np.searchsorted(code, wanted, side="right")
+        out.append(np.concatenate([order[a:b] for a, b in zip(low, high, strict=True) if a < b] or [order[:0]]))
+    return out
 
 
 def _nearest(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_uid": [], "query_id": [], "uid": [], "vec_id": [], "score": []}).astype({"query_uid": "int64", "query_id": "int64", "uid": "int64", "vec_id": "int64", "score": "float64"})
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query_uid": [], "query_id": [], "uid": [], "vec_id": [], "score": []}).astype({"query_uid": "int64", "query_id": "int64", "uid": "int64", "vec_id": "int64", "score": "float64"})
-        asked, held = np.stack(queries["vec"].to_list()), np.stack(rows["vec"].to_list())
-        score = cosine(asked, held)
+            return none
+        (q, q_len), (v, v_len) = _scaled(queries), _scaled(rows)
         ids, uids, qids, quids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy(), queries["vec_id"].to_numpy(), queries["uid"].to_numpy()
-        score[qids[:, None] == ids[None, :]] = -np.inf
-        out, picks = [], []
-
-        def ranked() -> None:
-            own = np.repeat([i for i, _ in picks], [len(pick) for _, pick in picks])
-            at = np.concatenate([pick for _, pick in picks])
-            s = np.concatenate([paired(asked[own[a : a + PAIRS]], held[at[a : a + PAIRS]]) for a in range(0, max(len(at), 1), PAIRS)])
-            order = np.lexsort((uids[at], ids[at], -s, own))
-            own, at, s = own[order], at[order], s[order]
+        found = _candidates(queries, rows)
+        out, first = [none], 0
+        while first < len(found):
+            last, n = first, 0
+            while last < len(found) and (last == first or n + len(found[last]) <= PAIRS):
+                n += len(found[last])
+                last += 1
+            own, at = np.repeat(np.arange(first, last), [len(f) for f in found[first:last]]), np.concatenate(found[first:last])
+            own, at = (x[qids[own] != ids[at]] for x in (own, at))
+            dot = np.zeros(len(own))
+            for a, b in zip(q, v, strict=True):  # one fixed order of summation: equal rows have equal scores
+                dot += a[own] * b[at]
+            score = dot / q_len[own] / v_len[at]
+            order = np.lexsort((uids[at], ids[at], -score, own))
+            own, at, score = own[order], at[order], score[order]
             best = np.arange(len(own)) - np.searchsorted(own, own) < 2 * k
-            own, at, s = own[best], at[best], s[best]
-            out.append(pd.DataFrame({"query_uid": quids[own], "query_id": qids[own], "uid": uids[at], "vec_id": ids[at], "score": s}))
-            picks.clear()
-
-        for i, s in enumerate(score):
-            # all that tie with the k-th stay in the choice, so that ties end with the smaller id
-            pick = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12)
-            picks.append((i, pick[s[pick] > -np.inf]))
-            if sum(len(pick) for _, pick in picks[-64:]) > PAIRS or i == len(score) - 1 or len(picks) == 64:
-                ranked()
+            own, at, score = own[best], at[best], score[best]
+            out.append(pd.DataFrame({"query_uid": quids[own], "query_id": qids[own], "uid": uids[at], "vec_id": ids[at], "score": score}))
+            first = last
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -148,7 +221,7 @@ _HIT = "query_uid long, query_id long, uid long, vec_id long, score double"
 
 
 def _met(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Candidates of queries in the buckets that they probe, best ones of each part of a bucket."""
+    """Candidates of queries in the buckets that they probe, best ones of each part of a first axis."""
     cell = ["dim", "t", "axis"]
     sizes = index.groupBy(*cell).agg(F.count("*").alias("n")).join(queries.groupBy(*cell).agg(F.count("*").alias("nq")), cell)
     parts = materialise(sizes.select(*[F.col(c).alias(f"_{c}") for c in cell], F.ceil(F.col("n") / PART).cast("int").alias("n_parts"), F.ceil(F.col("nq") / QUERY_PART).cast("int").alias("q_parts")), "ann-parts")
@@ -157,20 +230,21 @@ def _met(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asks = queries.join(parts, on).withColumn("q_part", F.pmod(F.xxhash64("uid"), F.col("q_parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     key = [*cell, "part", "q_part"]
     cols = ["uid", "vec_id", "vec", *key]
-    return asks.select(*cols).groupBy(*key).cogroup(rows.select(*cols).groupBy(*key)).applyInPandas(_nearest(k), _HIT)
+    return asks.select(*cols, "codes").groupBy(*key).cogroup(rows.select(*cols, "code").groupBy(*key)).applyInPandas(_nearest(k), _HIT)
 
 
-def search(rows: DataFrame, every: int = EVERY, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def search(rows: DataFrame, every: int = EVERY, k: int = NEAREST, tables: int = TABLES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
     base = materialise(usable(rows).withColumn("uid", F.monotonically_increasing_id()), "ann-rows")
     base = base.select("uid", "vec_id", "vec", "dim")
+    counts = {r["dim"]: r["count"] for r in base.groupBy("dim").count().collect()}  # a row per length of vectors
     ask = base.where(F.col("vec_id") % every == 0)
-    hits = materialise(_met(coded(base, tables, 1), coded(ask, tables, probes), k), "ann-hits")
+    hits = materialise(_met(indexed(base, counts, tables), asked(ask, counts, tables), k), "ann-hits")
     # queries with too few candidates look at every row of their length
     few = hits.groupBy("query_uid").agg(F.countDistinct("uid").alias("n")).where(F.col("n") >= k).select(F.col("query_uid").alias("uid"))
     short = materialise(ask.join(few, "uid", "left_anti"), "ann-short")
     if short.limit(1).count():
-        hits = hits.unionByName(_met(coded(base, 1, 1), coded(short, 1, 2**31 - 1), k))
+        hits = hits.unionByName(_met(indexed(base, counts, 1), asked(short, counts, 1, everything=True), k))
     once = hits.groupBy("query_uid", "query_id", "uid", "vec_id").agg(F.max("score").alias("score"))
     best = once.groupBy("query_uid", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "uid"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SPACE, frugal, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks, word_spans
+from tidelog.llm.common import SPACE, WORD, frugal, materialise, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks, word_spans
 
 #: A line is boilerplate of a host if more distinct documents than this hold it ...
 MIN_DOCS = 20
@@ -120,7 +120,7 @@ OWN = "__quality_"
 
 
 def base_table(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and with the prefix OWN: x (the text's hash), id, the base counts; row by row."""
+    """The columns `keep` of docs, and with the prefix OWN: whole (what tells texts apart), id, the base counts; row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,8 +129,8 @@ def base_table(docs: DataFrame, keep: list[str]) -> DataFrame:
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c) for c in cols)], names=[*names, *(OWN + c for c in _BASE)])
 
-    names = [*keep, f"{OWN}x", f"{OWN}id"]
-    own = docs.withColumn(f"{OWN}x", F.xxhash64("text")).withColumn(f"{OWN}id", F.col("doc_id"))
+    names = [*keep, f"{OWN}whole", f"{OWN}id"]
+    own = docs.withColumn(f"{OWN}whole", _whole()).withColumn(f"{OWN}id", F.col("doc_id"))
     schema = own.select(*names).schema
     for c in _BASE:
         schema = schema.add(OWN + c, "long")
@@ -141,17 +141,17 @@ def base_failed(words: Column, repeated: Column) -> Column:
     return (words < MIN_WORDS) | (100 * repeated > int(100 * MAX_REPEATED) * words)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, x, whole, host, pos, key, words): lines that hold a word; x, whole: 64 and 128 bits of the text's hash."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("x"), _whole().alias("whole"), F.col("source").alias("host"), F.split(F.col("text"), "\n", -1).alias("lines"))
-    keyed = split.select("doc_id", "x", "whole", "host", F.transform("lines", lambda x: F.struct(F.md5(normalised(x)).alias("key"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))).alias("l"))
-    keyed = keyed.select("doc_id", "x", "whole", "host", F.filter("l", lambda x: x.words > 0).alias("l"))
-    return keyed.select("doc_id", "x", "whole", "host", F.posexplode("l").alias("pos", "l")).select("doc_id", "x", "whole", "host", "pos", F.col("l.key").alias("key"), F.col("l.words").alias("words"))
+def _whole() -> Column:
+    """128 bits that tell texts apart: copies share them. A null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def _whole() -> Column:
-    """What tells documents apart: copies share it. A null text is an empty one."""
-    return F.md5(F.coalesce("text", F.lit("")))
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, whole, host, pos, key, words): lines that hold a word; key: 128 bits of the normalised line. Written once,
+    as the counts and the removal both read it; it holds no text."""
+    one = docs.select("doc_id", _whole().alias("whole"), F.col("source").alias("host"), F.split(F.col("text"), "\n", -1).alias("lines"))
+    each = one.select("doc_id", "whole", "host", F.posexplode("lines").alias("pos", "line")).withColumn("words", F.regexp_count("line", F.lit(WORD))).where("words > 0")
+    return materialise(each.select("doc_id", "whole", "host", "pos", F.unhex(F.md5(normalised(F.col("line")))).alias("key"), "words"), "quality-lines")
 
 
 def _distinct(rows: DataFrame, *key: str) -> DataFrame:
@@ -159,30 +159,31 @@ def _distinct(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key, "whole").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n"))
 
 
-def common_lines(docs: DataFrame) -> DataFrame:
+def common_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows (host, key): lines above both limits among the host's distinct documents."""
-    per_line = _distinct(_lines(docs), "host", "key").withColumnRenamed("n", "n_docs")
+    per_line = _distinct(lines, "host", "key").withColumnRenamed("n", "n_docs")
     hosts = _distinct(docs.select(F.col("source").alias("h"), _whole().alias("whole")), "h").withColumnRenamed("n", "host_docs")
     return per_line.where(F.col("n_docs") > MIN_DOCS).join(hosts, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n_docs") > MAX_SHARE * F.col("host_docs")).select("host", "key")
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
-    """Rows (d, x, n_removed, keys): words in lines above the limits and those lines; documents without any are absent."""
-    bad = common_lines(docs).select(F.col("host").alias("h"), F.col("key").alias("k"))
-    hit = _lines(docs).join(bad, F.col("key").eqNullSafe(F.col("k")) & F.col("host").eqNullSafe(F.col("h")))
-    once = hit.select("doc_id", "x", "pos", "key", "words").distinct()  # rows may repeat
-    return once.groupBy(F.col("doc_id").alias("d"), F.col("x").alias("_x")).agg(F.sum("words").cast("long").alias("n_removed"), F.collect_set("key").alias("keys"))
+    """Rows (d, w, n_removed, places): words in lines above the limits and where those lines stand; documents without any are absent."""
+    lines = keyed_lines(docs)
+    bad = common_lines(docs, lines).select(F.col("host").alias("h"), F.col("key").alias("k"))
+    hit = lines.join(bad, (F.col("key") == F.col("k")) & F.col("host").eqNullSafe(F.col("h")))
+    once = hit.groupBy("doc_id", "whole", "host", "pos").agg(F.max("words").alias("words"))  # rows may repeat
+    return once.groupBy(F.col("doc_id").alias("d"), F.col("whole").alias("w"), F.col("host").alias("h")).agg(F.sum("words").cast("long").alias("n_removed"), F.collect_list("pos").alias("places"))
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep`, and with the prefix OWN: the base counts, base_failed, n_removed, keys (of lines to remove), kept."""
+    """The columns `keep`, and with the prefix OWN: the base counts, base_failed, n_removed, places (of lines to remove), kept."""
     def own(name: str) -> Column:
         return F.col(OWN + name)
 
-    gone = removed_words(docs).select(*[F.col(c).alias(f"{OWN}gone_{c}") for c in ("d", "_x", "n_removed", "keys")])
-    base = base_table(docs, keep).withColumn(f"{OWN}base_failed", base_failed(own("n_words"), own("n_repeat_words")))
-    both = base.join(gone, own("id").eqNullSafe(own("gone_d")) & (own("x") == own("gone__x")), "left")
-    both = both.withColumn(f"{OWN}n_removed", F.coalesce(own("gone_n_removed"), F.lit(0)).cast("long")).withColumn(f"{OWN}keys", own("gone_keys"))
+    gone = removed_words(docs).select(*[F.col(c).alias(f"{OWN}gone_{c}") for c in ("d", "w", "h", "n_removed", "places")])
+    base = base_table(docs.withColumn(f"{OWN}host", F.col("source")), [*keep, f"{OWN}host"]).withColumn(f"{OWN}base_failed", base_failed(own("n_words"), own("n_repeat_words")))
+    both = base.join(gone, own("id").eqNullSafe(own("gone_d")) & (own("whole") == own("gone_w")) & own("host").eqNullSafe(own("gone_h")), "left")
+    both = both.withColumn(f"{OWN}n_removed", F.coalesce(own("gone_n_removed"), F.lit(0)).cast("long")).withColumn(f"{OWN}places", own("gone_places"))
     return both.withColumn(f"{OWN}kept", ~own("base_failed") & (own("n_words") - own("n_removed") >= MIN_LEFT * own("n_words")))
 
 
@@ -194,8 +195,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that are kept, without the lines above the limits; n_chars, if there, follows."""
     j = judged(docs, docs.columns).where(F.col(f"{OWN}kept"))
-    left = F.filter(F.split(F.col("text"), "\n", -1), lambda x: ~F.array_contains(F.col(f"{OWN}keys"), F.md5(normalised(x))))
-    out = j.withColumn("text", F.when(F.col(f"{OWN}keys").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    left = F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: ~F.array_contains(F.col(f"{OWN}places"), i))
+    out = j.withColumn("text", F.when(F.col(f"{OWN}places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -213,13 +214,12 @@ win AS (SELECT doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2]
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
-raw AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
-lines AS (SELECT doc_id, host, line, md5(trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS key,
+raw AS (SELECT doc_id, host, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, host, whole, line, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS key,
           len(regexp_extract_all(line, '{_W}')) AS words FROM raw WHERE regexp_matches(line, '{_W}')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-low AS (SELECT doc_id, list_sort(list_distinct(list(key))) AS l FROM lines GROUP BY doc_id),
-per AS (SELECT host, key, count(DISTINCT CASE WHEN l[1] <> key THEN l[1] ELSE coalesce(l[2], '') END) AS n FROM lines JOIN low USING (doc_id) GROUP BY ALL),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+per AS (SELECT host, key, count(DISTINCT whole) AS n FROM lines GROUP BY ALL),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
 bad AS (SELECT per.host, per.key FROM per JOIN hosts ON per.host IS NOT DISTINCT FROM hosts.host WHERE per.n > {MIN_DOCS} AND per.n > {MAX_SHARE}::DOUBLE * hosts.n),
 gone AS (SELECT doc_id, sum(words) AS n FROM lines JOIN bad ON lines.key = bad.key AND lines.host IS NOT DISTINCT FROM bad.host GROUP BY doc_id),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,

@@ -7,9 +7,10 @@ ties and repeated rows need no rule; other columns of the input are left alone.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,17 @@ def context(text: str, start: int, end: int, kind: str) -> float:
     return CONTEXT_GAIN * bool(near & set(CONTEXT.get(kind, ()))) - CONTEXT_LOSS * bool(near & set(AGAINST))
 
 
+def _merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap made one, so that a place is looked up by bisection."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
     """Spans that need context or another checksum: short cards, phones without '+', IBANs, social security numbers."""
     proposed: list[tuple[str, int, int, float]] = []
@@ -117,10 +129,14 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             proposed.append(("ssn", m.start(), m.end(), 0.0))
     out: list[tuple[str, int, int, float]] = []
+    taken = _merged((a, b) for _, a, b in base)
     for kind, a, b, extra in proposed:
         score = PATTERN_SCORE[kind] + extra + context(text, a, b, kind)
-        if score >= ACCEPT - 1e-9 and not any(a < y and x < b for _, x, y in base) and not any(a < y and x < b for _, x, y, _ in out):
-            out.append((kind, a, b, min(1.0, score)))
+        if score >= ACCEPT - 1e-9:
+            at = bisect.bisect_right(taken, (a, a)) if taken else 0
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+                taken.insert(at, (a, b))
+                out.append((kind, a, b, min(1.0, score)))
     return out
 
 

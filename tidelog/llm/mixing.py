@@ -124,6 +124,11 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of docs."""
+    return _mixed(docs, weights).drop("source")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """mixed() with the source."""
     sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_of(F.col("text")).alias("size")), "mix-sizes")
     goal = materialise(targets(sized, weights), "mix-targets")
     most = goal.agg(F.max("source_docs")).first()[0] or 0
@@ -151,17 +156,19 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.round("pi").cast("long")) * F.col("size")).alias("taken"))
+    named = out.join(goal.select(F.col("src").alias("_src"), "source"), F.col("src") == F.col("_src"))
+    return named.select("doc_id", "source", "size", "source_size", "target", ((F.col("whole") + F.round("pi").cast("long")) * F.col("size")).alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix as documents: each as often as the mix takes it, copies told apart by nothing but their number."""
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    m = mixed(docs, weights).select(F.col("doc_id").alias("__mix_id"), times.alias("__mix_times"))
-    # repeated ids: the k-th row of an id takes the k-th count, whichever way the rows are ordered
-    m = m.withColumn("__mix_k", F.row_number().over(Window.partitionBy("__mix_id").orderBy("__mix_times")))
-    d = docs.withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source")))
-    both = d.join(m, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_n") == F.col("__mix_k")))
+    m = _mixed(docs, weights).select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), times.alias("__mix_times"))
+    # rows that repeat an id, source and size: the k-th takes the k-th count, whichever way they are ordered
+    m = m.withColumn("__mix_k", F.row_number().over(Window.partitionBy("__mix_id", "__mix_source", "__mix_size").orderBy("__mix_times")))
+    d = docs.withColumn("__mix_words", words_of(F.col("text"))).withColumn("__mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "__mix_words").orderBy("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__mix_id")) & F.col("source").eqNullSafe(F.col("__mix_source")) & (F.col("__mix_words") == F.col("__mix_size"))
+    both = d.join(m, same & (F.col("__mix_n") == F.col("__mix_k")))
     return both.where("__mix_times > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*docs.columns)
 
 

@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.common import LOWER, components, frugal, materialise, mix, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, word_spans
 
@@ -287,11 +288,14 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
 
 
 def one_of_each(docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """The documents with the smallest doc_id of each component; a row that repeats a doc_id goes, one without stays."""
+    """The documents with the smallest doc_id of each component; of rows that repeat a doc_id the first by text stays (then by
+    the other columns), a row without one stays."""
     found = joined(docs, words, similar)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__near_keep")).distinct()
-    once = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__near_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    mine = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__near_keep"), "left_semi")
+    plain = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType) and f.name != "text"]
+    once = mine.groupBy(F.col("doc_id").alias("__near_id")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("text").isNull(), "text", F.xxhash64(*plain))).alias("__near_row"))
+    return once.select("__near_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,13 +141,14 @@ def brute_dedup(rows, length=repeats.LENGTH):
     return out
 
 
-@pytest.mark.parametrize("most", [4000, 2])
-def test_dedup_is_exact(spark, odd, monkeypatch, most):
+@pytest.mark.parametrize(("most", "bits"), [(4000, 64), (2, 64), (3, 3), (4000, 1)])
+def test_dedup_is_exact(spark, odd, monkeypatch, most, bits):
+    """Fewer bits: anchors and first content hashes collide everywhere."""
     monkeypatch.setattr(repeats, "MOST_SPANS", most)
     rng = random.Random(8)
     passage = babble(rng, 60)
     texts = [t if t is None or len(t) < 30_000 else t[:3000] for t in odd] + [babble(rng, rng.randrange(60)) + passage[rng.randrange(40) : rng.randrange(120, 200)] + babble(rng, rng.randrange(60)) for _ in range(60)] + ["a" * 500, "ab" * 300, "é" * 130, "a" * 99, "a" * 100]
-    got = {r["doc_id"]: tuple(r)[1:5] for r in repeats.deduplicated(frame(spark, texts, extra=True)).drop("kept").collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in repeats.deduplicated(frame(spark, texts, extra=True), bits).drop("kept").collect()}
     assert got == brute_dedup(list(enumerate(texts)))
 
 

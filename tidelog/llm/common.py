@@ -125,19 +125,24 @@ _RNG = np.random.default_rng(0x5EED)
 BYTE_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+#: A second hash, independent of the first: other values, another base.
+OTHER_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_BASE = np.uint64(0xD1342543DE82EF95)
+OTHER_INVERSE = np.uint64(pow(int(OTHER_BASE), -1, 2**64))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[bool, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE**i (or its inverse) modulo 2**64 for i < n."""
-    key = "i" if inverse else "b"
+def powers(n: int, inverse: bool = False, other: bool = False) -> np.ndarray:
+    """BASE**i (or its inverse) modulo 2**64 for i < n; other: of the second hash."""
+    key = (inverse, other)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        have = np.full(max(n, 4 * CHUNK_BYTES // 3), INVERSE if inverse else BASE, np.uint64)
+        base = ((BASE, INVERSE), (OTHER_BASE, OTHER_INVERSE))[other][inverse]
+        have = np.full(max(n, 4 * CHUNK_BYTES // 3), base, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
         _powers[key] = have
@@ -154,16 +159,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """P with P[j] - P[i] = sum of value(byte k) * BASE**k over i <= k < j."""
+def prefix_hashes(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """P with P[j] - P[i] = sum of value(byte k) * BASE**k over i <= k < j; other: of the second hash."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(len(data)), out=out[1:])
+    np.cumsum((OTHER_VALUES if other else BYTE_VALUES)[data] * powers(len(data), other=other), out=out[1:])
     return out
 
 
-def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, other: bool = False) -> np.ndarray:
     """Position-free hash of data[start:end] for arrays of starts and ends; equal bytes give equal hashes."""
-    return (prefix[end] - prefix[start]) * powers(len(prefix), inverse=True)[start]
+    return (prefix[end] - prefix[start]) * powers(len(prefix), True, other)[start]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

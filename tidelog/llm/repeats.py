@@ -7,13 +7,16 @@ text until it must:
 1. The anchor of a LENGTH-byte window is its leftmost ANCHOR-byte gram of smallest hash, so equal windows have equal
    anchors. Consecutive windows with the same anchor are one span: some 170 bytes, one for every 35 bytes of text. Prefix
    polynomial hashes give the gram and span hashes of all positions at once.
-2. Spans meet by anchor. Of spans with equal content the earliest stays, the others are removed whole. Anchors with one
-   content are done.
-3. Where an anchor has spans of several contents, their bytes are fetched and their windows suffix-sorted: a mergesort
-   whose comparisons find the common extension by binary search over prefix hashes and then look at the next byte.
-   Neighbours with an extension of LENGTH are compared byte by byte; if hashes collided, the group is sorted by its bytes.
-4. Anchors with more than MOST_SPANS contents (a passage that many documents go on from differently) don't meet in one
-   task: their windows are grouped by a 128-bit digest of their bytes, pre-aggregated.
+2. Anchors are counted; spans of anchors that occur once are done. The rest meet by content: of spans with equal content
+   (anchor, and two independent 64-bit hashes of bytes and place of the anchor) the earliest stays, the others are removed
+   whole. These are grouped minima, taken in each block of texts first, so a passage that every tenth document holds is no
+   task of its own. That two of n spans of other bytes agree in both hashes has odds of n * n / 2**129.
+3. Where an anchor has spans of several contents, the bytes of one of each are fetched and their windows suffix-sorted: a
+   mergesort whose comparisons find the common extension by binary search over prefix hashes and then look at the next
+   byte. Neighbours with an extension of LENGTH are compared byte by byte; if hashes collided, the group is sorted by its
+   bytes.
+4. An anchor with more than MOST_SPANS contents (a passage that many documents go on from differently) is sorted in runs
+   of about so many. The windows that are first in their run are merged over the runs by a 128-bit digest of their bytes.
 5. The removed ranges of each document are merged and cut out of its text.
 
 Null and empty texts have no bytes. Rows that repeat a doc_id and a text are one document and get the same result; rows
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import frugal, materialise, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks
@@ -54,16 +57,18 @@ def anchors(value: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of the texts: text, first window start, last window start, anchor (all in bytes of data), gram hash, content hash."""
-    none = tuple(np.zeros(0, k) for k in (np.int64,) * 4 + (np.uint64,) * 2)
+def spans(data: np.ndarray, offsets: np.ndarray, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """Spans of the texts: text, first window start, last window start, anchor (all in bytes of data), gram hash.
+
+    bits: how many of a hash's bits count; fewer are for tests, to make hashes collide.
+    """
+    none = tuple(np.zeros(0, k) for k in (np.int64,) * 4 + (np.uint64,))
     if len(data) < LENGTH:
         return none
     prefix = prefix_hashes(data)
     start = np.arange(len(data) - ANCHOR + 1)
-    gram = mix(range_hashes(prefix, start, start + ANCHOR))
+    gram = mix(range_hashes(prefix, start, start + ANCHOR)) >> np.uint64(64 - bits)
     at = anchors(gram, LENGTH - ANCHOR + 1)
-    inside = np.zeros(len(at), bool)
     n = np.diff(offsets)
     edge = np.zeros(len(at) + 1, np.int64)
     long_ = n >= LENGTH
@@ -80,49 +85,74 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     stop[:-1] &= ~(inside[1:] & (at[1:] == at[:-1]))
     last = np.flatnonzero(stop)
     anchor = at[first]
-    shape = ((last - first) * 256 + (anchor - first)).astype(np.uint64)
-    content = mix(mix(range_hashes(prefix, first, last + LENGTH)) + mix(shape))
     text = np.searchsorted(offsets, first, side="right") - 1
-    return text, first, last, anchor, gram[anchor], content
+    return text, first, last, anchor, gram[anchor]
 
 
-_SPAN = "h long, s long, d long, m long, p long"
+def contents(data: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each span's bytes and of its anchor's place in it; fewer bits of the first for tests."""
+    shape = ((last - first) * 256 + (anchor - first)).astype(np.uint64)
+    one = mix(mix(range_hashes(prefix_hashes(data), first, last + LENGTH)) + mix(shape)) >> np.uint64(64 - bits)
+    return one, mix(mix(range_hashes(prefix_hashes(data, True), first, last + LENGTH, True) ^ np.uint64(0x5851F42D4C957F2D)) + shape)
+
+
+_SPAN = "h long, s long, e long, d long, m long, p long"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Span rows (m packs the text's 32-bit hash, the anchor's and the last window's distance from p); repeats of a span
-    within its own text come as ranges, with null h and their length in m."""
-    for batch in batches:
-        offsets, data = text_buffers(batch.column("text"))
-        d, x = batch.column("d").to_numpy(), batch.column("x").to_numpy().astype(np.int64)
-        for a, b in text_chunks(offsets):
-            off = offsets[a : b + 1] - offsets[a]
-            text, first, last, anchor, gram, content = spans(data[offsets[a] : offsets[b]], off)
-            if not len(text):
-                continue
-            order = np.lexsort((first, gram, content, text))
-            again = np.zeros(len(text), bool)
-            t, g, c = text[order], gram[order], content[order]
-            again[order[1:]] = (t[1:] == t[:-1]) & (g[1:] == g[:-1]) & (c[1:] == c[:-1])
-            p = first - off[text]
-            m = x[a + text] * 65536 + (anchor - first) * 256 + (last - first)
-            keep = ~again
-            yield pa.RecordBatch.from_arrays([_signed(gram[keep]), _signed(content[keep]), pa.array(d[a + text[keep]]), pa.array(m[keep]), pa.array(p[keep])], names=["h", "s", "d", "m", "p"])
-            if again.any():
-                who, lo, hi = text[again], p[again], p[again] + (last - first)[again] + LENGTH
-                new = np.ones(len(who), bool)
-                new[1:] = (who[1:] != who[:-1]) | (lo[1:] > hi[:-1])
-                at = np.flatnonzero(new)
-                top = np.maximum.reduceat(hi, at)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(x[a + who[at]]), pa.array(d[a + who[at]]), pa.array(top - lo[at]), pa.array(lo[at])], names=["h", "s", "d", "m", "p"])
-
-
-_BYTES = "h long, d long, x long, q long, lead int, more int, classes long, body binary"
+def _anchors(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each anchor occurs in a block of texts."""
+        for batch in batches:
+            offsets, data = text_buffers(batch.column("text"))
+            for a, b in text_chunks(offsets):
+                h, n = np.unique(spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return run
+
+
+def _spans(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Span rows (m packs the text's 32-bit hash, the anchor's and the last window's distance from p). Of spans of equal
+        content in a block of texts the earliest is a row; the others come as ranges, with null e, their text's hash in s,
+        their length in m, and an h of their own."""
+        for batch in batches:
+            offsets, data = text_buffers(batch.column("text"))
+            d, x = batch.column("d").to_numpy(), batch.column("x").to_numpy().astype(np.int64)
+            for a, b in text_chunks(offsets):
+                part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                text, first, last, anchor, gram = spans(part, off, bits)
+                if not len(text):
+                    continue
+                one, other = contents(part, first, last, anchor, bits)
+                p, ds, xs = first - off[text], d[a + text], x[a + text]
+                order = np.lexsort((p, xs, ds, other, one, gram))
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in (gram, one, other)], axis=0)
+                head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest of each one's content
+                late = (ds[order] != ds[head]) | (xs[order] != xs[head]) | (p[order] != p[head])  # a repeated row is no repeat
+                keep = order[new]
+                m = xs * 65536 + (anchor - first) * 256 + (last - first)
+                yield pa.RecordBatch.from_arrays([_signed(gram[keep]), _signed(one[keep]), _signed(other[keep]), *(pa.array(c[keep]) for c in (ds, m, p))], names=["h", "s", "e", "d", "m", "p"])
+                gone = np.sort(order[late])
+                if len(gone):
+                    who, lo, hi = text[gone], p[gone], p[gone] + (last - first)[gone] + LENGTH
+                    opens = np.ones(len(who), bool)
+                    opens[1:] = (who[1:] != who[:-1]) | (lo[1:] > hi[:-1])
+                    at = np.flatnonzero(opens)
+                    top = np.maximum.reduceat(hi, at)
+                    n = len(at)
+                    own = mix((d[a + who[at]] * 1_000_003 + lo[at]).view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([_signed(own), pa.array(x[a + who[at]]), pa.nulls(n, pa.int64()), pa.array(d[a + who[at]]), pa.array(top - lo[at]), pa.array(lo[at])], names=["h", "s", "e", "d", "m", "p"])
+
+    return run
+
+
+_BYTES = "h long, d long, x long, q long, lead int, more int, hot boolean, body binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +163,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             for w in wants:
                 lead, more = w["m"] // 256 % 256, w["m"] % 256
-                rows.append((w["h"], d, x, w["p"] + lead, lead, more, w["classes"], raw[w["p"] : w["p"] + more + LENGTH]))
+                rows.append((w["g"], d, x, w["p"] + lead, lead, more, w["hot"], raw[w["p"] : w["p"] + more + LENGTH]))
             if len(rows) >= 20_000:
                 yield _byte_rows(rows)
                 rows = []
@@ -141,9 +171,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _byte_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
     cols = list(zip(*rows, strict=True)) or [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "d", "x", "q", "lead", "more", "classes", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "d", "x", "q", "lead", "more", "hot", "body"])
 
 
 def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = LENGTH) -> np.ndarray:
@@ -228,15 +258,17 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray) ->
     return out
 
 
-_RANGE = "d long, x long, a long, b long"
+_RANGE = "d long, x long, a long, b long, w1 long, w2 long"
 
 
-def _ranges(d, x, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (d, x, a, b)], names=["d", "x", "a", "b"])
+def _ranges(d, x, a, b, w1=None, w2=None) -> pa.RecordBatch:
+    cols = [pa.array(np.asarray(c, np.int64)) for c in (d, x, a, b)]
+    marks = [pa.nulls(len(cols[0]), pa.int64()) if w is None else pa.array(w, pa.int64()) for w in (w1, w2)]
+    return pa.RecordBatch.from_arrays([*cols, *marks], names=["d", "x", "a", "b", "w1", "w2"])
 
 
-def _resolve(rows: pa.Table) -> pa.RecordBatch:
-    """Removed ranges of whole groups of spans. Repeated rows of the input bring a span more than once: one stays."""
+def _resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Removed ranges of whole groups of spans, and of runs of a hot anchor the windows that are first in theirs. Repeated rows of the input bring a span more than once: one stays."""
     keys = [rows.column(c).to_numpy() for c in ("h", "d", "x", "q")]
     order = np.lexsort(keys[::-1])
     once = np.ones(len(order), bool)
@@ -254,7 +286,7 @@ def _resolve(rows: pa.Table) -> pa.RecordBatch:
     back = lead[span] - k
     start = offsets[span] + k
     _, hg = np.unique(h, return_inverse=True)
-    order = np.lexsort((x[span], q[span], d[span], back, hg[span]))
+    order = np.lexsort((q[span], x[span], d[span], back, hg[span]))
     key = hg[span][order] * 512 + back[order] + 256
     group = np.zeros(len(order), np.int64)
     group[1:] = np.cumsum(key[1:] != key[:-1])
@@ -266,7 +298,13 @@ def _resolve(rows: pa.Table) -> pa.RecordBatch:
     end[:-1] &= ~(gone[1:] & (span[1:] == span[:-1]))
     f, e = np.flatnonzero(new), np.flatnonzero(end)
     at = q[span[f]] - lead[span[f]]
-    return _ranges(d[span[f]], x[span[f]], at + k[f], at + k[e] + LENGTH)
+    yield _ranges(d[span[f]], x[span[f]], at + k[f], at + k[e] + LENGTH)
+    left = np.flatnonzero(rows.column("hot").to_numpy(zero_copy_only=False)[span] & ~gone)
+    for i in range(0, len(left), SORT_SPANS):
+        w = left[i : i + SORT_SPANS]
+        digests = np.frombuffer(b"".join(hashlib.blake2b(data[j : j + LENGTH].tobytes(), digest_size=16).digest() for j in start[w]), np.int64).reshape(-1, 2)
+        a = (q - lead)[span[w]] + k[w]
+        yield _ranges(d[span[w]], x[span[w]], a, a + LENGTH, digests[:, 0], digests[:, 1])
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,48 +321,40 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             h = rows.column("h").to_numpy()
             cut = int(np.searchsorted(h, h[-1]))  # the last group may go on in the next batch
             if cut:
-                yield _resolve(rows.slice(0, cut).combine_chunks())
+                yield from _resolve(rows.slice(0, cut).combine_chunks())
             held, n = rows.slice(cut).combine_chunks().to_batches(), len(h) - cut
     if held:
-        yield _resolve(pa.Table.from_batches(held).combine_chunks())
+        yield from _resolve(pa.Table.from_batches(held).combine_chunks())
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of spans by the digest of their bytes."""
-    for batch in batches:
-        w1, w2, d, x, a = [], [], [], [], []
-        for r in batch.to_pylist():
-            for k in range(r["more"] + 1):
-                dig = hashlib.blake2b(r["body"][k : k + LENGTH], digest_size=16).digest()
-                w1.append(int.from_bytes(dig[:8], "little", signed=True))
-                w2.append(int.from_bytes(dig[8:], "little", signed=True))
-                d.append(r["d"])
-                x.append(r["x"])
-                a.append(r["q"] - r["lead"] + k)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (w1, w2, d, x, a)], names=["w1", "w2", "d", "x", "a"])
-
-
-def removed_ranges(docs: DataFrame) -> DataFrame:
+def removed_ranges(docs: DataFrame, bits: int = 64) -> DataFrame:
     """d, x, a, b: byte ranges to remove, overlapping ones not yet merged. docs: d, x, text."""
-    raw = docs.where(F.octet_length("text") >= LENGTH).mapInArrow(frugal(_spans), _SPAN)
-    by_h, by_hs = Window.partitionBy("h"), Window.partitionBy("h", "s")
-    seen = raw.withColumn("n", F.count("*").over(by_h)).withColumn("first", F.min(F.struct("d", "m", "p")).over(by_hs)).where("h is null or n > 1")
-    seen = seen.withColumn("is_first", (F.col("first.d") == F.col("d")) & (F.col("first.m") == F.col("m")) & (F.col("first.p") == F.col("p")))
-    seen = seen.withColumn("classes", F.sum(F.col("is_first").cast("long")).over(by_h))
-    # null h: ranges found within one text, with the text's hash in s and the length in m
-    met = materialise(seen.select("h", "s", "d", "m", "p", "is_first", "classes"), "repeats-met")
-    x = F.shiftright("m", 16)
-    more = F.col("m").bitwiseAND(255)
-    own = met.where("h is null").select("d", F.col("s").alias("x"), F.col("p").alias("a"), (F.col("p") + F.col("m")).alias("b"))
-    whole = met.where("h is not null and not is_first").select("d", x.alias("x"), F.col("p").alias("a"), (F.col("p") + more + LENGTH).alias("b"))
-    wants = met.where("h is not null and is_first and classes > 1").groupBy("d", x.alias("x")).agg(F.collect_set(F.struct("h", "p", F.col("m").bitwiseAND(65535).alias("m"), "classes")).alias("wants"))
-    once = docs.join(wants, ["d", "x"]).select("text", "d", "x", "wants")
-    bodies = materialise(once.mapInArrow(frugal(_fetch), _BYTES), "repeats-bodies")
-    few = bodies.where(F.col("classes") <= MOST_SPANS).repartition("h").sortWithinPartitions("h").mapInArrow(frugal(_sorted_groups), _RANGE)
-    many = materialise(bodies.where(F.col("classes") > MOST_SPANS).mapInArrow(_windows, "w1 long, w2 long, d long, x long, a long"), "repeats-windows")
-    lowest = many.groupBy("w1", "w2").agg(F.min(F.struct("d", "a", "x")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    late = many.join(lowest, ["w1", "w2"]).where((F.col("low.d") != F.col("d")) | (F.col("low.a") != F.col("a")) | (F.col("low.x") != F.col("x")))
-    return own.union(whole).union(few).union(late.select("d", "x", "a", (F.col("a") + LENGTH).alias("b")))
+    long_ = docs.where(F.octet_length("text") >= LENGTH)
+    often = long_.mapInArrow(frugal(_anchors(bits)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("often"))
+    raw = long_.mapInArrow(frugal(_spans(bits)), _SPAN)
+    met = materialise(raw.join(often, F.col("h") == F.col("often"), "left").where("often is not null or e is null").drop("often"), "repeats-met")
+    own = met.where("e is null").select("d", F.col("s").alias("x"), F.col("p").alias("a"), (F.col("p") + F.col("m")).alias("b"))
+    x, more = F.shiftright("m", 16), F.col("m").bitwiseAND(255)
+    spans_ = met.where("e is not null")
+    firsts = materialise(spans_.groupBy("h", "s", "e").agg(F.min(F.struct("d", "m", "p")).alias("f"), F.count("*").alias("n")), "repeats-firsts")
+    again = firsts.where("n > 1").select("h", "s", "e", "f")
+    late = (F.col("f.d") != F.col("d")) | (F.col("f.m") != F.col("m")) | (F.col("f.p") != F.col("p"))
+    whole = spans_.join(again, ["h", "s", "e"]).where(late).select("d", x.alias("x"), F.col("p").alias("a"), (F.col("p") + more + LENGTH).alias("b"))
+    classes = firsts.groupBy("h").agg(F.count("*").alias("classes")).where("classes > 1")
+    run = F.pmod(F.xxhash64("d", "p"), F.ceil(F.col("classes") / MOST_SPANS))
+    hot = F.col("classes") > MOST_SPANS
+    several = firsts.join(classes, "h").select("h", "f.d", "f.m", "f.p", "classes")
+    several = several.select("d", x.alias("x"), F.struct(F.when(hot, F.xxhash64("h", run)).otherwise(F.col("h")).alias("g"), "p", F.col("m").bitwiseAND(65535).alias("m"), hot.alias("hot")).alias("want"))
+    wants = several.groupBy("d", "x").agg(F.collect_set("want").alias("wants"))
+    bodies = docs.join(wants, ["d", "x"]).select("text", "d", "x", "wants").mapInArrow(frugal(_fetch), _BYTES)
+    found = materialise(bodies.repartition("h").sortWithinPartitions("h").mapInArrow(frugal(_sorted_groups), _RANGE), "repeats-found")
+    windows = found.where("w1 is not null")
+    lowest = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "x", "a")).alias("low"), F.count("*").alias("n")).where("n > 1")
+    merged_runs = windows.join(lowest, ["w1", "w2"]).where((F.col("low.d") != F.col("d")) | (F.col("low.a") != F.col("a")) | (F.col("low.x") != F.col("x")))
+    out = own.union(whole)
+    for part in (found.where("w1 is null"), merged_runs):
+        out = out.union(part.select("d", "x", "a", "b"))
+    return out
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -353,12 +383,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left): one row per row of docs."""
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d")
     ).withColumn("x", F.hash("text").cast("long"))
-    gone = removed_ranges(own.select("d", "x", "text")).groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    gone = removed_ranges(own.select("d", "x", "text"), bits).groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     return own.join(gone, ["d", "x"], "left").select("doc_id", "text", "gone").mapInArrow(frugal(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -6,10 +6,13 @@ on (conversation, identifier), so a conversation with a third of all messages sp
 that repeat an identifier, the first by turn and place links; the others are `duplicate`. A result without a call is
 `orphan`, a call without a result `unanswered`.
 
-Order: every item has the key (turn, tick). An item that must follow another but doesn't moves to just after it, and
-what depends on it moves along; rounds go on until nothing moves. Items that wait for themselves are `cyclic` and keep
-their own turn. Arguments are checked against the tool's schema; the JSON has sorted keys, no blanks, and no escapes
-but those JSON needs.
+Order: every item has the key (turn, tick). An item comes after what it waits for: where its own turn does not see to that, it
+moves to just after the latest of them, and what depends on it moves along. So its key is the latest (turn, length) over the
+chains that end in it. Items that wait for nothing more are peeled off, round by round; in between, an item that waits for
+one other only is passed over by those that wait for it, so that a chain of n takes log n rounds. A chain longer than the
+conversation's items, or items that all wait for several others in a ring, can't be peeled: these items, and what waits for
+them, are `cyclic` and keep their own turn. Arguments are checked against the tool's schema; the JSON has sorted keys, no
+blanks, and no escapes but those JSON needs.
 
 Nulls: a message with a null turn comes first, a null role counts as 'user', null text is the empty string; an identifier
 that is null links with nothing. Repeated rows are kept, each with the result of the same rules.
@@ -140,34 +143,52 @@ def ordered(links: DataFrame) -> DataFrame:
         nodes.where("kind = 'result'").select("conv_id", "call_id", "kind", F.col("call_id").alias("dep"), F.lit("call").alias("dep_kind"))
         .union(nodes.where("kind = 'call'").select("conv_id", "call_id", "kind", F.explode("after").alias("dep"), F.lit("result").alias("dep_kind")))
     )
-    key = materialise(nodes.select("conv_id", "call_id", "kind", F.struct("t", F.lit(0).alias("tick")).alias("k")), "chat-keys")
-    needs = materialise(needs.where("dep is not null"), "chat-needs")
-    total = None
-    rounds = 0
-    while True:
-        d = key.select(F.col("conv_id").alias("dc"), F.col("call_id").alias("di"), F.col("kind").alias("dk"), F.col("k").alias("dkey"))
-        after = needs.join(d, needs.conv_id.eqNullSafe(F.col("dc")) & (needs.dep == F.col("di")) & (needs.dep_kind == F.col("dk")))
-        latest = after.groupBy(F.col("conv_id").alias("lc"), F.col("call_id").alias("li"), F.col("kind").alias("lk")).agg(F.max("dkey").alias("least"))
-        j = key.join(latest, key.conv_id.eqNullSafe(F.col("lc")) & (key.call_id == F.col("li")) & (key.kind == F.col("lk")), "left")
-        late = F.col("least").isNotNull() & (F.col("least") >= F.col("k"))
-        nxt = materialise(j.select("conv_id", "call_id", "kind", F.when(late, F.struct(F.col("least.t").alias("t"), (F.col("least.tick") + 1).alias("tick"))).otherwise(F.col("k")).alias("k"), late.alias("moved")), "chat-keys")
-        moved = nxt.where("moved").count()
-        drop(key)
-        key = nxt
-        rounds += 1
-        if not moved:
-            break
-        total = total if total is not None else nxt.count()
-        if rounds > total:  # longer than any chain without a cycle
-            break
-    k = key.select(F.col("conv_id").alias("kc"), F.col("call_id").alias("ki"), F.col("kind").alias("kk"), F.col("k"), F.col("moved"))
+    # items as numbers; a conversation's number of items bounds its chains
+    known = materialise(nodes.select("conv_id", "call_id", "kind", "t", F.monotonically_increasing_id().alias("v")), "chat-nodes")
+    d = known.select(F.col("conv_id").alias("dc"), F.col("call_id").alias("di"), F.col("kind").alias("dk"), F.col("v").alias("u"))
+    own_v = known.select(F.col("conv_id").alias("vc"), F.col("call_id").alias("vi"), F.col("kind").alias("vk"), "v")
+    waits = needs.where("dep is not null").distinct().join(d, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("dep") == F.col("di")) & (F.col("dep_kind") == F.col("dk")))
+    waits = waits.join(own_v, F.col("conv_id").eqNullSafe(F.col("vc")) & (F.col("call_id") == F.col("vi")) & (F.col("kind") == F.col("vk")))
+    sizes = known.groupBy(F.col("conv_id").alias("sc")).agg(F.count("*").alias("most"))
+    waits = waits.join(sizes, F.col("conv_id").eqNullSafe(F.col("sc"))).select("v", "u", F.lit(1).cast("long").alias("len"), "most")
+    keys, left = _peeled(known.select("v", F.struct("t", F.lit(0).cast("long").alias("tick")).alias("k")), materialise(waits, "chat-waits"))
+    cyclic = left.select("v", F.lit(True).alias("moved")).distinct()
+    k = known.join(keys, "v").join(cyclic, "v", "left").select(F.col("conv_id").alias("kc"), F.col("call_id").alias("ki"), F.col("kind").alias("kk"), "k", "moved")
     j = links.join(k, links.conv_id.eqNullSafe(F.col("kc")) & (links.call_id == F.col("ki")) & (links.kind == F.col("kk")), "left")
-    free = F.col("k").isNull() | F.coalesce("moved", F.lit(False)) | (F.col("link") == "duplicate") | (F.struct(low.alias("t"), F.lit(0).alias("tick")) > F.col("k"))
+    moved = F.coalesce("moved", F.lit(False))
+    free = F.col("k").isNull() | moved | (F.col("link") == "duplicate") | (F.struct(low.alias("t"), F.lit(0).cast("long").alias("tick")) > F.col("k"))
     return j.select(
-        *links.columns, F.when(free, low).otherwise(F.col("k.t")).alias("order_turn"), F.when(free, 0).otherwise(F.col("k.tick")).cast("int").alias("order_tick"), F.coalesce("moved", F.lit(False)).alias("cyclic")
+        *links.columns, F.when(free, low).otherwise(F.col("k.t")).alias("order_turn"), F.when(free, 0).otherwise(F.col("k.tick")).cast("int").alias("order_tick"), (moved & F.coalesce(F.col("link") != "duplicate", F.lit(True))).alias("cyclic")
     )
 
 
+def _peeled(keys: DataFrame, waits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keys (v, k) moved behind what they wait for, and the rows of waits that are left: those of items that wait for themselves.
+
+    waits: v waits for u by a chain of len items. Each round applies every wait once; it ends if u waits for nothing, and
+    goes on to what u waits for if that is one item. A wait of more than `most` items goes round in a ring and stays.
+    """
+    first = True
+    while True:
+        one = waits.groupBy("v").agg(F.count("*").alias("n"), F.first("u").alias("w"), F.first("len").alias("more"))
+        one = one.select(F.col("v").alias("ov"), "n", "w", "more")
+        step = waits.join(one, F.col("u") == F.col("ov"), "left").join(keys.select(F.col("v").alias("kv"), F.col("k").alias("ku")), F.col("u") == F.col("kv"))
+        on = F.col("n").isNotNull() & (F.col("n") == 1) & (F.col("len") <= F.col("most"))
+        step = materialise(step.select("v", "u", "len", "most", "ku", F.col("n").isNull().alias("ends"), on.alias("goes_on"), "w", "more"), "chat-step")
+        behind = step.groupBy("v").agg(F.max(F.struct(F.col("ku.t").alias("t"), (F.col("ku.tick") + F.col("len")).alias("tick"))).alias("b"))
+        keys_next = materialise(keys.join(behind, "v", "left").select("v", F.when(F.col("b") > F.col("k"), F.col("b")).otherwise(F.col("k")).alias("k")), "chat-keys")
+        still = step.where("not ends").select("v", F.when(F.col("goes_on"), F.col("w")).otherwise(F.col("u")).alias("u"), (F.col("len") + F.when(F.col("goes_on"), F.col("more")).otherwise(0)).alias("len"), "most")
+        waits_next = materialise(still.groupBy("v", "u").agg(F.max("len").alias("len"), F.max("most").alias("most")), "chat-waits")
+        changed = step.where("ends or goes_on").limit(1).count()
+        drop(step)
+        drop(waits)
+        if not first:
+            drop(keys)
+        first, keys, waits = False, keys_next, waits_next
+        if not changed:
+            return keys, waits
+
+
 def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row per item: its order, link, whether its arguments are valid, and canonical JSON."""
     done = ordered(linked(items(messages)))
@@ -226,5 +247,27 @@ def as_tool_traffic(conversations: DataFrame) -> DataFrame:
     )
 
 
+#: A second tool: shorter prompts, early turns.
+NOTE = {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string", "maxLength": 200}, "turn": {"type": "integer", "maximum": 4}}}
+
+
+def disordered(traffic: DataFrame) -> DataFrame:
+    """Tool traffic as it really comes. By conversation, one in five each: in order; calls that need a later call's result;
+    identifiers that repeat; rings of calls; results before their calls. Every other call is of `note`."""
+    kind, t = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(5)), F.col("turn")
+
+    def name(turn: Column) -> Column:
+        return F.concat(F.lit("ask-"), turn.cast("string"))
+
+    def call(c: Column) -> Column:
+        after = F.when(kind == 1, F.array(name(t + 2))).when((kind == 3) & (t < 2), F.array(name(t + 2))).otherwise(c["after"])
+        return F.struct(
+            F.when(kind == 2, name(t - F.pmod(t, F.lit(4)))).otherwise(c["id"]).alias("id"), F.when(F.pmod(t, F.lit(4)) == 3, "note").otherwise(c["name"]).alias("name"), c["arguments"].alias("arguments"), after.alias("after")
+        )
+
+    answered = F.when(kind == 2, name((t - 1) - F.pmod(t - 1, F.lit(4)))).when(kind == 4, name(t + 1)).otherwise(F.col("call_id"))
+    return traffic.withColumn("calls", F.transform("calls", call)).withColumn("call_id", F.when(F.col("call_id").isNotNull(), answered))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatted(as_tool_traffic(table(spark, sf_dir, "conversations")), {"ask": ASK})
+    return formatted(disordered(as_tool_traffic(table(spark, sf_dir, "conversations"))), {"ask": ASK, "note": NOTE})

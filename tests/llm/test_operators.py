@@ -569,6 +569,23 @@ def test_branches_hold_no_differing_children(spark):
     assert {x for b in branch.values() for x in b if x[0] >= 65} == {(5 * i, "block") for i in range(13, 20)}
 
 
+def test_children_without_labels_are_judged_by_their_host(spark):
+    rows = [(i, f"http://a.net/spam/{i}") for i in range(50)] + [(100 + i, "http://a.net/about/team") for i in range(30)] + [(200 + i, f"http://a.net/news/{200 + i}") for i in range(100)] + [(400 + i, f"http://a.net/help/x{chr(97 + i % 3)}") for i in range(30)]
+    bad = [(i, 1) for i in range(50)] + [(200 + i, 0) for i in range(100)]
+    got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad, "url_id long, bad int")).collect()}
+    assert {got[i]["verdict"] for i in range(50)} == {"block"} and {r["verdict"] for i, r in got.items() if i >= 100} == {"allow"}
+    assert got[100]["template"] == got[401]["template"].rsplit("/", 1)[0] + "/team" or got[100]["template"].startswith("/{about +1}")
+
+
+def test_urls_as_deep_as_they_go(spark):
+    """A section that goes bad at the sixth level, and one very long url that repeats."""
+    deep = "http://d.net/a/b/c/d/e/"
+    rows = [(i, deep + ("good" if i % 2 else "evil") + f"/{i}") for i in range(80)] + [(1000 + i, "http://d.net/" + "s/" * 30_000 + "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("segs", F.lit(1)).withColumn("node", F.lit("clash"))
+    got = {r["page_id"]: r for r in urls.judged(df, spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "url_id long, bad int")).collect()}
+    assert all(got[i]["verdict"] == ("allow" if i % 2 else "block") for i in range(80)) and got[1000]["verdict"] == "allow" and len(got[1000]["template"]) > 60_000
+
+
 # --- chat ------------------------------------------------------------------------------------------------------------
 
 CALLS = "conv_id long, turn long, role string, text string, calls array<struct<id:string,name:string,arguments:string,after:array<string>>>, call_id string"

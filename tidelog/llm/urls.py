@@ -1,15 +1,16 @@
 """URL filters: a path-template tree per host, judged by the smoothed purity of labelled urls.
 
-Only DataFrame functions. A url's path is cut at '/'; the first LEVELS segments make its template, deeper ones become
-'**'. Within a segment, runs of digits become '{n}' and long hexadecimal strings '{h}'. Then, level by level from the
-root: where a node of the tree has more than MAX_CHILDREN different children, those of fewer than MIN_LABELS labels become
-one wildcard '*' (what ends the path there does not); all other children, however many, are sorted by their rate of bad
-labels, and each joins the branch of those before it unless its rate differs (two-proportion z over MAX_Z) from that of
-the whole branch or of any rate in it. A template is blocked where its share of bad labels, smoothed by its host's and
-that by the corpus's, reaches BLOCK_AT. Explicit rules come first: the longest that fits a host and path decides.
+Only DataFrame functions. A url's path is cut at '/'; within a segment, runs of digits become '{n}' and long hexadecimal
+strings '{h}'. Then, level by level from the root, as deep as the urls go: a node of one path only has it as its template; a
+node of fewer than MIN_URLS urls is not taken apart, whatever lies below it being '**'. In any other, what ends the path there
+stays apart; children without labels are one neutral branch, judged by the host's rate; where a node has more than MAX_CHILDREN different children, those of fewer
+than MIN_LABELS labels become one wildcard '*'; all others, however many, are sorted by their rate of bad labels, and each
+joins the branch of those before it unless its rate differs (two-proportion z over MAX_Z) from that of the whole branch or of
+any rate in it. A template is blocked where its share of bad labels, smoothed by its host's and that by the corpus's, reaches
+BLOCK_AT. Explicit rules come first: the longest that fits a host and path decides.
 
 Counts are grouped sums over all urls. What is walked in order is a node's different rates, children of one rate being
-one item: far fewer than its children.
+one item: far fewer than its children. There are as many rounds as levels at which enough urls part.
 Null urls and urls without '://' have empty host and path and are judged as the template of that empty path.
 Repeated rows are judged alike; a page_id may repeat or be null.
 """
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialise, table
 
-LEVELS = 3
 MAX_CHILDREN = 32
+#: Urls that a node needs to be taken apart.
+MIN_URLS = 10
 #: Labels that a child needs to be kept in a node of more children; as many as its host's rate counts for.
 MIN_LABELS = 10
 MAX_Z = 2.0
@@ -52,14 +54,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """LEVELS + 1 generalised segments: '' past the path's end, '**' for what lies deeper."""
-    parts = F.split(F.regexp_replace(path, r"\A/", ""), "/", -1)
+def segments(path: Column) -> Column:
+    """The path's segments, generalised."""
     def general(c: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(c, r"[0-9a-f]{8}[0-9a-f-]*[0-9a-f]", "{h}"), r"[0-9]+", "{n}")
 
-    out = [F.coalesce(general(F.get(parts, F.lit(i))), F.lit("")) for i in range(LEVELS)]
-    return [*out, F.when(F.size(parts) > LEVELS, "**").otherwise("")]
+    return F.transform(F.split(F.regexp_replace(path, r"\A/", ""), "/", -1), general)
 
 
 def _apart(low: Column, high: Column) -> Column:
@@ -83,55 +83,64 @@ def _cuts(rates: Column) -> Column:
     return F.aggregate(rates, none, step, lambda branch: branch["cuts"])
 
 
+def _branches(rows: DataFrame) -> DataFrame:
+    """Rows (host, node, seg, name): the branch that each child of a node joins. rows: host, node, seg, lab, bad."""
+    node = ["host", "node"]
+    # children by name; their count per node is a grouped sum, so that a node with many never meets in one task
+    child = rows.groupBy(*node, "seg").agg(F.sum("lab").alias("c_lab"), F.sum("bad").alias("c_bad"))
+    fan = child.groupBy(*node).agg(F.count("*").alias("fan"))
+    ends, thin = F.col("seg") == "", (F.col("fan") > MAX_CHILDREN) & (F.col("c_lab") < MIN_LABELS)
+    kind = F.when(ends, "end").when(thin, "any").when(F.col("c_lab") == 0, "neutral").otherwise("rated")
+    child = child.join(fan, node).withColumn("kind", kind).withColumn("rate", F.when(kind == "rated", F.col("c_bad") / F.col("c_lab")))
+    rates = child.where("kind = 'rated'").groupBy(*node, "rate").agg(F.sum("c_lab").alias("lab"), F.sum("c_bad").alias("bad"))
+    cut = rates.groupBy(*node).agg(_cuts(F.array_sort(F.collect_list(F.struct("rate", "lab", "bad")))).alias("cuts"))
+    named = child.join(cut, node, "left").withColumn("branch", F.when(F.col("kind") == "rated", F.size(F.filter("cuts", lambda x: x <= F.col("rate")))).otherwise(F.lit(-1)))
+    members = named.groupBy(*node, "kind", "branch").agg(F.min("seg").alias("label"), F.count("*").alias("many"))
+    name = F.when(F.col("kind") == "any", "*").when(F.col("many") > 1, F.concat(F.lit("{"), "label", F.lit(" +"), F.col("many") - 1, F.lit("}"))).otherwise(F.col("label"))
+    return named.join(members, [*node, "kind", "branch"]).select(*node, "seg", name.alias("name"))
+
+
 def templates(urls: DataFrame) -> DataFrame:
-    """The tree's leaves: host, s0.. (as in the urls), g0.. (generalised), n_labelled, n_bad, share, blocked.
+    """The tree's leaves by what they hold: host, segs, template, n_labelled, n_bad, share, blocked.
 
-    urls: host, s0..sLEVELS, bad (1, 0 or null), one row per url.
+    urls: host, segs, bad (1, 0 or null), one row per url.
     """
-    s = [f"s{i}" for i in range(LEVELS + 1)]
-    t = urls.groupBy("host", *s).agg(F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    for i in range(LEVELS):
-        t = t.withColumn(f"g{i}", F.col(f"s{i}"))
-    t = t.withColumn(f"g{LEVELS}", F.col(f"s{LEVELS}"))
-    t = materialise(t, "url-tree")  # each level reads the tree more than once
-    for d in range(LEVELS):
-        node = ["host", *[f"g{i}" for i in range(d)]]
-        # children by name; their count per node is a grouped sum, so that a node with many never meets in one task
-        child = t.groupBy(*node, f"g{d}").agg(F.sum("lab").alias("c_lab"), F.sum("bad").alias("c_bad"))
-        fan = child.groupBy(*node).agg(F.count("*").alias("fan"))
-        kept = child.join(fan, node).where((F.col("fan") <= MAX_CHILDREN) | (F.col("c_lab") >= MIN_LABELS) | (F.col(f"g{d}") == ""))
-        # an empty segment ends the path here: never one branch with those that go on; children of one rate never differ
-        kept = kept.withColumn("ends", F.col(f"g{d}") == "").withColumn("rate", F.col("c_bad") / F.greatest("c_lab", F.lit(1)))
-        rates = kept.groupBy(*node, "ends", "rate").agg(F.sum("c_lab").alias("lab"), F.sum("c_bad").alias("bad"))
-        cut = rates.groupBy(*node, "ends").agg(_cuts(F.array_sort(F.collect_list(F.struct("rate", "lab", "bad")))).alias("cuts"))
-        named = kept.join(cut, [*node, "ends"]).withColumn("branch", F.size(F.filter("cuts", lambda x: x <= F.col("rate"))))
-        members = named.groupBy(*node, "ends", "branch").agg(F.min(f"g{d}").alias("label"), F.count("*").alias("many"))
-        named = named.join(members, [*node, "ends", "branch"])
-        named = named.select(*node, f"g{d}", F.when(F.col("many") > 1, F.concat(F.lit("{"), "label", F.lit(" +"), F.col("many") - 1, F.lit("}"))).otherwise(F.col("label")).alias("name"))
-        t = materialise(t.join(named, [*node, f"g{d}"], "left").withColumn(f"g{d}", F.coalesce("name", F.lit("*"))).drop("name"), "url-tree")
-    g = [f"g{i}" for i in range(LEVELS + 1)]
-    leaf = t.groupBy("host", *g).agg(F.sum("lab").alias("n_labelled"), F.sum("bad").alias("n_bad"))
-    hosts = t.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"), F.lit(0).alias("one"))
-    whole = hosts.agg(F.sum("h_lab").alias("a_lab"), F.sum("h_bad").alias("a_bad")).select(F.lit(0).alias("one"), ((F.col("a_bad") + 1) / (F.col("a_lab") + 2)).alias("prior"))
-    host_rate = hosts.join(F.broadcast(whole), "one").select("host", ((F.col("h_bad") + SMOOTHING * F.col("prior")) / (F.col("h_lab") + SMOOTHING)).alias("host_rate"))  # whole: one row
-    judged = leaf.join(host_rate, "host").withColumn("share", (F.col("n_bad") + SMOOTHING * F.col("host_rate")) / (F.col("n_labelled") + SMOOTHING))
-    judged = judged.withColumn("blocked", F.col("share") >= BLOCK_AT).withColumn("template", F.concat(*[x for i in range(LEVELS + 1) for x in (F.lit("/"), F.col(f"g{i}"))]))
-    return t.select("host", *s, *g).join(judged, ["host", *g]).select("host", *s, "template", "n_labelled", "n_bad", "share", "blocked")
+    t = materialise(urls.groupBy("host", "segs").agg(F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"), F.count("*").alias("n")).withColumn("node", F.lit("")), "url-tree")
+    hosts = t.groupBy("host").agg(F.sum("lab").alias("h_lab"), F.sum("bad").alias("h_bad"))
+    whole = t.agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad")).first()
+    prior = ((whole["bad"] or 0) + 1) / ((whole["lab"] or 0) + 2)
+    done, depth = [], 0
+    while True:
+        nodes = t.groupBy("host", "node").agg((F.count("*") == 1).alias("lone"), (F.sum("n") < MIN_URLS).alias("thin"))
+        level = materialise(t.join(nodes, ["host", "node"]).withColumn("seg", F.get("segs", F.lit(depth))), "url-tree")  # read more than once
+        closed = F.col("lone") | F.col("thin") | F.col("seg").isNull()
+        rest = F.concat(F.lit("/"), F.array_join(F.slice("segs", depth + 1, 2**31 - 1), "/"))
+        template = F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.when(F.col("lone"), rest).otherwise("/**")))
+        done.append(level.where(closed).select("host", "segs", "lab", "bad", template.alias("template")))
+        open_ = level.where(~closed)
+        if not open_.limit(1).count():
+            break
+        t = materialise(open_.join(_branches(open_), ["host", "node", "seg"]).select("host", "segs", "lab", "bad", "n", F.concat("node", F.lit("/"), "name").alias("node")), "url-tree")
+        depth += 1
+    leaves = done[0]
+    for x in done[1:]:
+        leaves = leaves.unionByName(x)
+    leaf = leaves.groupBy("host", "template").agg(F.sum("lab").alias("n_labelled"), F.sum("bad").alias("n_bad"))
+    rate = hosts.select("host", ((F.col("h_bad") + SMOOTHING * prior) / (F.col("h_lab") + SMOOTHING)).alias("host_rate"))
+    judged = leaf.join(rate, "host").withColumn("share", (F.col("n_bad") + SMOOTHING * F.col("host_rate")) / (F.col("n_labelled") + SMOOTHING)).drop("host_rate")
+    return leaves.select("host", "segs", "template").join(judged.withColumn("blocked", F.col("share") >= BLOCK_AT), ["host", "template"])
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template. labels: url_id (the number that ends a path), bad (0 or 1)."""
     host, path = host_path(F.col("url"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"))
-    s = segments(F.col("path"))
-    own = own.select("page_id", "host", "path", *[c.alias(f"s{i}") for i, c in enumerate(s)])
+    own = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("segs", segments(F.col("path")))
     number = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as bigint)")
     lab = labels.groupBy("url_id").agg(F.max("bad").cast("long").alias("bad"))
     labelled = own.withColumn("number", number).join(lab, F.col("number") == F.col("url_id"), "left")
-    keys = ["host", *[f"s{i}" for i in range(LEVELS + 1)]]
-    t = templates(labelled.select(*keys, "bad"))
+    t = templates(labelled.select("host", "segs", "bad")).select("host", "segs", "template", "blocked")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return own.join(t, keys, "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "template")
+    return own.join(t, ["host", "segs"], "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "template")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,42 +150,48 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), bad)
 
 
+#: How deep the SQL goes; the query goes as deep as the urls do.
+SQL_LEVELS = 5
+
+
 def _sql() -> str:
-    n = LEVELS + 1
-    s, g = [f"s{i}" for i in range(n)], [f"g{i}" for i in range(n)]
-    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '%s'" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '%s'" for _, h, p in longest)
     rule, verdict = fits % tuple(h + p for _, h, p in longest), fits % tuple(v for v, _, _ in longest)
-    general = "regexp_replace(regexp_replace(%s, '[0-9a-f]{{8}}[0-9a-f-]*[0-9a-f]', '{{h}}', 'g'), '[0-9]+', '{{n}}', 'g')".replace("{{", "{").replace("}}", "}")
-    segs = ", ".join([f"coalesce({general % f'parts[{i + 1}]'}, '') AS s{i}" for i in range(LEVELS)] + [f"CASE WHEN len(parts) > {LEVELS} THEN '**' ELSE '' END AS s{LEVELS}"])
+    general = "regexp_replace(regexp_replace(x, '[0-9a-f]{8}[0-9a-f-]*[0-9a-f]', '{h}', 'g'), '[0-9]+', '{n}', 'g')"
+    apart = f"r.bad / r.lab - y.bad / y.lab > {MAX_Z} * sqrt(greatest((r.bad + y.bad) / (r.lab + y.lab) * (1 - (r.bad + y.bad) / (r.lab + y.lab)), 0) * (1 / r.lab + 1 / y.lab))"
+    new = f"len(list_filter(list_append(parts, {{'lab': f.lab, 'bad': f.bad}}), lambda y: {apart})) > 0"
     ctes = [
-        "r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
-        f"hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM r)",
-        f"own AS (SELECT page_id, host, path, {segs} FROM (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM hp))",
-        "lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
-        f"t0 AS (SELECT host, {', '.join(s)}, {', '.join(f'{a} AS {b}' for a, b in zip(s, g, strict=True))}, count(lab.bad) AS lab, coalesce(sum(lab.bad), 0)::BIGINT AS bad FROM own LEFT JOIN lab ON try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) = lab.doc_id GROUP BY ALL)",
-    ]
-    for d in range(LEVELS):
-        node = ", ".join(["host", *g[:d]])
-        on = " AND ".join(f"t{d}.{c} = n{d}.{c}" for c in ["host", *g[: d + 1]])
-        rate = "(c_bad / greatest(c_lab, 1))"
+        "r0 AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM r0)",
+        f"own AS (SELECT page_id, host, path, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda x: {general}) AS segs FROM hp)",
+        "labs AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
+        "t0 AS (SELECT host, segs, '' AS node, true AS going, count(labs.bad) AS lab, coalesce(sum(labs.bad), 0)::BIGINT AS bad, count(*) AS n FROM own LEFT JOIN labs ON try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT) = labs.doc_id GROUP BY host, segs)",
+    ]
+    for d in range(SQL_LEVELS):
+        on = f"USING (host, node)"
         ctes += [
-            f"c{d} AS (SELECT {node}, g{d}, sum(lab) AS c_lab, sum(bad) AS c_bad FROM t{d} GROUP BY ALL)",
-            f"k{d} AS (SELECT *, lag(c_lab) OVER w AS p_lab, lag(c_bad) OVER w AS p_bad FROM (SELECT *, count(*) OVER (PARTITION BY {node}) AS fan FROM c{d}) WHERE fan <= {MAX_CHILDREN} WINDOW w AS (PARTITION BY {node} ORDER BY {rate}, c_lab, g{d}))",
-            f"a{d} AS (SELECT *, CASE WHEN c_lab > 0 AND p_lab > 0 AND c_bad / c_lab - p_bad / p_lab > {MAX_Z} * sqrt(((c_bad + p_bad) / (c_lab + p_lab)) * (1 - (c_bad + p_bad) / (c_lab + p_lab)) * (1 / c_lab + 1 / p_lab)) THEN 1 ELSE 0 END AS apart FROM k{d})",
-            f"b{d} AS (SELECT *, sum(apart) OVER (PARTITION BY {node}, g{d} = '' ORDER BY {rate}, c_lab, g{d} ROWS UNBOUNDED PRECEDING) AS branch FROM a{d})",
-            f"n{d} AS (SELECT {node}, g{d}, CASE WHEN count(*) OVER m > 1 THEN '{{' || min(g{d}) OVER m || ' +' || (count(*) OVER m - 1) || '}}' ELSE g{d} END AS name FROM b{d} WINDOW m AS (PARTITION BY {node}, g{d} = '', branch))",
-            f"t{d + 1} AS (SELECT t{d}.* REPLACE (coalesce(name, '*') AS g{d}) FROM t{d} LEFT JOIN n{d} ON {on})",
+            f"n{d} AS (SELECT host, node, count(*) = 1 AS lone, sum(n) < {MIN_URLS} AS thin FROM t{d} WHERE going GROUP BY ALL)",
+            f"c{d} AS (SELECT host, node, seg, sum(lab) AS lab, sum(bad) AS bad FROM (SELECT *, segs[{d + 1}] AS seg FROM t{d} JOIN n{d} {on} WHERE going AND NOT thin AND NOT lone) WHERE seg IS NOT NULL GROUP BY ALL)",
+            f"k{d} AS (SELECT *, CASE WHEN seg = '' THEN 'end' WHEN fan > {MAX_CHILDREN} AND lab < {MIN_LABELS} THEN 'any' WHEN lab = 0 THEN 'neutral' ELSE 'rated' END AS kind FROM (SELECT *, count(*) OVER (PARTITION BY host, node) AS fan FROM c{d}))",
+            f"q{d} AS (SELECT *, row_number() OVER (PARTITION BY host, node ORDER BY rate) AS i FROM (SELECT host, node, bad / lab AS rate, sum(lab) AS lab, sum(bad) AS bad FROM k{d} WHERE kind = 'rated' GROUP BY ALL))",
+            f"f{d} AS (SELECT host, node, i, rate, lab::DOUBLE AS lab, bad::DOUBLE AS bad, [{{'lab': lab::DOUBLE, 'bad': bad::DOUBLE}}] AS parts, 1 AS branch FROM q{d} WHERE i = 1 UNION ALL "
+            f"SELECT host, node, i, rate, CASE WHEN new THEN rl ELSE lab + rl END, CASE WHEN new THEN rb ELSE bad + rb END, CASE WHEN new THEN [{{'lab': rl, 'bad': rb}}] ELSE list_append(parts, {{'lab': rl, 'bad': rb}}) END, branch + new::INTEGER "
+            f"FROM (SELECT f.host, f.node, r.i, r.rate, f.lab, f.bad, r.lab::DOUBLE AS rl, r.bad::DOUBLE AS rb, parts, branch, {new} AS new FROM f{d} f JOIN q{d} r ON r.host = f.host AND r.node = f.node AND r.i = f.i + 1))",
+            f"b{d} AS (SELECT k{d}.*, coalesce(branch, -1) AS branch FROM k{d} LEFT JOIN f{d} ON f{d}.host = k{d}.host AND f{d}.node = k{d}.node AND kind = 'rated' AND f{d}.rate = k{d}.bad / k{d}.lab)",
+            f"m{d} AS (SELECT host, node, seg, CASE WHEN kind = 'any' THEN '*' WHEN count(*) OVER w > 1 THEN '{{' || min(seg) OVER w || ' +' || (count(*) OVER w - 1) || '}}' ELSE seg END AS name FROM b{d} WINDOW w AS (PARTITION BY host, node, kind, branch))",
+            f"t{d + 1} AS (SELECT t.host, t.segs, CASE WHEN NOT t.going OR t.segs[{d + 1}] IS NULL THEN t.node WHEN n.lone THEN t.node || '/' || array_to_string(t.segs[{d + 1}:], '/') WHEN n.thin THEN t.node || '/**' ELSE t.node || '/' || m.name END AS node, t.going AND NOT n.thin AND NOT n.lone AND t.segs[{d + 1}] IS NOT NULL AS going, t.lab, t.bad, t.n "
+            f"FROM t{d} t LEFT JOIN n{d} n ON n.host = t.host AND n.node = t.node AND t.going LEFT JOIN m{d} m ON m.host = t.host AND m.node = t.node AND t.going AND m.seg = t.segs[{d + 1}])",
         ]
-    last, gs, ss = f"t{LEVELS}", ", ".join(g), ", ".join(s)
+    last = f"t{SQL_LEVELS}"
     ctes += [
-        f"leaf AS (SELECT host, {gs}, sum(lab) AS n_labelled, sum(bad) AS n_bad FROM {last} GROUP BY ALL)",
+        f"leaf AS (SELECT host, node, sum(lab) AS n_labelled, sum(bad) AS n_bad FROM {last} GROUP BY ALL)",
         f"h AS (SELECT host, sum(lab) AS h_lab, sum(bad) AS h_bad FROM {last} GROUP BY host)",
         f"hr AS (SELECT host, (h_bad + {SMOOTHING}::DOUBLE * prior) / (h_lab + {SMOOTHING}::DOUBLE) AS host_rate FROM h, (SELECT (sum(h_bad) + 1) / (sum(h_lab) + 2) AS prior FROM h))",
-        f"j AS (SELECT leaf.*, (n_bad + {SMOOTHING}::DOUBLE * host_rate) / (n_labelled + {SMOOTHING}::DOUBLE) >= {BLOCK_AT}::DOUBLE AS blocked, '/' || {" || '/' || ".join(g)} AS template FROM leaf JOIN hr USING (host))",
-        f"v AS (SELECT DISTINCT host, {ss}, template, blocked FROM {last} JOIN j USING (host, {gs}))",
+        f"j AS (SELECT leaf.*, (n_bad + {SMOOTHING}::DOUBLE * host_rate) / (n_labelled + {SMOOTHING}::DOUBLE) >= {BLOCK_AT}::DOUBLE AS blocked FROM leaf JOIN hr USING (host))",
+        f"v AS (SELECT DISTINCT host, segs, node AS template, blocked FROM {last} JOIN j USING (host, node))",
     ]
-    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, template FROM own LEFT JOIN v USING (host, {ss})"
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT page_id, host, path, CASE {rule} END AS rule, coalesce(CASE {verdict} END, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, template FROM own LEFT JOIN v USING (host, segs)"
 
 
 OP1_SQL = _sql()

@@ -58,11 +58,12 @@ def anchors(value: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, bits: int = 64) -> tuple[np.ndarray, ...]:
-    """Spans of the texts: text, first window start, last window start, anchor (all in bytes of data), gram hash.
+    """Spans of the texts: text, first window start, last window start, anchor (all in bytes of data), gram hash; and data's
+    prefix hashes.
 
     bits: how many of a hash's bits count; fewer are for tests, to make hashes collide.
     """
-    none = tuple(np.zeros(0, k) for k in (np.int64,) * 4 + (np.uint64,))
+    none = tuple(np.zeros(0, k) for k in (np.int64,) * 4 + (np.uint64,) * 2)
     if len(data) < LENGTH:
         return none
     prefix = prefix_hashes(data)
@@ -86,13 +87,13 @@ def spans(data: np.ndarray, offsets: np.ndarray, bits: int = 64) -> tuple[np.nda
     last = np.flatnonzero(stop)
     anchor = at[first]
     text = np.searchsorted(offsets, first, side="right") - 1
-    return text, first, last, anchor, gram[anchor]
+    return text, first, last, anchor, gram[anchor], prefix
 
 
-def contents(data: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def contents(data: np.ndarray, prefix: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of each span's bytes and of its anchor's place in it; fewer bits of the first for tests."""
     shape = ((last - first) * 256 + (anchor - first)).astype(np.uint64)
-    one = mix(mix(range_hashes(prefix_hashes(data), first, last + LENGTH)) + mix(shape)) >> np.uint64(64 - bits)
+    one = mix(mix(range_hashes(prefix, first, last + LENGTH)) + mix(shape)) >> np.uint64(64 - bits)
     return one, mix(mix(range_hashes(prefix_hashes(data, True), first, last + LENGTH, True) ^ np.uint64(0x5851F42D4C957F2D)) + shape)
 
 
@@ -125,10 +126,10 @@ def _spans(bits: int):
             d, x = batch.column("d").to_numpy(), batch.column("x").to_numpy().astype(np.int64)
             for a, b in text_chunks(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                text, first, last, anchor, gram = spans(part, off, bits)
+                text, first, last, anchor, gram, prefix = spans(part, off, bits)
                 if not len(text):
                     continue
-                one, other = contents(part, first, last, anchor, bits)
+                one, other = contents(part, prefix, first, last, anchor, bits)
                 p, ds, xs = first - off[text], d[a + text], x[a + text]
                 order = np.lexsort((p, xs, ds, other, one, gram))
                 new = np.ones(len(order), bool)

@@ -35,6 +35,7 @@ MIN_PAYLOAD = 100
 BLOCK_LINES = 500
 GZIP_LEVEL = 4
 OPEN_FILES = 24
+TASK_BYTES = 4 * 1024**2
 
 
 def _open_fs(base: str):
@@ -53,25 +54,32 @@ def capture_key(url: Column, page_id: Column) -> Column:
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """page_id, url, key, digest, record_type, refers_to, payload (null for revisits)."""
+    """page_id, url, key, digest, record_type, refers_to, refers_url, payload (null for revisits)."""
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    shared = p.where(F.octet_length("html") >= MIN_PAYLOAD).groupBy(F.col("digest").alias("dg")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
+    shared = p.where(F.octet_length("html") >= MIN_PAYLOAD).groupBy(F.col("digest").alias("dg")).agg(F.min("page_id").alias("first_id"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     j = p.join(shared, F.col("digest") == F.col("dg"), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return j.select(
         "page_id", "url", capture_key(F.col("url"), F.col("page_id")).alias("key"), "digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"),
         F.when(~again, F.col("html")).cast("binary").alias("payload"),
     )
 
 
-def record(page_id: int | None, url: str | None, digest: str, kind: str, refers_to: int | None, payload: bytes | None) -> bytes:
+def target_of(url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record_id(page_id: int | None, url: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{target_of(url)}')}>"
+
+
+def record(page_id: int | None, url: str | None, digest: str, kind: str, refers_to: int | None, refers_url: str | None, payload: bytes | None) -> bytes:
     """One WARC/1.1 record, not compressed."""
-    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{target}")
+    target = target_of(url)
     block = b"" if kind == "revisit" else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload or b"") + (payload or b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
-    head += ["Content-Type: application/http;msgtype=response"] if kind == "response" else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    head += ["Content-Type: application/http;msgtype=response"] if kind == "response" else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, refers_url)}", f"WARC-Refers-To-Target-URI: {target_of(refers_url)}", f"X-Refers-To-Page: {refers_to}"]
     head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -93,7 +101,7 @@ def _writer(base: str):
             for row in batch.to_pylist():
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                member = gzip.compress(record(row["page_id"], row["url"], row["digest"], row["record_type"], row["refers_to"], row["payload"]), GZIP_LEVEL, mtime=0)
+                member = gzip.compress(record(row["page_id"], row["url"], row["digest"], row["record_type"], row["refers_to"], row["refers_url"], row["payload"]), GZIP_LEVEL, mtime=0)
                 out.write(member)
                 places.append(at)
                 lengths.append(len(member))
@@ -139,8 +147,8 @@ def _indexer(base: str):
     return run
 
 
-def write(pages: DataFrame, base: str) -> list[tuple[str, str]]:
-    """Write archives and index under base; returns (first key, name) of each index file in order of keys.
+def write(pages: DataFrame, base: str) -> tuple[list[tuple[str, str]], int]:
+    """Write archives and index under base; returns (first key, name) of each index file in order of keys, and the archives' bytes.
 
     That list has a row per index partition (spark.sql.shuffle.partitions), whatever the number of captures.
     """
@@ -149,7 +157,8 @@ def write(pages: DataFrame, base: str) -> list[tuple[str, str]]:
     captures = materialise(planned(pages).mapInArrow(_writer(base), "key string, file string, offset long, length long"), "warc-captures")
     ordered = captures.repartitionByRange("key").sortWithinPartitions("key", "file", "offset")
     files = materialise(ordered.mapInArrow(_indexer(base), "first_key string, name string, n_blocks long"), "warc-directory")
-    return sorted((r["first_key"], r["name"]) for r in files.select("first_key", "name").collect())
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return sorted((r["first_key"], r["name"]) for r in files.select("first_key", "name").collect()), size
 
 
 class Index:
@@ -207,8 +216,9 @@ class Index:
 _FOUND = "page_id long, record_type string, refers_to long, header_digest string, payload_bytes long, payload_digest string"
 
 
-def lookup(keys: DataFrame, base: str, files: list[tuple[str, str]]) -> DataFrame:
-    """The records of distinct keys (column key), read back from the archives: one row per record."""
+def lookup(keys: DataFrame, base: str, files: list[tuple[str, str]], size: int) -> DataFrame:
+    """The records of distinct keys (column key), read back from the archives: one row per record. Keys are small and what they
+    make a task read is not: they are dealt over a task for every TASK_BYTES of the archives' size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(base, files)
@@ -224,15 +234,15 @@ def lookup(keys: DataFrame, base: str, files: list[tuple[str, str]]) -> DataFram
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "record_type", "refers_to", "header_digest", "payload_bytes", "payload_digest"])
 
-    return keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
+    return keys.select("key").distinct().repartitionByRange(max(1, -(-size // TASK_BYTES)), "key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write the pages, then read every one back through the index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     base = work_dir(pages.sparkSession, "warc")
-    files = write(pages, base)
+    files, size = write(pages, base)
     keys = pages.select(capture_key(F.col("url"), F.col("page_id")).alias("key"))
-    found = materialise(lookup(keys, base, files), "warc-found")
+    found = materialise(lookup(keys, base, files, size), "warc-found")
     first = found.where("record_type = 'response'").select(F.col("page_id").alias("r"), F.col("payload_digest").alias("rd"), F.col("payload_bytes").alias("rb")).where("r is not null").distinct()
     back = found.join(first, (found.refers_to == first.r) & (found.header_digest == first.rd), "left")
     return back.select("page_id", F.coalesce("payload_bytes", "rb").alias("payload_bytes"), F.coalesce("payload_digest", "rd").alias("payload_digest"), "record_type", "refers_to")

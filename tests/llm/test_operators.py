@@ -94,7 +94,10 @@ def test_join_is_exact(spark, odd, monkeypatch, words, similar, short, block):
     assert [tuple(r) for r in got] == brute_join(texts, words, similar)
 
 
-def test_divide_skip_is_exact():
+@pytest.mark.parametrize(("probes", "pairs"), [(10**9, 10**6), (0, 10**6), (10**9, 200)])
+def test_divide_skip_is_exact(monkeypatch, probes, pairs):
+    monkeypatch.setattr(ngrams, "PROBES", probes)
+    monkeypatch.setattr(ngrams, "PAIRS_AT_ONCE", pairs)
     rng = np.random.default_rng(1)
     for n in (5, 40, 300):
         base = rng.integers(0, 10**6, 60)
@@ -507,9 +510,11 @@ def test_archives(spark, monkeypatch):
 
 
 def test_records_are_warc():
-    raw = warc.record(3, "http://a/", "ab", "response", None, b"x\r\n\r\ny")
+    raw = warc.record(3, "http://a/", "ab", "response", None, None, b"x\r\n\r\ny")
     head, payload = warc.parse(gzip.decompress(gzip.compress(raw)))
     assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n") and payload == b"x\r\n\r\ny" and head["WARC-Target-URI"] == "http://a/"
+    again, nothing = warc.parse(warc.record(4, "http://b/", "ab", "revisit", 3, "http://a/", None))
+    assert again["WARC-Refers-To"] == head["WARC-Record-ID"] and again["WARC-Refers-To-Target-URI"] == "http://a/" and nothing == b""
 
 
 # --- urls ------------------------------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip.
 
 A document's set holds the 64-bit hashes of its word shingles. Two documents link when the Jaccard similarity of their
-sets is at least SIMILAR per cent. Links are exact; what is spread over the cluster:
+sets is at least SIMILAR per cent. No link is missed; what is spread over the cluster:
 
 1. Documents with equal sets are one class (grouped by the set's size and two 64-bit sums over it); its smallest doc_id
    stands for it from here on.
@@ -12,12 +12,12 @@ sets is at least SIMILAR per cent. Links are exact; what is spread over the clus
    that it shares, and the long ones that it can share at most, reach its k; where long lists alone reach k for both,
    the two are candidates if they share one. Candidates, directly or by way of others, are one group; groups of more
    than BLOCK sets are searched block against block.
-4. T-occurrence search in a block pair: elements on long lists are set apart as bitmaps; short lists are merged, counting
-   occurrences; where these can still reach the overlap T that a pair needs, the long lists are probed for the rest.
+4. T-occurrence search in a block pair: each set sets its longest lists apart, by DivideSkip's rule; the short ones are merged,
+   counting occurrences; where these can still reach the overlap T that a pair needs, the long lists are probed for the rest.
    Only links leave the task, and of these only a spanning tree, with each document's number of links.
 5. Links' connected components give component_id.
 
-Texts are taken whole. Null and empty texts (or texts of white space) have no set and link with nothing; rows that repeat
+Elements are 64-bit hashes, so sets are told apart and linked to within their collisions. Texts are taken whole. Null and empty texts (or texts of white space) have no set and link with nothing; rows that repeat
 a doc_id are one vertex; a row with null doc_id has a null component.
 """
 
@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import LOWER, components, frugal, materialise, mix, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, word_spans
+from tidelog.llm.common import LOWER, components, drop, frugal, materialise, mix, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, word_spans
 
 WORDS, SIMILAR = 4, 85
 EXTRA = 12
 SHORT = 64
 BLOCK = 512
 PAIRS_AT_ONCE = 1_000_000
+#: Weight of a probe against a step of the merge, and the look-ups of a block pair beyond which bitmaps answer them.
+MU, PROBES = 0.01, 3_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,67 +124,112 @@ def _sets(words: int):
     return run
 
 
-def occurrences(a_tok: np.ndarray, a_doc: np.ndarray, b_tok: np.ndarray, b_doc: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """How many elements each pair has in common: a merge of two postings sorted by element."""
-    total = np.zeros(shape[0] * shape[1], np.int64)
-    low, high = np.searchsorted(b_tok, a_tok), np.searchsorted(b_tok, a_tok, side="right")
-    run = high - low
+def merged_lists(query: np.ndarray, first: np.ndarray, run: np.ndarray, posts: np.ndarray, n_b: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query * n_b + document, occurrences) over the inverted lists posts[first : first + run] of each query, queries in order.
+
+    The lists of some queries at a time are laid end to end and merged run by run (a stable sort), equal documents becoming
+    one count; where they are many for the pairs there are, they are counted off in place.
+    """
     ends = np.cumsum(run)
-    first = 0
-    while first < len(run):
-        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS_AT_ONCE, side="right")), first + 1)
-        r = run[first:last]
-        left = np.repeat(a_doc[first:last], r)
-        at = np.arange(len(left)) - np.repeat(np.cumsum(r) - r, r) + np.repeat(low[first:last], r)
-        total += np.bincount(left * shape[1] + b_doc[at], minlength=len(total))
-        first = last
-    return total.reshape(shape)
+    lo = 0
+    while lo < len(run):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")), lo + 1)
+        hi = max(int(np.searchsorted(query, query[hi - 1], side="right")), hi)  # a query's lists stay together
+        r = run[lo:hi]
+        at = np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r) + np.repeat(first[lo:hi], r)
+        base = int(query[lo]) * n_b
+        pair = np.repeat(query[lo:hi] * n_b, r) + posts[at] - base
+        width = (int(query[hi - 1]) + 1) * n_b - base
+        if len(pair) > width // 4:
+            count = np.bincount(pair, minlength=width)
+            found = np.flatnonzero(count)
+            yield found + base, count[found]
+        else:
+            pair = np.sort(pair, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            yield pair[new] + base, np.diff(np.append(new, len(pair)))
+        lo = hi
 
 
 def divide_skip(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, similar: int) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs (i in a, j in b) of two lists of sorted sets; with None, pairs i < j within a."""
+    """All linked pairs (i in a, j in b) of two lists of sorted sets; with None, pairs i < j within a.
+
+    Each set of a is a query for the sets of b that share T of its elements. Its L longest inverted lists are set apart, L by
+    the rule T / (MU * log2(longest) + 1); the short ones are merged, and what occurs T - L times there is looked up in the
+    long ones, shortest first, by binary search, as long as it can still reach its T. Where that takes more than PROBES
+    look-ups, 64 are answered at a time from bitmaps.
+    """
     own = sets_b is None
     sets_b = sets_a if own else sets_b
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     na, nb = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
     ta, da = np.concatenate(sets_a), np.repeat(np.arange(len(na)), na)
-    tb, db = np.concatenate(sets_b), np.repeat(np.arange(len(nb)), nb)
-    names, df = np.unique(tb, return_counts=True)
-    if not len(names):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, tb, df = np.unique(np.concatenate(sets_b), return_inverse=True, return_counts=True)
+    if not len(names) or not len(ta):
+        return none
+    db = np.repeat(np.arange(len(nb)), nb)
+    by_list = np.lexsort((db, tb))
+    posts, starts = db[by_list], np.concatenate([[0], np.cumsum(df)[:-1]])
+    keys = tb[by_list] * len(nb) + posts
     ia = np.minimum(np.searchsorted(names, ta), len(names) - 1)
     there = names[ia] == ta
-    ta, da, ia = ta[there], da[there], ia[there]
-    ib = np.searchsorted(names, tb)
-    long_ = df > max(16, len(nb) // 8)
-    place = np.cumsum(long_) - 1
-    width = max(1, -(-int(long_.sum()) // 64))
+    da, ia = da[there], ia[there]
+    order = np.lexsort((-df[ia], da))
+    da, ia = da[order], ia[order]
+    begin = np.searchsorted(da, np.arange(len(na) + 1))
+    size = np.diff(begin)
+    longest = np.where(size > 0, df[ia[np.minimum(begin[:-1], len(ia) - 1)]], 1) if len(ia) else np.ones(len(na))
+    least = np.maximum(needed(na, similar), 1)
+    apart = np.minimum(np.minimum((least / (MU * np.log2(np.maximum(longest, 2)) + 1)).astype(np.int64), least - 1), size)
+    rank = np.arange(len(da)) - begin[da]
+    short = rank >= apart[da]
+    found = [none + (none[0],)]
+    for pair, count in merged_lists(da[short], starts[ia[short]], df[ia[short]], posts, len(nb)):
+        i, j = pair // len(nb), pair % len(nb)
+        ok = (count >= least[i] - apart[i]) & (100 * np.minimum(na[i], nb[j]) >= similar * np.maximum(na[i], nb[j]))
+        if own:
+            ok &= i < j
+        found.append((i[ok], j[ok], count[ok]))
+    i, j, count = (np.concatenate(c) for c in zip(*found, strict=True))
+    t = -(-similar * (na[i] + nb[j]) // (100 + similar))
+    keep = count + apart[i] >= t
+    i, j, count, t = i[keep], j[keep], count[keep], t[keep]
+    if int(apart[i].sum()) > PROBES:
+        count = count + _shared_long(i, j, (da[~short], ia[~short], len(na)), (db, tb, len(nb)), len(names))
+    else:
+        left = apart[i]
+        for _ in range(int(apart.max(initial=0))):
+            open_ = np.flatnonzero((left > 0) & (count < t) & (count + left >= t))
+            if not len(open_):
+                break
+            left[open_] -= 1  # the longest list of a query has rank 0: it comes last
+            wanted = ia[begin[i[open_]] + left[open_]] * len(nb) + j[open_]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            count[open_] += keys[at] == wanted
+    keep = count >= t
+    return i[keep], j[keep]
+
+
+def _shared_long(i: np.ndarray, j: np.ndarray, a: tuple, b: tuple, n_names: int) -> np.ndarray:
+    """How many of the lists that query i sets apart hold document j, for arrays of both."""
+    used = np.unique(a[1])
+    place = np.full(n_names, -1)
+    place[used] = np.arange(len(used))
+    width = max(1, -(-len(used) // 64))
 
     def bitmaps(docs: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
         bits = np.zeros((n, width), np.uint64)
-        pick = long_[tokens]
-        at = place[tokens[pick]]
-        np.bitwise_or.at(bits, (docs[pick], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        at = place[tokens]
+        docs, at = docs[at >= 0], at[at >= 0]
+        np.bitwise_or.at(bits, (docs, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
         return bits
 
-    bits_a, bits_b = bitmaps(da, ia, len(na)), bitmaps(db, ib, len(nb))
-    on_long_a, on_long_b = np.bitwise_count(bits_a).sum(1).astype(np.int64), np.bitwise_count(bits_b).sum(1).astype(np.int64)
-    short_a, short_b = ~long_[ia], ~long_[ib]
-    oa, ob = np.argsort(ia[short_a], kind="stable"), np.argsort(ib[short_b], kind="stable")
-    count = occurrences(ia[short_a][oa], da[short_a][oa], ib[short_b][ob], db[short_b][ob], (len(na), len(nb)))
-    both = na[:, None] + nb[None, :]
-    t = -(-similar * both // (100 + similar))
-    reach = count + np.minimum(on_long_a[:, None], on_long_b[None, :]) >= np.maximum(t, 1)
-    reach &= (100 * np.minimum(na[:, None], nb[None, :]) >= similar * np.maximum(na[:, None], nb[None, :]))
-    if own:
-        reach &= np.triu(np.ones(reach.shape, bool), 1)
-    i, j = np.nonzero(reach)
-    keep = np.zeros(len(i), bool)
+    bits_a, bits_b = bitmaps(*a), bitmaps(*b)
+    out = np.zeros(len(i), np.int64)
     step = max(1, PAIRS_AT_ONCE // width)
     for s in range(0, len(i), step):
-        x, y = i[s : s + step], j[s : s + step]
-        inter = count[x, y] + np.bitwise_count(bits_a[x] & bits_b[y]).sum(1)
-        keep[s : s + step] = 100 * inter >= similar * (both[x, y] - inter)
-    return i[keep], j[keep]
+        out[s : s + step] = np.bitwise_count(bits_a[i[s : s + step]] & bits_b[j[s : s + step]]).sum(1)
+    return out
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -244,17 +291,20 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
     # elements on lists of two or more; copies of a set count here, and no more from the next step on
     rows = sketch.select("doc_id", F.explode("prefix").alias("element"))
     shared = rows.groupBy("element").agg(F.count("*").alias("docs")).where("docs > 1")
-    posts = materialise(rows.join(shared, "element").select("doc_id", "element"), "ngram-posts")
+    written = posts = materialise(rows.join(shared, "element").select("doc_id", "element"), "ngram-posts")
     # of a partner's k at least: it has no fewer than `similar` per cent of the elements
     least = (1 + F.floor(F.ceil(F.col("n") * similar / 100) / EXTRA)).cast("long")
     for _ in range(2):
         stay = posts.groupBy("doc_id").agg(F.count("*").alias("found")).join(reps, "doc_id").where(F.col("found") >= least).select("doc_id", "n", least.alias("least"))
         posts = posts.select("doc_id", "element").join(stay, "doc_id")
         shared = posts.groupBy("element").agg(F.count("*").alias("docs")).where("docs > 1")
-        posts = materialise(posts.join(shared, "element").select("doc_id", "n", "least", "element", (F.col("docs") > SHORT).alias("long")), "ngram-posts")
+        before, posts = written, materialise(posts.join(shared, "element").select("doc_id", "n", "least", "element", (F.col("docs") > SHORT).alias("long")), "ngram-posts")
+        drop(before)
+        written = posts
     release(spark)
     on_long = posts.groupBy("doc_id").agg(F.sum(F.col("long").cast("long")).alias("n_long"))
     posts = materialise(posts.join(on_long, "doc_id"), "ngram-posts")
+    drop(written)
     a = posts.where("not long").select("element", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("n_long").alias("la"))
     b = posts.where("not long").select("element", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("n_long").alias("lb"))
     near = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import ansi, levels, segment, text
 from tidelog.functions.formats import BY_NAME, FORMATS, quoted
-from tidelog.operators import detect, facts, frames, index, status
+from tidelog.operators import detect, facts, frames, index, overlay, status
 from tidelog.sources import corpora, reader
 from tidelog.streaming import tail
 
@@ -179,8 +179,8 @@ def render_mode(spark, d):
     return detect.render_mode(detect.detect(lines(spark, d, "mixed"))).select("path", "render_mode")
 
 
-_STATUS = """CASE WHEN outcome = 'matched' THEN 'Format: ' || format || ' — matched ' || format('{:,}', matched) || ' / ' || format('{:,}', scanned) || ' lines (' || percent_text || ')'
- ELSE 'Format: no format matched ' || scanned::VARCHAR || ' lines — ' || CASE WHEN ansi_lines > 0 THEN 'showing ANSI colours only' ELSE 'showing plain text' END || coalesce(' (closest: ' || closest || ', ' || closest_text || ')', '') END"""
+_STATUS = f"""CASE WHEN outcome = 'matched' THEN '{status.HEAD}' || format || '{status.MATCHED}' || format('{{{{:,}}}}', matched) || ' / ' || format('{{{{:,}}}}', scanned) || ' lines (' || percent_text || ')'
+ ELSE '{status.NO_MATCH}' || scanned::VARCHAR || ' lines — ' || CASE WHEN ansi_lines > 0 THEN '{status.ANSI_ONLY}' ELSE '{status.PLAIN}' END || coalesce('{status.CLOSEST}' || closest || ', ' || closest_text || ')', '') END""".replace("{{", "{").replace("}}", "}")
 
 
 @query("status_text", f"WITH {detect_ctes('mixed')}, c AS (SELECT path, count(*) AS n FROM l GROUP BY path) SELECT path, {_STATUS} || ' — ' || format('{{:,}}', n) || ' lines' AS status_text, outcome <> 'matched' AS warning FROM v JOIN c USING (path)")
@@ -422,6 +422,84 @@ def merge_tail_stats(spark, d):
     return tail.merged(head, rest)
 
 
+# --- files ---------------------------------------------------------------------------------------------------------
+
+_FILES = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a.log' WHEN 1 THEN 'b.OUT' WHEN 2 THEN 'c.txt' WHEN 3 THEN 'log' ELSE 'd.log' END AS name, coalesce(text, '') AS text FROM documents"
+
+
+def _contents(spark, d) -> DataFrame:
+    """Documents as files: path, length, content; one in five holds a NUL, others have marks of UTF-8 and UTF-16."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k = F.col("doc_id") % 5
+    name = F.when(k == 0, "a.log").when(k == 1, "b.OUT").when(k == 2, "c.txt").when(k == 3, "log").otherwise("d.log")
+    content = F.when(k == 4, F.concat(F.lit("\0"), "text").cast("binary")).when(k == 0, F.concat(F.lit("\ufeff"), "text").cast("binary")).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))
+    return docs.select("doc_id", F.concat(F.lit("/f/"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+
+
+_GATE = 4000
+
+
+@query("file_outcomes", f"""SELECT '/f/' || doc_id::VARCHAR || '/' || name AS path, CASE WHEN doc_id % 5 IN (2, 3) THEN 'not_a_log' WHEN size > {_GATE} THEN 'too_large' WHEN doc_id % 5 = 4 THEN 'binary' ELSE 'ok' END AS outcome
+FROM (SELECT *, CASE doc_id % 5 WHEN 4 THEN strlen(text) + 1 WHEN 0 THEN strlen(text) + 3 ELSE 2 + list_sum(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN 4 WHEN c = '' THEN 0 ELSE 2 END)) END AS size FROM ({_FILES}))""")
+def file_outcomes(spark, d):
+    return reader.gated(_contents(spark, d).drop("doc_id"), _GATE).select("path", "outcome")
+
+
+@query("decoded_files", f"SELECT doc_id, text FROM ({_FILES}) WHERE doc_id % 5 IN (0, 1)")
+def decoded_files(spark, d):
+    return _contents(spark, d).where("doc_id % 5 in (0, 1)").select("doc_id", reader.decoded(F.col("content")).alias("text"))
+
+
+@query("failed_files", "SELECT '/f/' || doc_id::VARCHAR AS path, 'failed' AS outcome, 'could not be read' AS reason FROM documents WHERE doc_id % 3 = 1")
+def failed_files(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("/f/"), F.col("doc_id").cast("string")).alias("path"), "doc_id")
+    return reader.missing(docs.select("path"), docs.where("doc_id % 3 <> 1"))
+
+
+# --- growing files ----------------------------------------------------------------------------------------------------
+
+
+@query("incremental_index", f"WITH l AS ({lines_sql('app')}), {_STARTS} SELECT path, line_no, start_offset, length FROM st")
+def incremental_index(spark, d):
+    """Starts of each file's first lines, then of what was appended, from the totals alone: the same as one index."""
+    l = lines(spark, d, "app")
+    head = index.line_starts(l.where("line_no < 100"))
+    return head.select("path", "line_no", "start_offset", "length").unionByName(index.extended(index.totals(head), l.where("line_no >= 100")))
+
+
+@query("tail_followable", "WITH c AS (SELECT o_custkey % 50 AS k, count(*) > 30 AS capped FROM orders GROUP BY 1) SELECT '/logs/' || k::VARCHAR AS path, NOT (capped OR k % 7 = 0) AS follows, CASE WHEN capped OR k % 7 = 0 THEN 'live tail unavailable — reopen to refresh' END AS note FROM c")
+def tail_followable(spark, d):
+    k = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_custkey") % 50).alias("k")).agg((F.count("*") > 30).alias("capped"))
+    return tail.followable(k.select(F.concat(F.lit("/logs/"), F.col("k").cast("string")).alias("path"), "capped", F.when(F.col("k") % 7 == 0, "failed").otherwise("ok").alias("outcome")))
+
+
+@query("fold_texts", f"WITH {hidden_ctes('app', _ERRORS_ONLY)}, {_RUNS} SELECT path, first_line, '… ' || line_count::VARCHAR || ' hidden' AS fold_text FROM runs")
+def fold_texts(spark, d):
+    return facts.fold_runs(known_facts(spark, d, "app"), {"ERROR"}).select("path", "first_line", facts.fold_text(F.col("line_count")).alias("fold_text"))
+
+
+# --- styles over spans ------------------------------------------------------------------------------------------------
+
+
+@query("level_colours", f"""WITH l AS ({lines_sql('coloured')}), k AS (SELECT path, line_no, raw, regexp_extract(raw, '\\x1b\\[1;3(\\d)m(\\w+)', 1)::INTEGER AS c, regexp_extract(raw, '\\x1b\\[1;3(\\d)m(\\w+)', 2) AS w FROM l)
+SELECT path, line_no, strpos(raw, 'm' || w)::BIGINT AS start, strpos(raw, 'm' || w)::BIGINT + length(w) AS "end", 'LEVEL_' || w AS type, {_BASE}[c + 1]::BIGINT AS foreground, true AS bold FROM k""")
+def level_colours(spark, d):
+    """Level spans of coloured lines in the run's own colour."""
+    l = lines(spark, d, "coloured")
+    v = detect.detect(l).select("path", "format")
+    p = overlay.painted(overlay.styled(segment.segmented(l.join(v, "path"))), F.lit(0x333333), F.lit(0x000000), F.lit(0xFFFFFF))
+    return p.select("path", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "foreground", "bold")
+
+
+@query("base_overlay", "WITH s AS (SELECT event_id, event_id % 20 AS a, event_id % 20 + user_id % 30 AS b FROM events WHERE event_id % 20 = 0), c AS (SELECT event_id, a, b, unnest(list_sort(list_distinct([a, b] || list_filter([5, 9, 12, 20], lambda x: x > a AND x < b)))) AS x FROM s WHERE b > a), p AS (SELECT *, lead(x) OVER (PARTITION BY event_id ORDER BY x) AS y FROM c) SELECT event_id, x::BIGINT AS start, y::BIGINT AS \"end\", CASE WHEN x >= 5 AND x < 9 THEN 'one' WHEN x >= 12 AND x < 20 THEN 'two' END AS tag FROM p WHERE y IS NOT NULL")
+def base_overlay(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 20 = 0 and user_id % 30 > 0")
+    a = F.col("event_id") % 20
+    spans = F.array(F.struct(F.lit("GENERIC").alias("type"), a.alias("start"), (a + F.col("user_id") % 30).alias("end")))
+    base = F.array(*[F.struct(F.lit(x).cast("long").alias("start"), F.lit(y).cast("long").alias("end"), F.lit(t).alias("tag")) for x, y, t in ((5, 9, "one"), (12, 20, "two"))])
+    return e.select("event_id", F.explode(overlay.over_base(spans, base)).alias("p")).select("event_id", "p.start", "p.end", "p.tag")
+
+
 # --- rows only -----------------------------------------------------------------------------------------------------
 
 

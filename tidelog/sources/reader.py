@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.carry import BLOCK, running_sum
+from tidelog.operators.status import FAILED
 
 LINES = "path string, line_no long, raw string"
 MB = 1024 * 1024
@@ -206,7 +207,11 @@ def cap_note(has_more_lines: Column, hit_bytes: Column, max_lines: int, max_byte
     return F.when(has_more_lines, f"scan covered the first {max_lines:,} lines").when(hit_bytes, f"scan stopped at the {byte_text(max_bytes)} byte cap")
 
 
+def missing(wanted: DataFrame, seen: DataFrame) -> DataFrame:
+    """path, outcome 'failed', reason of the wanted paths (column path) that no read produced."""
+    return wanted.select("path").join(seen.select("path").distinct(), "path", "left_anti").select("path", F.lit("failed").alias("outcome"), F.lit(FAILED).alias("reason"))
+
+
 def failures(spark: SparkSession, wanted: Iterable[str], seen: DataFrame) -> DataFrame:
-    """Rows (path, outcome 'failed', reason) for wanted paths that no read produced."""
-    w = spark.createDataFrame([(p,) for p in wanted], "path string")
-    return w.join(seen.select("path").distinct(), "path", "left_anti").select("path", F.lit("failed").alias("outcome"), F.lit("could not be read").alias("reason"))
+    """missing() of a list of paths."""
+    return missing(spark.createDataFrame([(p,) for p in wanted], "path string"), seen)

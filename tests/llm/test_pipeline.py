@@ -49,3 +49,29 @@ def test_stages(spark, tmp_path):
     assert sorted(back) == sorted((d, clean[d]) for d in times.elements())
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, whole.collect())) == sorted(map(str, after[4].collect())) and after[4].where(F.col("n_pieces") != F.size("ids")).count() == 0
+
+
+EXTRA = COLS + ", size long, taken long, copies long, places string, grp long, component_id long"
+
+
+def run_over(spark, folder, rows, cols):
+    spark.createDataFrame(rows, cols).write.parquet(str(folder / "documents.parquet"))
+    return corpus_pipeline.run(spark, str(folder))
+
+
+def test_empty_table(spark, tmp_path):
+    out = run_over(spark, tmp_path, [], COLS)
+    assert out.columns == ["doc_id", "n_pieces", "ids"] and out.count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Repeated rows and ids, null ids, empty and very long texts, extra columns of the operators' own names. There is one
+    source, whose target is its own size, so the mix takes every document once."""
+    rng = random.Random(21)
+    good = [babble(rng, 80, 4000) for _ in range(5)]
+    long_ = babble(rng, 150_000, 60_000) + " ünï"
+    texts_of = [(1, good[0]), (1, good[0]), (2, good[1]), (2, good[2]), (3, long_), (4, None), (5, ""), (None, good[3]), (None, good[3]), (6, good[4] + " x@example.org"), (7, good[0])]
+    rows = [(d, t, None, "a", None if t is None else len(t), 9, None, 8, "p", 7, None) for d, t in texts_of]
+    out = run_over(spark, tmp_path, rows, EXTRA)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in pieces.decoded(out).collect())
+    assert got == sorted([(1, good[0]), (2, min(good[1:3])), (3, long_), (0, good[3]), (0, good[3]), (6, good[4] + " [EMAIL]")])

@@ -313,3 +313,23 @@ def test_notes_of_files_not_followed(spark):
 
 def test_format_names():
     assert BY_NAME["Plain timestamp"].priority == 10
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_lines_are_dealt_once(spark, log):
+    f = log({"a": "x\ny\nz\n" * 20, "b": "one\ntwo"}).select("path", "line_no", "raw", (F.col("line_no") % 3 == 0).alias("is_record"), F.lit("INFO").alias("level"))
+    for df in (index.line_starts(f, block=8), facts.fold_runs(f, {"ERROR"}, block=8), facts.hidden_counts(f, {"ERROR"}, "x")):
+        assert "ReusedExchange" in final_plan(df) or "ReusedQueryStage" in final_plan(df)
+
+
+def test_default_filter_folds_nothing_and_reads_no_window(spark, log):
+    f = log({"a": "x\ny\nz"}).select("path", "line_no", "raw", F.lit(True).alias("is_record"), F.lit("INFO").alias("level"))
+    folds = facts.fold_runs(f)
+    assert folds.collect() == [] and folds.columns == ["path", "first_line", "last_line", "line_count"]
+    assert "Window" not in final_plan(folds)
+    counts = facts.hidden_counts(f, text="  ")
+    assert [(r["n_hidden"], r["n_lines"]) for r in counts.collect()] == [(0, 3)] and "Window" not in final_plan(counts)

@@ -10,20 +10,24 @@ BLOCK = 65_536
 
 
 def block_of(line_no: Column, block: int = BLOCK) -> Column:
-    return F.floor(line_no / block).cast("long")
+    # never null, as a quotient may be to the optimizer: a null test on one side of a join would set equal exchanges apart
+    return F.coalesce(F.floor(line_no / block).cast("long"), F.lit(0).cast("long"))
 
 
 def in_block(backward: bool = False) -> WindowSpec:
     return Window.partitionBy("path", "_block").orderBy(F.col("line_no").desc() if backward else F.col("line_no"))
 
 
-def carried(rows: DataFrame, block: int = BLOCK, backward: bool = False, strictly: bool = False, **values: Column) -> DataFrame:
+def carried(rows: DataFrame, block: int = BLOCK, backward: bool = False, strictly: bool = False, once: bool = False, **values: Column) -> DataFrame:
     """rows with, by name, the last value that is not null at or before each line; strictly: before it.
 
     backward looks the other way. Values are carried within blocks of lines; each block's last value, a row per block and
-    file, is carried over the blocks and joined on. rows are read twice, the second time for those last values alone.
+    file, is carried over the blocks and joined on. rows are read twice, the second time for those last values alone; with
+    once, they are dealt by block and both readings share that exchange, so rows should hold nothing but path, line_no and
+    what the values need. A column _block of rows comes back as the block, by which the result is then dealt.
     """
     b = rows.withColumn("_block", block_of(F.col("line_no"), block))
+    b = b.repartition("path", "_block") if once else b
     nearest = F.min_by if backward else F.max_by
     ends = b.groupBy("path", "_block").agg(*[nearest(v, F.when(v.isNotNull(), F.col("line_no"))).alias(f"_end_{n}") for n, v in values.items()])
     over = Window.partitionBy("path").orderBy(F.col("_block").desc() if backward else F.col("_block")).rowsBetween(Window.unboundedPreceding, -1)
@@ -43,8 +47,12 @@ def with_next(rows: DataFrame, block: int = BLOCK, **values: Column) -> DataFram
 
 
 def running_sum(rows: DataFrame, value: Column, name: str, block: int = BLOCK) -> DataFrame:
-    """rows with the sum of value over the lines before each, and last_line (the file's last line_no)."""
-    b = rows.withColumn("_block", block_of(F.col("line_no"), block))
+    """rows with the sum of value over the lines before each, and last_line (the file's last line_no).
+
+    Rows are dealt by block once. Sums and lines both read that one exchange, so rows should hold line_no and what value
+    needs, and no more: another column would set the two apart, and rows would be made twice.
+    """
+    b = rows.withColumn("_block", block_of(F.col("line_no"), block)).repartition("path", "_block")
     sums = b.groupBy("path", "_block").agg(F.sum(value).alias("_sum"), F.max("line_no").alias("_top"))
     over = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("path", "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"), F.max("_top").over(Window.partitionBy("path")).alias("last_line"))

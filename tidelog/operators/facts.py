@@ -113,13 +113,21 @@ def hidden(facts: DataFrame, levels: set[str] | None = None, text: str = "", blo
     return marked.withColumn("is_hidden", F.coalesce("_mark", F.lit(False))).drop("_mark")
 
 
+def _marks(facts: DataFrame, levels: set[str] | None, text: str, block: int = BLOCK) -> DataFrame:
+    """path, line_no, _block, is_hidden alone: of each line only whether its record is shut goes through the exchange, once."""
+    own = facts.select("path", "line_no", block_of(F.col("line_no"), block).alias("_block"), F.when(F.col("is_record"), ~visible(levels, text)).alias("_shut"))
+    return carried(own, block, once=True, _mark=F.col("_shut")).select("path", "line_no", "_block", F.coalesce("_mark", F.lit(False)).alias("is_hidden"))
+
+
 def fold_runs(facts: DataFrame, levels: set[str] | None = None, text: str = "", block: int = BLOCK) -> DataFrame:
     """path, first_line, last_line, line_count: maximal runs of hidden lines. The default filter hides nothing.
 
     Runs are found within blocks of lines; of a block's runs, those at its edges (two at most) are joined to their
     neighbours in a second, small pass over the files.
     """
-    h = hidden(facts, levels, text, block).select("path", "line_no", "is_hidden").withColumn("_block", block_of(F.col("line_no"), block))
+    if hides_nothing(levels, text):
+        return facts.select("path", F.col("line_no").alias("first_line"), F.col("line_no").alias("last_line"), F.lit(0).cast("long").alias("line_count")).where(F.lit(False))
+    h = _marks(facts, levels, text, block)
     starts = (F.col("is_hidden") & ~F.coalesce(F.lag("is_hidden").over(in_block()), F.lit(False))).cast("long")
     whole = Window.partitionBy("path", "_block")
     marked = h.select("path", "line_no", "_block", "is_hidden", F.sum(starts).over(in_block().rowsBetween(Window.unboundedPreceding, 0)).alias("_run"), F.min("line_no").over(whole).alias("_low"), F.max("line_no").over(whole).alias("_high"))
@@ -137,7 +145,8 @@ def fold_runs(facts: DataFrame, levels: set[str] | None = None, text: str = "",
 
 def hidden_counts(facts: DataFrame, levels: set[str] | None = None, text: str = "") -> DataFrame:
     """path, n_hidden, n_lines, note."""
-    c = hidden(facts, levels, text).groupBy("path").agg(F.count_if("is_hidden").alias("n_hidden"), F.count("*").alias("n_lines"))
+    h = facts.select("path", F.lit(False).alias("is_hidden")) if hides_nothing(levels, text) else _marks(facts, levels, text)
+    c = h.groupBy("path").agg(F.count_if("is_hidden").alias("n_hidden"), F.count("*").alias("n_lines"))
     return c.withColumn("note", F.format_string("filter hides %,d of %,d lines", F.col("n_hidden"), F.col("n_lines")))
 
 

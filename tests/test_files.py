@@ -333,3 +333,12 @@ def test_default_filter_folds_nothing_and_reads_no_window(spark, log):
     assert "Window" not in final_plan(folds)
     counts = facts.hidden_counts(f, text="  ")
     assert [(r["n_hidden"], r["n_lines"]) for r in counts.collect()] == [(0, 3)] and "Window" not in final_plan(counts)
+
+
+def test_repeated_and_null_frames(spark):
+    rows = [("/logs/a.log", k, 0, "run.py", 1, None) for k in range(3)] + [("/logs/a.log", 3, 0, None, 1, None), (None, 4, 0, "/srv/x.js", 1, None), (None, 5, 0, "sub/run.py", 1, None)]
+    found = spark.createDataFrame(rows, "path string, line_no long, start int, frame_path string, frame_line long, package_dir string")
+    catalog = spark.createDataFrame([("/logs/run.py",), ("/srv/x.js",), ("/srv/x.js",), ("/a/build/run.py",)], "file_path string")
+    got = {r["line_no"]: (r["file_path"], r["how"]) for r in frames.resolve(found, catalog).collect()}
+    assert got == {0: ("/logs/run.py", "name"), 1: ("/logs/run.py", "name"), 2: ("/logs/run.py", "name"), 3: (None, None), 4: ("/srv/x.js", "absolute"), 5: ("/logs/run.py", "name")}
+    assert frames.resolve(found.limit(0), catalog.limit(0)).count() == 0

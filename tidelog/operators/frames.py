@@ -78,30 +78,37 @@ def resolve(found: DataFrame, catalog: DataFrame) -> DataFrame:
 
     An absolute path as it stands; else relative to the log's directory and its ancestors, nearest first; else by name,
     files of the frame's package before files outside build directories before any, then the shortest path, then by path.
-    All three are equi-joins; candidates are MAX_DEPTH to a frame at most.
+    Frames repeat, so each question (directory, path, package) is asked once: its candidates, MAX_DEPTH + 2 at most, meet the
+    files in one equi-join, and the best goes back to the frames.
     """
-    files = catalog.select(F.col("file_path").alias("fp")).distinct()
-    f = found.withColumn("fid", F.xxhash64("path", "line_no", "start", "rank")).withColumn("norm", F.replace("frame_path", F.lit("\\"), F.lit("/")))
-    parts = F.split("norm", "/", -1)
-    f = f.withColumn("parts", parts)
-    absolute = f.where(F.col("norm").rlike("^(?:/|[A-Za-z]:/)")).join(files, F.col("norm") == F.col("fp")).select("path", "line_no", "start", "rank", F.col("fp").alias("abs_path"))
+    norm = F.replace("frame_path", F.lit("\\"), F.lit("/"))
+    f = found.withColumn("_norm", norm).withColumn("_folder", F.regexp_replace("path", r"/[^/]*$", ""))
+    asked = f.select("_folder", "_norm", F.col("package_dir").alias("_package")).distinct()
+    none = F.array().cast("array<struct<how:int,depth:int>>")
+
+    def tried(how: int, depth: Column) -> Column:
+        return F.struct(F.lit(how).alias("how"), depth.cast("int").alias("depth"))
+
+    parts, folders = F.split("_norm", "/", -1), F.split("_folder", "/", -1)
+    bare = F.try_element_at(F.filter(parts, lambda x: (x != "") & (x != ".") & (x != "..")), F.lit(-1))
     # ancestors of the log's directory, nearest first; '' is the root
-    folder = F.regexp_replace("path", r"/[^/]*$", "")
-    depth = F.size(F.split(folder, "/", -1))
-    steps = F.sequence(F.lit(0), F.least(depth - 1, F.lit(MAX_DEPTH - 1)))
-    ancestors = F.transform(steps, lambda k: F.array_join(F.slice(F.split(folder, "/", -1), F.lit(1), depth - k), "/"))
-    tries = f.where(F.contains("norm", F.lit("/"))).select("path", "line_no", "start", "rank", "parts", F.posexplode(ancestors).alias("depth", "folder"))
-    tries = tries.withColumn("candidate", _joined(F.col("folder"), F.col("parts"))).join(files, F.col("candidate") == F.col("fp"))
-    key = ["path", "line_no", "start", "rank"]
-    relative = tries.groupBy(*key).agg(F.min_by("fp", "depth").alias("rel_path"))
-    real = F.filter("parts", lambda x: (x != "") & (x != ".") & (x != ".."))
-    named = f.withColumn("bare", F.try_element_at(real, F.lit(-1))).where("bare is not null and trim(bare) <> ''")
-    byname = files.withColumn("bare", F.element_at(F.split("fp", "/", -1), -1))
-    inside = F.endswith("fp", F.concat(F.lit("/"), F.col("package_dir"), F.lit("/"), F.col("bare")))
-    rank = F.when(F.col("package_dir").isNotNull() & inside, 0).when(~F.col("fp").rlike("/(?:build|out|generated)/"), 1).otherwise(2)
-    names = named.join(byname, "bare").groupBy(*key).agg(F.min_by("fp", F.struct(rank, F.length("fp"), F.col("fp"))).alias("name_path"))
-    out = f.join(absolute, key, "left").join(relative, key, "left").join(names, key, "left")
-    return out.select(
-        *found.columns, F.coalesce("abs_path", "rel_path", "name_path").alias("file_path"),
-        F.when(F.col("abs_path").isNotNull(), "absolute").when(F.col("rel_path").isNotNull(), "relative").when(F.col("name_path").isNotNull(), "name").alias("how"),
-    )
+    ups = F.transform(F.sequence(F.lit(0), F.least(F.size(folders), F.lit(MAX_DEPTH)) - 1), lambda k: tried(1, k))
+    options = F.concat(
+        F.when(F.col("_norm").rlike("^(?:/|[A-Za-z]:/)"), F.array(tried(0, F.lit(0)))).otherwise(none),
+        F.when(F.contains("_norm", F.lit("/")) & F.col("_folder").isNotNull(), ups).otherwise(none),
+        F.when(F.trim(bare) != "", F.array(tried(2, F.lit(0)))).otherwise(none),
+    )
+    t = asked.withColumn("_bare", bare).select("*", F.inline(options))
+    folder = F.array_join(F.slice(folders, F.lit(1), F.size(folders) - F.col("depth")), "/")
+    # whole paths and bare names share one join, told apart by their first character
+    t = t.withColumn("_key", F.when(F.col("how") == 0, F.concat(F.lit("="), "_norm")).when(F.col("how") == 1, F.concat(F.lit("="), _joined(folder, parts))).otherwise(F.concat(F.lit("~"), "_bare")))
+    files = catalog.select(F.col("file_path").alias("_file")).distinct()
+    files = files.select("_file", F.explode(F.array(F.concat(F.lit("="), "_file"), F.concat(F.lit("~"), F.element_at(F.split("_file", "/", -1), -1)))).alias("_key"))
+    inside = F.endswith("_file", F.concat(F.lit("/"), F.col("_package"), F.lit("/"), F.col("_bare")))
+    rank = F.when(F.col("how") != 2, 0).when(F.col("_package").isNotNull() & inside, 0).when(~F.col("_file").rlike("/(?:build|out|generated)/"), 1).otherwise(2)
+    order = F.struct("how", "depth", rank.alias("rank"), F.length("_file").alias("size"), F.col("_file"))
+    question = ["_folder", "_norm", "_package"]
+    best = t.join(files, "_key").groupBy(*question).agg(F.min(order).alias("_best"))
+    best = best.select(*[F.col(c).alias(f"{c}_asked") for c in question], F.col("_best._file").alias("file_path"), F.get(F.array(F.lit("absolute"), F.lit("relative"), F.lit("name")), F.col("_best.how")).alias("how"))
+    same = F.col("_folder").eqNullSafe(F.col("_folder_asked")) & F.col("_norm").eqNullSafe(F.col("_norm_asked")) & F.col("package_dir").eqNullSafe(F.col("_package_asked"))
+    return f.join(best, same, "left").select(*found.columns, "file_path", "how")

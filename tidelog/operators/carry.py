@@ -46,13 +46,13 @@ def with_next(rows: DataFrame, block: int = BLOCK, **values: Column) -> DataFram
     return b.where(F.col("_block") == at).drop("_block")
 
 
-def running_sum(rows: DataFrame, value: Column, name: str, block: int = BLOCK) -> DataFrame:
+def running_sum(rows: DataFrame, value: Column, name: str, block: int = BLOCK, once: bool = False) -> DataFrame:
     """rows with the sum of value over the lines before each, and last_line (the file's last line_no).
 
-    Rows are dealt by block once. Sums and lines both read that one exchange, so rows should hold line_no and what value
-    needs, and no more: another column would set the two apart, and rows would be made twice.
+    rows are read twice, the second time for sums of blocks alone; once is as in carried().
     """
-    b = rows.withColumn("_block", block_of(F.col("line_no"), block)).repartition("path", "_block")
+    b = rows.withColumn("_block", block_of(F.col("line_no"), block))
+    b = b.repartition("path", "_block") if once else b
     sums = b.groupBy("path", "_block").agg(F.sum(value).alias("_sum"), F.max("line_no").alias("_top"))
     over = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("path", "_block", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"), F.max("_top").over(Window.partitionBy("path")).alias("last_line"))

@@ -20,7 +20,7 @@ def line_starts(lines: DataFrame, block: int = BLOCK) -> DataFrame:
     Sums are taken within blocks of lines, so that one huge file is many tasks, and over each file's blocks, a row each.
     """
     sized = lines.select("path", "line_no", F.length("raw").cast("long").alias("length"))
-    return running_sum(sized, F.col("length") + 1, "start_offset", block).select("path", "line_no", "start_offset", "length", (F.col("line_no") < F.col("last_line")).alias("has_newline"))
+    return running_sum(sized, F.col("length") + 1, "start_offset", block, once=True).select("path", "line_no", "start_offset", "length", (F.col("line_no") < F.col("last_line")).alias("has_newline"))
 
 
 def totals(starts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
@@ -20,6 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on, so that temporaries stay small however large the batch is.
 CHUNK_BYTES = 1_000_000
 
+#: Unsigned CRC-32 of a decimal text, bit by bit.
+CRC32_SQL = (
+    "xor(4294967295, list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT), lambda a, b: "
+    "list_reduce([xor(a, b)] || range(8), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))))"
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,6 +71,29 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def placed(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in its group: tree (a number of the group, ascending with it), idx (from 0), n (its rows).
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread; only counts for each part of a group are
+    windowed. Rows that tie in all of it stand in any order. Nulls come first.
+    """
+    keys = [*(F.col(g).asc_nulls_first() for g in group), *order]
+    at = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    own = [F.col(g) for g in group]
+    counts = at.groupBy(part.alias("_part"), *own).agg(F.count("*").alias("_rows"), F.min("_at").alias("_low"))
+    whole = Window.partitionBy(*own)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        F.col("_part").alias("_p"), *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_low").alias("_l"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("n"), F.min("_low").over(whole).alias("tree"),
+    )
+    same = part == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return at.join(counts, same).select(*df.columns, "tree", (F.col("_before") + F.col("_at") - F.col("_l")).alias("idx"), "n")
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver find plans that nothing refers to any more, so that their shuffle files go."""
     gc.collect()

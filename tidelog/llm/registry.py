@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidelog.llm import ann, chat, mixing, ngrams, pieces, pii, quality, repeats, urls, warc
+from tidelog.llm import ann, chat, manifest, mixing, ngrams, pieces, pii, quality, repeats, tokens, trie, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_suffix_dedup": repeats.op9_suffix_dedup,
     "op10_chat": chat.op10_chat,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_token_counts": tokens.op13_token_counts,
 }
 ORACLES = {
     "op1_url_filters": urls.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op3_ngram_join": ngrams.OP3_SQL,
     "op4_quality": quality.OP4_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
+    "op12_merkle_manifest": manifest.OP12_SQL,
 }

@@ -342,3 +342,32 @@ def test_repeated_and_null_frames(spark):
     got = {r["line_no"]: (r["file_path"], r["how"]) for r in frames.resolve(found, catalog).collect()}
     assert got == {0: ("/logs/run.py", "name"), 1: ("/logs/run.py", "name"), 2: ("/logs/run.py", "name"), 3: (None, None), 4: ("/srv/x.js", "absolute"), 5: ("/logs/run.py", "name")}
     assert frames.resolve(found.limit(0), catalog.limit(0)).count() == 0
+
+
+def test_walks_check_folders(log, spark):
+    files = ["/p/app/lib/x.py", "/p/lib/y.py", "/z.py", "/p/app/a.py/b.py"]
+    wanted = {
+        "lib/x.py": "/p/app/lib/x.py", "nodir/../lib/x.py": None, "lib/../lib/x.py": "/p/app/lib/x.py", "lib/x.py/../x.py": None, "../lib/y.py": "/p/lib/y.py", "../../z.py": "/z.py",
+        "../../../../z.py": None, "logs/../lib/x.py": None, "./lib//x.py": "/p/app/lib/x.py", "lib/x.py/.": None, "a.py/b.py": "/p/app/a.py/b.py", "lib/../../lib/../app/lib/x.py": "/p/app/lib/x.py", "app/../lib/y.py": "/p/lib/y.py",
+    }
+    rows = [("/p/app/run.log", i, w, None) for i, w in enumerate(wanted)]
+    found = spark.createDataFrame(rows, "path string, line_no long, frame_path string, package_dir string")
+    catalog = spark.createDataFrame([(f,) for f in files], "file_path string")
+    from tidelog.operators import frames
+
+    stored = frames.directories(catalog).union(frames.directories(found.select(F.col("path").alias("file_path"))))
+    for folders in (None, stored.distinct()):
+        got = {r["frame_path"]: r["file_path"] if r["how"] == "relative" else None for r in frames.resolve(found, catalog, folders).collect()}
+        assert got == wanted
+
+
+def test_numbers_that_no_long_holds(log):
+    from tidelog.functions import ansi
+    from tidelog.operators import frames
+
+    found = frames.frames(log({"/a.log": f"x (Main.java:{'9' * 40}:{'8' * 50})\nx (Main.java:7:{'0' * 30}3)"})).orderBy("line_no").collect()
+    assert [(r["frame_line"], r["frame_col"]) for r in found] == [(None, 0), (7, 2)]
+    huge = "7" * 5000
+    for line in (f"\x1b[{huge}mx", f"\x1b[38;5;{huge}mx", f"\x1b[38;{huge};1mx", f"\x1b[1;{huge}mx", f"\x1b[38;2;{huge};1;2mx"):
+        assert isinstance(ansi.ansi_runs(line), list)
+    assert ansi.ansi_runs(f"\x1b[1;{huge}mx")[0]["style"]["bold"]

@@ -35,6 +35,12 @@ def _parameters(raw: str) -> list[str]:
     return out
 
 
+def _number(digits: str) -> int:
+    """A parameter; none counts as 0, and one of over nine digits as a number that means nothing."""
+    short = digits.lstrip("0")
+    return int(short or 0) if len(short) < 10 else 10**9
+
+
 def apply_sgr(raw: str, style: dict) -> dict:
     """The style after one select-graphic-rendition sequence with these parameters."""
     style = dict(style)
@@ -42,7 +48,7 @@ def apply_sgr(raw: str, style: dict) -> dict:
     while todo:
         head = todo.pop(0)
         digits = re.match(r"\d*", head)[0]
-        n = int(digits or 0)
+        n = _number(digits)
         if n in (38, 48) and digits == head:
             got = _extended(todo)
             if got is None:
@@ -69,10 +75,10 @@ def apply_sgr(raw: str, style: dict) -> dict:
 def _extended(todo: list[str]) -> dict | None:
     """A 256-colour or direct colour off the front of the parameters; None where they are malformed."""
     kind = todo.pop(0) if todo else ""
-    need = {5: 1, 2: 3}.get(int(kind) if kind.isdigit() else 0)
+    need = {5: 1, 2: 3}.get(_number(kind) if kind.isdigit() else 0)
     if need is None or len(todo) < need or not all(x.isdigit() or x == "" for x in todo[:need]):
         return None
-    values = [min(int(x or 0), 255) for x in todo[:need]]
+    values = [min(_number(x), 255) for x in todo[:need]]
     del todo[:need]
     return _colour("indexed", values[0]) if need == 1 else _colour("rgb", None, tuple(values))
 

@@ -108,11 +108,13 @@ def scan_lines_capped(spark, d):
     return b.select("path", "line_no", "raw", reader.cap_note(F.col("has_more_lines"), F.col("hit_bytes"), _CAP_L, _CAP_B).alias("note"))
 
 
-@query("log_files", "SELECT p_partkey, regexp_matches(p_type, '(?i)\\.(?:log|out)$') OR p_partkey % 2 = 0 AS is_log FROM part")
+_NAMES = "replace(p_type, ' ', '/') || CASE p_partkey % 7 WHEN 0 THEN '.log' WHEN 1 THEN '.OUT' WHEN 2 THEN '/log' WHEN 3 THEN '.log.gz' WHEN 4 THEN '.Log' WHEN 5 THEN '.blog' ELSE '.out.txt' END"
+
+
+@query("log_files", f"SELECT p_partkey, regexp_matches(regexp_extract({_NAMES}, '[^/]*$'), '(?i)\\.(?:log|out)$') AS is_log FROM part")
 def log_files(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet")
-    name = F.concat("p_type", F.when(F.col("p_partkey") % 2 == 0, F.when(F.col("p_partkey") % 4 == 0, ".LOG").otherwise(".out")).otherwise(".txt"))
-    return p.select("p_partkey", reader.is_log_name(name).alias("is_log"))
+    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_NAMES).alias("path"))
+    return p.select("p_partkey", reader.is_log_name(F.element_at(F.split("path", "/"), -1)).alias("is_log"))
 
 
 @query("strip_ansi", f"WITH l AS ({lines_sql('coloured')}) SELECT path, line_no, {_CLEAN} AS text FROM l")
@@ -408,6 +410,31 @@ def resolve_by_name(spark, d):
     return _resolved(spark, d).where("how = 'name'").drop("how")
 
 
+_WALKS = ("lib/run.py", "nodir/../lib/run.py", "lib/../lib/./run.py", "lib/run.py/../run.py", "../../../../../run.py", "../s2//main.py", "other/../../s1/deep/../main.py", "lib/run.py/", "/lib/run.py", "deep/er/../../lib/../main.py", "lib/..", "..")
+_WALK = "element_at(array(" + ", ".join(f"'{w}'" for w in _WALKS) + f"), cast(event_id % {len(_WALKS)} + 1 as int))"
+_WALK_FILES = "'/srv/s' || {k} % 5 || '/' || CASE {k} % 3 WHEN 0 THEN 'lib/run.py' WHEN 1 THEN 'main.py' ELSE 'deep/er/x' || {k} || '.py' END"
+
+
+@query("resolve_walks", f"""WITH RECURSIVE q AS (SELECT event_id, '/srv/s' || event_id % 7 || '/logs' AS folder, ([{", ".join(f"'{w}'" for w in _WALKS)}])[event_id % {len(_WALKS)} + 1] AS frame FROM events),
+files AS (SELECT DISTINCT {_WALK_FILES.format(k='p_partkey')} AS file FROM part), above AS (SELECT file AS p FROM files UNION SELECT DISTINCT folder || '/app.log' FROM q),
+dirs AS (SELECT DISTINCT array_to_string(string_split(p, '/')[1:k], '/') AS dir FROM above, range(1, 12) AS r(k) WHERE k < len(string_split(p, '/'))),
+asked AS (SELECT DISTINCT folder, frame FROM q WHERE contains(frame, '/')),
+walk(folder, frame, depth, k, here) AS (
+ SELECT folder, frame, depth, 0, array_to_string(string_split(folder, '/')[1:len(string_split(folder, '/')) - depth], '/') FROM asked, range(0, 12) AS r(depth) WHERE depth < len(string_split(folder, '/'))
+ UNION ALL SELECT folder, frame, depth, k + 1, CASE WHEN part IN ('', '.') THEN here WHEN part = '..' THEN regexp_replace(here, '/[^/]*$', '') ELSE here || '/' || part END
+ FROM (SELECT *, string_split(frame, '/')[k + 1] AS part, k + 1 = len(string_split(frame, '/')) AS final FROM walk WHERE k < len(string_split(frame, '/')))
+ WHERE CASE WHEN part IN ('', '.') THEN true WHEN part = '..' THEN here <> '' ELSE here || '/' || part IN (SELECT dir FROM dirs) OR final AND here || '/' || part IN (SELECT file FROM files) END),
+hit AS (SELECT folder, frame, arg_min(here, depth) AS file FROM walk WHERE k = len(string_split(frame, '/')) AND here IN (SELECT file FROM files) GROUP BY ALL),
+bare AS (SELECT folder, frame, list_last(list_filter(string_split(frame, '/'), lambda x: x NOT IN ('', '.', '..'))) AS name FROM (SELECT DISTINCT folder, frame FROM q)),
+named AS (SELECT folder, frame, arg_min(file, (length(file), file)) AS file FROM bare JOIN files ON regexp_extract(file, '[^/]+$') = name GROUP BY ALL)
+SELECT event_id, coalesce(h.file, n.file) AS file_path, CASE WHEN h.file IS NOT NULL THEN 'relative' WHEN n.file IS NOT NULL THEN 'name' END AS how FROM q LEFT JOIN hit h USING (folder, frame) LEFT JOIN named n USING (folder, frame)""")
+def resolve_walks(spark, d):
+    """Paths with folders that are not there, files taken for folders, and steps over the root."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.lit("/srv/s"), (F.col("event_id") % 7).cast("string"), F.lit("/logs/app.log")).alias("path"), F.expr(_WALK).alias("frame_path"), F.lit(None).cast("string").alias("package_dir"))
+    files = spark.read.parquet(f"{d}/part.parquet").select(F.expr(_WALK_FILES.format(k="p_partkey")).alias("file_path"))
+    return frames.resolve(e, files).select("event_id", "file_path", "how")
+
+
 # --- tail ----------------------------------------------------------------------------------------------------------
 
 _TAIL_SUM = "CASE v.format " + " ".join(f"WHEN {quoted(f.name)} THEN e{i}" for i, f in enumerate(FORMATS)) + " END"
@@ -491,11 +518,14 @@ def level_colours(spark, d):
     return p.select("path", "line_no", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "type", "foreground", "bold")
 
 
-@query("base_overlay", "WITH s AS (SELECT event_id, event_id % 20 AS a, event_id % 20 + user_id % 30 AS b FROM events WHERE event_id % 20 = 0), c AS (SELECT event_id, a, b, unnest(list_sort(list_distinct([a, b] || list_filter([5, 9, 12, 20], lambda x: x > a AND x < b)))) AS x FROM s WHERE b > a), p AS (SELECT *, lead(x) OVER (PARTITION BY event_id ORDER BY x) AS y FROM c) SELECT event_id, x::BIGINT AS start, y::BIGINT AS \"end\", CASE WHEN x >= 5 AND x < 9 THEN 'one' WHEN x >= 12 AND x < 20 THEN 'two' END AS tag FROM p WHERE y IS NOT NULL")
+_A, _B = "event_id * 7 % 23", "event_id * 7 % 23 + user_id % 30"
+
+
+@query("base_overlay", f"WITH s AS (SELECT event_id, {_A} AS a, {_B} AS b FROM events), c AS (SELECT event_id, a, b, unnest(list_sort(list_distinct([a, b] || list_filter([5, 9, 12, 20], lambda x: x > a AND x < b)))) AS x FROM s WHERE b > a), p AS (SELECT *, lead(x) OVER (PARTITION BY event_id ORDER BY x) AS y FROM c) SELECT event_id, x::BIGINT AS start, y::BIGINT AS \"end\", CASE WHEN x >= 5 AND x < 9 THEN 'one' WHEN x >= 12 AND x < 20 THEN 'two' END AS tag FROM p WHERE y IS NOT NULL")
 def base_overlay(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 20 = 0 and user_id % 30 > 0")
-    a = F.col("event_id") % 20
-    spans = F.array(F.struct(F.lit("GENERIC").alias("type"), a.alias("start"), (a + F.col("user_id") % 30).alias("end")))
+    """A span of every event, cut where the base layer's spans begin and end."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("user_id % 30 > 0")
+    spans = F.array(F.struct(F.lit("GENERIC").alias("type"), F.expr(_A).alias("start"), F.expr(_B).alias("end")))
     base = F.array(*[F.struct(F.lit(x).cast("long").alias("start"), F.lit(y).cast("long").alias("end"), F.lit(t).alias("tag")) for x, y, t in ((5, 9, "one"), (12, 20, "two"))])
     return e.select("event_id", F.explode(overlay.over_base(spans, base)).alias("p")).select("event_id", "p.start", "p.end", "p.tag")
 

@@ -371,3 +371,54 @@ def test_numbers_that_no_long_holds(log):
     for line in (f"\x1b[{huge}mx", f"\x1b[38;5;{huge}mx", f"\x1b[38;{huge};1mx", f"\x1b[1;{huge}mx", f"\x1b[38;2;{huge};1;2mx"):
         assert isinstance(ansi.ansi_runs(line), list)
     assert ansi.ansi_runs(f"\x1b[1;{huge}mx")[0]["style"]["bold"]
+
+
+def _store_model(steps):
+    """What is there after batches of (path, generation, lines from line_no 0 on)."""
+    now = {}
+    for batch in steps:
+        for path, generation, first, texts in batch:
+            have = now.get(path)
+            if have is None or have[0] < generation:
+                have = now[path] = [generation, {}]
+            if have[0] == generation:
+                have[1].update({first + k: t for k, t in enumerate(texts)})
+    return sorted((p, n, t) for p, (_, lines) in now.items() for n, t in lines.items())
+
+
+def test_facts_follow_generations(spark, log, tmp_path):
+    info, jul = "2026-01-02 03:04:05,006 [main] INFO a.B - x", "Jan 2, 2026 3:04:05 AM a.B run"
+    v = detect.detect(log({"/a.log": "\n".join([info] * 3), "/j.log": "\n".join([jul, "SEVERE: bad"] * 3)}))
+    run, steps = tail.facts_batch(str(tmp_path / "s"), v), [
+        [("/a.log", 0, 0, [info, "  more", info, "x", info]), ("/j.log", 0, 0, [jul])],
+        [("/j.log", 0, 1, ["SEVERE: late", jul])],
+        [("/a.log", 1, 0, [info, "short"])],  # five lines become two
+        [("/a.log", 1, 2, ["y"]), ("/j.log", 0, 3, ["WARNING: w"])],
+        [("/j.log", 1, 0, [jul]), ("/j.log", 2, 0, ["only"])],  # twice rewritten within a batch
+    ]
+    for n, batch in enumerate(steps):
+        rows = [(p, g, first + k, t) for p, g, first, texts in batch for k, t in enumerate(texts)]
+        run(spark.createDataFrame(rows, tail.TAIL_SCHEMA), n)
+        if n in (1, 3):
+            run(spark.createDataFrame(rows, tail.TAIL_SCHEMA), n)  # again, after a failure
+        got = sorted((r["path"], r["line_no"], r["raw"]) for r in tail.latest_facts(spark, str(tmp_path / "s")).collect())
+        assert got == _store_model(steps[: n + 1]), n
+        if n == 1:
+            level = {r["line_no"]: r["level"] for r in tail.latest_facts(spark, str(tmp_path / "s")).where("path = '/j.log'").collect()}
+            assert level[0] == "ERROR"  # from the line that a later batch brought
+        if n == 2:
+            assert tail.compact(spark, str(tmp_path / "s")) == 2
+    assert tail.compact(spark, str(tmp_path / "s")) == 4
+    assert sorted((r["path"], r["line_no"], r["raw"]) for r in tail.latest_facts(spark, str(tmp_path / "s")).collect()) == _store_model(steps)
+
+
+def test_a_batch_reads_only_the_version_before_it(spark, log, tmp_path):
+    v = detect.detect(log({"/a.log": "2026-01-02 03:04:05,006 [main] INFO a.B - x"}))
+    run = tail.facts_batch(str(tmp_path / "s"), v)
+    for n in range(4):
+        run(spark.createDataFrame([("/a.log", 0, n, f"line {n}")], tail.TAIL_SCHEMA), n)
+        if n > 1:  # what is older than the version before is not needed
+            import shutil
+
+            shutil.rmtree(tmp_path / "s" / "ends" / f"version={n - 2}")
+    assert [r["line_no"] for r in tail.latest_facts(spark, str(tmp_path / "s")).orderBy("line_no").collect()] == [0, 1, 2, 3]

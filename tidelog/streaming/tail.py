@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
@@ -98,6 +98,8 @@ class _Reader(SimpleDataSourceStreamReader):
                     continue
                 charset, mark, _ = charset_of(prefix)
                 state = had if what == "appended" else {"offset": mark, "seen": mark, "line": 0, "generation": had["generation"] + 1 if had else 0}
+                if state is not had and had:  # a rewrite shows even where it left no line
+                    rows.append((path, state["generation"], 0, mark, mark, charset))
                 rows += self._chunks(path, state, size, charset)
             except FileNotFoundError:
                 continue
@@ -116,6 +118,8 @@ class _Reader(SimpleDataSourceStreamReader):
                 charset, mark, _ = charset_of(f.read(3))
             same = had is not None and had["generation"] == to["generation"]
             state = had if same else {"offset": mark, "seen": mark, "line": 0, "generation": to["generation"]}
+            if not same and had:
+                rows.append((path, to["generation"], 0, mark, mark, charset))
             while state["offset"] < to["offset"]:
                 found = self._chunks(path, state, to["offset"], charset)
                 if not found:
@@ -197,31 +201,92 @@ def followable(indexed: DataFrame) -> DataFrame:
     return indexed.select("path", (~cannot).alias("follows"), F.when(cannot, TAIL_UNAVAILABLE).alias("note"))
 
 
-_ENDS = "path string, line_no long, raw string"
+_ENDS = "path string, generation long, line_no long, raw string"
+_FACTS = ["path", "generation", "line_no", "raw", "format", "is_record", "level"]
 
 
-def facts_batch(store: str, verdicts: DataFrame):
-    """A foreachBatch function that keeps facts up to date in parquet at `store`: facts/batch=N and ends/batch=N.
+def _versions(spark: SparkSession, store: str, kind: str) -> int:
+    """The newest finished version of a kind (`ends`, `base`), -1 if there is none. A version counts once its mark is written."""
+    marks = f"{store}/{kind}_versions"
+    spark.createDataFrame([], "version long").write.mode("ignore").parquet(marks)
+    return spark.read.schema("version long").parquet(marks).agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
+
+
+def _mark(spark: SparkSession, store: str, kind: str, version: int) -> None:
+    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{store}/{kind}_versions")
+
+
+def _stored(spark: SparkSession, where: str, schema: str, version: int) -> DataFrame:
+    return spark.createDataFrame([], schema) if version < 0 else spark.read.schema(schema).parquet(where)
 
-    Each batch brings a file's new lines; its facts are classified with the file's last line before them, whose level
-    may come from the first new line. That line is all that is kept in ends, so that a batch reads no facts of others.
-    Readers take the latest batch of each line (latest_facts).
+
+def facts_batch(store: str, verdicts: DataFrame):
+    """A foreachBatch function that keeps facts of growing and rewritten files in parquet at `store`.
+
+    A batch has lines (path, line_no, raw, and generation where files can be rewritten), or chunks of a tail source, whose lines
+    are then read. Its facts, keyed (path, generation, line_no), go to facts/batch=N, classified with the file's last line
+    before them, whose level may come from the first new line. ends/version=N has that last line and the newest generation
+    of every file: a batch reads the version before it and no older one, so its work is its own lines and a row a file. A
+    generation that is newer than a file's last one starts from nothing, and thereby buries what was there before, also where
+    the file is rewritten as an empty one. A batch that is run again writes the same.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.createDataFrame([], _ENDS).withColumn("batch", F.lit(-1)).write.partitionBy("batch").mode("ignore").parquet(f"{store}/ends")
-        lines = batch.select("path", "line_no", "raw")
-        tops = lines.groupBy("path").agg(F.max_by(F.struct("line_no", "raw"), "line_no").alias("top"), F.min("line_no").alias("first"))
-        ends = spark.read.schema(_ENDS).option("recursiveFileLookup", "true").parquet(f"{store}/ends")
-        before = ends.join(tops.select("path", "first"), "path").where(F.col("line_no") == F.col("first") - 1).select("path", "line_no", "raw").distinct()
-        facts.line_facts(lines.unionByName(before), verdicts).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{store}/facts/batch={batch_id}")
-        tops.select("path", "top.line_no", "top.raw").write.mode("overwrite").parquet(f"{store}/ends/batch={batch_id}")
+        if "generation" not in batch.columns:
+            batch = batch.withColumn("generation", F.lit(0).cast("long"))
+        chunked = "from_byte" in batch.columns
+        seen = batch.select("path", "generation").distinct() if chunked else None
+        lines = (lines_of(batch) if chunked else batch).select("path", "generation", "line_no", "raw")
+        had_version = min(_versions(spark, store, "ends"), batch_id - 1)
+        before = _stored(spark, f"{store}/ends/version={had_version}", _ENDS, had_version)
+        newest = (seen or lines).groupBy("path").agg(F.max("generation").alias("newest"))
+        # rows of generations that the same batch already replaces are not worth classifying
+        lines = lines.join(newest, (lines["path"] == newest["path"]) & (lines["generation"] == newest["newest"]), "left_semi")
+        top = lines.groupBy("path", "generation").agg(F.max_by(F.struct("line_no", "raw"), "line_no").alias("top"), F.min("line_no").alias("first"))
+        last = before.join(top.select("path", "generation", "first"), ["path", "generation"]).where(F.col("line_no") == F.col("first") - 1).select("path", "generation", "line_no", "raw")
+        classified = facts.line_facts(lines.unionByName(last).select("path", "line_no", "raw"), verdicts)
+        classified.join(newest.withColumnRenamed("newest", "generation"), "path").select(*_FACTS).write.mode("overwrite").parquet(f"{store}/facts/batch={batch_id}")
+        tops = top.select("path", "generation", "top.line_no", "top.raw")
+        empty = newest.select("path", F.col("newest").alias("generation"), F.lit(-1).cast("long").alias("line_no"), F.lit("").alias("raw"))
+        rows = before.unionByName(tops).unionByName(empty)
+        # a file's newest generation, of it the last line
+        kept = rows.groupBy("path").agg(F.max(F.struct("generation", "line_no", "raw")).alias("r")).select("path", "r.*")
+        kept.write.mode("overwrite").parquet(f"{store}/ends/version={batch_id}")
+        _mark(spark, store, "ends", batch_id)
 
     return run
 
 
-def latest_facts(spark, store: str) -> DataFrame:
-    f = spark.read.option("recursiveFileLookup", "true").parquet(f"{store}/facts")
-    cols = ["raw", "format", "is_record", "level"]
-    return f.groupBy("path", "line_no").agg(F.max_by(F.struct(*cols), "batch_id").alias("f")).select("path", "line_no", "f.*")
+_FACT_KINDS = "path string, generation long, line_no long, raw string, format string, is_record boolean, level string"
+
+
+def _rows(spark: SparkSession, store: str, base: int) -> DataFrame:
+    """Facts of the base and of the batches behind it, with batch."""
+    later = spark.read.schema(f"{_FACT_KINDS}, batch long").parquet(f"{store}/facts").where(F.col("batch") > base)
+    return _stored(spark, f"{store}/base/version={base}", _FACT_KINDS, base).withColumn("batch", F.lit(base).cast("long")).unionByName(later)
+
+
+def latest_facts(spark: SparkSession, store: str) -> DataFrame:
+    """path, line_no, raw, format, is_record, level of every file's newest generation; of a line that two batches have, the newer.
+
+    Batches that have not finished are not looked at.
+    """
+    version, base = _versions(spark, store, "ends"), _versions(spark, store, "base")
+    ends = _stored(spark, f"{store}/ends/version={version}", _ENDS, version).select("path", "generation")
+    rows = _rows(spark, store, base).where(F.col("batch") <= version).join(ends, ["path", "generation"], "left_semi")
+    found = rows.groupBy("path", "line_no").agg(F.max_by(F.struct("raw", "format", "is_record", "level"), "batch").alias("f"))
+    return found.select("path", "line_no", "f.*")
+
+
+def compact(spark: SparkSession, store: str) -> int:
+    """Writes the newest facts as one base, without what was rewritten; readers start from it. Gives the base's version.
+
+    Batches up to the base, older bases and older ends are no longer read, and may be deleted once no reader holds them.
+    """
+    version, base = _versions(spark, store, "ends"), _versions(spark, store, "base")
+    if version > base:
+        ends = _stored(spark, f"{store}/ends/version={version}", _ENDS, version).select("path", "generation")
+        latest_facts(spark, store).join(ends, "path").select(*_FACTS).write.mode("overwrite").parquet(f"{store}/base/version={version}")
+        _mark(spark, store, "base", version)
+    return version

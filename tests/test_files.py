@@ -4,6 +4,7 @@ import os
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions.formats import BY_NAME, LogFormat
@@ -353,8 +354,6 @@ def test_walks_check_folders(log, spark):
     rows = [("/p/app/run.log", i, w, None) for i, w in enumerate(wanted)]
     found = spark.createDataFrame(rows, "path string, line_no long, frame_path string, package_dir string")
     catalog = spark.createDataFrame([(f,) for f in files], "file_path string")
-    from tidelog.operators import frames
-
     stored = frames.directories(catalog).union(frames.directories(found.select(F.col("path").alias("file_path"))))
     for folders in (None, stored.distinct()):
         got = {r["frame_path"]: r["file_path"] if r["how"] == "relative" else None for r in frames.resolve(found, catalog, folders).collect()}
@@ -363,7 +362,6 @@ def test_walks_check_folders(log, spark):
 
 def test_numbers_that_no_long_holds(log):
     from tidelog.functions import ansi
-    from tidelog.operators import frames
 
     found = frames.frames(log({"/a.log": f"x (Main.java:{'9' * 40}:{'8' * 50})\nx (Main.java:7:{'0' * 30}3)"})).orderBy("line_no").collect()
     assert [(r["frame_line"], r["frame_col"]) for r in found] == [(None, 0), (7, 2)]
@@ -422,3 +420,55 @@ def test_a_batch_reads_only_the_version_before_it(spark, log, tmp_path):
 
             shutil.rmtree(tmp_path / "s" / "ends" / f"version={n - 2}")
     assert [r["line_no"] for r in tail.latest_facts(spark, str(tmp_path / "s")).orderBy("line_no").collect()] == [0, 1, 2, 3]
+
+
+def _capped_model(data, max_lines, max_bytes):
+    cut, data = len(data) > max_bytes, data[:max_bytes]
+    mark, charset = next(((m, c) for m, c in reader._MARKS if data.startswith(m)), (b"", "utf-8"))
+    lines = data[len(mark) :].decode(charset, "replace").split("\n")
+    if cut or lines[-1] == "":
+        lines.pop()
+    more = len(lines) > max_lines
+    return lines[:max_lines], more, cut and not more
+
+
+@pytest.mark.parametrize("step", [3, 7, 64, 1 << 20])
+def test_capped_reading_agrees_with_a_model(tmp_path, monkeypatch, step):
+    monkeypatch.setattr(reader, "_STEP", step)
+    rng, path = random.Random(step), tmp_path / "a.log"
+    for k in range(150):
+        text = "".join(rng.choice(["\n", "a", "é", "😀", "\r\n", "bc"]) for _ in range(rng.randrange(0, 60)))
+        mark, charset = rng.choice([(b"", "utf-8"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]) if step > 3 else (b"", "utf-8")
+        path.write_bytes(mark + text.encode(charset))
+        most, size = rng.randrange(1, 12), rng.choice([4, 20, 21, 40, 1000])
+        steps = list(reader._capped_lines(str(path), most, size, "utf-8"))
+        got = [x for s in steps for x in s[1]]
+        assert [s[0] for s in steps if s[1]] == [sum(len(x[1]) for x in steps[:i]) for i, s in enumerate(steps) if s[1]]
+        assert (got, steps[-1][2], steps[-1][3]) == _capped_model(mark + text.encode(charset), most, size), (text, most, size)
+
+
+def test_two_phases_over_files(spark, tmp_path):
+    good = R.format("INFO", "x")
+    (tmp_path / "in").mkdir()
+    for name, body in {
+        "short.log": f"{good}\n{good}", "turns.log": "noise\n" * 4 + f"{good}\n" * 40, "bin.out": "\0\1\n", "lost.log": f"{good}\n" * 30, "z.txt": good, "none.log": "", "wide.log": None,
+    }.items():
+        (tmp_path / "in" / name).write_bytes(b"\xff\xfe" + f"{good}\n{good}\n".encode("utf-16-le") if body is None else body.encode())
+    again = []
+
+    def refine(paths):
+        again.extend(sorted(r["path"].rsplit("/", 1)[1] for r in paths.collect()))
+        (tmp_path / "in" / "lost.log").unlink()
+        return reader.capped(paths, 1000, 1 << 20)
+
+    heads = reader.capped(reader._listed(spark, str(tmp_path / "in")).select("path").union(spark.createDataFrame([(str(tmp_path / "in" / "none.log"),)], "path string")), 4, 1 << 20)
+    got = {r["path"].rsplit("/", 1)[1]: (r["outcome"], r["scanned"], r["complete"], r["phase"], r["reason"]) for r in detect.two_phase(heads, refine).collect()}
+    assert again == ["lost.log", "turns.log"]  # only what the first look did not finish
+    assert got == {
+        "short.log": ("matched", 2, True, "head", None), "turns.log": ("matched", 44, True, "refined", None), "bin.out": ("failed", None, True, "head", "binary"),
+        "lost.log": ("matched", 4, False, "head", None), "none.log": ("no_match", 0, True, "head", None), "wide.log": ("matched", 2, True, "head", None),
+    }
+    whole = {r["path"].rsplit("/", 1)[1]: (r["outcome"], r["phase"]) for r in reader.detect_files(spark, str(tmp_path / "in"), (4, 1 << 20)).collect()}
+    assert whole == {"short.log": ("matched", "head"), "turns.log": ("matched", "refined"), "bin.out": ("failed", "head"), "wide.log": ("matched", "head")}
+    # the scalable reader selects the same files
+    assert {r["path"].rsplit("/", 1)[1] for r in reader.read_lines(spark, str(tmp_path / "in")).select("path").distinct().collect()} == {"short.log", "turns.log", "wide.log"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,17 +47,18 @@ def match_matrix(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) ->
     return a.select("path", "line_no", "text", "has_ansi", *[_said(i, 2).alias(f"r{i}") for i in range(len(formats))], *[_said(i, 1).alias(f"e{i}") for i in range(len(formats))])
 
 
-def scores(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
-    """path, scanned, ansi_lines, rec0.., exp0..: lines are counted by their answers first, of which a file has a few dozen at
-    most, and only these counts are exchanged and taken apart."""
-    alike = answered(lines, formats).groupBy("path", "has_ansi", "bits").agg(F.count("*").alias("n"))
+def scores(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, *more: str) -> DataFrame:
+    """path, scanned, ansi_lines, rec0.., exp0.., and of the columns `more` a file's greatest value: lines are counted by their
+    answers first, of which a file has a few dozen at most, and only these counts are exchanged and taken apart."""
+    greatest = [F.max(m).alias(m) for m in more]
+    alike = answered(lines, formats, *more).groupBy("path", "has_ansi", "bits").agg(F.count("*").alias("n"), *greatest)
 
     def total(when: Column) -> Column:
         return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
 
     some = F.col("bits").isNotNull()
     return alike.groupBy("path").agg(
-        total(some).alias("scanned"), total(some & F.col("has_ansi")).alias("ansi_lines"), *[total(_said(i, bit)).alias(f"{name}{i}") for i in range(len(formats)) for bit, name in ((2, "rec"), (1, "exp"))]
+        total(some).alias("scanned"), total(some & F.col("has_ansi")).alias("ansi_lines"), *[total(_said(i, bit)).alias(f"{name}{i}") for i in range(len(formats)) for bit, name in ((2, "rec"), (1, "exp"))], *greatest
     )
 
 
@@ -67,23 +69,23 @@ def percent_text(matched: Column, scanned: Column) -> Column:
     return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
 
 
-def verdicts(scored: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
-    """path, outcome, format, matched, scanned, ratio, percent_text, closest, closest_text, ansi_lines.
+def verdicts(scored: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, *more: str) -> DataFrame:
+    """path, outcome, format, matched, scanned, ratio, percent_text, closest, closest_text, ansi_lines, and the columns `more`.
 
     The candidate explains most lines among formats with a record; ties go to priority, then to declaration. It is the
     format if it explains half of the lines, else only the closest.
     """
     options = F.array(*[F.struct(F.col(f"exp{i}").alias("explained"), F.lit(f.priority).alias("priority"), F.lit(-i).alias("place"), F.lit(f.name).alias("name"), F.col(f"rec{i}").alias("records")) for i, f in enumerate(formats)])
     # a grouped maximum over the file's own rows: no new exchange, and the choice is made once however often it is read
-    b = scored.select("path", "scanned", "ansi_lines", F.explode(options).alias("o")).groupBy("path").agg(
-        F.first("scanned").alias("scanned"), F.first("ansi_lines").alias("ansi_lines"), F.max(F.when(F.col("o.records") > 0, F.col("o"))).alias("best")
+    b = scored.select("path", "scanned", "ansi_lines", *more, F.explode(options).alias("o")).groupBy("path").agg(
+        F.first("scanned").alias("scanned"), F.first("ansi_lines").alias("ansi_lines"), *[F.first(m).alias(m) for m in more], F.max(F.when(F.col("o.records") > 0, F.col("o"))).alias("best")
     )
     hit = F.col("best").isNotNull() & (F.col("best.explained") * 2 >= F.col("scanned")) & (F.col("scanned") > 0)
     share = percent_text(F.col("best.explained"), F.col("scanned"))
     return b.select(
         "path", F.when(hit, "matched").otherwise("no_match").alias("outcome"), F.when(hit, F.col("best.name")).alias("format"),
         F.when(hit, F.col("best.explained")).alias("matched"), "scanned", F.when(hit, F.col("best.explained") / F.col("scanned")).alias("ratio"),
-        F.when(hit, share).alias("percent_text"), F.when(~hit, F.col("best.name")).alias("closest"), F.when(~hit, share).alias("closest_text"), "ansi_lines",
+        F.when(hit, share).alias("percent_text"), F.when(~hit, F.col("best.name")).alias("closest"), F.when(~hit, share).alias("closest_text"), "ansi_lines", *more,
     )
 
 
@@ -91,6 +93,34 @@ def detect(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) -> DataFr
     return verdicts(scores(lines, formats), formats)
 
 
+_ENDED = ("has_more_lines", "hit_bytes", "error")
+
+
+def ended(rows: DataFrame, formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
+    """Verdicts of files as reader.capped() reads them, with complete and reason: a file whose reading failed is `failed`, whatever
+    was read of it before."""
+    v = verdicts(scores(rows, formats, *_ENDED), formats, *_ENDED)
+    lost = F.col("error").isNotNull()
+    kept = [c for c in v.columns if c not in ("path", "outcome", *_ENDED)]
+    cut = F.coalesce("has_more_lines", F.lit(False)) | F.coalesce("hit_bytes", F.lit(False))
+    return v.select("path", F.when(lost, "failed").otherwise(F.col("outcome")).alias("outcome"), *[F.when(~lost, F.col(c)).alias(c) for c in kept], (lost | ~cut).alias("complete"), F.col("error").alias("reason"))
+
+
+def two_phase(heads: DataFrame, refine: Callable[[DataFrame], DataFrame], formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
+    """Verdicts from a quick look at every file, replaced by those of a long look at files that the quick one did not finish.
+
+    heads: rows as of reader.capped(), with small caps; refine: from a frame of paths to such rows, with large caps. Only files
+    that were cut are read again; a file whose second reading fails keeps its first answer, one whose first reading fails is
+    not read again. phase says which look an answer is from; complete, whether a cap still cuts it.
+    """
+    first = ended(heads, formats).persist()  # a row a file, asked twice; lost parts are read again
+    second = ended(refine(first.where("not complete").select("path")), formats).where("outcome <> 'failed'")
+    fields = [c for c in first.columns if c != "path"]
+    both = first.join(second.select(F.col("path").alias("_path"), F.struct(*fields).alias("_second")), F.col("path") == F.col("_path"), "left")
+    again = F.col("_second").isNotNull()
+    return both.select("path", *[F.when(again, F.col(f"_second.{c}")).otherwise(F.col(c)).alias(c) for c in fields], F.when(again, "refined").otherwise("head").alias("phase"))
+
+
 def named_stats(lines: DataFrame, fmt: LogFormat) -> DataFrame:
     """path, matched, scanned of one known format; files without a line to scan are absent."""
     m = match_matrix(lines, (fmt,))

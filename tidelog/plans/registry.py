@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import ansi, levels, segment, text
 from tidelog.functions.formats import BY_NAME, FORMATS, quoted
 from tidelog.operators import detect, facts, frames, index, overlay, status
-from tidelog.sources import corpora, reader
+from tidelog.sources import corpora, reader, shared
 from tidelog.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,11 @@ _STRIP = text.SQL_CLEAN.format(c="raw").replace("regexp_replace(raw, '\\r+$', ''
 
 
 def lines_sql(name: str) -> str:
-    return {"prose": corpora.PROSE_SQL, "access": corpora.ACCESS_SQL, "frames": corpora.FRAME_SQL}.get(name) or corpora.corpus_sql(name)
+    return {"slices": corpora.SLICES_SQL, "rewritten": corpora.REWRITTEN_SQL, "prose": corpora.PROSE_SQL, "access": corpora.ACCESS_SQL, "frames": corpora.FRAME_SQL}.get(name) or corpora.corpus_sql(name)
 
 
 def lines(spark: SparkSession, d: str, name: str) -> DataFrame:
-    special = {"prose": corpora.prose, "access": corpora.access, "frames": corpora.frame_lines}
+    special = {"slices": corpora.slices, "rewritten": corpora.rewritten, "prose": corpora.prose, "access": corpora.access, "frames": corpora.frame_lines}
     return special[name](spark, d) if name in special else corpora.corpus(spark, d, name)
 
 
@@ -477,10 +477,45 @@ def decoded_files(spark, d):
     return _contents(spark, d).where("doc_id % 5 in (0, 1)").select("doc_id", reader.decoded(F.col("content")).alias("text"))
 
 
-@query("failed_files", "SELECT '/f/' || doc_id::VARCHAR AS path, 'failed' AS outcome, 'could not be read' AS reason FROM documents WHERE doc_id % 3 = 1")
+@query("failed_files", "SELECT '/no/such/folder/' || doc_id::VARCHAR || '.log' AS path, 'failed' AS outcome, 'FileNotFoundError' AS reason FROM documents WHERE doc_id % 3 = 1")
 def failed_files(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("/f/"), F.col("doc_id").cast("string")).alias("path"), "doc_id")
-    return reader.missing(docs.select("path"), docs.where("doc_id % 3 <> 1"))
+    """Reads that fail, each a row of its own."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 3 = 1")
+    paths = docs.select(F.concat(F.lit("/no/such/folder/"), F.col("doc_id").cast("string"), F.lit(".log")).alias("path"))
+    return detect.ended(reader.capped(paths, *reader.HEAD)).select("path", "outcome", "reason")
+
+
+_HEAD_LINES = 20
+
+
+@query("two_phase", f"""WITH head AS (WITH {detect_ctes('slices', f'WHERE line_no < {_HEAD_LINES}')} SELECT * FROM v), whole AS (WITH {detect_ctes('slices')} SELECT * FROM v),
+size AS (SELECT path, count(*) AS n, regexp_extract(path, '[0-9]+$')::INTEGER AS k FROM ({corpora.SLICES_SQL}) GROUP BY path),
+pick AS (SELECT path, CASE WHEN k % 7 = 6 THEN 'failed' WHEN n > {_HEAD_LINES} AND k % 5 <> 4 THEN 'refined' ELSE 'head' END AS way, n <= {_HEAD_LINES} AS fits FROM size)
+SELECT p.path, CASE WHEN way = 'failed' THEN 'failed' WHEN way = 'refined' THEN coalesce(w.outcome, 'no_match') ELSE coalesce(h.outcome, 'no_match') END AS outcome,
+ CASE WHEN way = 'refined' THEN w.format WHEN way = 'head' THEN h.format END AS format, CASE WHEN way = 'refined' THEN coalesce(w.scanned, 0) WHEN way = 'head' THEN coalesce(h.scanned, 0) END AS scanned,
+ CASE WHEN way = 'refined' THEN w.matched WHEN way = 'head' THEN h.matched END AS matched, way = 'failed' OR way = 'refined' OR fits AS complete, CASE WHEN way = 'refined' THEN 'refined' ELSE 'head' END AS phase
+FROM pick p LEFT JOIN head h USING (path) LEFT JOIN whole w USING (path)""")
+def two_phase(spark, d):
+    """Slices of a log: one in seven can't be read; of those that the quick look does not finish, one in five is lost before the
+    long look and keeps its first answer."""
+    l, none = corpora.slices(spark, d), F.lit(None)
+    k = F.regexp_extract("path", "[0-9]+$", 0).cast("int")
+    sizes = l.groupBy("path").agg(F.count("*").alias("n"))
+
+    def rows(lines: DataFrame, most: int) -> DataFrame:
+        """Lines as reader.capped() gives them."""
+        got = lines.where(F.col("line_no") < most).select("path", "line_no", "raw", none.cast("boolean").alias("has_more_lines"), none.cast("boolean").alias("hit_bytes"), none.cast("string").alias("error"))
+        ends = lines.groupBy("path").agg((F.max("line_no") >= most).alias("has_more_lines"))
+        return got.unionByName(ends.select("path", none.cast("long").alias("line_no"), none.cast("string").alias("raw"), "has_more_lines", F.lit(False).alias("hit_bytes"), none.cast("string").alias("error")))
+
+    def lost(paths: DataFrame) -> DataFrame:
+        return reader.capped(paths, *reader.HEAD)  # nothing lies there
+
+    def refine(paths: DataFrame) -> DataFrame:
+        return rows(l.join(paths.where(k % 5 != 4), "path", "left_semi"), reader.REFINE[0]).unionByName(lost(paths.where(k % 5 == 4)))
+
+    heads = rows(l.where(k % 7 != 6), _HEAD_LINES).unionByName(lost(sizes.where(k % 7 == 6)))
+    return detect.two_phase(heads, refine).select("path", "outcome", "format", "scanned", "matched", "complete", "phase")
 
 
 # --- growing files ----------------------------------------------------------------------------------------------------
@@ -494,6 +529,22 @@ def incremental_index(spark, d):
     return head.select("path", "line_no", "start_offset", "length").unionByName(index.extended(index.totals(head), l.where("line_no >= 100")))
 
 
+@query("rewritten_facts", f"WITH {facts_ctes('rewritten')} SELECT path, line_no, raw, is_record, level FROM f")
+def rewritten_facts(spark, d):
+    """Facts kept in a store while files grow, half of them are rewritten, and the store is compacted: those of what is there now."""
+    l, now = lines(spark, d, "app").persist(), lines(spark, d, "rewritten").persist()
+    store = shared.work_dir(spark, "facts-store")
+    run = tail.facts_batch(store, detect.detect(now))
+    old = F.lit(0).cast("long").alias("generation")
+    run(l.where("line_no < 60").select("path", old, "line_no", "raw"), 0)
+    run(l.where("line_no >= 60").select("path", old, "line_no", "raw"), 1)
+    again = now.where(corpora.REWRITTEN).select("path", F.lit(1).cast("long").alias("generation"), "line_no", "raw")
+    run(again.where("line_no < 30"), 2)
+    tail.compact(spark, store)
+    run(again.where("line_no >= 30"), 3)
+    return tail.latest_facts(spark, store).select("path", "line_no", "raw", "is_record", "level")
+
+
 @query("tail_followable", "WITH c AS (SELECT o_custkey % 50 AS k, count(*) > 30 AS capped FROM orders GROUP BY 1) SELECT '/logs/' || k::VARCHAR AS path, NOT (capped OR k % 7 = 0) AS follows, CASE WHEN capped OR k % 7 = 0 THEN 'live tail unavailable — reopen to refresh' END AS note FROM c")
 def tail_followable(spark, d):
     k = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_custkey") % 50).alias("k")).agg((F.count("*") > 30).alias("capped"))

@@ -75,6 +75,27 @@ def corpus_sql(name: str) -> str:
     )
 
 
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `app` corpus as files of 1, 3, 5, .. lines: slice k of a log has its lines k * k to (k + 1) * (k + 1) - 1."""
+    k = F.floor(F.sqrt("line_no")).cast("long")
+    return corpus(spark, sf_dir, "app").select(F.concat("path", F.lit("."), k.cast("string")).alias("path"), (F.col("line_no") - k * k).alias("line_no"), "raw")
+
+
+SLICES_SQL = f"SELECT path || '.' || k::VARCHAR AS path, line_no - k * k AS line_no, raw FROM (SELECT *, floor(sqrt(line_no))::BIGINT AS k FROM ({corpus_sql('app')}))"
+
+#: Files of the `app` corpus that are rewritten, and from which line on their new text is taken.
+REWRITTEN, REWRITTEN_FROM = "regexp_extract(path, '([0-9])[.]log$', 1) IN ('1', '3', '5', '7')", 90
+
+
+def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `app` corpus after half of its files were replaced by what followed their first lines."""
+    c = corpus(spark, sf_dir, "app")
+    return c.where(f"NOT ({REWRITTEN})").unionByName(c.where(REWRITTEN).where(F.col("line_no") >= REWRITTEN_FROM).withColumn("line_no", F.col("line_no") - REWRITTEN_FROM))
+
+
+REWRITTEN_SQL = f"SELECT path, CASE WHEN {REWRITTEN} THEN line_no - {REWRITTEN_FROM} ELSE line_no END AS line_no, raw FROM ({corpus_sql('app')}) WHERE NOT ({REWRITTEN}) OR line_no >= {REWRITTEN_FROM}"
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: no format, some level words."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -99,12 +100,12 @@ def _charsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for path in batch.column("path").to_pylist():
             with _open(path) as f:
-                head = f.read(3)
-            found.append(next((name for mark, name in _MARKS if head.startswith(mark)), "none"))
+                head = f.read(512)
+            found.append(next((name for mark, name in _MARKS if head.startswith(mark)), "binary" if b"\0" in head else "none"))
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], names=["path", "charset"])
 
 
-def _numbered(spark: SparkSession, path: str | list[str], charset: str, fallback: str) -> DataFrame:
+def _numbered(spark: SparkSession, path: str | list[str], charset: str, fallback: str, every_name: bool) -> DataFrame:
     """Lines of files of one charset, numbered without gathering a file in one task.
 
     The text source splits files into blocks; a first pass counts each block's lines, their running sum gives each
@@ -113,6 +114,8 @@ def _numbered(spark: SparkSession, path: str | list[str], charset: str, fallback
     wide, known = charset.startswith("utf-16"), charset.upper().replace("UTF-16-", "UTF-16")
     source = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
     raw = (source.option("encoding", known) if wide else source).text(path)
+    if not every_name:  # a filter on the listing: other files are not opened
+        raw = raw.where(is_log_name(F.col("_metadata.file_name")))
     bytes_ = F.col("value").cast("binary")
     if wide:
         value = F.decode(bytes_, known)
@@ -128,21 +131,23 @@ def _numbered(spark: SparkSession, path: str | list[str], charset: str, fallback
     return lines.withColumn("raw", F.when((F.col("line_no") == 0) & F.startswith("raw", F.lit("\ufeff")), F.substring("raw", 2, 2**31 - 1)).otherwise(F.col("raw")))
 
 
-def read_lines(spark: SparkSession, path: str | list[str], fallback: str = "UTF-8") -> DataFrame:
-    """path, line_no, raw of files of any size and of the charset that their mark names, else of the fallback.
+def read_lines(spark: SparkSession, path: str | list[str], fallback: str = "UTF-8", every_name: bool = False) -> DataFrame:
+    """path, line_no, raw of log files of any size and of the charset that their mark names, else of the fallback.
 
-    Tasks look at each file's first bytes; files in UTF-16 are read apart, by newlines of their own width. Their paths
-    are among those that the driver lists for reading anyway.
+    Files whose name is no log's are not listed (every_name: they are), binary ones are left out. Tasks look at each file's
+    first bytes; files in UTF-16 are read apart, by newlines of their own width. Their paths are among those that the
+    driver lists for reading anyway.
     """
-    marked = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").mapInArrow(_charsets, "path string, charset string")
-    wide = marked.where("charset like 'utf-16%'").collect()
-    lines = _numbered(spark, path, "utf-8", fallback)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path") if every_name else _listed(spark, path)
+    marked = listed.select("path").mapInArrow(_charsets, "path string, charset string")
+    wide = marked.where("charset <> 'none'").collect()
+    lines = _numbered(spark, path, "utf-8", fallback, every_name)
     if not wide:
         return lines
     apart = spark.createDataFrame(wide, "path string, charset string")
     out = lines.join(apart, "path", "left_anti")
-    for charset in sorted({r["charset"] for r in wide}):
-        out = out.unionByName(_numbered(spark, [r["path"] for r in wide if r["charset"] == charset], charset, fallback))
+    for charset in sorted({r["charset"] for r in wide} - {"binary"}):
+        out = out.unionByName(_numbered(spark, [r["path"] for r in wide if r["charset"] == charset], charset, fallback, True))
     return out
 
 
@@ -175,6 +180,80 @@ def read_heads(spark: SparkSession, path: str | list[str], max_lines: int, max_b
     return _listed(spark, path).mapInArrow(run, _HEAD)
 
 
+_CAPPED = "path string, line_no long, raw string, has_more_lines boolean, hit_bytes boolean, error string"
+#: Bytes that a capped read takes at a time.
+_STEP = 4 * MB
+
+
+def _capped_lines(path: str, max_lines: int, max_bytes: int, fallback: str) -> Iterator[tuple[int, list[str], bool, bool]]:
+    """(first number, lines, has_more_lines, hit_bytes) of a file, step by step; the flags are those of the last step."""
+    with _open(path) as f:
+        head = f.read(min(_STEP, max_bytes + 1))
+        mark, charset = next(((m, c) for m, c in _MARKS if head.startswith(m)), (b"", fallback))
+        if not charset.lower().startswith("utf-16") and b"\0" in head[:512]:
+            raise ValueError("binary")
+        decode = codecs.getincrementaldecoder(charset)("replace").decode
+        seen, block, rest, n = len(head), head[len(mark) :], "", 0
+        while True:
+            over = seen > max_bytes
+            if over:
+                block = block[: len(block) - (seen - max_bytes)]
+            final = over or not head
+            lines = (rest + decode(block, final)).split("\n")
+            rest = lines.pop()
+            if final and not over and rest:  # the file's end closes its last line
+                lines.append(rest)
+            more = n + len(lines) > max_lines
+            lines = lines[: max_lines - n]
+            if lines or final or more:
+                yield n, lines, more, final and over and not more
+            if final or more:
+                return
+            n += len(lines)
+            head = block = f.read(min(_STEP, max_bytes + 1 - seen))
+            seen += len(block)
+
+
+def capped(paths: DataFrame, max_lines: int, max_bytes: int, fallback: str = "UTF-8") -> DataFrame:
+    """path, line_no, raw of the files named (column path), each read once and no further than both caps.
+
+    After a file's lines comes a row without line_no that says how the reading ended: has_more_lines, hit_bytes as in bounded(),
+    error where the file could not be read (or is `binary`). A failure is a row and stops no other file. Memory is a few MB
+    unless one line is longer.
+    """
+
+    def rows(path: str, n: int, lines: list[str], more: bool | None, cut: bool | None, error: str | None, number: bool) -> pa.RecordBatch:
+        k = len(lines) if number else 1
+        numbers = pa.array(range(n, n + k), pa.int64()) if number else pa.nulls(1, pa.int64())
+        texts = pa.array(lines, pa.string()) if number else pa.nulls(1, pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([path] * k, pa.string()), numbers, texts, pa.array([more] * k, pa.bool_()), pa.array([cut] * k, pa.bool_()), pa.array([error] * k, pa.string())], names=["path", "line_no", "raw", "has_more_lines", "hit_bytes", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                more = cut = False
+                error = None
+                try:
+                    for n, lines, more, cut in _capped_lines(path, max_lines, max_bytes, fallback):
+                        if lines:
+                            yield rows(path, n, lines, None, None, None, True)
+                except (OSError, ValueError, pa.ArrowException) as e:
+                    error = str(e) if str(e) == "binary" else type(e).__name__
+                yield rows(path, 0, [], more, cut, error, False)
+
+    return paths.select("path").mapInArrow(run, _CAPPED)
+
+
+def detect_files(spark: SparkSession, path: str | list[str], head: tuple[int, int] = HEAD, refine: tuple[int, int] = REFINE, fallback: str = "UTF-8") -> DataFrame:
+    """detect.two_phase() of the log files under path: a quick look at all, a long one at those it did not finish.
+
+    Spark's listing leaves out empty files; capped() reads them where their paths are given.
+    """
+    from tidelog.operators import detect
+
+    return detect.two_phase(capped(_listed(spark, path), *head, fallback), lambda paths: capped(paths.repartition("path"), *refine, fallback))
+
+
 def bounded(lines: DataFrame, max_lines: int, max_bytes: int, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """lines within both caps, with has_more_lines and hit_bytes: whether a cap cut the file.
 

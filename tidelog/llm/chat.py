@@ -15,7 +15,8 @@ them, are `cyclic` and keep their own turn. Arguments are checked against the to
 blanks, and no escapes but those JSON needs.
 
 Nulls: a message with a null turn comes first, a null role counts as 'user', null text is the empty string; an identifier
-that is null links with nothing. Repeated rows are kept, each with the result of the same rules.
+that is null links with nothing. Arguments that don't parse, hold lone surrogates or numbers that Python refuses, or nest too deep
+for its parser are no JSON, and are written as null. Repeated rows are kept, each with the result of the same rules.
 """
 
 from __future__ import annotations
@@ -201,9 +202,10 @@ def formatted(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 if kind == "call":
                     try:
                         value = json.loads(body if isinstance(body, str) else "null")
+                        canonical(value).encode()  # lone surrogates are no text
                         bad = violation(value, schemas[name]) if name in schemas else f"unknown tool {name}"
-                    except ValueError:
-                        bad = "arguments are no JSON"
+                    except (ValueError, RecursionError):
+                        bad, value = "arguments are no JSON", None
                     row = {"role": role, "type": "tool_call", "id": call_id, "name": name, "arguments": value}
                 elif kind == "result":
                     row = {"role": role, "type": "tool_result", "tool_call_id": call_id, "content": body}

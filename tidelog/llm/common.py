@@ -200,6 +200,30 @@ def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, other:
     return (prefix[end] - prefix[start]) * powers(len(prefix), True, other)[start]
 
 
+#: Bytes of a text that one polynomial covers in text_hashes().
+PIECE = 32
+
+
+def text_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Position-free hash of data[start:end], also of texts made to collide.
+
+    A polynomial modulo 2**64 gives long texts of a regular build equal hashes (a word of a Thue-Morse sequence and its
+    complement, from 1,024 bytes on, whatever base and values are). So polynomials cover PIECE bytes, where they can't, and
+    their values are mixed with their place and length before they are summed.
+    """
+    length = end - start
+    pieces = np.maximum(-(-length // PIECE), 1)
+    first = np.cumsum(pieces) - pieces
+    which = np.repeat(np.arange(len(start)), pieces)
+    place = np.arange(len(which)) - first[which]
+    a = start[which] + place * PIECE
+    b = np.minimum(a + PIECE, end[which])
+    h = mix(range_hashes(prefix, a, b) + (b - a).astype(np.uint64))
+    h = mix(h ^ mix(place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)))
+    total = np.add.reduceat(h, first) if len(h) else h
+    return mix(total + length.astype(np.uint64))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and for each text the index of its first word (n + 1). Words never cross texts."""
     inside = ~SPACE[data]

@@ -11,14 +11,15 @@ sets is at least SIMILAR per cent. No link is missed; what is spread over the cl
 3. DivideSkip over those lists: lists of more than SHORT sets are set apart. A pair is a candidate if the short lists
    that it shares, and the long ones that it can share at most, reach its k; where long lists alone reach k for both,
    the two are candidates if they share one. Candidates, directly or by way of others, are one group; groups of more
-   than BLOCK sets are searched block against block.
+   than BLOCK sets, or ELEMENTS elements, are searched block against block.
 4. T-occurrence search in a block pair: each set sets its longest lists apart, by DivideSkip's rule; the short ones are merged,
    counting occurrences; where these can still reach the overlap T that a pair needs, the long lists are probed for the rest.
    Only links leave the task, and of these only a spanning tree, with each document's number of links.
 5. Links' connected components give component_id.
 
 Elements are 64-bit hashes, so sets are told apart and linked to within their collisions. Texts are taken whole. Null and empty texts (or texts of white space) have no set and link with nothing; rows that repeat
-a doc_id are one vertex; a row with null doc_id has a null component.
+a doc_id are one vertex; a row with null doc_id has a null component. A doc_id that comes with several texts has all their
+links, and counts once for each of its sets among the links of others.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import LOWER, components, drop, frugal, materialise, mix, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, word_spans
+from tidelog.llm.common import LOWER, components, drop, frugal, materialise, mix, prefix_hashes, release, table, text_buffers, text_chunks, text_hashes, word_spans
 
 WORDS, SIMILAR = 4, 85
 EXTRA = 12
 SHORT = 64
-BLOCK = 512
+#: Sets to a block, and elements.
+BLOCK, ELEMENTS = 512, 2_000_000
 PAIRS_AT_ONCE = 1_000_000
 #: Weight of a probe against a step of the merge, and the look-ups of a block pair beyond which bitmaps answer them.
 MU, PROBES = 0.01, 3_000_000
@@ -48,7 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     n = len(offsets) - 1
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets)
-    h = mix(range_hashes(prefix_hashes(data), starts, ends) + (ends - starts).astype(np.uint64))
+    h = text_hashes(prefix_hashes(data), starts, ends)
     count = np.diff(first)
     owner = np.repeat(np.arange(n), count)
     m = max(len(h) - words + 1, 0)
@@ -314,8 +316,9 @@ def joined(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataF
     star = longs.join(longs.groupBy("element").agg(F.min("doc_id").alias("b")), "element").where("b < doc_id").select(F.col("doc_id").alias("a"), "b").distinct()
     groups = components(pairs.union(star), "ngram-groups")
     groups = materialise(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp")), "ngram-groups")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    member = groups.join(sizes, "grp").join(reps.select("doc_id", "copies"), "doc_id")
+    member = groups.join(reps, "doc_id")
+    sizes = member.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ELEMENTS)).cast("int").alias("n_blocks"))
+    member = member.select("doc_id", "grp", "copies").join(sizes, "grp")
     member = member.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
     sets = member.join(d, "doc_id").select("doc_id", "grp", "block", "n_blocks", "copies", "text").mapInArrow(frugal(_sets(words)), "doc_id long, grp long, block int, n_blocks int, copies long, elements array<long>")
     other = F.sequence(F.lit(0), F.col("n_blocks") - 1)

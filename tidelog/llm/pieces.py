@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import frugal, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks
+from tidelog.llm.common import frugal, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks, text_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20240
@@ -188,6 +188,17 @@ class Lattices:
         return ids.astype(np.int32), np.bincount(text, minlength=len(per_text))[: len(per_text)].astype(np.int64)
 
 
+def _alike(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings that tile raw: the places of one of each, and which one each is; every string is compared with its one."""
+    _, where, inverse = np.unique(text_hashes(prefix_hashes(raw), first, last), return_index=True, return_inverse=True)
+    size, one = last - first, first[where[inverse]]
+    if (size == (last - first)[where[inverse]]).all() and (raw[np.repeat(one - first, size) + np.arange(len(raw))] == raw).all():
+        return where, inverse
+    seen: dict[bytes, int] = {}
+    inverse = np.array([seen.setdefault(raw[a:b].tobytes(), len(seen)) for a, b in zip(first, last, strict=True)])
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
 def encode_chunk(lat: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets of each text's ids) of a few texts."""
     n = len(offsets) - 1
@@ -205,8 +216,7 @@ def encode_chunk(lat: Lattices, data: np.ndarray, offsets: np.ndarray, keys: np.
     cut[off[:-1][lead > 0]] = True
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(raw))
-    h = mix(range_hashes(prefix_hashes(raw), first, last) + (last - first).astype(np.uint64))
-    distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+    where, inverse = _alike(raw, first, last)
     size = (last - first)[where]
     word = np.concatenate([[0], np.cumsum(size)])
     take = np.repeat(first[where] - word[:-1], size) + np.arange(word[-1])

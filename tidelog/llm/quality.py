@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SPACE, WORD, frugal, materialise, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks, word_spans
+from tidelog.llm.common import SPACE, WORD, frugal, materialise, mix, prefix_hashes, table, text_buffers, text_chunks, text_hashes, word_spans
 
 #: A line is boilerplate of a host if more distinct documents than this hold it ...
 MIN_DOCS = 20
@@ -76,6 +76,25 @@ def _repeated(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return twice, again
 
 
+def _equal_before(data: np.ndarray, heads: np.ndarray, tails: np.ndarray, owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether an equal line of the same text comes before; lines with equal keys are compared byte by byte."""
+    again = _repeated(keys, owner)[1]
+    order = np.lexsort((keys, owner))
+    at = np.flatnonzero(again[order])
+    a, b = heads[order[at]], heads[order[at - 1]]
+    size = tails[order[at]] - a
+    if (size == tails[order[at - 1]] - b).all():
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if (data[np.repeat(a, size) + inside] == data[np.repeat(b, size) + inside]).all():
+            return again
+    seen: set = set()
+    out = np.zeros(len(heads), bool)
+    for i, line in enumerate(zip(owner.tolist(), (data[x:y].tobytes() for x, y in zip(heads, tails, strict=True)), strict=True)):
+        out[i] = line in seen
+        seen.add(line)
+    return out
+
+
 def chunk_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """base_counts() of many texts at once. Lines and windows are compared by 64-bit hashes."""
     n = len(offsets) - 1
@@ -96,10 +115,10 @@ def chunk_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_owner = np.searchsorted(offsets, heads, side="right") - 1
     ended = (tails > 0) & (data[np.maximum(tails - 1, 0)] == 10) if len(tails) else np.zeros(0, bool)
     tails = tails - ended
-    keys = mix(range_hashes(prefix, heads, tails) + (tails - heads).astype(np.uint64))
-    dup = np.bincount(line_owner[_repeated(keys, line_owner)[1]], minlength=n)[:n] if len(keys) else np.zeros(n, np.int64)
+    keys = text_hashes(prefix, heads, tails)
+    dup = np.bincount(line_owner[_equal_before(data, heads, tails, line_owner, keys)], minlength=n)[:n] if len(keys) else np.zeros(n, np.int64)
     # three-word windows
-    h = mix(range_hashes(prefix, starts, ends) + (ends - starts).astype(np.uint64))
+    h = text_hashes(prefix, starts, ends)
     covered = np.zeros(len(h), bool)
     if len(h) >= 3:
         w = mix(h[:-2]) + mix(h[1:-1] * np.uint64(3)) + mix(h[2:] * np.uint64(7))

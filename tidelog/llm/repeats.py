@@ -40,6 +40,7 @@ ANCHOR = 32
 MOST_SPANS = 4_000
 #: Spans that one vectorised sort takes, whole groups at a time.
 SORT_SPANS = 20_000
+#: Rows without doc_id come last: their texts are told apart by 40 bits here and 32 in x.
 _LAST = 2**63 - 1
 
 
@@ -387,7 +388,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left): one row per row of docs."""
     own = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST) - F.pmod(F.xxhash64("text"), F.lit(2**40))).alias("d")
     ).withColumn("x", F.hash("text").cast("long"))
     gone = removed_ranges(own.select("d", "x", "text"), bits).groupBy("d", "x").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     return own.join(gone, ["d", "x"], "left").select("doc_id", "text", "gone").mapInArrow(frugal(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -11,7 +11,7 @@ from tidelog.functions import ansi, levels, segment, text
 from tidelog.functions.formats import BY_NAME, FORMATS, quoted
 from tidelog.operators import detect, facts, frames, index, overlay, status
 from tidelog.sources import corpora, reader, shared
-from tidelog.streaming import tail
+from tidelog.streaming import follow, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -545,6 +545,22 @@ def rewritten_facts(spark, d):
     return tail.latest_facts(spark, store).select("path", "line_no", "raw", "is_record", "level")
 
 
+_FOLLOWED = f"SELECT path, 1 AS generation, line_no, raw FROM ({corpora.REWRITTEN_SQL}) WHERE {corpora.REWRITTEN} UNION ALL SELECT path, 0, line_no, raw FROM ({corpora.REWRITTEN_SQL}) WHERE NOT ({corpora.REWRITTEN}) AND line_no >= 60"
+
+
+@query("followed_files", f"SELECT regexp_extract(path, '[^/]+$') AS name, generation::BIGINT AS generation, line_no, raw FROM ({_FOLLOWED})")
+def followed_files(spark, d):
+    """What a second look at a folder of logs finds new: lines behind those known where files grew, all lines where they changed."""
+    before, now = lines(spark, d, "app").persist(), lines(spark, d, "rewritten").persist()
+    folder = shared.work_dir(spark, "followed-logs")
+    store = shared.work_dir(spark, "followed-store")
+    corpora.write_logs(before.where("line_no < 60"), folder)
+    follow.advance(spark, store, folder, block_bytes=4096)
+    corpora.write_logs(now, folder)
+    chunks = follow.advance(spark, store, folder, block_bytes=4096)
+    return tail.lines_of(chunks).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "generation", "line_no", "raw")
+
+
 @query("tail_followable", "WITH c AS (SELECT o_custkey % 50 AS k, count(*) > 30 AS capped FROM orders GROUP BY 1) SELECT '/logs/' || k::VARCHAR AS path, NOT (capped OR k % 7 = 0) AS follows, CASE WHEN capped OR k % 7 = 0 THEN 'live tail unavailable — reopen to refresh' END AS note FROM c")
 def tail_followable(spark, d):
     k = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_custkey") % 50).alias("k")).agg((F.count("*") > 30).alias("capped"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +100,27 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 REWRITTEN_SQL = f"SELECT path, CASE WHEN {REWRITTEN} THEN line_no - {REWRITTEN_FROM} ELSE line_no END AS line_no, raw FROM ({corpus_sql('app')}) WHERE NOT ({REWRITTEN}) OR line_no >= {REWRITTEN_FROM}"
 
 
+def write_logs(lines: DataFrame, folder: str) -> int:
+    """Writes each path's lines as one text file of its name into folder, which all tasks see; gives the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, where = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(where, recursive=True)
+        name = out = None
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if path != name:
+                    if out is not None:
+                        out.close()
+                    name, out = path, fs.open_output_stream(f"{where}/{path.rsplit('/', 1)[-1]}")
+                    yield pa.RecordBatch.from_pydict({"path": [path]})
+                out.write(f"{raw}\n".encode())
+        if out is not None:
+            out.close()
+
+    return lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "raw").mapInArrow(run, "path string").count()
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: no format, some level words."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

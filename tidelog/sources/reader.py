@@ -86,7 +86,7 @@ def _listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return f.where(is_log_name(F.element_at(F.split("path", "/"), -1)))
 
 
-def _open(path: str):
+def open_file(path: str):
     """A file by its URI, in any store that pyarrow knows."""
     fs, where = pafs.FileSystem.from_uri(path)
     return fs.open_input_file(where)
@@ -99,7 +99,7 @@ def _charsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
         for path in batch.column("path").to_pylist():
-            with _open(path) as f:
+            with open_file(path) as f:
                 head = f.read(512)
             found.append(next((name for mark, name in _MARKS if head.startswith(mark)), "binary" if b"\0" in head else "none"))
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], names=["path", "charset"])
@@ -164,7 +164,7 @@ def read_heads(spark: SparkSession, path: str | list[str], max_lines: int, max_b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                with _open(path) as f:
+                with open_file(path) as f:
                     raw = f.read(max_bytes + 1)
                 cut = len(raw) > max_bytes
                 raw = raw[:max_bytes]
@@ -187,7 +187,7 @@ _STEP = 4 * MB
 
 def _capped_lines(path: str, max_lines: int, max_bytes: int, fallback: str) -> Iterator[tuple[int, list[str], bool, bool]]:
     """(first number, lines, has_more_lines, hit_bytes) of a file, step by step; the flags are those of the last step."""
-    with _open(path) as f:
+    with open_file(path) as f:
         head = f.read(min(_STEP, max_bytes + 1))
         mark, charset = next(((m, c) for m, c in _MARKS if head.startswith(m)), (b"", fallback))
         if not charset.lower().startswith("utf-16") and b"\0" in head[:512]:

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from tidelog.functions.formats import FORMATS, LogFormat
 from tidelog.operators import detect, facts
 from tidelog.operators.status import TAIL_UNAVAILABLE
+from tidelog.sources.reader import open_file
 
 TAIL_SCHEMA = "path string, generation long, line_no long, raw string"
 CHUNK_SCHEMA = "path string, generation long, first_line long, from_byte long, to_byte long, charset string"
@@ -154,7 +155,7 @@ class TailSource(DataSource):
 def _chunk_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for c in batch.to_pylist():
-            with open(c["path"], "rb") as f:
+            with open_file(c["path"]) as f:
                 f.seek(c["from_byte"])
                 block = f.read(c["to_byte"] - c["from_byte"])
             lines = block.decode(c["charset"], "replace").split("\n")[:-1]
@@ -205,18 +206,18 @@ _ENDS = "path string, generation long, line_no long, raw string"
 _FACTS = ["path", "generation", "line_no", "raw", "format", "is_record", "level"]
 
 
-def _versions(spark: SparkSession, store: str, kind: str) -> int:
+def versions(spark: SparkSession, store: str, kind: str) -> int:
     """The newest finished version of a kind (`ends`, `base`), -1 if there is none. A version counts once its mark is written."""
     marks = f"{store}/{kind}_versions"
     spark.createDataFrame([], "version long").write.mode("ignore").parquet(marks)
     return spark.read.schema("version long").parquet(marks).agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
 
 
-def _mark(spark: SparkSession, store: str, kind: str, version: int) -> None:
+def mark(spark: SparkSession, store: str, kind: str, version: int) -> None:
     spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{store}/{kind}_versions")
 
 
-def _stored(spark: SparkSession, where: str, schema: str, version: int) -> DataFrame:
+def stored(spark: SparkSession, where: str, schema: str, version: int) -> DataFrame:
     return spark.createDataFrame([], schema) if version < 0 else spark.read.schema(schema).parquet(where)
 
 
@@ -238,8 +239,8 @@ def facts_batch(store: str, verdicts: DataFrame):
         chunked = "from_byte" in batch.columns
         seen = batch.select("path", "generation").distinct() if chunked else None
         lines = (lines_of(batch) if chunked else batch).select("path", "generation", "line_no", "raw")
-        had_version = min(_versions(spark, store, "ends"), batch_id - 1)
-        before = _stored(spark, f"{store}/ends/version={had_version}", _ENDS, had_version)
+        had_version = min(versions(spark, store, "ends"), batch_id - 1)
+        before = stored(spark, f"{store}/ends/version={had_version}", _ENDS, had_version)
         newest = (seen or lines).groupBy("path").agg(F.max("generation").alias("newest"))
         # rows of generations that the same batch already replaces are not worth classifying
         lines = lines.join(newest, (lines["path"] == newest["path"]) & (lines["generation"] == newest["newest"]), "left_semi")
@@ -253,7 +254,7 @@ def facts_batch(store: str, verdicts: DataFrame):
         # a file's newest generation, of it the last line
         kept = rows.groupBy("path").agg(F.max(F.struct("generation", "line_no", "raw")).alias("r")).select("path", "r.*")
         kept.write.mode("overwrite").parquet(f"{store}/ends/version={batch_id}")
-        _mark(spark, store, "ends", batch_id)
+        mark(spark, store, "ends", batch_id)
 
     return run
 
@@ -264,7 +265,7 @@ _FACT_KINDS = "path string, generation long, line_no long, raw string, format st
 def _rows(spark: SparkSession, store: str, base: int) -> DataFrame:
     """Facts of the base and of the batches behind it, with batch."""
     later = spark.read.schema(f"{_FACT_KINDS}, batch long").parquet(f"{store}/facts").where(F.col("batch") > base)
-    return _stored(spark, f"{store}/base/version={base}", _FACT_KINDS, base).withColumn("batch", F.lit(base).cast("long")).unionByName(later)
+    return stored(spark, f"{store}/base/version={base}", _FACT_KINDS, base).withColumn("batch", F.lit(base).cast("long")).unionByName(later)
 
 
 def latest_facts(spark: SparkSession, store: str) -> DataFrame:
@@ -272,8 +273,8 @@ def latest_facts(spark: SparkSession, store: str) -> DataFrame:
 
     Batches that have not finished are not looked at.
     """
-    version, base = _versions(spark, store, "ends"), _versions(spark, store, "base")
-    ends = _stored(spark, f"{store}/ends/version={version}", _ENDS, version).select("path", "generation")
+    version, base = versions(spark, store, "ends"), versions(spark, store, "base")
+    ends = stored(spark, f"{store}/ends/version={version}", _ENDS, version).select("path", "generation")
     rows = _rows(spark, store, base).where(F.col("batch") <= version).join(ends, ["path", "generation"], "left_semi")
     found = rows.groupBy("path", "line_no").agg(F.max_by(F.struct("raw", "format", "is_record", "level"), "batch").alias("f"))
     return found.select("path", "line_no", "f.*")
@@ -284,9 +285,9 @@ def compact(spark: SparkSession, store: str) -> int:
 
     Batches up to the base, older bases and older ends are no longer read, and may be deleted once no reader holds them.
     """
-    version, base = _versions(spark, store, "ends"), _versions(spark, store, "base")
+    version, base = versions(spark, store, "ends"), versions(spark, store, "base")
     if version > base:
-        ends = _stored(spark, f"{store}/ends/version={version}", _ENDS, version).select("path", "generation")
+        ends = stored(spark, f"{store}/ends/version={version}", _ENDS, version).select("path", "generation")
         latest_facts(spark, store).join(ends, "path").select(*_FACTS).write.mode("overwrite").parquet(f"{store}/base/version={version}")
-        _mark(spark, store, "base", version)
+        mark(spark, store, "base", version)
     return version

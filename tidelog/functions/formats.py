@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names, priorities and patterns that detection must agree on with other tools, in order of declaration.
@@ -37,18 +39,23 @@ RFC3339 = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})"
 class LogFormat:
     """One layout. Patterns match whole lines; `also` are further patterns that a record must contain.
 
-    ignore_case holds for the continuation pattern alone. Users may pass lists of their own formats.
+    ignore_case holds for the continuation pattern alone. Users may pass lists of their own formats, also from a table
+    (from_table). A predicate tells records that no pattern can: it gets batches of lines that the format's patterns leave
+    undecided, and only those. A record of None has no pattern.
     """
 
     name: str
     priority: int
-    record: str
+    record: str | None
     continuation: str | None = None
     timestamp: str | None = None
     ignore_case: bool = False
     also: tuple[str, ...] = ()
+    predicate: Callable[[pd.Series], pd.Series] | None = None
 
     def record_test(self, text: Column) -> Column:
+        if self.record is None:
+            return F.lit(False)
         test = text.rlike(rf"\A(?:{self.record})\z")
         for p in self.also:
             test = test & text.rlike(p)
@@ -59,6 +66,21 @@ class LogFormat:
             return F.lit(False)
         return text.rlike(("(?i)" if self.ignore_case else "") + rf"\A(?:{self.continuation})\z")
 
+    def predicate_test(self, text: Column) -> Column:
+        """What the predicate says of undecided lines, in Arrow batches; false for all others. text must be a plain column's
+        expression, not one within a higher-order function."""
+        predicate = self.predicate
+
+        @F.pandas_udf("boolean")
+        def ask(s: pd.Series) -> pd.Series:
+            out, some = pd.Series(False, index=s.index), s.notna()
+            if some.any():
+                out[some] = predicate(s[some]).fillna(False).astype(bool).to_numpy()
+            return out
+
+        # so marked, it stays a step of its own: asked once, and other Python steps may read its answer
+        return ask.asNondeterministic()(F.when(~(self.record_test(text) | self.continuation_test(text)), text))
+
     def sql_record(self, text: str) -> str:
         tests = [f"regexp_full_match({text}, {quoted(self.record)})", *(f"regexp_matches({text}, {quoted(p)})" for p in self.also)]
         return "(" + " AND ".join(tests) + ")"
@@ -97,3 +119,42 @@ FORMATS: tuple[LogFormat, ...] = (
     LogFormat("Plain timestamp", 10, ISO + REST, _LOGBACK_MORE, TS_ISO, True),
 )
 BY_NAME = {f.name: f for f in FORMATS}
+
+#: Formats that a table may hold: each is a pattern in the plan.
+MOST_FORMATS = 200
+REFUSED = "name string, reason string"
+
+
+def from_table(table: DataFrame, predicates: dict[str, Callable[[pd.Series], pd.Series]] | None = None, most: int = MOST_FORMATS) -> tuple[tuple[LogFormat, ...], DataFrame]:
+    """Formats of a table's rows, and what is refused of it (name, reason).
+
+    Columns are name, place (order of declaration), priority, record, and may be continuation, timestamp, ignore_case. Refused are rows
+    without name or place, a name's later rows, rows with neither pattern nor predicate for their name, and rows of which a
+    pattern does not compile. The table is read when this is called; one of more than `most` rows is refused as a whole.
+    """
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} formats")
+    compiles = table.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile  # patterns are the engine's, not Python's
+    found: dict[str, LogFormat] = {}
+    refused: list[tuple[str | None, str]] = []
+    for row in sorted((r.asDict() for r in rows), key=lambda r: (r["place"] is None, r["place"] or 0, r["name"] or "", r["record"] or "")):
+        name, reason = row["name"], None
+        ask = (predicates or {}).get(name)
+        if not name or row["place"] is None:
+            reason = "no name or place"
+        elif name in found:
+            reason = "name repeats"
+        elif row["record"] is None and ask is None:
+            reason = "no pattern"
+        for part in ("record", "continuation", "timestamp"):
+            if reason is None and row.get(part) is not None:
+                try:
+                    compiles(row[part])
+                except Exception:  # noqa: BLE001  whatever the engine says of it
+                    reason = f"{part} does not compile"
+        if reason is None:
+            found[name] = LogFormat(name, row["priority"] or 0, row["record"], row.get("continuation"), row.get("timestamp"), bool(row.get("ignore_case")), predicate=ask)
+        else:
+            refused.append((name, reason))
+    return tuple(found.values()), table.sparkSession.createDataFrame(refused, REFUSED)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +32,18 @@ def _bits(text: Column, formats: tuple[LogFormat, ...]) -> Column:
 
 
 def answered(lines: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, *more: str) -> DataFrame:
-    """path, the columns `more`, text, has_ansi, bits (an array of numbers; null for blank lines): all patterns in one pass."""
+    """path, the columns `more`, text, has_ansi, bits (an array of numbers; null for blank lines): all patterns in one pass.
+
+    Where formats have predicates, these are asked in the same pass.
+    """
     groups = [formats[i : i + PACK] for i in range(0, len(formats), PACK)]
+    asked = [(i, f) for i, f in enumerate(formats) if f.predicate is not None]
+    if asked:
+        rest = answered(lines, tuple(replace(f, predicate=None) for f in formats), *more)
+        said = rest.select("*", *[f.predicate_test(F.when(F.col("bits").isNotNull(), F.col("text"))).alias(f"_p{i}") for i, f in asked])
+        own = {g: [F.when(F.col(f"_p{i}"), F.lit(3 << 2 * (i % PACK))).otherwise(F.lit(0)).cast("long") for i, _ in asked if i // PACK == g] for g in range(len(groups))}
+        bits = F.array(*[reduce(Column.bitwiseOR, own[g], F.get("bits", F.lit(g))) for g in range(len(groups))])
+        return said.select("path", *more, "text", "has_ansi", F.when(F.col("bits").isNotNull(), bits).alias("bits"))
     text = let(clean(F.col("raw")), lambda t: F.struct(t.alias("text"), F.when(~is_blank(t), F.array(*[_bits(t, g) for g in groups])).alias("bits")))
     return lines.select("path", *more, contains_escape(trim_crs(F.col("raw"))).alias("has_ansi"), text.alias("_t")).select("path", *more, "_t.text", "has_ansi", "_t.bits")
 

@@ -36,13 +36,17 @@ def line_facts(lines: DataFrame, verdicts: DataFrame, formats: tuple[LogFormat,
 
     Files with a format are read by it; the others by level words alone. Lines whose level the regular form can't tell
     (quotes or open brackets before it) go through the segmenter, and only those. A record without a level takes that of
-    a line such as `SEVERE: ...` right after it.
+    a line such as `SEVERE: ...` right after it. Predicates are asked of lines of their own format's files.
     """
     base = with_formats(lines, verdicts)
     known = F.col("format").isNotNull()
+    asked = {f.name: f"_p{i}" for i, f in enumerate(formats) if f.predicate is not None}
+    if asked:
+        plain = ansi_strip(drop_cr(F.col("raw")))
+        base = base.select("*", *[f.predicate_test(F.when(F.col("format") == f.name, plain)).alias(asked[f.name]) for f in formats if f.name in asked])
 
     def with_format(text: Column) -> Column:
-        record = F.coalesce(by_name(F.col("format"), formats, lambda x: x.record_test(text)), F.lit(False)) & (text != "")
+        record = F.coalesce(by_name(F.col("format"), formats, lambda x: x.record_test(text) | F.col(asked[x.name]) if x.name in asked else x.record_test(text)), F.lit(False)) & (text != "")
         rest = by_name(F.col("format"), formats, lambda x: after_timestamp(text, x))
         read = let(let(rest, record_word), lambda w: F.struct(F.lit(True).alias("is_record"), ramp_of(w["word"]).alias("level"), w["hard"].alias("hard"), F.lit(None).cast("string").alias("more")))
         other = F.struct(F.lit(False).alias("is_record"), F.lit(None).cast("string").alias("level"), F.lit(False).alias("hard"), ramp_of(level_prefix(text)).alias("more"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ansi, levels, segment, text
-from tidelog.functions.formats import BY_NAME, FORMATS, quoted
+from tidelog.functions.formats import BY_NAME, FORMATS, from_table, quoted
 from tidelog.operators import detect, facts, frames, index, overlay, status
-from tidelog.sources import corpora, reader, shared
+from tidelog.sources import corpora, paged, reader, shared
 from tidelog.streaming import follow, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -561,6 +561,66 @@ def followed_files(spark, d):
     return tail.lines_of(chunks).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "generation", "line_no", "raw")
 
 
+@query("streamed_index", f"WITH l AS ({corpora.REWRITTEN_SQL}), {_STARTS} SELECT path, line_no, start_offset, length FROM st")
+def streamed_index(spark, d):
+    """Line starts kept in a store while files grow and half of them are rewritten: those of what is there now."""
+    l, now = lines(spark, d, "app").persist(), lines(spark, d, "rewritten").persist()
+    store = shared.work_dir(spark, "index-store")
+    run = tail.index_batch(store)
+    old = F.lit(0).cast("long").alias("generation")
+    run(l.where("line_no < 60").select("path", old, "line_no", "raw"), 0)
+    run(l.where("line_no >= 60").select("path", old, "line_no", "raw"), 1)
+    again = now.where(corpora.REWRITTEN).select("path", F.lit(1).cast("long").alias("generation"), "line_no", "raw")
+    run(again.where("line_no < 30"), 2)
+    run(again.where("line_no >= 30"), 3)
+    return tail.latest_starts(spark, store)
+
+
+_PAGE, _EVERY = 50, 16
+
+
+@query("pages_of_files", f"WITH l AS ({lines_sql('app')}), m AS (SELECT path, max(line_no) // {_PAGE} AS top FROM l GROUP BY path) SELECT regexp_extract(path, '[^/]+$') AS name, line_no, raw FROM l JOIN m USING (path) WHERE line_no // {_PAGE} IN (0, top // 2, top)")
+def pages_of_files(spark, d):
+    """First, middle and last page of every log file, read through a stored index: only these pages' bytes are read."""
+    l = lines(spark, d, "app").persist()
+    folder = shared.work_dir(spark, "paged-logs")
+    corpora.write_logs(l, folder)
+    entries = paged.build(spark, folder, shared.work_dir(spark, "page-index"), _EVERY, 4096)
+    tops = l.groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("name")).agg(F.floor(F.max("line_no") / _PAGE).alias("top"))
+    paths = entries.select("path").distinct().withColumn("name", F.regexp_extract("path", "[^/]+$", 0))
+    number = F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(F.col("top") / 2), F.col("top"))))
+    wanted = paths.join(tops, "name").select("path", number.alias("page")).select("path", (F.col("page") * _PAGE).alias("first_line"), (F.col("page") * _PAGE + _PAGE - 1).alias("last_line"))
+    return paged.read_ranges(entries, wanted, _EVERY).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "line_no", "raw")
+
+
+_ORDER_LINES = "SELECT '/o/' || substr(o_orderpriority, 1, 1) || '-' || (o_custkey % 5)::VARCHAR AS path, o_orderkey AS line_no, CASE WHEN o_custkey % 5 = 4 OR o_orderkey % 3 = 0 THEN 'order ' || o_orderkey::VARCHAR ELSE o_orderpriority || ' order ' || o_orderkey::VARCHAR END AS raw FROM orders"
+_OWN = "starts_with(raw, substr(path, 4, 1) || '-')"
+
+
+@query("user_formats", f"""WITH l AS ({_ORDER_LINES}), p AS (SELECT substr(o_orderpriority, 1, 1) AS k, max(o_orderpriority) AS name FROM orders GROUP BY 1),
+s AS (SELECT path, substr(path, 4, 1) AS k, count(*) AS scanned, count(*) FILTER ({_OWN}) AS n FROM l GROUP BY path)
+SELECT path, CASE WHEN n > 0 AND n * 2 >= scanned THEN 'matched' ELSE 'no_match' END AS outcome, CASE WHEN n > 0 AND n * 2 >= scanned THEN name END AS format, scanned, NULL AS reason FROM s JOIN p USING (k)
+UNION ALL SELECT 'bad ' || name, 'refused', NULL, NULL, 'record does not compile' FROM p""")
+def user_formats(spark, d):
+    """Order lines told apart by formats out of a table, one of them by a predicate; formats that do not compile are rows too."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    names = orders.select("o_orderpriority").distinct().select(F.col("o_orderpriority").alias("name"))
+    by_rule = F.col("name").startswith("5")
+    good = names.select("name", F.substring("name", 1, 1).cast("int").alias("place"), F.lit(10).alias("priority"), F.when(~by_rule, F.concat("name", F.lit(" order [0-9]+"))).alias("record"))
+    bad = names.select(F.concat(F.lit("bad "), "name").alias("name"), F.lit(9).alias("place"), F.lit(10).alias("priority"), F.concat(F.lit("("), "name").alias("record"))
+    low = {r["name"]: (lambda s: s.str.startswith("5-")) for r in names.where(by_rule).limit(9).collect()}
+    own, refused = from_table(good.unionByName(bad), low)
+    found = detect.detect(orders.selectExpr(*_ORDER_EXPRS), own).select("path", "outcome", "format", "scanned", F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None)
+    return found.unionByName(refused.select(F.col("name").alias("path"), F.lit("refused").alias("outcome"), none.cast("string").alias("format"), none.cast("long").alias("scanned"), "reason"))
+
+
+_ORDER_EXPRS = [
+    "concat('/o/', substr(o_orderpriority, 1, 1), '-', o_custkey % 5) AS path", "o_orderkey AS line_no",
+    "concat(CASE WHEN o_custkey % 5 = 4 OR o_orderkey % 3 = 0 THEN '' ELSE concat(o_orderpriority, ' ') END, 'order ', o_orderkey) AS raw",
+]
+
+
 @query("tail_followable", "WITH c AS (SELECT o_custkey % 50 AS k, count(*) > 30 AS capped FROM orders GROUP BY 1) SELECT '/logs/' || k::VARCHAR AS path, NOT (capped OR k % 7 = 0) AS follows, CASE WHEN capped OR k % 7 = 0 THEN 'live tail unavailable — reopen to refresh' END AS note FROM c")
 def tail_followable(spark, d):
     k = spark.read.parquet(f"{d}/orders.parquet").groupBy((F.col("o_custkey") % 50).alias("k")).agg((F.count("*") > 30).alias("capped"))

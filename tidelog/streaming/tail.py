@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from tidelog.functions.formats import FORMATS, LogFormat
-from tidelog.operators import detect, facts
+from tidelog.operators import detect, facts, index
+from tidelog.operators.carry import BLOCK
 from tidelog.operators.status import TAIL_UNAVAILABLE
 from tidelog.sources.reader import open_file
 
@@ -291,3 +292,47 @@ def compact(spark: SparkSession, store: str) -> int:
         latest_facts(spark, store).join(ends, "path").select(*_FACTS).write.mode("overwrite").parquet(f"{store}/base/version={version}")
         mark(spark, store, "base", version)
     return version
+
+
+_TOTALS = "path string, generation long, lines long, chars long"
+_STARTS = "path string, generation long, line_no long, start_offset long, length long"
+
+
+def index_batch(store: str, block: int = BLOCK):
+    """A foreachBatch function that keeps line starts of growing and rewritten files in parquet at `store`.
+
+    A batch has lines (path, line_no, raw, and generation where files can be rewritten), or chunks of a tail source. What is
+    carried from batch to batch is two numbers a file, its lines and characters so far (totals/version=N); the new starts go to
+    starts/batch=N. Offsets are running sums by blocks of lines, so one file's new lines are many tasks. Lines that a file
+    already had are left out; a newer generation starts from nothing. A batch that is run again writes the same.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if "generation" not in batch.columns:
+            batch = batch.withColumn("generation", F.lit(0).cast("long"))
+        chunked = "from_byte" in batch.columns
+        newest = batch.groupBy("path").agg(F.max("generation").alias("generation"))
+        lines = (lines_of(batch) if chunked else batch).select("path", "generation", "line_no", "raw").join(newest, ["path", "generation"], "left_semi")
+        had = min(versions(spark, store, "totals"), batch_id - 1)
+        before = stored(spark, f"{store}/totals/version={had}", _TOTALS, had)
+        nothing = newest.select("path", "generation", F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("chars"))
+        # of each file the newest generation, and what is known of it
+        now = before.unionByName(nothing).groupBy("path").agg(F.max(F.struct("generation", "lines", "chars")).alias("t")).select("path", "t.*")
+        fresh = lines.join(now.select("path", "generation", "lines"), ["path", "generation"]).where(F.col("line_no") >= F.col("lines")).select("path", "generation", "line_no", "raw")
+        starts = index.extended(now, fresh.select("path", "line_no", "raw"), block).join(now.select("path", "generation"), "path")
+        starts.select("path", "generation", "line_no", "start_offset", "length").write.mode("overwrite").parquet(f"{store}/starts/batch={batch_id}")
+        ends = index.totals(spark.read.schema(_STARTS).parquet(f"{store}/starts/batch={batch_id}")).select("path", F.col("lines").alias("_lines"), F.col("chars").alias("_chars"))
+        total = now.join(ends, "path", "left").select("path", "generation", F.coalesce("_lines", "lines").alias("lines"), F.coalesce("_chars", "chars").alias("chars"))
+        total.write.mode("overwrite").parquet(f"{store}/totals/version={batch_id}")
+        mark(spark, store, "totals", batch_id)
+
+    return run
+
+
+def latest_starts(spark: SparkSession, store: str) -> DataFrame:
+    """path, line_no, start_offset, length of every file's newest generation, of finished batches."""
+    version = versions(spark, store, "totals")
+    now = stored(spark, f"{store}/totals/version={version}", _TOTALS, version).select("path", "generation")
+    rows = spark.read.schema(f"{_STARTS}, batch long").parquet(f"{store}/starts").where(F.col("batch") <= version)
+    return rows.join(now, ["path", "generation"], "left_semi").select("path", "line_no", "start_offset", "length")

@@ -89,6 +89,9 @@ def test_predicates_see_undecided_lines_alone(spark, log):
     lines = log({"/a": "sure 1\nmaybe 2\n\n\nno\n"})
     (v,) = detect.detect(lines, (rule,)).collect()
     assert (v["format"], v["matched"], v["scanned"]) == ("rule", 2, 3)
+    verdicts = detect.detect(lines, (rule,))
+    assert [(r["matched"], r["scanned"]) for r in tail.counts(lines, verdicts, (rule,)).collect()] == [(2, 3)]
+    assert [r["text"] for r in detect.unmatched(lines, verdicts, formats=(rule,)).collect()] == ["no"]
 
 
 def test_the_index_of_a_stream_is_that_of_the_whole(spark, log, tmp_path):

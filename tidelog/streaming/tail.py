@@ -172,9 +172,13 @@ def lines_of(chunks: DataFrame) -> DataFrame:
 def counts(lines: DataFrame, verdicts: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """matched, scanned per file by the format already found; it is not found anew, so the ratio may fall."""
     n = detect.normalised(lines).where(~F.col("is_blank")).join(verdicts.where("outcome = 'matched'").select("path", "format"), "path")
+    asked = {f.name: f"_p{i}" for i, f in enumerate(formats) if f.predicate is not None}
+    if asked:
+        n = n.select("*", *[f.predicate_test(F.when(F.col("format") == f.name, F.col("text"))).alias(asked[f.name]) for f in formats if f.name in asked])
     ok = F.lit(None).cast("boolean")
     for f in formats:
-        ok = F.when(F.col("format") == f.name, f.record_test(F.col("text")) | f.continuation_test(F.col("text"))).otherwise(ok)
+        test = f.record_test(F.col("text")) | f.continuation_test(F.col("text"))
+        ok = F.when(F.col("format") == f.name, test | F.col(asked[f.name]) if f.name in asked else test).otherwise(ok)
     return n.withColumn("_ok", ok).groupBy(*keys).agg(F.count_if("_ok").alias("matched"), F.count("*").alias("scanned"))
 
 

@@ -487,6 +487,29 @@ def test_copies_tie_exactly(n):
         assert all(list(g["vec_id"]) == list(range(10)) and g["score"].nunique() == 1 for _, g in got.groupby("query_uid")) and got["query_uid"].nunique() == 500
 
 
+def test_repeated_ids_among_copies(spark, monkeypatch):
+    """Every bucket is met here, so the answers are those of brute force: ids that repeat, with equal and other vectors."""
+    monkeypatch.setattr(ann, "HOT", 20)
+    monkeypatch.setattr(ann, "FINE", (7, 2))
+    rng = np.random.default_rng(4)
+    some = rng.integers(-2, 3, size=(12, 4)).astype(float)
+    some[(some == 0).all(axis=1)] = 1
+    rows = [(int(i), [float(v) for v in some[j]]) for i, j in zip(rng.integers(0, 60, 300), rng.integers(0, 12, 300), strict=True)] + [(50, [float(v) for v in some[0]])] * 9
+    got: dict = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    def cosine(a, b):
+        return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+
+    for q in (0, 50):
+        asked = [v for i, v in rows if i == q]
+        want = [x for v in asked for x in enumerate(sorted((-cosine(v, w), i) for i, w in rows if i != q)[:5], 1)]
+        assert sorted((rank, s) for rank, _, s in got[q]) == sorted((rank, -s) for rank, (s, _) in want)
+        exact = [x for x in zip(asked, [sorted((-cosine(v, w), i) for i, w in rows if i != q)[:5] for v in asked], strict=True)]
+        ids = sorted((rank, i) for _, best in exact for rank, (_, i) in enumerate(best, 1))
+        assert sum(a == b for a, b in zip(ids, sorted((rank, i) for rank, i, _ in got[q]), strict=True)) >= 0.9 * len(ids)  # rounding parts equal cosines of unlike vectors
+
+
 # --- archives --------------------------------------------------------------------------------------------------------
 
 

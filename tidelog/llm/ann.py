@@ -7,9 +7,14 @@ indexed in TABLES tables. A query probes the buckets of each table whose axes li
 (multiprobe; their number grows with that of the buckets to the power GROWTH), and every candidate met is scored by its
 exact cosine in double precision, summed in one fixed order so that copies tie exactly; nothing is cut before.
 
-Rows and queries meet by their first axis, where queries bring the buckets that they probe. A first axis of any number of
-rows is split: rows are dealt over as many parts as their count asks for (PART rows each) and queries go to each part,
-themselves in parts of QUERY_PART. A task holds one such part. A query that meets fewer than k candidates looks at all rows.
+Rows of equal vectors are one candidate, which carries the ids that any query could need of it: the k + 1 smallest, each
+as often as it occurs but k times at most. So a vector that a third of all rows share is scored once.
+
+Candidates and queries meet by their first axis, where queries bring the buckets that they probe. Both sides are dealt in
+parts of PART and QUERY_PART, so a candidate goes once to each table up to 100 * QUERY_PART rows, as queries probe
+about half of the axes; more rows take one more copy for each QUERY_PART queries on an axis. Where a bucket holds over HOT
+candidates (near copies), its axis is dealt in parts of FINE, since nearly all pairs there are scored. A task holds one such
+part of both. A query that meets fewer than k candidates looks at all rows.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of other lengths than the most
 common one are compared with their own length only. Ties go to the smaller vec_id; rows that repeat a vec_id are
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import materialise, table
@@ -36,8 +41,13 @@ FIRST_PROBES, PROBES, GROWTH = 14, 0.13, 0.7
 #: Axes of one hash that probes are put together from.
 AXES = 64
 SEED = 11
-PART = 4_000
-QUERY_PART = 500
+PART = 50_000
+QUERY_PART = 50_000
+#: Candidates in a bucket from which its axis is dealt in parts of FINE (candidates, queries).
+HOT = 1_000
+FINE = (4_000, 500)
+#: Probes that are put together at once.
+COMBINED = 2_000_000
 #: Pairs that are scored at once.
 PAIRS = 400_000
 NEAREST = 5
@@ -91,19 +101,28 @@ def buckets(x: np.ndarray, t: int, widths: list[int]) -> tuple[np.ndarray, np.nd
     return first, code
 
 
-def probed(x: np.ndarray, t: int, widths: list[int], probes: int) -> list[np.ndarray]:
+def _top(score: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row, in any order."""
+    return np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+
+
+def probed(x: np.ndarray, t: int, widths: list[int], probes: int) -> np.ndarray:
     """The numbers of the `probes` buckets nearest to each row in table t, by the sum of its parts along their axes."""
     far = [towards(x, t, k, w) for k, w in enumerate(widths)]
-    out = []
-    for i in range(len(x)):
-        score, code = np.zeros(1), np.zeros(1, np.int64)
+    step = max(1, COMBINED // (4 * probes * AXES))
+    out = [np.zeros((0, probes), np.int64)]
+    for i in range(0, len(x), step):
+        n = len(x[i : i + step])
+        score, code = np.zeros((n, 1)), np.zeros((n, 1), np.int64)
         for y, w in zip(far, widths, strict=True):
-            own = np.argsort(-y[i], kind="stable")[:AXES]
-            score, code = (score[:, None] + y[i][own][None, :]).ravel(), (code[:, None] * w + own[None, :]).ravel()
-            best = np.argsort(-score, kind="stable")[: 4 * probes]
-            score, code = score[best], code[best]
-        out.append(code[:probes])
-    return out
+            own = _top(y[i : i + step], AXES)
+            along = np.take_along_axis(y[i : i + step], own, axis=1)
+            score = (score[:, :, None] + along[:, None, :]).reshape(n, -1)
+            code = (code[:, :, None] * w + own[:, None, :]).reshape(n, -1)
+            best = _top(score, 4 * probes)
+            score, code = np.take_along_axis(score, best, axis=1), np.take_along_axis(code, best, axis=1)
+        out.append(np.take_along_axis(code, np.argsort(-score, axis=1, kind="stable")[:, :probes], axis=1))
+    return np.concatenate(out)
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -113,6 +132,19 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec")).where("vec_id is not null").where(good).withColumn("dim", F.size("vec"))
 
 
+def candidates(rows: DataFrame, k: int) -> DataFrame:
+    """uid, dim, vec, ids, vec_id, other: different vectors, the ids that answers may need of each, the two smallest of these.
+
+    ids ascend. Leaving out any one id, those left still begin with the k smallest rows of that vector.
+    """
+    one = rows.groupBy("dim", "vec", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    first = one.withColumn("place", F.row_number().over(Window.partitionBy("dim", "vec").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    ids = F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("n")))))
+    vectors = first.groupBy("dim", "vec").agg(ids.alias("ids"))
+    low = F.get("ids", F.lit(0))
+    return vectors.select(F.monotonically_increasing_id().alias("uid"), "dim", "vec", "ids", low.alias("vec_id"), F.coalesce(F.get(F.filter("ids", lambda i: i != low), F.lit(0)), low).alias("other"))
+
+
 def _units(own: pd.DataFrame) -> np.ndarray:
     m = np.stack(own["vec"].to_list()).astype(float)
     m = m / np.abs(m).max(axis=1)[:, None]
@@ -120,7 +152,7 @@ def _units(own: pd.DataFrame) -> np.ndarray:
 
 
 def indexed(rows: DataFrame, counts: dict[int, int], tables: int) -> DataFrame:
-    """Rows with their first axis and bucket in each table, and their vectors: made in one pass, without a join."""
+    """Candidates with their first axis and bucket in each table, and their vectors: made in one pass, without a join."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -128,9 +160,9 @@ def indexed(rows: DataFrame, counts: dict[int, int], tables: int) -> DataFrame:
                 m, widths = _units(own), shape(counts[int(dim)], int(dim))
                 for t in range(tables):
                     first, code = buckets(m, t, widths)
-                    yield own[["uid", "vec_id", "vec", "dim"]].assign(t=t, axis=first, code=code)
+                    yield own[["uid", "vec_id", "other", "ids", "vec", "dim"]].assign(t=t, axis=first, code=code)
 
-    return rows.mapInPandas(run, f"uid long, vec_id long, vec {rows.schema['vec'].dataType.simpleString()}, dim int, t int, axis int, code long")
+    return rows.mapInPandas(run, f"uid long, vec_id long, other long, ids array<long>, vec {rows.schema['vec'].dataType.simpleString()}, dim int, t int, axis int, code long")
 
 
 def asked(queries: DataFrame, counts: dict[int, int], tables: int, everything: bool = False) -> DataFrame:
@@ -148,14 +180,10 @@ def asked(queries: DataFrame, counts: dict[int, int], tables: int, everything: b
                             yield head.assign(t=t, axis=axis, codes=None)
                         continue
                     found = probed(m, t, widths, min(size, math.ceil(FIRST_PROBES + PROBES * size**GROWTH)))
-                    rows, axes, codes = [], [], []
-                    for i, f in enumerate(found):
-                        of = f // (size // widths[0])
-                        for axis in np.unique(of):
-                            rows.append(i)
-                            axes.append(axis)
-                            codes.append(f[of == axis])
-                    yield head.iloc[rows].assign(t=t, axis=axes, codes=codes)
+                    found = np.sort(found, axis=1)  # an axis's buckets stand together
+                    of = found // (size // widths[0])
+                    starts = np.flatnonzero(np.diff(of, axis=1, prepend=-1))
+                    yield head.iloc[starts // of.shape[1]].assign(t=t, axis=of.ravel()[starts], codes=np.split(found.ravel(), starts[1:]))
 
     return queries.mapInPandas(run, f"uid long, vec_id long, vec {queries.schema['vec'].dataType.simpleString()}, dim int, t int, axis int, codes array<long>")
 
@@ -187,12 +215,17 @@ def _candidates(queries: pd.DataFrame, rows: pd.DataFrame) -> list[np.ndarray]:
 
 
 def _nearest(k: int):
+    """The best candidates of each query in one part; an id of the query's own is passed over for the vector's next one."""
+
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_uid": [], "query_id": [], "uid": [], "vec_id": [], "score": []}).astype({"query_uid": "int64", "query_id": "int64", "uid": "int64", "vec_id": "int64", "score": "float64"})
+        none = pd.DataFrame({"query_uid": [], "query_id": [], "uid": [], "vec_id": [], "score": [], "ids": []}).astype({"query_uid": "int64", "query_id": "int64", "uid": "int64", "vec_id": "int64", "score": "float64", "ids": "object"})
         if not len(queries) or not len(rows):
             return none
+        if "ids" not in rows.columns:  # each row is a vector of its own
+            rows = rows.assign(other=rows["vec_id"], ids=[[i] for i in rows["vec_id"]])
         (q, q_len), (v, v_len) = _scaled(queries), _scaled(rows)
-        ids, uids, qids, quids = rows["vec_id"].to_numpy(), rows["uid"].to_numpy(), queries["vec_id"].to_numpy(), queries["uid"].to_numpy()
+        low, other, ids, uids = (rows[c].to_numpy() for c in ("vec_id", "other", "ids", "uid"))
+        qids, quids = queries["vec_id"].to_numpy(), queries["uid"].to_numpy()
         found = _candidates(queries, rows)
         out, first = [none], 0
         while first < len(found):
@@ -201,53 +234,62 @@ def _nearest(k: int):
                 n += len(found[last])
                 last += 1
             own, at = np.repeat(np.arange(first, last), [len(f) for f in found[first:last]]), np.concatenate(found[first:last])
-            own, at = (x[qids[own] != ids[at]] for x in (own, at))
+            least = np.where(low[at] != qids[own], low[at], other[at])
+            own, at, least = (x[least != qids[own]] for x in (own, at, least))
             dot = np.zeros(len(own))
             for a, b in zip(q, v, strict=True):  # one fixed order of summation: equal rows have equal scores
                 dot += a[own] * b[at]
             score = dot / q_len[own] / v_len[at]
-            order = np.lexsort((uids[at], ids[at], -score, own))
-            own, at, score = own[order], at[order], score[order]
+            order = np.lexsort((uids[at], least, -score, own))
+            own, at, least, score = own[order], at[order], least[order], score[order]
             best = np.arange(len(own)) - np.searchsorted(own, own) < 2 * k
-            own, at, score = own[best], at[best], score[best]
-            out.append(pd.DataFrame({"query_uid": quids[own], "query_id": qids[own], "uid": uids[at], "vec_id": ids[at], "score": score}))
+            own, at, least, score = own[best], at[best], least[best], score[best]
+            out.append(pd.DataFrame({"query_uid": quids[own], "query_id": qids[own], "uid": uids[at], "vec_id": least, "score": score, "ids": ids[at]}))
             first = last
         return pd.concat(out, ignore_index=True)
 
     return run
 
 
-_HIT = "query_uid long, query_id long, uid long, vec_id long, score double"
+_HIT = "query_uid long, query_id long, uid long, vec_id long, score double, ids array<long>"
 
 
-def _met(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _met(index: DataFrame, queries: DataFrame, k: int, fine: bool = False) -> DataFrame:
     """Candidates of queries in the buckets that they probe, best ones of each part of a first axis."""
     cell = ["dim", "t", "axis"]
-    sizes = index.groupBy(*cell).agg(F.count("*").alias("n")).join(queries.groupBy(*cell).agg(F.count("*").alias("nq")), cell)
-    parts = materialise(sizes.select(*[F.col(c).alias(f"_{c}") for c in cell], F.ceil(F.col("n") / PART).cast("int").alias("n_parts"), F.ceil(F.col("nq") / QUERY_PART).cast("int").alias("q_parts")), "ann-parts")
+    rows_of = index.groupBy(*cell, "code").agg(F.count("*").alias("n")).groupBy(*cell).agg(F.sum("n").alias("n"), F.max("n").alias("hot"))
+    sizes = rows_of.join(queries.groupBy(*cell).agg(F.count("*").alias("nq")), cell)
+    finer = F.lit(fine) | (F.col("hot") > HOT)
+    part, q_part = (F.when(finer, min(own, most)).otherwise(most) for own, most in zip(FINE, (PART, QUERY_PART), strict=True))
+    parts = materialise(sizes.select(*[F.col(c).alias(f"_{c}") for c in cell], F.ceil(F.col("n") / part).cast("int").alias("n_parts"), F.ceil(F.col("nq") / q_part).cast("int").alias("q_parts")), "ann-parts")
     on = [F.col(c) == F.col(f"_{c}") for c in cell]
     rows = index.join(parts, on).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("n_parts")).cast("int")).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
     asks = queries.join(parts, on).withColumn("q_part", F.pmod(F.xxhash64("uid"), F.col("q_parts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     key = [*cell, "part", "q_part"]
     cols = ["uid", "vec_id", "vec", *key]
-    return asks.select(*cols, "codes").groupBy(*key).cogroup(rows.select(*cols, "code").groupBy(*key)).applyInPandas(_nearest(k), _HIT)
+    return asks.select(*cols, "codes").groupBy(*key).cogroup(rows.select(*cols, "other", "ids", "code").groupBy(*key)).applyInPandas(_nearest(k), _HIT)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """query_uid, query_id, best: the k nearest rows met, (distance, vec_id), a vector's ids taken apart again."""
+    once = hits.groupBy("query_uid", "query_id", "uid", "ids").agg(F.max("score").alias("score"))
+    met = F.flatten(F.collect_list(F.transform(F.filter("ids", lambda i: i != F.col("query_id")), lambda i: F.struct((-F.col("score")).alias("far"), i.alias("vec_id")))))
+    return once.groupBy("query_uid", "query_id").agg(F.slice(F.array_sort(met), 1, k).alias("best"))
 
 
 def search(rows: DataFrame, every: int = EVERY, k: int = NEAREST, tables: int = TABLES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`."""
-    base = materialise(usable(rows).withColumn("uid", F.monotonically_increasing_id()), "ann-rows")
-    base = base.select("uid", "vec_id", "vec", "dim")
+    good = usable(rows)
+    base = materialise(candidates(good, k), "ann-rows")
     counts = {r["dim"]: r["count"] for r in base.groupBy("dim").count().collect()}  # a row per length of vectors
-    ask = base.where(F.col("vec_id") % every == 0)
-    hits = materialise(_met(indexed(base, counts, tables), asked(ask, counts, tables), k), "ann-hits")
-    # queries with too few candidates look at every row of their length
-    few = hits.groupBy("query_uid").agg(F.countDistinct("uid").alias("n")).where(F.col("n") >= k).select(F.col("query_uid").alias("uid"))
-    short = materialise(ask.join(few, "uid", "left_anti"), "ann-short")
+    ask = materialise(good.where(F.col("vec_id") % every == 0).withColumn("uid", F.monotonically_increasing_id()), "ann-queries")
+    best = materialise(_best(_met(indexed(base, counts, tables), asked(ask, counts, tables), k), k), "ann-best")
+    # queries that met too few look at every row of their length
+    enough = best.where(F.size("best") >= k)
+    short = materialise(ask.join(enough.select(F.col("query_uid").alias("uid")), "uid", "left_anti"), "ann-short")
     if short.limit(1).count():
-        hits = hits.unionByName(_met(indexed(base, counts, 1), asked(short, counts, 1, everything=True), k))
-    once = hits.groupBy("query_uid", "query_id", "uid", "vec_id").agg(F.max("score").alias("score"))
-    best = once.groupBy("query_uid", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "uid"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
+        enough = enough.unionByName(_best(_met(indexed(base, counts, 1), asked(short, counts, 1, everything=True), k, fine=True), k))
+    return enough.select("query_id", F.posexplode("best").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

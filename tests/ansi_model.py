@@ -1,0 +1,96 @@
+"""Styled runs of one line in plain Python: what the tests hold the expressions against."""
+
+from __future__ import annotations
+
+import re
+
+from tidelog.functions.text import ESC, ESCAPE
+
+_ESCAPE = re.compile(ESCAPE)
+_SGR = re.compile(r"\x1b\[([0-?]*)[ -/]*m\Z")
+_PLAIN: dict = {"fg": None, "bg": None, "bold": False, "dim": False, "italic": False, "underline": False}
+_FLAGS = {1: ("bold", True), 2: ("dim", True), 3: ("italic", True), 4: ("underline", True), 21: ("underline", True), 23: ("italic", False), 24: ("underline", False)}
+
+
+def _colour(kind: str, code: int | None = None, rgb: tuple = (None, None, None)) -> dict:
+    return {"kind": kind, "code": code, "r": rgb[0], "g": rgb[1], "b": rgb[2]}
+
+
+def _parameters(raw: str) -> list[str]:
+    """Parameters as text. Colons part like semicolons; a direct colour's colour-space number is left out."""
+    out: list[str] = []
+    for group in raw.split(";"):
+        parts = group.split(":")
+        if len(parts) == 6 and parts[0] in ("38", "48") and parts[1] == "2":
+            del parts[2]
+        out += parts
+    return out
+
+
+def _number(digits: str) -> int:
+    """A parameter; none counts as 0, and one of over nine digits as a number that means nothing."""
+    short = digits.lstrip("0")
+    return int(short or 0) if len(short) < 10 else 10**9
+
+
+def apply_sgr(raw: str, style: dict) -> dict:
+    """The style after one select-graphic-rendition sequence with these parameters."""
+    style = dict(style)
+    todo = _parameters(raw)
+    while todo:
+        head = todo.pop(0)
+        digits = re.match(r"\d*", head)[0]
+        n = _number(digits)
+        if n in (38, 48) and digits == head:
+            got = _extended(todo)
+            if got is None:
+                return style
+            style["fg" if n == 38 else "bg"] = got
+            continue
+        if n == 0:
+            style = dict(_PLAIN)
+        elif n == 22:
+            style["bold"] = style["dim"] = False
+        elif n in _FLAGS:
+            style[_FLAGS[n][0]] = _FLAGS[n][1]
+        elif n in (39, 49):
+            style["fg" if n == 39 else "bg"] = None
+        elif 30 <= n <= 37 or 90 <= n <= 97:
+            style["fg"] = _colour("named", n)
+        elif 40 <= n <= 47 or 100 <= n <= 107:
+            style["bg"] = _colour("named", n - 10)
+        if digits != head:
+            return style
+    return style
+
+
+def _extended(todo: list[str]) -> dict | None:
+    """A 256-colour or direct colour off the front of the parameters; None where they are malformed."""
+    kind = todo.pop(0) if todo else ""
+    need = {5: 1, 2: 3}.get(_number(kind) if kind.isdigit() else 0)
+    if need is None or len(todo) < need or not all(x.isdigit() or x == "" for x in todo[:need]):
+        return None
+    values = [min(_number(x), 255) for x in todo[:need]]
+    del todo[:need]
+    return _colour("indexed", values[0]) if need == 1 else _colour("rgb", None, tuple(values))
+
+
+def ansi_runs(line: str) -> list[dict]:
+    """Styled runs (start, end, style) over the raw text. Styles end with their line; equal neighbours are one run."""
+    out: list[dict] = []
+    base = 0
+    for part in line.split("\n"):
+        style, at = dict(_PLAIN), 0
+        stops = [(m.start(), m.end(), m[0]) for m in _ESCAPE.finditer(part)] if ESC in part else []
+        for first, last, sequence in [*stops, (len(part), len(part), "")]:
+            if first > at and style != _PLAIN:
+                run = {"start": base + at, "end": base + first, "style": dict(style)}
+                if out and out[-1]["end"] == run["start"] and out[-1]["style"] == run["style"]:
+                    out[-1]["end"] = run["end"]
+                else:
+                    out.append(run)
+            at = last
+            if m := _SGR.match(sequence):
+                style = apply_sgr(m[1], style)
+        base += len(part) + 1
+    return out

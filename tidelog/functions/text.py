@@ -21,6 +21,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def scan(xs: Column, zero: Column, step: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """The states of a fold: zero, and then the one after each element; one more than there are elements.
+
+    An array that grows by one is copied each time, so elements go by blocks, of which each is folded by itself.
+    """
+
+    def states(of: Column, first: Column) -> Column:
+        return F.aggregate(of, F.array(first), lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))))
+
+    def blocks(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / block).cast("int")), lambda b: F.slice(all_, b * block + 1, block))
+
+    def folded(all_: Column) -> Column:
+        done = F.aggregate(blocks(all_), F.array(F.array(zero)), lambda done, of: F.concat(done, F.array(F.slice(states(of, F.element_at(F.element_at(done, -1), -1)), 2, block))))
+        return F.when(F.size(all_) == 0, F.array(zero)).otherwise(F.flatten(done))
+
+    return let(xs, folded)
+
+
 def contains_escape(c: Column) -> Column:
     return F.contains(c, F.lit(ESC))
 
@@ -50,5 +69,6 @@ def clean(raw: Column) -> Column:
     return ansi_strip(trim_crs(F.substring(raw, 1, MAX_LINE)))
 
 
-SQL_CLEAN = r"regexp_replace(regexp_replace({c}, '\r+$', ''), '\x1b(?:\[[0-?]*[ -/]*[@-~]?|[\]P^_][^\x07\x1b\n]*(?:\x07|\x1b\\)?|[()*+][\s\S]?|[^\n])?', '', 'g')"
+SQL_ESCAPE = r"\x1b(?:\[[0-?]*[ -/]*[@-~]?|[\]P^_][^\x07\x1b\n]*(?:\x07|\x1b\\)?|[()*+][\s\S]?|[^\n])?"
+SQL_CLEAN = r"regexp_replace(regexp_replace({c}, '\r+$', ''), '" + SQL_ESCAPE + r"', '', 'g')"
 SQL_BLANK = r"regexp_full_match({c}, '[\t-\r\x1c-\x1f\pZ]*')"

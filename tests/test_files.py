@@ -361,14 +361,15 @@ def test_walks_check_folders(log, spark):
 
 
 def test_numbers_that_no_long_holds(log):
-    from tests import ansi_model
+    from tidelog.functions import ansi, styles
 
     found = frames.frames(log({"/a.log": f"x (Main.java:{'9' * 40}:{'8' * 50})\nx (Main.java:7:{'0' * 30}3)"})).orderBy("line_no").collect()
     assert [(r["frame_line"], r["frame_col"]) for r in found] == [(None, 0), (7, 2)]
     huge = "7" * 5000
     for line in (f"\x1b[{huge}mx", f"\x1b[38;5;{huge}mx", f"\x1b[38;{huge};1mx", f"\x1b[1;{huge}mx", f"\x1b[38;2;{huge};1;2mx"):
-        assert isinstance(ansi_model.ansi_runs(line), list)
-    assert ansi_model.ansi_runs(f"\x1b[1;{huge}mx")[0]["style"]["bold"]
+        got = log({"/a.log": line}).select(styles.line_runs(F.col("raw"))).first()[0]
+        assert [r.asDict(True) for r in got] == ansi.ansi_runs(line)
+    assert ansi.ansi_runs(f"\x1b[1;{huge}mx")[0]["style"]["bold"]
 
 
 def _store_model(steps):

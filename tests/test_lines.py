@@ -6,8 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tests import ansi_model
-from tidelog.functions import ansi, levels, segment, text
+from tidelog.functions import ansi, levels, segment, styles, text
 from tidelog.functions.formats import BY_NAME, FORMATS
 
 E = "\x1b"
@@ -71,19 +70,19 @@ def named(n):
 
 
 def test_runs():
-    assert ansi_model.ansi_runs(f"{E}[31mERROR{E}[0m boom") == [{"start": 5, "end": 10, "style": style(fg=named(31))}]
+    assert ansi.ansi_runs(f"{E}[31mERROR{E}[0m boom") == [{"start": 5, "end": 10, "style": style(fg=named(31))}]
     assert ansi.escape_ranges(f"{E}[31mERROR{E}[0m boom") == [(0, 5), (10, 14)]
     assert ansi.strip_with_map(f"{E}[31mERROR{E}[0m boom")[1][0] == 5
-    assert [r["style"] for r in ansi_model.ansi_runs(f"{E}[1;31ma{E}[22mb{E}[39mc")] == [style(fg=named(31), bold=True), style(fg=named(31))]
-    assert ansi_model.ansi_runs(f"{E}[38;5;196mx")[0]["style"]["fg"]["code"] == 196
-    assert ansi_model.ansi_runs(f"{E}[38;2;255;136;0mx")[0]["style"]["fg"] == {"kind": "rgb", "code": None, "r": 255, "g": 136, "b": 0}
-    assert ansi_model.ansi_runs(f"{E}[38:2::1:2:3mx")[0]["style"]["fg"]["b"] == 3
-    assert ansi_model.ansi_runs(f"{E}[38;2;1;2mx") == [] and ansi_model.ansi_runs(f"{E}[38;9;1mx") == [] and ansi_model.ansi_runs(f"{E}[38mx") == []
-    assert ansi_model.ansi_runs(f"{E}[48;5;300mx")[0]["style"]["bg"]["code"] == 255
-    assert ansi_model.ansi_runs(f"{E}[103mx")[0]["style"]["bg"] == named(93)
-    assert ansi_model.ansi_runs(f"{E}[31ma\nb") == [{"start": 5, "end": 6, "style": style(fg=named(31))}]  # styles end with the line
-    assert ansi_model.ansi_runs(f"{E}[mx{E}[7my") == []
-    assert len(ansi_model.ansi_runs(f"{E}[31ma{E}[31mb")) == 2  # the escape lies between
+    assert [r["style"] for r in ansi.ansi_runs(f"{E}[1;31ma{E}[22mb{E}[39mc")] == [style(fg=named(31), bold=True), style(fg=named(31))]
+    assert ansi.ansi_runs(f"{E}[38;5;196mx")[0]["style"]["fg"]["code"] == 196
+    assert ansi.ansi_runs(f"{E}[38;2;255;136;0mx")[0]["style"]["fg"] == {"kind": "rgb", "code": None, "r": 255, "g": 136, "b": 0}
+    assert ansi.ansi_runs(f"{E}[38:2::1:2:3mx")[0]["style"]["fg"]["b"] == 3
+    assert ansi.ansi_runs(f"{E}[38;2;1;2mx") == [] and ansi.ansi_runs(f"{E}[38;9;1mx") == [] and ansi.ansi_runs(f"{E}[38mx") == []
+    assert ansi.ansi_runs(f"{E}[48;5;300mx")[0]["style"]["bg"]["code"] == 255
+    assert ansi.ansi_runs(f"{E}[103mx")[0]["style"]["bg"] == named(93)
+    assert ansi.ansi_runs(f"{E}[31ma\nb") == [{"start": 5, "end": 6, "style": style(fg=named(31))}]  # styles end with the line
+    assert ansi.ansi_runs(f"{E}[mx{E}[7my") == []
+    assert len(ansi.ansi_runs(f"{E}[31ma{E}[31mb")) == 2  # the escape lies between
 
 
 def test_palette(spark):
@@ -93,7 +92,7 @@ def test_palette(spark):
 
 def test_attributes(spark):
     def paint(sgr):
-        runs = ansi_model.ansi_runs(f"{E}[{sgr}mx")
+        runs = ansi.ansi_runs(f"{E}[{sgr}mx")
         df = spark.createDataFrame([(runs[0]["style"],)], f"s {ansi.STYLE}")
         return df.select(ansi.style_attributes(F.col("s"), F.lit(0x112233), F.lit(0), F.lit(0xFFFFFF)).alias("a")).select("a.*").first().asDict()
 
@@ -202,16 +201,16 @@ def odd_escapes():
 def test_styles_in_expressions_equal_plain_ones(spark):
     odd = odd_escapes()
     df = spark.createDataFrame(list(enumerate(odd)), "i long, raw string")
-    got = df.select("i", ansi.line_runs(F.col("raw")).alias("runs"), ansi.raw_offsets(F.col("raw")).alias("offsets"), ansi.escaped_ranges(F.col("raw")).alias("ranges")).collect()
+    got = df.select("i", styles.line_runs(F.col("raw")).alias("runs"), styles.raw_offsets(F.col("raw")).alias("offsets"), styles.escaped_ranges(F.col("raw")).alias("ranges")).collect()
     for r in got:
         line = odd[r["i"]]
-        assert [x.asDict(True) for x in r["runs"]] == ansi_model.ansi_runs(line), line
+        assert [x.asDict(True) for x in r["runs"]] == ansi.ansi_runs(line), line
         assert r["offsets"] == ansi.strip_with_map(line)[1] and [tuple(x) for x in r["ranges"]] == ansi.escape_ranges(line), line
-    assert "Python" not in ansi.runs_of(df.selectExpr("'p' as path", "i as line_no", "raw"))._jdf.queryExecution().toString()
+    assert "Python" not in styles.runs_of(df.selectExpr("'p' as path", "i as line_no", "raw"))._jdf.queryExecution().toString()
 
 
 def test_many_escapes_in_one_line(spark):
     line = f"{E}[31ma{E}[0mb" * 20_000
-    runs, offsets = spark.createDataFrame([(line,)], "raw string").select(ansi.line_runs(F.col("raw")), ansi.raw_offsets(F.col("raw"))).first()
+    runs, offsets = spark.createDataFrame([(line,)], "raw string").select(styles.line_runs(F.col("raw")), styles.raw_offsets(F.col("raw"))).first()
     assert len(runs) == 20_000 and runs[-1]["end"] == len(line) - 5 and len(offsets) == 40_001
-    assert spark.createDataFrame([(None,)], "raw string").select(ansi.raw_offsets(F.col("raw")).alias("o")).first()["o"] is None
+    assert spark.createDataFrame([(None,)], "raw string").select(styles.raw_offsets(F.col("raw")).alias("o")).first()["o"] is None

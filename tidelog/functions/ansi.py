@@ -3,134 +3,105 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.text import ESCAPE, contains_escape, let, scan
+from tidelog.functions.text import ESC, ESCAPE, contains_escape
 
 _ESCAPE = re.compile(ESCAPE)
-SGR = r"^\x1b\[([0-?]*)[ -/]*m$"
+_SGR = re.compile(r"\x1b\[([0-?]*)[ -/]*m\Z")
+_PLAIN: dict = {"fg": None, "bg": None, "bold": False, "dim": False, "italic": False, "underline": False}
 COLOUR = "struct<kind:string,code:int,r:int,g:int,b:int>"
 STYLE = f"struct<fg:{COLOUR},bg:{COLOUR},bold:boolean,dim:boolean,italic:boolean,underline:boolean>"
 RUNS = f"array<struct<start:int,end:int,style:{STYLE}>>"
+_FLAGS = {1: ("bold", True), 2: ("dim", True), 3: ("italic", True), 4: ("underline", True), 21: ("underline", True), 23: ("italic", False), 24: ("underline", False)}
 
 
-#: Bits of a style's flags.
-BOLD, DIM, ITALIC, UNDERLINE = 1, 2, 4, 8
-#: A colour as one number: its kind, above 24 bits of code or channels; 0 for none.
-NAMED, INDEXED, RGB = 1 << 24, 2 << 24, 3 << 24
-_KINDS = ("named", "indexed", "rgb")
-#: What a sequence's next parameter is: a selector, the kind of a colour, an index, the red, green or blue of a direct
-#: colour, or of no account, as one before it was malformed.
-SELECTOR, KIND, INDEX, RED, GREEN, BLUE, IGNORED = range(7)
-_STATE = "struct<fg:int,bg:int,flags:int,expects:int,target:int,channels:int>"
+def _colour(kind: str, code: int | None = None, rgb: tuple = (None, None, None)) -> dict:
+    return {"kind": kind, "code": code, "r": rgb[0], "g": rgb[1], "b": rgb[2]}
 
 
-def _state(fg: Column, bg: Column, flags: Column, expects: Column | int = SELECTOR, target: Column | int = 0, channels: Column | int = 0) -> Column:
-    parts = (fg, bg, flags, expects, target, channels)
-    return F.struct(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).cast(_STATE)
-
-
-def parameters(sequence: Column) -> Column:
-    """A select-graphic-rendition sequence's parameters as (n, whole, given); null for other sequences.
-
-    Colons part like semicolons; a direct colour's colour-space number is left out. n is the number in front: 0 where there is
-    none, and of over nine digits one that means nothing. whole: there is nothing else; given: there are digits.
-    """
-    inner = F.regexp_extract(sequence, SGR, 1)
-    flat = F.regexp_replace(inner, r"(?<![^;])(38|48):2:[^:;]*:([^:;]*):([^:;]*):([^:;]*)(?![^;])", "$1:2:$2:$3:$4")
-
-    def one(p: Column) -> Column:
-        digits = F.regexp_extract(p, "^[0-9]*", 0)
-        short = F.regexp_replace(digits, "^0+", "")
-        n = F.when(F.length(short) > 9, F.lit(10**9)).when(short == "", F.lit(0)).otherwise(short.try_cast("int"))
-        return F.struct(n.alias("n"), (F.length(digits) == F.length(p)).alias("whole"), (digits != "").alias("given"))
-
-    return F.when(sequence.rlike(SGR), F.transform(F.split(flat, "[;:]"), one))
-
-
-def select(s: Column, p: Column) -> Column:
-    """The state after one parameter."""
-    n, flags = p["n"], s["flags"]
-    expects = F.when(p["whole"], SELECTOR).otherwise(IGNORED)
-    value = F.least(n, F.lit(255))
-    channels = s["channels"] * 256 + value
-    colour = F.when(s["expects"] == INDEX, value + INDEXED).otherwise(channels + RGB)
-    fg = F.when(n.isin(0, 39), 0).when(n.between(30, 37) | n.between(90, 97), n + NAMED).otherwise(s["fg"])
-    bg = F.when(n.isin(0, 49), 0).when(n.between(40, 47) | n.between(100, 107), n - 10 + NAMED).otherwise(s["bg"])
-    on = F.when(n == 1, BOLD).when(n == 2, DIM).when(n == 3, ITALIC).when(n.isin(4, 21), UNDERLINE).otherwise(0)
-    off = F.when(n == 22, BOLD | DIM).when(n == 23, ITALIC).when(n == 24, UNDERLINE).when(n == 0, BOLD | DIM | ITALIC | UNDERLINE).otherwise(0)
-    ignored = _state(s["fg"], s["bg"], flags, IGNORED)
-    return (
-        F.when(s["expects"] == IGNORED, s)
-        .when((s["expects"] == SELECTOR) & n.isin(38, 48) & p["whole"], _state(s["fg"], s["bg"], flags, KIND, n))
-        .when(s["expects"] == SELECTOR, _state(fg, bg, flags.bitwiseOR(on).bitwiseAND(F.bitwise_not(off)), expects))
-        .when(~p["whole"], ignored)
-        .when((s["expects"] == KIND) & p["given"] & n.isin(2, 5), _state(s["fg"], s["bg"], flags, F.when(n == 5, INDEX).otherwise(RED), s["target"]))
-        .when(s["expects"] == KIND, ignored)
-        .when(s["expects"].isin(RED, GREEN), _state(s["fg"], s["bg"], flags, s["expects"] + 1, s["target"], channels))
-        .otherwise(_state(F.when(s["target"] == 38, colour).otherwise(s["fg"]), F.when(s["target"] == 48, colour).otherwise(s["bg"]), flags))
-    )
-
-
-def _after(s: Column, params: Column) -> Column:
-    """The state after one sequence."""
-    return F.when(params.isNull(), s).otherwise(F.aggregate(params, _state(s["fg"], s["bg"], s["flags"]), select))
-
-
-def _unpacked(c: Column) -> Column:
-    kind, rest = F.shiftright(c, 24), c.bitwiseAND(F.lit((1 << 24) - 1))
-    code = F.when(kind < 3, rest)
-    r, g, b = (F.when(kind == 3, F.shiftright(rest, by).bitwiseAND(F.lit(255))) for by in (16, 8, 0))
-    return F.when(kind > 0, F.struct(F.get(F.array(*map(F.lit, _KINDS)), kind - 1).alias("kind"), code.alias("code"), r.alias("r"), g.alias("g"), b.alias("b")).cast(COLOUR))
-
-
-def _style(s: Column) -> Column:
-    flags = (s["flags"].bitwiseAND(F.lit(bit)) != 0 for bit in (BOLD, DIM, ITALIC, UNDERLINE))
-    return F.struct(_unpacked(s["fg"]).alias("fg"), _unpacked(s["bg"]).alias("bg"), *(f.alias(n) for f, n in zip(flags, ("bold", "dim", "italic", "underline"), strict=True)))
-
-
-def pieces(raw: Column) -> Column:
-    """Text between escapes, in order, as (start, end) in raw; one more than there are escapes, empty ones included."""
-
-    def placed(both: Column) -> Column:
-        kept, taken = both["kept"], both["taken"]
-        sizes = F.zip_with(kept, taken, lambda k, t: F.length(k) + F.coalesce(F.length(t), F.lit(0)))
-        return F.zip_with(kept, scan(sizes, F.lit(0), lambda at, n: at + n), lambda k, at: F.when(k.isNotNull(), F.struct(at.alias("start"), (at + F.length(k)).alias("end"))))
-
-    both = F.struct(F.split(raw, ESCAPE, -1).alias("kept"), escapes(raw).alias("taken"))
-    return F.filter(let(both, placed), lambda x: x.isNotNull())
-
-
-def escapes(raw: Column) -> Column:
-    return F.regexp_extract_all(raw, F.lit(ESCAPE), F.lit(0))
-
-
-def line_runs(raw: Column) -> Column:
-    """Styled runs (start, end, style) over a line's raw text, in expressions alone: the style is a state machine folded over
-    the parameters of the line's sequences. Plain text is no run; escapes lie between runs, so none touch."""
-    states = scan(F.transform(escapes(raw), parameters), _state(F.lit(0), F.lit(0), F.lit(0)), _after)
-    runs = F.zip_with(pieces(raw), states, lambda p, s: F.struct(p["start"].alias("start"), p["end"].alias("end"), s.alias("s")))
-    seen = F.filter(runs, lambda r: (r["end"] > r["start"]) & ((r["s"]["fg"] > 0) | (r["s"]["bg"] > 0) | (r["s"]["flags"] > 0)))
-    return F.transform(seen, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _style(r["s"]).alias("style"))).cast(RUNS)
-
-
-def raw_offsets(raw: Column) -> Column:
-    """For each character of the stripped text, and for its end, the offset in the raw text."""
-    kept = F.filter(pieces(raw), lambda p: p["end"] > p["start"])
-    return F.concat(F.flatten(F.transform(kept, lambda p: F.sequence(p["start"], p["end"] - 1))), F.array(F.length(raw)))
-
-
-def escaped_ranges(raw: Column) -> Column:
-    """(start, end) of what escapes take up, end exclusive; sequences side by side are one range: the gaps between kept text."""
+def _parameters(raw: str) -> list[str]:
+    """Parameters as text. Colons part like semicolons; a direct colour's colour-space number is left out."""
+    out: list[str] = []
+    for group in raw.split(";"):
+        parts = group.split(":")
+        if len(parts) == 6 and parts[0] in ("38", "48") and parts[1] == "2":
+            del parts[2]
+        out += parts
+    return out
 
-    def gaps(kept: Column) -> Column:
-        ends = F.concat(F.array(F.lit(0)), F.transform(kept, lambda p: p["end"]))
-        starts = F.concat(F.transform(kept, lambda p: p["start"]), F.array(F.length(raw)))
-        return F.filter(F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda r: r["end"] > r["start"])
 
-    return let(F.filter(pieces(raw), lambda p: p["end"] > p["start"]), gaps)
+def _number(digits: str) -> int:
+    """A parameter; none counts as 0, and one of over nine digits as a number that means nothing."""
+    short = digits.lstrip("0")
+    return int(short or 0) if len(short) < 10 else 10**9
+
+
+def apply_sgr(raw: str, style: dict) -> dict:
+    """The style after one select-graphic-rendition sequence with these parameters."""
+    style = dict(style)
+    todo = _parameters(raw)
+    while todo:
+        head = todo.pop(0)
+        digits = re.match(r"\d*", head)[0]
+        n = _number(digits)
+        if n in (38, 48) and digits == head:
+            got = _extended(todo)
+            if got is None:
+                return style
+            style["fg" if n == 38 else "bg"] = got
+            continue
+        if n == 0:
+            style = dict(_PLAIN)
+        elif n == 22:
+            style["bold"] = style["dim"] = False
+        elif n in _FLAGS:
+            style[_FLAGS[n][0]] = _FLAGS[n][1]
+        elif n in (39, 49):
+            style["fg" if n == 39 else "bg"] = None
+        elif 30 <= n <= 37 or 90 <= n <= 97:
+            style["fg"] = _colour("named", n)
+        elif 40 <= n <= 47 or 100 <= n <= 107:
+            style["bg"] = _colour("named", n - 10)
+        if digits != head:
+            return style
+    return style
+
+
+def _extended(todo: list[str]) -> dict | None:
+    """A 256-colour or direct colour off the front of the parameters; None where they are malformed."""
+    kind = todo.pop(0) if todo else ""
+    need = {5: 1, 2: 3}.get(_number(kind) if kind.isdigit() else 0)
+    if need is None or len(todo) < need or not all(x.isdigit() or x == "" for x in todo[:need]):
+        return None
+    values = [min(_number(x), 255) for x in todo[:need]]
+    del todo[:need]
+    return _colour("indexed", values[0]) if need == 1 else _colour("rgb", None, tuple(values))
+
+
+def ansi_runs(line: str) -> list[dict]:
+    """Styled runs (start, end, style) over the raw text. Styles end with their line; equal neighbours are one run."""
+    out: list[dict] = []
+    base = 0
+    for part in line.split("\n"):
+        style, at = dict(_PLAIN), 0
+        stops = [(m.start(), m.end(), m[0]) for m in _ESCAPE.finditer(part)] if ESC in part else []
+        for first, last, sequence in [*stops, (len(part), len(part), "")]:
+            if first > at and style != _PLAIN:
+                run = {"start": base + at, "end": base + first, "style": dict(style)}
+                if out and out[-1]["end"] == run["start"] and out[-1]["style"] == run["style"]:
+                    out[-1]["end"] = run["end"]
+                else:
+                    out.append(run)
+            at = last
+            if m := _SGR.match(sequence):
+                style = apply_sgr(m[1], style)
+        base += len(part) + 1
+    return out
 
 
 def strip_with_map(text: str) -> tuple[str, list[int]]:
@@ -155,8 +126,13 @@ def escape_ranges(text: str) -> list[tuple[int, int]]:
 
 
 def runs_of(lines: DataFrame) -> DataFrame:
-    """path, line_no, runs of the lines that hold escapes."""
-    return lines.where(contains_escape(F.col("raw"))).select("path", "line_no", line_runs(F.col("raw")).alias("runs"))
+    """path, line_no, runs of the lines that hold escapes; the others never reach Python."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"path": pdf["path"], "line_no": pdf["line_no"], "runs": [ansi_runs(x) for x in pdf["raw"]]})
+
+    return lines.where(contains_escape(F.col("raw"))).select("path", "line_no", "raw").mapInPandas(run, f"path string, line_no long, runs {RUNS}")
 
 
 # The sixteen base colours (codes 30-37, then 90-97) and the colour cube's channel values.

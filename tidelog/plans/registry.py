@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions import ansi, levels, segment, text
+from tidelog.functions import ansi, levels, segment, styles, text
 from tidelog.functions.formats import BY_NAME, FORMATS, from_table, quoted
 from tidelog.operators import detect, facts, frames, index, overlay, status
 from tidelog.sources import corpora, paged, reader, shared
@@ -672,23 +672,23 @@ h AS (SELECT path, line_no, m, gi, CASE WHEN len(string_split(grp, ':')) = 6 AND
 p0 AS (SELECT path, line_no, m, gi, unnest(ps) AS p, unnest(range(len(ps))) AS pi FROM h),
 p AS (SELECT path, line_no, m, {_LONG} AS n, d = p AS whole, d <> '' AS given, row_number() OVER (PARTITION BY path, line_no ORDER BY m, gi, pi) AS k, row_number() OVER (PARTITION BY path, line_no, m ORDER BY gi, pi) = 1 AS first FROM (SELECT *, regexp_extract(p, '^[0-9]*') AS d FROM p0)),
 r AS (SELECT path, line_no, 0::BIGINT AS k, -1::BIGINT AS m, 0::BIGINT AS fg, 0::BIGINT AS bg, 0::BIGINT AS bold, 0::BIGINT AS dim, 0::BIGINT AS italic, 0::BIGINT AS underline, 'selector' AS expects, 0::BIGINT AS target, 0::BIGINT AS ch FROM e
- UNION ALL SELECT path, line_no, k, m, CASE WHEN does = 'set' AND n IN (0, 39) THEN 0 WHEN does = 'set' AND (n BETWEEN 30 AND 37 OR n BETWEEN 90 AND 97) THEN {ansi.NAMED} + n WHEN does = 'paint' AND target = 38 THEN colour ELSE fg END,
- CASE WHEN does = 'set' AND n IN (0, 49) THEN 0 WHEN does = 'set' AND (n BETWEEN 40 AND 47 OR n BETWEEN 100 AND 107) THEN {ansi.NAMED} + n - 10 WHEN does = 'paint' AND target = 48 THEN colour ELSE bg END,
+ UNION ALL SELECT path, line_no, k, m, CASE WHEN does = 'set' AND n IN (0, 39) THEN 0 WHEN does = 'set' AND (n BETWEEN 30 AND 37 OR n BETWEEN 90 AND 97) THEN {styles.NAMED} + n WHEN does = 'paint' AND target = 38 THEN colour ELSE fg END,
+ CASE WHEN does = 'set' AND n IN (0, 49) THEN 0 WHEN does = 'set' AND (n BETWEEN 40 AND 47 OR n BETWEEN 100 AND 107) THEN {styles.NAMED} + n - 10 WHEN does = 'paint' AND target = 48 THEN colour ELSE bg END,
  CASE WHEN does = 'set' AND n = 1 THEN 1 WHEN does = 'set' AND n IN (0, 22) THEN 0 ELSE bold END, CASE WHEN does = 'set' AND n = 2 THEN 1 WHEN does = 'set' AND n IN (0, 22) THEN 0 ELSE dim END,
  CASE WHEN does = 'set' AND n = 3 THEN 1 WHEN does = 'set' AND n IN (0, 23) THEN 0 ELSE italic END, CASE WHEN does = 'set' AND n IN (4, 21) THEN 1 WHEN does = 'set' AND n IN (0, 24) THEN 0 ELSE underline END,
  CASE does WHEN 'open' THEN 'kind' WHEN 'set' THEN CASE WHEN whole THEN 'selector' ELSE 'none' END WHEN 'paint' THEN 'selector' WHEN 'next' THEN CASE WHEN x = 'kind' THEN CASE n WHEN 5 THEN 'index' ELSE 'red' END WHEN x = 'red' THEN 'green' ELSE 'blue' END ELSE 'none' END,
  CASE WHEN does = 'open' THEN n ELSE target END, CASE WHEN x IN ('red', 'green') THEN ch * 256 + least(n, 255) ELSE 0 END
  FROM (SELECT *, CASE WHEN x = 'none' THEN 'stop' WHEN x = 'selector' AND whole AND n IN (38, 48) THEN 'open' WHEN x = 'selector' THEN 'set' WHEN NOT whole THEN 'stop' WHEN x = 'kind' THEN CASE WHEN given AND n IN (2, 5) THEN 'next' ELSE 'stop' END WHEN x IN ('red', 'green') THEN 'next' ELSE 'paint' END AS does,
-  CASE WHEN x = 'index' THEN {ansi.INDEXED} + least(n, 255) ELSE {ansi.RGB} + ch * 256 + least(n, 255) END AS colour
+  CASE WHEN x = 'index' THEN {styles.INDEXED} + least(n, 255) ELSE {styles.RGB} + ch * 256 + least(n, 255) END AS colour
   FROM (SELECT p.*, r.* EXCLUDE (path, line_no, k, m), CASE WHEN p.first THEN 'selector' ELSE r.expects END AS x FROM r JOIN p ON p.path = r.path AND p.line_no = r.line_no AND p.k = r.k + 1))),
 z AS (SELECT path, line_no, m + 1 AS m, arg_max(fg, k) AS fg, arg_max(bg, k) AS bg, arg_max(bold, k) = 1 AS bold, arg_max(dim, k) = 1 AS dim, arg_max(italic, k) = 1 AS italic, arg_max(underline, k) = 1 AS underline FROM r GROUP BY ALL),
 o AS (SELECT b.path, b.line_no, b.start::BIGINT AS start, (b.start + b.n)::BIGINT AS "end", z.fg, z.bg, z.bold, z.dim, z.italic, z.underline FROM b ASOF JOIN z ON b.path = z.path AND b.line_no = z.line_no AND b.m >= z.m WHERE b.n > 0 AND (z.fg > 0 OR z.bg > 0 OR z.bold OR z.dim OR z.italic OR z.underline))"""
 
 
 def _rgb_sql(c: str) -> str:
-    i = f"({c} - {ansi.INDEXED})"
+    i = f"({c} - {styles.INDEXED})"
     indexed = f"CASE WHEN {i} < 16 THEN {_BASE}[{i} + 1] WHEN {i} < 232 THEN {_CUBE}[({i} - 16) // 36 + 1] * 65536 + {_CUBE}[({i} - 16) // 6 % 6 + 1] * 256 + {_CUBE}[({i} - 16) % 6 + 1] ELSE (8 + 10 * ({i} - 232)) * 65793 END"
-    return f"CASE WHEN {c} >= {ansi.RGB} THEN {c} - {ansi.RGB} WHEN {c} >= {ansi.INDEXED} THEN {indexed} WHEN {c} >= {ansi.NAMED} + 90 THEN {_BASE}[{c} - {ansi.NAMED} - 90 + 9] WHEN {c} >= {ansi.NAMED} THEN {_BASE}[{c} - {ansi.NAMED} - 30 + 1] END"
+    return f"CASE WHEN {c} >= {styles.RGB} THEN {c} - {styles.RGB} WHEN {c} >= {styles.INDEXED} THEN {indexed} WHEN {c} >= {styles.NAMED} + 90 THEN {_BASE}[{c} - {styles.NAMED} - 90 + 9] WHEN {c} >= {styles.NAMED} THEN {_BASE}[{c} - {styles.NAMED} - 30 + 1] END"
 
 
 _INK, _FRONT, _BACK = 0x333333, 0x000000, 0xFFFFFF
@@ -706,33 +706,33 @@ def _styled(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(_STYLED.replace("//", "div").replace("FROM events", "FROM _styled_events"))
 
 
-def _painted(l: DataFrame) -> DataFrame:
-    e = ansi.runs_of(l).select("path", "line_no", F.explode("runs").alias("r"))
-    a = ansi.style_attributes(F.col("r.style"), F.lit(_INK), F.lit(_FRONT), F.lit(_BACK))
+def _painted(runs: DataFrame) -> DataFrame:
+    e = runs.select("path", "line_no", F.explode("runs").alias("r"))
+    a = text.let(F.col("r.style"), lambda s: ansi.style_attributes(s, F.lit(_INK), F.lit(_FRONT), F.lit(_BACK)))
     e = e.select("path", "line_no", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"), a.alias("a"))
     return e.select("path", "line_no", "start", "end", F.col("a.foreground").cast("long").alias("foreground"), F.col("a.background").cast("long").alias("background"), "a.bold", "a.italic", "a.underline")
 
 
 @query("ansi_runs", f"WITH RECURSIVE l AS ({lines_sql('coloured')}), {_PAINTED}")
 def ansi_runs(spark, d):
-    return _painted(lines(spark, d, "coloured"))
+    return _painted(ansi.runs_of(lines(spark, d, "coloured")))
 
 
 @query("style_fold", f"WITH RECURSIVE l AS ({_STYLED}), {_PAINTED}")
 def style_fold(spark, d):
-    return _painted(_styled(spark, d))
+    return _painted(styles.runs_of(_styled(spark, d)))
 
 
 @query("raw_offsets", f"""WITH l AS ({_STYLED}), {_BETWEEN}, c AS (SELECT path, line_no, string_agg(array_to_string(range(start::BIGINT, (start + n)::BIGINT), ','), ',' ORDER BY m) FILTER (n > 0) AS c, any_value(length(raw)) AS size FROM b GROUP BY path, line_no)
 SELECT path, line_no, coalesce(c || ',', '') || size::VARCHAR AS offsets FROM c""")
 def raw_offsets(spark, d):
-    return _styled(spark, d).select("path", "line_no", F.array_join(ansi.raw_offsets(F.col("raw")).cast("array<string>"), ",").alias("offsets"))
+    return _styled(spark, d).select("path", "line_no", F.array_join(styles.raw_offsets(F.col("raw")).cast("array<string>"), ",").alias("offsets"))
 
 
 @query("escape_ranges", f"""WITH l AS ({_STYLED}), {_BETWEEN}, x AS (SELECT path, line_no, m, start + n AS a, start + n + length(seq) AS z, n > 0 OR m = 0 AS opens FROM b WHERE seq IS NOT NULL),
 y AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY path, line_no ORDER BY m) AS g FROM x) SELECT path, line_no, min(a)::BIGINT AS start, max(z)::BIGINT AS "end" FROM y GROUP BY path, line_no, g""")
 def escape_ranges(spark, d):
-    r = _styled(spark, d).select("path", "line_no", F.explode(ansi.escaped_ranges(F.col("raw"))).alias("r"))
+    r = _styled(spark, d).select("path", "line_no", F.explode(styles.escaped_ranges(F.col("raw"))).alias("r"))
     return r.select("path", "line_no", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 

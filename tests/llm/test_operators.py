@@ -10,6 +10,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,6 +185,40 @@ def test_suffix_sort_and_collisions(monkeypatch):
     assert repeats.repeated_windows(data, start, group).tolist() == want
 
 
+def test_anchors_across_blocks(monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 70)
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 900).astype(np.uint8)
+    data[300:600] = 97  # all grams alike: the leftmost is the anchor
+    offsets = np.array([0, 0, 130, 229, 329, 329, 700, 900])
+    got = {}
+    for text, first, last, anchor in zip(*repeats.spans(data, offsets)[:4], strict=True):
+        for i in range(first, last + 1):
+            assert i not in got
+            got[i] = (text, anchor)
+    gram = repeats.mix(repeats.range_hashes(repeats.prefix_hashes(data), np.arange(869), np.arange(32, 901))) >> np.uint64(16)
+    want = {i: (t, i + int(np.argmin(gram[i : i + 69]))) for t in range(7) for i in range(offsets[t], offsets[t + 1] - 99)}
+    assert got == want
+
+
+def test_dedup_sorts_only_windows_with_a_twin(monkeypatch):
+    """Spans of one anchor, all of other contents, of which two share 20 windows: the rest are not worth a sort."""
+    rng = np.random.default_rng(5)
+    n, lead, more = 400, 60, 60
+    bodies = rng.integers(97, 123, (n, more + 100)).astype(np.uint8)
+    bodies[:, lead : lead + 32] = bodies[0, lead : lead + 32]
+    bodies[300, 20:139] = bodies[7, 20:139]
+    ids = np.arange(n)
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
+    cols = [np.zeros(n), ids, ids, np.full(n, lead), np.full(n, lead), np.full(n, more), np.zeros(n, bool), [b.tobytes() for b in bodies]]
+    rows = pa.table([pa.array(c if k in (pa.bool_(), pa.binary()) else c.astype(int), k) for c, k in zip(cols, kinds, strict=True)], names=["h", "d", "x", "q", "lead", "more", "hot", "body"])
+    sorted_, sort = [], repeats.suffix_sort
+    monkeypatch.setattr(repeats, "suffix_sort", lambda data, prefix, start, group: sorted_.append(len(start)) or sort(data, prefix, start, group))
+    got = [r for b in repeats._resolve(rows) for r in b.to_pylist()]
+    assert [(r["d"], r["a"], r["b"]) for r in got] == [(300, 20, 139)]
+    assert sum(sorted_) == 40  # of 24,400 windows
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -94,9 +95,13 @@ def placed(df: DataFrame, group: list[str], order: list[Column], name: str) -> D
     return at.join(counts, same).select(*df.columns, "tree", (F.col("_before") + F.col("_at") - F.col("_l")).alias("idx"), "n")
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver find plans that nothing refers to any more, so that their shuffle files go."""
+def release(spark: SparkSession, pause: float = 0) -> None:
+    """Have the driver find plans that nothing refers to any more, so that their shuffle files go.
+
+    pause: seconds for the listeners to let go of the plan that has just ended; without it that plan's files stay.
+    """
     gc.collect()
+    time.sleep(pause)
     spark._jvm.System.gc()
 
 
@@ -191,7 +196,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_hashes(data: np.ndarray, other: bool = False) -> np.ndarray:
     """P with P[j] - P[i] = sum of value(byte k) * BASE**k over i <= k < j; other: of the second hash."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((OTHER_VALUES if other else BYTE_VALUES)[data] * powers(len(data), other=other), out=out[1:])
+    values = (OTHER_VALUES if other else BYTE_VALUES)[data]
+    values *= powers(len(data), other=other)
+    np.cumsum(values, out=out[1:])
     return out
 
 

@@ -9,14 +9,15 @@ text until it must:
    polynomial hashes give the gram and span hashes of all positions at once.
 2. Anchors are counted; spans of anchors that occur once are done. The rest meet by content: of spans with equal content
    (anchor, and two independent 64-bit hashes of bytes and place of the anchor) the earliest stays, the others are removed
-   whole. These are grouped minima, taken in each block of texts first, so a passage that every tenth document holds is no
-   task of its own. That two of n spans of other bytes agree in both hashes has odds of n * n / 2**129.
+   whole. They are ranked by one exchange, after each block of texts has kept its earliest, so a passage that every tenth
+   document holds is a row for each megabyte of text and no task of its own. That two of n spans of other bytes agree in
+   both hashes has odds of n * n / 2**129.
 3. Where an anchor has spans of several contents, the bytes of one of each are fetched and their windows suffix-sorted: a
    mergesort whose comparisons find the common extension by binary search over prefix hashes and then look at the next
-   byte. Neighbours with an extension of LENGTH are compared byte by byte; if hashes collided, the group is sorted by its
-   bytes.
+   byte. Windows whose hash no other one at the same distance from the anchor has can't be repeated and are left out of
+   it. Neighbours of equal hash are compared byte by byte; if hashes collided, the group is sorted by its bytes.
 4. An anchor with more than MOST_SPANS contents (a passage that many documents go on from differently) is sorted in runs
-   of about so many. The windows that are first in their run are merged over the runs by a 128-bit digest of their bytes.
+   of about so many. The windows that are first in their run are ranked over the runs by 128 bits of hashes of their bytes.
 5. The removed ranges of each document are merged and cut out of its text.
 
 Null and empty texts have no bytes. Rows that repeat a doc_id and a text are one document and get the same result; rows
@@ -30,32 +31,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import frugal, materialise, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks
+from tidelog.llm.common import drop, frugal, materialise, mix, powers, prefix_hashes, range_hashes, release, table, text_buffers, text_chunks, text_hashes
 
 LENGTH = 100
 ANCHOR = 32
 MOST_SPANS = 4_000
 #: Spans that one vectorised sort takes, whole groups at a time.
 SORT_SPANS = 20_000
+#: Windows whose anchors are sought at once; with a window's width it stays under 2**16.
+BLOCK = 2**15
 #: Rows without doc_id come last: their texts are told apart by 40 bits here and 32 in x.
 _LAST = 2**63 - 1
 
 
-def anchors(value: np.ndarray, width: int) -> np.ndarray:
-    """For each i with i + width <= len(value): the leftmost place of the smallest of value[i : i + width]."""
-    low, at, have = value, np.arange(len(value)), 1
-    while have < width:
-        step = min(have, width - have)
-        right = low[step:]
-        left, place = low[: len(right)], at[: len(right)]
-        less = right < left
-        low = np.where(less, right, left)
-        at = np.where(less, at[step:], place)
-        have += step
-    return at
+def runs(prefix: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of LENGTH-byte windows with one anchor: first and last window, anchor (all in bytes of data).
+
+    An anchor is the leftmost gram of smallest hash, by the top 48 bits at most; its place within a block of grams is
+    the rest of the number, so a sliding minimum finds both, in arrays that a core's cache holds.
+    """
+    n, width = len(prefix) - LENGTH, LENGTH - ANCHOR + 1
+    top = np.uint64(2**64 - 2 ** (64 - min(bits, 48)))
+    place = np.arange(BLOCK + width, dtype=np.uint64)
+    scale = powers(len(prefix), True)
+    first, anchor = [], []
+    for low in range(0, n, BLOCK):
+        high = min(low + BLOCK, n) + width - 1
+        key = mix((prefix[low + ANCHOR : high + ANCHOR] - prefix[low:high]) * scale[low:high])
+        key &= top
+        key |= place[: len(key)]
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            key = np.minimum(key[step:], key[:-step])
+            have += step
+        new = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+        first.append(low + new)
+        anchor.append(low + (key[new] & np.uint64(0xFFFF)).astype(np.int64))
+    f, at = np.concatenate(first), np.concatenate(anchor)
+    new = np.append(True, at[1:] != at[:-1])  # a run may go on in the next block
+    f, at = f[new], at[new]
+    return f, np.append(f[1:], n) - 1, at
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, bits: int = 64) -> tuple[np.ndarray, ...]:
@@ -68,27 +87,15 @@ def spans(data: np.ndarray, offsets: np.ndarray, bits: int = 64) -> tuple[np.nda
     if len(data) < LENGTH:
         return none
     prefix = prefix_hashes(data)
-    start = np.arange(len(data) - ANCHOR + 1)
-    gram = mix(range_hashes(prefix, start, start + ANCHOR)) >> np.uint64(64 - bits)
-    at = anchors(gram, LENGTH - ANCHOR + 1)
-    n = np.diff(offsets)
-    edge = np.zeros(len(at) + 1, np.int64)
-    long_ = n >= LENGTH
-    np.add.at(edge, offsets[:-1][long_], 1)
-    np.add.at(edge, (offsets[1:] - LENGTH + 1)[long_], -1)
-    inside = np.cumsum(edge)[:-1] > 0
-    new = inside.copy()
-    new[1:] &= ~(inside[:-1] & (at[1:] == at[:-1]))
-    first = np.flatnonzero(new)
-    if not len(first):
+    first, last, anchor = runs(prefix, bits)
+    # a run has fewer windows than lie across two texts, so that at most one text holds some of it
+    text = np.searchsorted(offsets, last, side="right") - 1
+    first, last = np.maximum(first, offsets[text]), np.minimum(last, offsets[text + 1] - LENGTH)
+    own = first <= last
+    if not own.any():
         return none
-    # two texts never share an anchor, so a span also ends where its text does
-    stop = inside.copy()
-    stop[:-1] &= ~(inside[1:] & (at[1:] == at[:-1]))
-    last = np.flatnonzero(stop)
-    anchor = at[first]
-    text = np.searchsorted(offsets, first, side="right") - 1
-    return text, first, last, anchor, gram[anchor], prefix
+    text, first, last, anchor = (k[own] for k in (text, first, last, anchor))
+    return text, first, last, anchor, mix(range_hashes(prefix, anchor, anchor + ANCHOR)) >> np.uint64(64 - bits), prefix
 
 
 def contents(data: np.ndarray, prefix: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +139,16 @@ def _spans(bits: int):
                     continue
                 one, other = contents(part, prefix, first, last, anchor, bits)
                 p, ds, xs = first - off[text], d[a + text], x[a + text]
-                order = np.lexsort((p, xs, ds, other, one, gram))
+                order = np.argsort(one)
+                same = one[order[1:]] == one[order[:-1]]
+                twin = np.append(same, False) | np.append(False, same)
+                order, alone = order[twin], order[~twin]
+                order = order[np.lexsort(tuple(k[order] for k in (p, xs, ds, other, one, gram)))]
                 new = np.ones(len(order), bool)
                 new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in (gram, one, other)], axis=0)
                 head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest of each one's content
                 late = (ds[order] != ds[head]) | (xs[order] != xs[head]) | (p[order] != p[head])  # a repeated row is no repeat
-                keep = order[new]
+                keep = np.append(order[new], alone)
                 m = xs * 65536 + (anchor - first) * 256 + (last - first)
                 yield pa.RecordBatch.from_arrays([_signed(gram[keep]), _signed(one[keep]), _signed(other[keep]), *(pa.array(c[keep]) for c in (ds, m, p))], names=["h", "s", "e", "d", "m", "p"])
                 gone = np.sort(order[late])
@@ -160,22 +171,21 @@ _BYTES = "h long, d long, x long, q long, lead int, more int, hot boolean, body
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of wanted spans."""
     for batch in batches:
-        rows: list[tuple] = []
-        for text, d, x, wants in zip(batch.column("text"), batch.column("d").to_pylist(), batch.column("x").to_pylist(), batch.column("wants").to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            for w in wants:
-                lead, more = w["m"] // 256 % 256, w["m"] % 256
-                rows.append((w["g"], d, x, w["p"] + lead, lead, more, w["hot"], raw[w["p"] : w["p"] + more + LENGTH]))
-            if len(rows) >= 20_000:
-                yield _byte_rows(rows)
-                rows = []
-        yield _byte_rows(rows)
-
-
-def _byte_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
-    cols = list(zip(*rows, strict=True)) or [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "d", "x", "q", "lead", "more", "hot", "body"])
+        offsets, data = text_buffers(batch.column("text"))
+        wants = batch.column("wants")
+        row = np.repeat(np.arange(len(wants)), wants.value_lengths().to_numpy())
+        g, p, m, hot = wants.flatten().flatten()
+        p, m = p.to_numpy(), m.to_numpy()
+        lead, more = m // 256, m % 256
+        d, x = (batch.column(k).to_numpy()[row] for k in "dx")
+        for i in range(0, len(row), SORT_SPANS):
+            k = slice(i, i + SORT_SPANS)
+            size = more[k] + LENGTH
+            ends = np.cumsum(size)
+            body = data[np.repeat(offsets[row[k]] + p[k] - (ends - size), size) + np.arange(ends[-1])]
+            body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(body)])
+            cols = [g[k], *(pa.array(c) for c in (d[k], x[k], (p + lead)[k], lead[k].astype(np.int32), more[k].astype(np.int32))), hot[k], body]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "d", "x", "q", "lead", "more", "hot", "body"])
 
 
 def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = LENGTH) -> np.ndarray:
@@ -232,23 +242,32 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, start: np.ndarray, group:
     return order
 
 
-def repeated_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+def twins(prefix: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places, ascending, of the windows that share key and hash with another: no other window can repeat one."""
+    h = mix(range_hashes(prefix, start, start + LENGTH) + mix(key.astype(np.uint64)))
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twin = np.zeros(len(h), bool)
+    twin[order[1:][same]] = twin[order[:-1][same]] = True
+    return np.flatnonzero(twin)
+
+
+def repeated_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
     """Whether each item's LENGTH bytes equal those of an earlier item of its group; items in order of the input."""
     out = np.zeros(len(start), bool)
     if not len(start):
         return out
-    prefix = prefix_hashes(data)
+    prefix = prefix_hashes(data) if prefix is None else prefix
     order = suffix_sort(data, prefix, start, group)
     a, b = order[:-1], order[1:]
     near = np.flatnonzero(group[a] == group[b])
     a, b = a[near], b[near]
-    same = extension(prefix, start[a], start[b]) >= LENGTH
-    hit = np.flatnonzero(same)
+    hit = np.flatnonzero(range_hashes(prefix, start[a], start[a] + LENGTH) == range_hashes(prefix, start[b], start[b] + LENGTH))
     collided: set[int] = set()
-    k = np.arange(LENGTH)
+    window = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     for s in range(0, len(hit), 10_000):
         part = hit[s : s + 10_000]
-        true = (data[start[a[part]][:, None] + k] == data[start[b[part]][:, None] + k]).all(axis=1)
+        true = (window[start[a[part]]].view(np.uint32) == window[start[b[part]]].view(np.uint32)).all(axis=1)
         collided.update(group[a[part[~true]]].tolist())
     out[b[hit]] = True
     for g in collided:  # hashes agreed and bytes did not: sort this group by its bytes
@@ -274,26 +293,25 @@ def _resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     keys = [rows.column(c).to_numpy() for c in ("h", "d", "x", "q")]
     order = np.lexsort(keys[::-1])
     once = np.ones(len(order), bool)
-    once[order[1:]] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
-    if not once.all():
-        rows = rows.filter(pa.array(once)).combine_chunks()
+    once[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    rows = rows.take(pa.array(order[once])).combine_chunks()
     h, d, x, q = (rows.column(c).to_numpy() for c in ("h", "d", "x", "q"))
     lead, more = (rows.column(c).to_numpy().astype(np.int64) for c in ("lead", "more"))
     offsets, data = text_buffers(rows.column("body"))
+    prefix = prefix_hashes(data)
     n = len(h)
     windows = more + 1
     span = np.repeat(np.arange(n), windows)
     k = np.arange(len(span)) - np.repeat(np.cumsum(windows) - windows, windows)
-    # equal windows lie at one distance before their anchor
-    back = lead[span] - k
     start = offsets[span] + k
-    _, hg = np.unique(h, return_inverse=True)
-    order = np.lexsort((q[span], x[span], d[span], back, hg[span]))
-    key = hg[span][order] * 512 + back[order] + 256
+    # equal windows lie at one distance before their anchor
+    key = np.append(0, np.cumsum(h[1:] != h[:-1]))[span] * 512 + lead[span] - k + 256
+    some = twins(prefix, start, key)
+    order = some[np.argsort(key[some], kind="stable")]  # spans come in order of the input
     group = np.zeros(len(order), np.int64)
-    group[1:] = np.cumsum(key[1:] != key[:-1])
+    group[1:] = np.cumsum(key[order[1:]] != key[order[:-1]])
     gone = np.zeros(len(span), bool)
-    gone[order] = repeated_windows(data, start[order], group)
+    gone[order] = repeated_windows(data, start[order], group, prefix)
     new = gone.copy()
     new[1:] &= ~(gone[:-1] & (span[1:] == span[:-1]))
     end = gone.copy()
@@ -302,11 +320,12 @@ def _resolve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     at = q[span[f]] - lead[span[f]]
     yield _ranges(d[span[f]], x[span[f]], at + k[f], at + k[e] + LENGTH)
     left = np.flatnonzero(rows.column("hot").to_numpy(zero_copy_only=False)[span] & ~gone)
+    other = prefix_hashes(data, True) if len(left) else prefix
     for i in range(0, len(left), SORT_SPANS):
         w = left[i : i + SORT_SPANS]
-        digests = np.frombuffer(b"".join(hashlib.blake2b(data[j : j + LENGTH].tobytes(), digest_size=16).digest() for j in start[w]), np.int64).reshape(-1, 2)
+        one, two = text_hashes(prefix, start[w], start[w] + LENGTH), mix(range_hashes(other, start[w], start[w] + LENGTH, True))
         a = (q - lead)[span[w]] + k[w]
-        yield _ranges(d[span[w]], x[span[w]], a, a + LENGTH, digests[:, 0], digests[:, 1])
+        yield _ranges(d[span[w]], x[span[w]], a, a + LENGTH, one.view(np.int64), two.view(np.int64))
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,57 +351,65 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def removed_ranges(docs: DataFrame, bits: int = 64) -> DataFrame:
     """d, x, a, b: byte ranges to remove, overlapping ones not yet merged. docs: d, x, text."""
     long_ = docs.where(F.octet_length("text") >= LENGTH)
-    often = long_.mapInArrow(frugal(_anchors(bits)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("often"))
+    often = long_.select("text").mapInArrow(frugal(_anchors(bits)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h").alias("often"))
     raw = long_.mapInArrow(frugal(_spans(bits)), _SPAN)
+    spark = docs.sparkSession
     met = materialise(raw.join(often, F.col("h") == F.col("often"), "left").where("often is not null or e is null").drop("often"), "repeats-met")
-    own = met.where("e is null").select("d", F.col("s").alias("x"), F.col("p").alias("a"), (F.col("p") + F.col("m")).alias("b"))
+    release(spark, 2)
+    nth = F.rank().over(Window.partitionBy("h", "s", "e").orderBy("d", "m", "p"))  # repeated rows of the input share theirs
+    ranked = materialise(met.repartition("h", "s", "e").withColumn("nth", nth), "repeats-ranked")
+    drop(met)
+    release(spark, 2)
+    own = ranked.where("e is null").select("d", F.col("s").alias("x"), F.col("p").alias("a"), (F.col("p") + F.col("m")).alias("b"))
     x, more = F.shiftright("m", 16), F.col("m").bitwiseAND(255)
-    spans_ = met.where("e is not null")
-    firsts = materialise(spans_.groupBy("h", "s", "e").agg(F.min(F.struct("d", "m", "p")).alias("f"), F.count("*").alias("n")), "repeats-firsts")
-    again = firsts.where("n > 1").select("h", "s", "e", "f")
-    late = (F.col("f.d") != F.col("d")) | (F.col("f.m") != F.col("m")) | (F.col("f.p") != F.col("p"))
-    whole = spans_.join(again, ["h", "s", "e"]).where(late).select("d", x.alias("x"), F.col("p").alias("a"), (F.col("p") + more + LENGTH).alias("b"))
+    whole = ranked.where("e is not null and nth > 1").select("d", x.alias("x"), F.col("p").alias("a"), (F.col("p") + more + LENGTH).alias("b"))
+    firsts = ranked.where("e is not null and nth = 1")
     classes = firsts.groupBy("h").agg(F.count("*").alias("classes")).where("classes > 1")
     run = F.pmod(F.xxhash64("d", "p"), F.ceil(F.col("classes") / MOST_SPANS))
     hot = F.col("classes") > MOST_SPANS
-    several = firsts.join(classes, "h").select("h", "f.d", "f.m", "f.p", "classes")
+    several = firsts.join(classes, "h")
     several = several.select("d", x.alias("x"), F.struct(F.when(hot, F.xxhash64("h", run)).otherwise(F.col("h")).alias("g"), "p", F.col("m").bitwiseAND(65535).alias("m"), hot.alias("hot")).alias("want"))
     wants = several.groupBy("d", "x").agg(F.collect_set("want").alias("wants"))
     bodies = docs.join(wants, ["d", "x"]).select("text", "d", "x", "wants").mapInArrow(frugal(_fetch), _BYTES)
     found = materialise(bodies.repartition("h").sortWithinPartitions("h").mapInArrow(frugal(_sorted_groups), _RANGE), "repeats-found")
+    release(spark, 2)
     windows = found.where("w1 is not null")
-    lowest = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "x", "a")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    merged_runs = windows.join(lowest, ["w1", "w2"]).where((F.col("low.d") != F.col("d")) | (F.col("low.a") != F.col("a")) | (F.col("low.x") != F.col("x")))
+    nth = F.row_number().over(Window.partitionBy("w1", "w2").orderBy("d", "x", "a"))
+    merged_runs = windows.withColumn("nth", nth).where("nth > 1")
     out = own.union(whole)
     for part in (found.where("w1 is null"), merged_runs):
         out = out.union(part.select("d", "x", "a", "b"))
     return out
 
 
-def merged(ranges: list[dict]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((r["a"], r["b"]) for r in ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges each text's ranges and cuts them out."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for text, gone in zip(batch.column("text"), batch.column("gone").to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            spans_, kept, at = merged(gone or []), [], 0
-            for a, b in spans_:
-                kept.append(raw[at:a])
-                at = b
-            kept = b"".join([*kept, raw[at:]])
-            for c, v in zip(cols, (len(raw), len(raw) - len(kept), len(spans_), hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                c.append(v)
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        offsets, data = text_buffers(batch.column("text"))
+        gone = batch.column("gone")
+        row = np.repeat(np.arange(len(gone)), gone.value_lengths().fill_null(0).to_numpy())
+        a, b = (k.to_numpy() + offsets[row] for k in gone.flatten().flatten())
+        order = np.lexsort((a, row))
+        row, a, b = row[order], a[order], np.maximum.accumulate(b[order])  # texts lie one after another, so no end is carried on
+        opens = np.ones(len(row), bool)
+        opens[1:] = (row[1:] != row[:-1]) | (a[1:] > b[:-1])
+        at = np.flatnonzero(opens)
+        row, a, b = row[at], a[at], b[np.append(at[1:], len(b)) - 1] if len(at) else b
+        for i, j in text_chunks(offsets):
+            own = slice(*np.searchsorted(row, (i, j)))
+            base, n = offsets[i], j - i
+            edge = np.zeros(offsets[j] - base + 1, np.int8)
+            np.add.at(edge, a[own] - base, 1)
+            np.add.at(edge, b[own] - base, -1)
+            stays = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            kept = data[base : offsets[j]][stays]
+            removed = np.bincount(row[own] - i, (b - a)[own], n).astype(np.int64)
+            ends = np.append(0, np.cumsum(np.diff(offsets[i : j + 1]) - removed))
+            view = memoryview(kept)
+            digests = [hashlib.sha256(view[f:t]).hexdigest() for f, t in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            cols = [pa.array(np.diff(offsets[i : j + 1])), pa.array(removed), pa.array(np.bincount(row[own] - i, minlength=n).astype(np.int64)), pa.array(digests)]
+            left = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(kept)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), *cols, left], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def deduplicated(docs: DataFrame, bits: int = 64) -> DataFrame:

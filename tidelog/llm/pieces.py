@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm.common import frugal, mix, prefix_hashes, range_hashes, table, text_buffers, text_chunks, text_hashes
+from tidelog.llm.common import frugal, mix, prefix_hashes, table, text_buffers, text_chunks, text_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20240
@@ -34,7 +34,7 @@ SYMBOL = "▁"
 
 
 def load(path: str = MODEL) -> dict:
-    """What encoding and decoding need of a model: plain values, small enough (0.5 MB) to go along with the task."""
+    """What encoding and decoding need of a model: plain values and a trie, small enough (1.5 MB) to go along with the task."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -49,11 +49,67 @@ def load(path: str = MODEL) -> dict:
         else:
             pieces.append(name.replace(SYMBOL, " ").encode())
             plain[name.replace(SYMBOL, " ")] = (i, max(0.0, -sp.get_score(i)))
-    return {"bytes": pieces, "plain": plain, "byte_ids": byte_ids}
+    return {"bytes": pieces, "plain": plain, "byte_ids": byte_ids, "trie": double_array(plain)}
+
+
+def double_array(plain: dict[str, tuple[int, float]]) -> dict[str, np.ndarray]:
+    """The pieces' bytes as a double array: node t follows node s by byte c if t = base[s] + c and parent[t] = s.
+
+    `piece` is the piece that ends at a node, or -1. The root is the last node; code 256 follows no node.
+    """
+    numbers: dict[bytes, int] = {b"": 0}
+    ends, below = {}, [[]]
+    for name, (i, _) in plain.items():
+        word = name.encode()
+        at = 0
+        for k in range(len(word)):
+            child = numbers.setdefault(word[: k + 1], len(numbers))
+            if child == len(below):
+                below.append([])
+                below[at].append((word[k], child))
+            at = child
+        ends[at] = i
+    # nodes of many children are given room first, one after the other; those of one child take what is left between
+    shift, place = np.zeros(len(below), np.int64), np.zeros(len(below), np.int64)
+    free = np.ones(2 * len(below) + 1024, bool)
+    free[:256] = False
+    at, many = 256, 0
+    for node in sorted((k for k, c in enumerate(below) if len(c) > 1), key=lambda k: -len(below[k])):
+        codes = np.array([c for c, _ in below[node]])
+        if len(codes) != many:
+            at, many = 256, len(codes)
+        while True:
+            if at + 1024 > len(free):
+                free = np.append(free, np.ones(len(free), bool))
+            tries = np.flatnonzero(free[at : at + 128]) + at - codes[0]
+            fits = np.flatnonzero(free[tries[:, None] + codes].all(axis=1))
+            if len(fits):
+                break
+            at += 128
+        shift[node] = tries[fits[0]]
+        place[[k for _, k in below[node]]] = shift[node] + codes
+        free[shift[node] + codes] = False
+    single = [(k, *c[0]) for k, c in enumerate(below) if len(c) == 1]
+    if single:
+        node, codes, child = np.array(single).T
+        place[child] = np.flatnonzero(np.append(free, np.ones(len(single), bool)))[: len(single)]
+        shift[node] = place[child] - codes
+    root = int(place.max()) + 257
+    place[0] = root
+    base, parent, piece = np.zeros(root + 1, np.int32), np.full(root + 1, -1, np.int32), np.full(root + 1, -1, np.int32)
+    base[place] = shift
+    for node, children in enumerate(below):
+        parent[place[[k for _, k in children]]] = place[node]
+    piece[place[list(ends)]] = list(ends.values())
+    return {"base": base, "parent": parent, "piece": piece}
 
 
 class Lattices:
-    """The model as sorted hashes of its pieces by length, and the lattices of many strings at once."""
+    """The model's pieces as a trie, and the lattices of many strings at once.
+
+    A place is a string's distance from its start, 0 to its length. Places are numbered by distance, and within one by
+    falling length of the strings: those of a distance, and what is known of them, lie side by side in memory.
+    """
 
     def __init__(self, model: dict, theta: float = THETA):
         self.n_pieces = len(model["bytes"])
@@ -61,112 +117,159 @@ class Lattices:
         self.byte_ids = np.zeros(256, np.int64)
         for byte, i in model["byte_ids"].items():
             self.byte_ids[byte] = i
-        by_length: dict[int, list] = {}
-        for p, (i, r) in model["plain"].items():
-            by_length.setdefault(len(p.encode()), []).append((p.encode(), i, -theta * math.log(r + 2)))
-        self.tables = {}
-        for n, found in sorted(by_length.items()):
-            joined = np.frombuffer(b"".join(x[0] for x in found), np.uint8)
-            at = np.arange(len(found)) * n
-            h = mix(range_hashes(prefix_hashes(joined), at, at + n))
-            order = np.argsort(h)
-            often = np.zeros(1 << 18, bool)
-            often[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-            self.tables[n] = (h[order], np.array([x[1] for x in found])[order], np.array([x[2] for x in found])[order], often)
-
-    def edges(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Edges of the strings' lattices: start, end (places in data), piece, log weight."""
-        n = len(data)
+        self.trie = model["trie"]
+        self.weight = np.zeros(self.n_pieces)
+        ids, ranks = np.array(list(model["plain"].values())).reshape(-1, 2).T
+        self.weight[ids.astype(np.int64)] = -theta * np.log(ranks + 2)
+        # of up to so many bytes, no product of weights leaves the range of numbers
+        self.short = int(600 / (max(abs(self.fallback), float(np.abs(self.weight).max(initial=0.0))) + math.log(2)))
+
+    def places(self, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Numbers the places; of each: distance, string, whether a byte follows, and where that is in the data.
+
+        `column` is the first place of each distance, `rank` a string's number by falling length, `size` the lengths in it.
+        """
+        size = np.diff(offsets)
+        order = np.argsort(-size, kind="stable")
+        self.rank = np.empty(len(size), np.int64)
+        self.rank[order] = np.arange(len(size))
+        self.size = size[order]
+        width = len(size) - np.searchsorted(self.size[::-1], np.arange(int(size.max(initial=0)) + 1))
+        self.column = np.concatenate([[0], np.cumsum(width)])
+        depth = np.repeat(np.arange(len(width), dtype=np.int32), width)
+        string = (np.arange(len(depth)) - self.column[depth]).astype(np.int32)
+        inside = depth < self.size[string]
+        return depth, string, inside, np.where(inside, offsets[order][string] + depth, 0)
+
+    def edges(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        """Edges of the strings' lattices by the place that they end at (`first` and `degree` of each): `prev`, `piece`."""
+        depths, strings, inside, where = self.places(offsets)
+        n, column = len(data), self.column
         border = np.ones(n + 1, bool)
         border[:n] = (data & 0xC0) != 0x80
         border[offsets] = True
         chars = np.flatnonzero(border)
         for k in np.flatnonzero(np.diff(chars) > 4):  # no UTF-8: every byte is its own character
             border[chars[k] : chars[k + 1]] = True
-        chars = np.flatnonzero(border)[:-1]
-        width = np.diff(np.append(chars, n))
-        stop = np.repeat(offsets[1:], np.diff(offsets))[chars] if n else chars
-        prefix = prefix_hashes(data)
-        single = np.zeros(len(chars), bool)
+        chars = np.flatnonzero(border)
+        wide = np.zeros(n + 1, np.int8)
+        wide[chars[:-1]] = np.diff(chars)
+        codes = np.full(len(where), 256, np.int16)
+        codes[inside] = data[where[inside]]
+        border = border[where] | ~inside
+        start = np.flatnonzero(border & inside)
+        wide = wide[where[start]]
+        single = np.zeros(len(start), bool)
+        base, parent, piece = self.trie["base"], self.trie["parent"], self.trie["piece"]
+        who = np.arange(len(start))
+        depth, string = depths[start], strings[start]
+        at, node = start, np.full(len(start), len(base) - 1, np.int32)
         parts = []
-        live = np.arange(len(chars))
-        for length, (hashes, ids, weight, often) in self.tables.items():
-            live = live[chars[live] + length <= stop[live]]
-            who = live[border[chars[live] + length]]
-            at = chars[who]
-            h = mix(range_hashes(prefix, at, at + length))
-            hit = often[(h & np.uint64((1 << 18) - 1)).astype(np.int64)]
-            who, at, h = who[hit], at[hit], h[hit]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[place] == h
-            who, at, place = who[hit], at[hit], place[hit]
-            single[who[width[who] == length]] = True
-            parts.append((at, at + length, ids[place], weight[place]))
+        length = 0
+        while len(who):
+            node, before = base[node] + codes[at], node
+            live = np.flatnonzero(parent[node] == before)
+            who, node, depth, string = who[live], node[live], depth[live] + np.int32(1), string[live]
+            at = column[depth] + string
+            length += 1
+            what = piece[node]
+            hit = np.flatnonzero((what >= 0) & border[at])
+            one = who[hit]
+            single[one[wide[one] == length]] = True
+            parts.append((start[one], at[hit], what[hit]))
         rest = np.flatnonzero(~single)
         if len(rest):
-            at, w = chars[rest], width[rest]
+            p, w = start[rest], wide[rest].astype(np.int64)
+            at = where[p]
             packed = np.zeros(len(rest), np.int64)
             for k in range(4):
                 packed |= np.where(w > k, data[np.minimum(at + k, n - 1)].astype(np.int64) << (8 * k), 0)
-            parts.append((at, at + w, self.n_pieces + packed * 8 + w, np.full(len(rest), self.fallback)))
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+            parts.append((p, column[depths[p] + w] + strings[p], self.n_pieces + packed * 8 + w))
+        # no two edges of one part end at the same place, so parts are dealt by counting
+        degree = np.zeros(len(codes), np.int32)
+        slots = []
+        for _, end, _ in parts:
+            slot = degree[end]
+            slots.append(slot)
+            degree[end] = slot + 1
+        self.degree = degree
+        self.first = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(degree, out=self.first[1:])
+        self.prev, self.piece = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.int64)
+        for (p, end, what), slot in zip(parts, slots, strict=True):
+            to = self.first[end] + slot
+            self.prev[to] = p
+            self.piece[to] = what
 
     def forward(self, data: np.ndarray, offsets: np.ndarray) -> None:
         """Forward filtering of all strings, one distance from their start at a time.
 
-        States are the places that an edge ends at, numbered by (distance, place); `reach` holds for each edge its state
-        plus the cumulative share of the state's weight, so that one binary search draws an edge.
+        `reach` holds for each edge its share of the weight that comes to where it ends, plus those of the edges before it
+        there. Weights of short strings are multiplied as they are, those of long ones as logarithms.
         """
-        start, end, piece, weight = self.edges(data, offsets)
-        first = np.repeat(offsets[:-1], np.diff(offsets))
-        far = end - first[start]
-        order = np.lexsort((end, far))
-        start, end, piece, weight, far = start[order], end[order], piece[order], weight[order], far[order]
-        new = np.ones(len(end), bool)
-        new[1:] = end[1:] != end[:-1]
-        new[1:] |= far[1:] != far[:-1]
-        group = np.cumsum(new) - 1
-        heads = np.flatnonzero(new)
-        alpha = np.zeros(len(data) + 1)
-        share = np.empty(len(end))
-        steps = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]])) if len(far) else np.zeros(0, np.int64)
-        # alpha of a string's start is 0; the place is also the end of the string before it, whose value is kept apart
-        is_start = np.zeros(len(data) + 1, bool)
-        is_start[offsets[:-1]] = True
-        for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(far)], strict=True):
-            g = heads[group[a] : group[b - 1] + 1] - a
-            v = weight[a:b] + np.where(is_start[start[a:b]], 0.0, alpha[start[a:b]])
-            size = np.diff(np.append(g, b - a))
-            top = np.maximum.reduceat(v, g)
-            w = np.exp(v - np.repeat(top, size))
-            total = np.add.reduceat(w, g)
-            run = np.cumsum(w)
-            before = np.concatenate([[0.0], run[g[1:] - 1]])
-            share[a:b] = np.minimum((run - np.repeat(before, size)) / np.repeat(total, size), 1.0)
-            alpha[end[a:b][g]] = top + np.log(total)
-        self.reach = group + share
-        self.reach[np.append(heads[1:], len(end)) - 1] = np.arange(len(heads)) + 1.0
-        state = np.full(len(data) + 1, -1)
-        state[end[heads]] = np.arange(len(heads))
-        self.prev = np.where(is_start[start], -1, state[start])
-        self.piece = piece
-        self.final = state[offsets[1:]]
+        self.edges(data, offsets)
+        column, degree, prev = self.column, self.degree, self.prev
+        weight = np.where(self.piece < self.n_pieces, self.weight[np.minimum(self.piece, self.n_pieces - 1)], self.fallback)
+        long = int(np.searchsorted(-self.size, -self.short))
+        alpha = np.ones(len(degree))
+        alpha[:long] = 0.0
+        ends = np.flatnonzero(degree)
+        heads = self.first[ends]
+        by_column = np.searchsorted(ends, column)
+        of_long = np.searchsorted(ends, column[:-1] + np.minimum(long, np.diff(column)))
+        share = np.exp(weight)
+        bounds = np.append(heads, len(prev))
+        for a, m, b in zip(by_column[1:-1].tolist(), of_long[1:].tolist(), by_column[2:].tolist(), strict=True):
+            if m > a:
+                own = slice(bounds[a], bounds[m])
+                g = heads[a:m] - bounds[a]
+                v = weight[own] + alpha[prev[own]]
+                top = np.maximum.reduceat(v, g)
+                v = np.exp(v - np.repeat(top, degree[ends[a:m]]))
+                total = np.add.reduceat(v, g)
+                alpha[ends[a:m]] = top + np.log(total)
+                share[own] = v / np.repeat(total, degree[ends[a:m]])
+            if b > m:
+                own = slice(bounds[m], bounds[b])
+                v = share[own]
+                v *= alpha[prev[own]]
+                total = np.add.reduceat(v, heads[m:b] - bounds[m])
+                alpha[ends[m:b]] = total
+                v /= np.repeat(total, degree[ends[m:b]])
+        edge, left = heads, degree[ends]
+        while len(edge):
+            more = np.flatnonzero(left > 1)
+            edge, left = edge[more] + 1, left[more] - 1
+            share[edge] += share[edge - 1]
+        share[bounds[1:] - 1] = 1.0
+        self.reach = share
 
     def sample(self, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling for many occurrences of the strings: (pieces in order, number of pieces of each)."""
-        active = np.argsort(which, kind="stable")  # neighbours in memory are drawn one after the other
-        state, seeds = self.final[which[active]], seeds[active]
+        n_strings = len(self.size)
+        place = self.rank[which]
+        active = np.argsort(place, kind="stable")  # neighbours in memory are drawn one after the other
+        place = place[active]
+        place += self.column[self.size[place]]
+        seeds = seeds[active]
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(len(which), np.int64)
         t = 0
-        while len(active):
+        go = place >= n_strings
+        while True:
+            active, place, seeds = active[go], place[go], seeds[go]
+            if not len(active):
+                break
             u = (mix(seeds + np.uint64(t * 0xD1342543DE82EF95 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.searchsorted(self.reach, state + u, side="right")
+            edge = self.first[place]
+            on = np.flatnonzero(self.reach[edge] <= u)
+            while len(on):
+                edge[on] += 1
+                on = on[self.reach[edge[on]] <= u[on]]
             steps.append((active, self.piece[edge]))
             count[active] += 1
-            state = self.prev[edge]
-            go = state >= 0
-            active, state, seeds = active[go], state[go], seeds[go]
+            place = self.prev[edge]
+            go = place >= n_strings
             t += 1
         ends = np.cumsum(count)
         out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,8 @@ SERVER_LEVEL = "(?:emerg|alert|crit|error|warn|notice|info|debug)"
 DOTNET_LEVEL = "(?:trce|dbug|info|warn|fail|crit|eror|ftl)"
 ZONE = r"(?:Z|[+-]\d{2}:?\d{2})"
 REST = r"(?:[^A-Za-z0-9_].*)?"
-JAVA_STACK = r"(?:\s+at .*)|(?:Caused by: .*)|(?:\s*\.{3} (?:\d+ )?more.*)|(?:[a-z]\w*(?:\.[\w$]+)+\.[A-Za-z]\w*(?:Exception|Error|Throwable)(?:: .*)?)"
+DOTTED = r"(?:\.[\w$]+)+"
+JAVA_STACK = r"(?:\s+at .*)|(?:Caused by: .*)|(?:\s*\.{3} (?:\d+ )?more.*)|(?:[a-z]\w*" + DOTTED + r"\.[A-Za-z]\w*(?:Exception|Error|Throwable)(?:: .*)?)"
 ISO = r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}"
 TS_ISO = ISO + r"(?:[.,]\d{1,9})?" + ZONE + "?"
 TS_ISO_TZ = TS_ISO + r"(?: [+-]\d{2}:\d{2})?"
@@ -34,6 +36,27 @@ TS_MONOLOG = ISO + r"(?:\.\d{1,9})?" + ZONE + "?"
 TS_ACCESS = r"\d{2}/" + MONTH + r"/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}"
 RFC3339 = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})"
 
+_PART = re.compile(r"\\.|\[\^?(?:\\.|[^\]\\])*\]|.", re.DOTALL)
+#: What RE2 takes for s and k where case is ignored, besides their capitals.
+_FOLDED = "\u017f\u212a"
+
+
+def on_jvm(pattern: str, ignore_case: bool = False) -> str:
+    """The pattern for the JVM, so that it matches what it matches in RE2: a dot is all but a newline, white space has no vertical
+    tab, and without case s and k have a third form. Dotted names are taken for good, as going back takes stack by the dot."""
+
+    def part(found: re.Match) -> str:
+        p = found[0]
+        if p in (r"\s", r"\S"):
+            return r"[\t\n\f\r ]" if p == r"\s" else r"[^\t\n\f\r ]"
+        if not ignore_case:
+            return p
+        if p == r"\w" or p in "sSkK":
+            return f"[{p}{_FOLDED if p == r'\w' else _FOLDED[p in 'kK']}]"
+        return p[:-1] + _FOLDED + "]" if p.startswith("[") and ("a-z" in p or r"\w" in p) else p
+
+    return "(?d)" + _PART.sub(part, pattern.replace(DOTTED, r"(?:\.[\w$]++(?=\.))++"))
+
 
 @dataclass(frozen=True)
 class LogFormat:
@@ -41,7 +64,8 @@ class LogFormat:
 
     ignore_case holds for the continuation pattern alone. Users may pass lists of their own formats, also from a table
     (from_table). A predicate tells records that no pattern can: it gets batches of lines that the format's patterns leave
-    undecided, and only those. A record of None has no pattern.
+    undecided, and only those. A record of None has no pattern. Patterns of a portable format mean what they mean to RE2, those of
+    others what the JVM makes of them.
     """
 
     name: str
@@ -52,19 +76,23 @@ class LogFormat:
     ignore_case: bool = False
     also: tuple[str, ...] = ()
     predicate: Callable[[pd.Series], pd.Series] | None = None
+    portable: bool = False
+
+    def _pattern(self, pattern: str, ignore_case: bool = False) -> str:
+        return ("(?i)" if ignore_case else "") + (on_jvm(pattern, ignore_case) if self.portable else pattern)
 
     def record_test(self, text: Column) -> Column:
         if self.record is None:
             return F.lit(False)
-        test = text.rlike(rf"\A(?:{self.record})\z")
+        test = text.rlike(self._pattern(rf"\A(?:{self.record})\z"))
         for p in self.also:
-            test = test & text.rlike(p)
+            test = test & text.rlike(self._pattern(p))
         return test
 
     def continuation_test(self, text: Column) -> Column:
         if self.continuation is None:
             return F.lit(False)
-        return text.rlike(("(?i)" if self.ignore_case else "") + rf"\A(?:{self.continuation})\z")
+        return text.rlike(self._pattern(rf"\A(?:{self.continuation})\z", self.ignore_case))
 
     def predicate_test(self, text: Column) -> Column:
         """What the predicate says of undecided lines, in Arrow batches; false for all others. text must be a plain column's
@@ -118,6 +146,7 @@ FORMATS: tuple[LogFormat, ...] = (
     LogFormat("syslog", 30, rf"(?:<\d{{1,3}}>)?(?:{MONTH}\s+\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}} \S+ \S+(?:\[\d+\])?: .*)|(?:{RFC3339} \S+ \S+(?:\[\d+\])?: .*)", None, f"{TS_SYSLOG}|{TS_ISO_MID}"),
     LogFormat("Plain timestamp", 10, ISO + REST, _LOGBACK_MORE, TS_ISO, True),
 )
+FORMATS = tuple(replace(f, portable=True) for f in FORMATS)
 BY_NAME = {f.name: f for f in FORMATS}
 
 #: Formats that a table may hold: each is a pattern in the plan.

@@ -11,7 +11,7 @@ ESC = "\x1b"
 #: One escape sequence: CSI, a string up to its terminator, a charset designator, two characters, or the lone byte.
 ESCAPE = r"\x1b(?:\[[0-?]*[ -/]*[@-~]?|[\]P^_][^\x07\x1b\n]*(?:\x07|\x1b\\)?|[()*+][\s\S]?|[^\n])?"
 _BLANK = r"\A[\t-\r\x1c-\x1f\p{Z}]*\z"
-#: The longest line that is segmented, and what is read of a line to tell formats, in characters. Readers keep whole lines.
+#: The longest line that is segmented, in characters. All else reads whole lines.
 MAX_LINE = 65_536
 
 
@@ -56,7 +56,7 @@ def is_blank(c: Column) -> Column:
 
 def trim_crs(c: Column) -> Column:
     """Detection drops all carriage returns at a line's end."""
-    return F.when(F.endswith(c, F.lit("\r")), F.regexp_replace(c, r"\r+\z", "")).otherwise(c)
+    return F.rtrim(c, F.lit("\r"))
 
 
 def drop_cr(c: Column) -> Column:
@@ -65,8 +65,8 @@ def drop_cr(c: Column) -> Column:
 
 
 def clean(raw: Column) -> Column:
-    """What detection reads of a line: its first MAX_LINE characters, without escapes and carriage returns at its end."""
-    return ansi_strip(trim_crs(F.substring(raw, 1, MAX_LINE)))
+    """What detection reads of a line: all of it, without escapes and carriage returns at its end."""
+    return ansi_strip(trim_crs(raw))
 
 
 SQL_ESCAPE = r"\x1b(?:\[[0-?]*[ -/]*[@-~]?|[\]P^_][^\x07\x1b\n]*(?:\x07|\x1b\\)?|[()*+][\s\S]?|[^\n])?"

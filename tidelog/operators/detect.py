@@ -84,12 +84,12 @@ def verdicts(scored: DataFrame, formats: tuple[LogFormat, ...] = FORMATS, *more:
     """path, outcome, format, matched, scanned, ratio, percent_text, closest, closest_text, ansi_lines, and the columns `more`.
 
     The candidate explains most lines among formats with a record; ties go to priority, then to declaration. It is the
-    format if it explains half of the lines, else only the closest.
+    format if it explains half of the lines, else only the closest. Lines without a path are no file, and have no candidate.
     """
     options = F.array(*[F.struct(F.col(f"exp{i}").alias("explained"), F.lit(f.priority).alias("priority"), F.lit(-i).alias("place"), F.lit(f.name).alias("name"), F.col(f"rec{i}").alias("records")) for i, f in enumerate(formats)])
     # a grouped maximum over the file's own rows: no new exchange, and the choice is made once however often it is read
     b = scored.select("path", "scanned", "ansi_lines", *more, F.explode(options).alias("o")).groupBy("path").agg(
-        F.first("scanned").alias("scanned"), F.first("ansi_lines").alias("ansi_lines"), *[F.first(m).alias(m) for m in more], F.max(F.when(F.col("o.records") > 0, F.col("o"))).alias("best")
+        F.first("scanned").alias("scanned"), F.first("ansi_lines").alias("ansi_lines"), *[F.first(m).alias(m) for m in more], F.max(F.when((F.col("o.records") > 0) & F.col("path").isNotNull(), F.col("o"))).alias("best")
     )
     hit = F.col("best").isNotNull() & (F.col("best.explained") * 2 >= F.col("scanned")) & (F.col("scanned") > 0)
     share = percent_text(F.col("best.explained"), F.col("scanned"))
